@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import langid, lm, mixing, packing, quality, rules, secrets, topk, toxicity
+from tickerloom.llm import jaccard, langid, lm, mixing, packing, quality, rules, secrets, topk, toxicity
 from tickerloom.llm.common import crc_fold, read_table
 
 
@@ -23,6 +23,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_table(spark, sf_dir, "documents"), 4, 85, 100)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_exact_top_k, op5_best_fit_packing, op6_source_mix, op7_lm_score, op8_pu_quality, op9_toxicity_chain, op10_quality_rules)
+    f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_exact_top_k, op4_ngram_jaccard, op5_best_fit_packing, op6_source_mix, op7_lm_score, op8_pu_quality, op9_toxicity_chain, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
