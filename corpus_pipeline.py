@@ -1,8 +1,65 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: toxicity, near duplicates, secrets, source mix, packing.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir); ``run`` writes each one's result to the shared
+folder and hands what it reads back to the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tickerloom.llm import jaccard, mixing, packing, secrets, toxicity
+from tickerloom.llm.common import read_table, written
+from tickerloom.session import ship_package
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain rejects go."""
+    ship_package(spark)
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.keep_clean(docs, toxicity.fit(docs.select("doc_id", "text"), labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word n-grams, similarity 0.8 or more."""
+    ship_package(spark)
+    return jaccard.one_of_each(docs, 5, 80, 100)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the text give way to their kind's name; every document stays."""
+    ship_package(spark)
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    ship_package(spark)
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place."""
+    ship_package(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("secrets", redact_secrets),
+    ("mix", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL can express neither the trained chain nor the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
+    return docs
