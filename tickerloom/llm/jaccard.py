@@ -73,7 +73,7 @@ class Shingler:
         if len(self.words) > 500_000:
             self.words.clear()
         known = self.words
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(h))
