@@ -81,8 +81,7 @@ class WordEncoder:
             pieces = [first, *[" " + x for x in rest]]
             cut.append(pieces)
             lacking.update(pieces)
-        lacking -= self.words.keys()
-        new = sorted(lacking)
+        new = sorted(w for w in lacking if w not in self.words)
         self.words.update(zip(new, self._ids(new)))
         whole = iter(self._ids([t for t, c in zip(texts, cut) if c is None]))
         return [next(whole) if c is None else b"".join(map(self.words.__getitem__, c)) for c in cut]
