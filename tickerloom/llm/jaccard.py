@@ -10,11 +10,11 @@ that stand far above the mean, so passages that many documents share come last.
    Rows with equal sets are one *class* from here on.
 2. ``stars``: classes whose sketches agree choose a centre. A verified similarity
    makes them links, and members know their distance to the centre.
-3. ``centre_pairs``: two sets can only be linked if their prefixes share an
-   n-gram. Prefix n-grams are mapped to centres *before* they are grouped, and
+3. ``centre_pairs``: two sets can only be linked if their prefixes share n-grams,
+   a twentieth of the smaller set's size and one. Prefix n-grams are mapped to centres *before* they are grouped, and
    equal ones meet in map-side aggregation, so a large group of near copies is one row
    to each n-gram and task.
-4. ``cross_links``: centres that share an n-gram are compared. As Jaccard distance is
+4. ``cross_links``: centres that share enough n-grams are compared. As Jaccard distance is
    a metric, members a and b of unlinked centres can be linked only if
    dist(a) + dist(b) >= dist(centres) - (1 - t): only those pairs are compared.
    One link between two stars is enough for the components, and none is lost.
@@ -88,9 +88,17 @@ def least_overlap(a: int, b: int, num: int, den: int) -> int:
     return -(-num * (a + b) // (den + num))
 
 
+#: A set of n members must share 1 + n // SHARED of its prefix's members with a partner.
+SHARED = 20
+
+
 def prefix_length(n: int, num: int, den: int) -> int:
-    """A partner shares at least ceil(n * num / den) members, so one of these first ones."""
-    return n - -(-n * num // den) + 1
+    """A partner shares at least ceil(n * num / den) members, so 1 + n // SHARED of these first ones.
+
+    Both sets' prefixes hold the first of their common members, as many as the smaller of the two
+    numbers says.
+    """
+    return n - -(-n * num // den) + 1 + n // SHARED
 
 
 class PrefixTree:
@@ -181,7 +189,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def heavy_buckets(rows: DataFrame) -> np.ndarray:
-    """Buckets whose count stands eight deviations and 64 above the mean; a vector of fixed size."""
+    """Buckets whose count stands eight deviations and 16 above the mean; a vector of fixed size."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(BUCKETS, np.int64)
@@ -196,7 +204,7 @@ def heavy_buckets(rows: DataFrame) -> np.ndarray:
     for r in add_sketches(rows.where(F.col("zone").isNotNull()).select("zone").mapInArrow(count, "slice int, part int, counts binary")).collect():
         total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     mean = total.mean()
-    return total > mean + 8 * math.sqrt(mean) + 64
+    return total > mean + 8 * math.sqrt(mean) + 16
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -205,7 +213,10 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """sid, members (sorted hashes, binary) of the wanted classes; ``wanted``: sid, doc_id of one row."""
+    """sid, members (sorted hashes, binary) of the wanted classes; ``wanted``: sid, doc_id of one row.
+
+    A class may come more than once, where ids do.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
@@ -220,7 +231,7 @@ def set_table(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     w = _small(wanted.select("sid", F.col("doc_id").alias("of")))
     rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("of")))
-    return rows.select("sid", "text").mapInArrow(run, "sid binary, members binary").dropDuplicates(["sid"])
+    return rows.select("sid", "text").mapInArrow(run, "sid binary, members binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -290,7 +301,7 @@ def prefixes(classes: DataFrame, heavy: np.ndarray, num: int, den: int) -> DataF
 
 
 def centre_pairs(rows: DataFrame) -> DataFrame:
-    """a < b: centres that share an n-gram of their prefixes. ``rows``: centre, grams.
+    """a < b, shared: centres that share n-grams of their prefixes, and at most how many. ``rows``: centre, grams.
 
     N-grams are grouped by the long that starts the centre's name; two centres of one such long both
     come back in the last join.
@@ -302,27 +313,28 @@ def centre_pairs(rows: DataFrame) -> DataFrame:
     # between the least and the greatest centre of an n-gram there may be others
     others = shared.join(_small(least), "gram").where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).select("gram", "node").distinct()
     others = written(others, "jaccard-others")
-    ends = least.select("low", "high").distinct()
+    ends = least.select("low", "high")
     with_ends = others.join(least, "gram").select(F.explode(F.array(F.struct(F.col("low").alias("low"), F.col("node").alias("high")), F.struct(F.col("node").alias("low"), F.col("high").alias("high")))).alias("p")).select("p.*")
     x, y = others.select("gram", F.col("node").alias("low")), others.select("gram", F.col("node").alias("high"))
     inner = x.join(y, "gram").where("low < high").select("low", "high")
-    nodes = ends.union(with_ends).union(inner).distinct()
+    nodes = ends.union(with_ends).union(inner).groupBy("low", "high").agg(F.count("*").alias("shared"))
     names = rows.select("centre", key.alias("node")).distinct()
     a, b = names.select(F.col("centre").alias("a"), F.col("node").alias("low")), names.select(F.col("centre").alias("b"), F.col("node").alias("high"))
-    return nodes.join(a, "low").join(b, "high").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return nodes.join(a, "low").join(b, "high").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
 
 
 def cross_links(docs: DataFrame, classes: DataFrame, members: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """a, b: for each pair of centres, one of the links between their stars, if there is any."""
     sizes = classes.select("sid", "size", "doc_id")
-    spread = members.groupBy("centre").agg(F.max("dist").alias("wide")).select(F.col("centre").alias("c"), "wide")
+    spread = members.join(sizes, "sid").groupBy("centre").agg(F.max("dist").alias("wide"), F.min("size").alias("low")).select(F.col("centre").alias("c"), "wide", "low")
     room = 1 - num / den
     side = lambda name: sizes.select(F.col("sid").alias(name), F.col("size").alias(f"size_{name}"))
-    wide = lambda name: spread.select(F.col("c").alias(name), F.col("wide").alias(f"wide_{name}"))
+    wide = lambda name: spread.select(F.col("c").alias(name), F.col("wide").alias(f"wide_{name}"), F.col("low").alias(f"low_{name}"))
     p = pairs.join(side("a"), "a").join(side("b"), "b").join(wide("a"), "a", "left").join(wide("b"), "b", "left").fillna(0.0, ["wide_a", "wide_b"])
     # the sizes of two sets bound their distance from below
     apart = 1 - F.least("size_a", "size_b") / F.greatest("size_a", "size_b")
-    p = written(p.where(apart <= room + F.col("wide_a") + F.col("wide_b") + 1e-9), "jaccard-pairs")
+    enough = F.least(*[1 + F.floor(F.least(f"size_{x}", F.coalesce(f"low_{x}", f"size_{x}")) / SHARED) for x in "ab"])
+    p = written(p.where(F.col("shared") >= enough).where(apart <= room + F.col("wide_a") + F.col("wide_b") + 1e-9), "jaccard-pairs")
     ids = p.select(F.col("a").alias("sid")).union(p.select("b")).distinct()
     sets = written(set_table(docs, sizes.join(ids, "sid", "left_semi"), n), "jaccard-pair-sets")
     # beside a wide star the centres' distance counts: there, any overlap of a hundredth is asked for
