@@ -11,9 +11,10 @@ that stand far above the mean, so passages that many documents share come last.
 2. ``stars``: classes whose sketches agree choose a centre. A verified similarity
    makes them links, and members know their distance to the centre.
 3. ``centre_pairs``: two sets can only be linked if their prefixes share n-grams,
-   a twentieth of the smaller set's size and one. Prefix n-grams are mapped to centres *before* they are grouped, and
-   equal ones meet in map-side aggregation, so a large group of near copies is one row
-   to each n-gram and task.
+   a fortieth of the smaller set's size and one, and they lie in the shorter
+   prefix that the smaller of the two needs. Prefix n-grams are mapped to centres *before* they are grouped, and
+   equal ones meet in map-side aggregation. Centres that links already connect
+   are never paired: n-grams of one component alone go first.
 4. ``cross_links``: centres that share enough n-grams are compared. As Jaccard distance is
    a metric, members a and b of unlinked centres can be linked only if
    dist(a) + dist(b) >= dist(centres) - (1 - t): only those pairs are compared.
@@ -89,7 +90,7 @@ def least_overlap(a: int, b: int, num: int, den: int) -> int:
 
 
 #: A set of n members must share 1 + n // SHARED of its prefix's members with a partner.
-SHARED = 20
+SHARED = 40
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
@@ -101,6 +102,11 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1 + n // SHARED
 
 
+def index_length(n: int, num: int, den: int) -> int:
+    """The same for a partner that is no smaller: the two then share 2 num / (den + num) of this set."""
+    return n - -(-2 * n * num // (den + num)) + 1 + n // SHARED
+
+
 class PrefixTree:
     """Sets in the global order (here by hash), equal beginnings stored once.
 
@@ -189,7 +195,7 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def heavy_buckets(rows: DataFrame) -> np.ndarray:
-    """Buckets whose count stands eight deviations and 16 above the mean; a vector of fixed size."""
+    """Buckets whose count stands five deviations and 2 above the mean; a vector of fixed size."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(BUCKETS, np.int64)
@@ -204,7 +210,7 @@ def heavy_buckets(rows: DataFrame) -> np.ndarray:
     for r in add_sketches(rows.where(F.col("zone").isNotNull()).select("zone").mapInArrow(count, "slice int, part int, counts binary")).collect():
         total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     mean = total.mean()
-    return total > mean + 8 * math.sqrt(mean) + 16
+    return total > mean + 5 * math.sqrt(mean) + 2
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -285,40 +291,40 @@ def stars(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> tu
 
 
 def prefixes(classes: DataFrame, heavy: np.ndarray, num: int, den: int) -> DataFrame:
-    """centre, grams: the first n-grams of each class in the global order."""
+    """centre, root, size, near, grams: the first n-grams of each class in the global order; the first
+    ``near`` of them are enough to meet sets that are no smaller."""
     sent = classes.sparkSession.sparkContext.broadcast(heavy)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = []
+            out, near = [], [index_length(n, num, den) for n in part.column("size").to_pylist()]
             for size, zone, tail in zip(part.column("size").to_pylist(), part.column("zone"), part.column("tail")):
                 z, t = zone.values.to_numpy(), tail.values.to_numpy()
                 marked = sent.value[_bucket(z)] if len(z) else np.zeros(0, bool)
                 out.append(np.concatenate([z[~marked], t, z[marked]])[: prefix_length(size, num, den)])
-            yield pa.RecordBatch.from_arrays([part.column("centre"), pa.array(out, pa.list_(pa.int64()))], names=["centre", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column("centre"), part.column("root"), part.column("size"), pa.array(near, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["centre", "root", "size", "near", "grams"])
 
-    return classes.select("centre", "size", "zone", "tail").mapInArrow(run, "centre binary, grams array<long>")
+    return classes.select("centre", "root", "size", "zone", "tail").mapInArrow(run, "centre binary, root binary, size long, near long, grams array<long>")
 
 
 def centre_pairs(rows: DataFrame) -> DataFrame:
-    """a < b, shared: centres that share n-grams of their prefixes, and at most how many. ``rows``: centre, grams.
+    """a < b, shared: centres of different components that share n-grams of their prefixes, and at most
+    how many. ``rows``: centre, root (name of the component known so far), grams.
 
-    N-grams are grouped by the long that starts the centre's name; two centres of one such long both
-    come back in the last join.
+    N-grams are grouped by numbers made of the names' first seven bytes; all centres of such a
+    number come back in the last join.
     """
-    key = F.conv(F.hex(F.substring("centre", 1, 7)), 16, 10).cast("long")
-    shared = rows.select(key.alias("node"), F.explode("grams").alias("gram"))
-    least = shared.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    least = written(least, "jaccard-shared")
-    # between the least and the greatest centre of an n-gram there may be others
-    others = shared.join(_small(least), "gram").where((F.col("node") != F.col("low")) & (F.col("node") != F.col("high"))).select("gram", "node").distinct()
-    others = written(others, "jaccard-others")
-    ends = least.select("low", "high")
-    with_ends = others.join(least, "gram").select(F.explode(F.array(F.struct(F.col("low").alias("low"), F.col("node").alias("high")), F.struct(F.col("node").alias("low"), F.col("high").alias("high")))).alias("p")).select("p.*")
-    x, y = others.select("gram", F.col("node").alias("low")), others.select("gram", F.col("node").alias("high"))
-    inner = x.join(y, "gram").where("low < high").select("low", "high")
-    nodes = ends.union(with_ends).union(inner).groupBy("low", "high").agg(F.count("*").alias("shared"))
-    names = rows.select("centre", key.alias("node")).distinct()
+    number = lambda c: F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
+    shared = rows.select(number("centre").alias("node"), number("root").alias("root"), "size", "near", F.posexplode("grams").alias("at", "gram"))
+    shared = shared.select("node", "root", "size", (F.col("at") < F.col("near")).alias("near"), "gram")
+    split = shared.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("near").alias("near")).where("low <> high and near").select("gram")
+    met = shared.join(_small(written(split, "jaccard-shared")), "gram", "left_semi")
+    met = written(met.groupBy("gram", "node", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("near").alias("near")), "jaccard-met")
+    side = lambda x: met.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "least", "most", "near")])
+    both = side("x").where("near_x").join(side("y"), "gram").where("root_x <> root_y and least_x <= most_y")
+    once = both.where("node_x < node_y or not (near_y and least_y <= most_x)")
+    nodes = once.groupBy(F.least("node_x", "node_y").alias("low"), F.greatest("node_x", "node_y").alias("high")).agg(F.count("*").alias("shared"))
+    names = rows.select("centre", number("centre").alias("node")).distinct()
     a, b = names.select(F.col("centre").alias("a"), F.col("node").alias("low")), names.select(F.col("centre").alias("b"), F.col("node").alias("high"))
     return nodes.join(a, "low").join(b, "high").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
 
@@ -382,7 +388,9 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFram
     classes = written(classes, "jaccard-classes")
     members, star_links = stars(docs, classes, n, num, den)
     centre = F.coalesce("centre", "sid")
+    known_roots = components(star_links)
     grams = full.select("sid", "size", "zone", "tail").join(members.select("sid", "centre"), "sid", "left").withColumn("centre", centre)
+    grams = grams.join(known_roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     pairs = written(centre_pairs(written(prefixes(grams, heavy, num, den), "jaccard-prefixes")), "jaccard-centre-pairs")
     links = star_links.unionByName(cross_links(docs, classes, members, pairs, n, num, den))
     roots = components(links)
