@@ -191,19 +191,20 @@ def q_rank_pred_ev(spark, d):
 
 # ---------------------------------------------------------------- scalars and contracts
 
-_DATES = F.element_at(F.array(*[F.lit(x) for x in (" 20260227 ", "20260227.0", "2026-02-27", "2.0260227e7", "", "bad", "20260228")]), (F.col("event_id") % 7 + 1).cast("int"))
+def _dates():
+    return F.element_at(F.array(*[F.lit(x) for x in (" 20260227 ", "20260227.0", "2026-02-27", "2.0260227e7", "", "bad", "20260228")]), (F.col("event_id") % 7 + 1).cast("int"))
 _DATES_SQL = "[' 20260227 ', '20260227.0', '2026-02-27', '2.0260227e7', '', 'bad', '20260228'][event_id % 7 + 1]"
 _NORM_SQL = f"(SELECT event_id, v, regexp_replace(trim(v), '\\.0$', '') AS t FROM (SELECT event_id, {_DATES_SQL} AS v FROM events))"
 
 
 @query(f"SELECT event_id, CASE WHEN regexp_full_match(t, '\\d{{8}}') THEN t WHEN t LIKE '%e7' THEN CAST(CAST(CAST(t AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE t END AS ymd FROM {_NORM_SQL}".replace("CAST(CAST(t AS DOUBLE)", "CAST(TRY_CAST(t AS DOUBLE)"))
 def q_norm_ymd(spark, d):
-    return table(spark, d, "events").select("event_id", X.norm_ymd(_DATES).alias("ymd"))
+    return table(spark, d, "events").select("event_id", X.norm_ymd(_dates()).alias("ymd"))
 
 
 @query(f"SELECT event_id, CASE WHEN regexp_full_match(trim(v), '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN replace(trim(v), '-', '') ELSE trim(v) END AS ymd, coalesce(nullif(trim(v), ''), '20260101') AS exec_date FROM {_NORM_SQL}")
 def q_to_ymd(spark, d):
-    return table(spark, d, "events").select("event_id", X.to_ymd(_DATES).alias("ymd"), X.choose_exec_date(_DATES, F.lit("20260101")).alias("exec_date"))
+    return table(spark, d, "events").select("event_id", X.to_ymd(_dates()).alias("ymd"), X.choose_exec_date(_dates(), F.lit("20260101")).alias("exec_date"))
 
 
 _NUMS = ("3.5", " 2 ", "1e3", "3d", "nan", "", "1,000", "-.5")
@@ -292,20 +293,21 @@ def q_rank_score(spark, d):
     return features.rank_score(b, "rank", ("trade_date",)).select("ts_code", "trade_date", r("rank_score").alias("rank_score"))
 
 
-_HOLES = F.when(F.pmod(F.col("ts_code").cast("int"), F.lit(4)) != 0, F.col("close"))
+def _holes():
+    return F.when(F.pmod(F.col("ts_code").cast("int"), F.lit(4)) != 0, F.col("close"))
 _HOLES_SQL = "h AS (SELECT *, CASE WHEN CAST(ts_code AS INTEGER) % 4 <> 0 THEN close END AS c FROM bars)"
 
 
 @query(f"WITH {BARS}, {_HOLES_SQL} SELECT ts_code, trade_date, round(coalesce(c, median(c) OVER (PARTITION BY trade_date), 0), 6) AS c FROM h")
 def q_median_impute(spark, d):
-    out = features.median_fill(bars(spark, d).withColumn("c", _HOLES), ["c"], ("trade_date",))
+    out = features.median_fill(bars(spark, d).withColumn("c", _holes()), ["c"], ("trade_date",))
     return out.select("ts_code", "trade_date", r("c").alias("c"))
 
 
 @query(f"""WITH {BARS}, {_HOLES_SQL}, f AS (SELECT ts_code, trade_date, coalesce(c, median(c) OVER (PARTITION BY trade_date), 0) AS c FROM h)
 SELECT ts_code, trade_date, round(CASE WHEN stddev_pop(c) OVER w < 1e-12 THEN 0 ELSE (c - avg(c) OVER w) / stddev_pop(c) OVER w END, 6) AS x__c FROM f WINDOW w AS (PARTITION BY trade_date)""")
 def q_zscore(spark, d):
-    filled = features.median_fill(bars(spark, d).withColumn("c", _HOLES), ["c"], ("trade_date",))
+    filled = features.median_fill(bars(spark, d).withColumn("c", _holes()), ["c"], ("trade_date",))
     return features.zscore(filled, ["c"], ("trade_date",)).select("ts_code", "trade_date", r("x__c").alias("x__c"))
 
 
