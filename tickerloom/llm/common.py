@@ -61,22 +61,27 @@ def batches(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-def add_sketches(df: DataFrame, dtype: str = "int64") -> DataFrame:
+def add_sketches(df: DataFrame, dtype: str = "int64", sum_dtype: str | None = None) -> DataFrame:
     """Sum equally long count vectors by ``slice``: first within groups of tasks, then over them.
 
-    ``df`` has slice int, part int and counts binary, one row for each slice and task.
+    ``df`` has slice int, part int and counts binary, one row for each slice and task, of numbers of
+    ``dtype``; sums are of ``sum_dtype``.
     """
+    sums = sum_dtype or dtype
 
-    def total(key, table):
-        acc = None
-        for x in table.column("counts").to_pylist():
-            v = np.frombuffer(x, dtype)
-            acc = v.copy() if acc is None else acc + v
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([acc.tobytes()], pa.binary())})
+    def add(own: str):
+        def total(key, table):
+            acc = None
+            for x in table.column("counts").to_pylist():
+                v = np.frombuffer(x, own).astype(sums)
+                acc = v if acc is None else acc + v
+            return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([acc.tobytes()], pa.binary())})
+
+        return total
 
     schema = "slice int, part int, counts binary"
-    near = df.withColumn("part", (F.col("part") % F.lit(4)).cast("int")).groupBy("slice", "part").applyInArrow(total, schema)
-    return near.withColumn("part", F.lit(0)).groupBy("slice", "part").applyInArrow(total, schema).select("slice", "counts")
+    near = df.withColumn("part", (F.col("part") % F.lit(4)).cast("int")).groupBy("slice", "part").applyInArrow(add(dtype), schema)
+    return near.withColumn("part", F.lit(0)).groupBy("slice", "part").applyInArrow(add(sums), schema).select("slice", "counts")
 
 
 def cut_sketch(counts: np.ndarray, slices: int, part: int) -> dict[str, list]:

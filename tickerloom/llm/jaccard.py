@@ -1,29 +1,26 @@
 """N-gram Jaccard join with a prefix tree, and the components of its links.
 
-A document's set is its distinct word n-grams, as 64-bit hashes of word hashes, in
-one global order: n-grams outside the *zone* and light ones inside it by hash, then
-the zone's heavy ones. Heavy are the buckets of hashed counts over all documents
-that stand far above the mean, so passages that many documents share come last.
-
-1. ``signed``: one pass over the texts gives each row its set's size, a 128-bit
-   name of the set, a small min-hash sketch, and the n-grams its prefix can hold.
-   Rows with equal sets are one *class* from here on.
-2. ``stars``: classes whose sketches agree choose a centre. A verified similarity
-   makes them links, and members know their distance to the centre.
-3. ``centre_pairs``: two sets can only be linked if their prefixes share n-grams,
-   a fortieth of the smaller set's size and one, and they lie in the shorter
-   prefix that the smaller of the two needs. Prefix n-grams are mapped to centres *before* they are grouped, and
-   equal ones meet in map-side aggregation. Centres that links already connect
-   are never paired: n-grams of one component alone go first.
-4. ``cross_links``: centres that share enough n-grams are compared. As Jaccard distance is
-   a metric, members a and b of unlinked centres can be linked only if
-   dist(a) + dist(b) >= dist(centres) - (1 - t): only those pairs are compared.
-   One link between two stars is enough for the components, and none is lost.
-5. ``verify``: all comparisons run in the prefix tree: the partner sets of one probe
+A document's set is its distinct word n-grams, as 64-bit hashes of word hashes, in one
+global order: light n-grams by hash, then heavy ones by hash. Heavy are the buckets of
+hashed counts over all documents that stand far above the mean, so what many documents
+share comes last.
+
+1. ``heavy_buckets``: one pass over the texts adds up hashed counts.
+2. ``signed``: a second pass gives each row its set's size, a 128-bit name of the set, a
+   min-hash sketch, and the n-grams by which it can meet partners (``Meeting``). Rows
+   with equal sets are one *class* from here on.
+3. ``areas``: classes whose sketches agree choose a hub, the one with the fewest light
+   n-grams, and learn how they differ from it. Hub and class may be linked at once.
+   Two classes x, y around a hub differ by what one of dx, dy has alone, so
+   |x ^ y| = |dx| + |dy| - 2 |dx & dy|: pairs of which at least one isn't linked to the
+   hub must share differences, and are found by a prefix of them, rare ones first.
+4. ``meetings``: classes of different areas that share enough of their n-grams of step 2
+   are compared.
+5. ``verify``: comparisons of sets run in the prefix tree: the partner sets of one probe
    are stored in order, shared beginnings once; a walk carries partial overlaps down
    the tree and drops a subtree as soon as the overlap plus what remains of either
    set can't reach the least overlap.
-6. ``components``: labels of the least id spread over the links between stars.
+6. ``components``: labels of the least id spread over the links.
 
 Defined results: null and wordless texts have size 0, no links and their own id as
 component; shorter texts are one n-gram, their whole word sequence; rows with equal
@@ -33,6 +30,7 @@ null; extra columns are ignored by ``join`` and kept by ``one_of_each``.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -45,11 +43,15 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, words_of, written
 
-#: Share of the hash space in which n-grams are counted; buckets and slices of the counts.
-ZONE = 0.22
+#: Buckets and slices of the hashed counts.
 BUCKETS, SLICES = 1 << 20, 16
-#: Sketch: values, and bands of values that must agree to suggest a centre.
-SKETCH, BANDS = 16, 4
+#: Sketch: values, bands of values that must agree to suggest a hub, and values that must agree then.
+SKETCH, BANDS, AGREE = 16, 4, 6
+#: N-grams of lowest hash that a set looks at, shared ones that a pair must show, and the
+#: probability that a linked pair shows fewer (that of two n-grams' hashes being equal is 5e-20 a pair).
+LOWEST, NEED, MISS = 64, 4, 1e-15
+#: Least similarity to its hub at which a class keeps its differences.
+AROUND = 0.3
 #: Up to so many ids are broadcast (about 100 MB); beyond, the same join shuffles.
 SMALL = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -102,9 +104,34 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1 + n // SHARED
 
 
-def index_length(n: int, num: int, den: int) -> int:
-    """The same for a partner that is no smaller: the two then share 2 num / (den + num) of this set."""
-    return n - -(-2 * n * num // (den + num)) + 1 + n // SHARED
+class Meeting:
+    """The n-grams by which a set meets its partners, and how many of them a pair must share.
+
+    Among the m lowest hashes of a linked pair's union, each lies outside the intersection with a
+    probability of at most 1 - num / den, whatever the texts are. A set whose m lowest hashes have so
+    many light n-grams that all but ``NEED - 1`` of them lie outside with a probability below
+    ``MISS`` alone needs no others; the smallest such m will do. Any other set gives its exact prefix
+    in the global order, and all light n-grams among its ``LOWEST`` lowest, for partners of the first kind.
+    """
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den, out = num, den, 1 - num / den
+        self.enough = np.full(LOWEST + 1, LOWEST + NEED)
+        for m in range(1, LOWEST + 1):
+            tail = 0.0
+            for k in range(m, -1, -1):
+                tail += math.comb(m, k) * out**k * (1 - out) ** (m - k)
+                if tail > MISS:
+                    break
+                self.enough[m] = k + NEED - 1
+
+    def of(self, h: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, int]:
+        low, light = h[:LOWEST], ~heavy[:LOWEST]
+        good = np.flatnonzero(np.cumsum(light) >= self.enough[1 : len(low) + 1])
+        if len(good):
+            return low[: good[0] + 1][light[: good[0] + 1]], NEED
+        first = np.concatenate([h[~heavy], h[heavy]])[: prefix_length(len(h), self.num, self.den)]
+        return np.unique(np.concatenate([first, low[light]])), 1 + len(h) // SHARED
 
 
 class PrefixTree:
@@ -149,216 +176,208 @@ class PrefixTree:
         return out
 
 
-def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, size, sid (name of the set; null if empty), sketch, zone, tail: n-grams by hash."""
-    limit = np.uint64(int(ZONE * 2**64))
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h * _MULT[0] >> np.uint64(44)).astype(np.int64)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(n), set()
-        for part in parts:
-            size, sid, sketch, zone, tail = [], [], [], [], []
-            for text in bytes_of(part.column("text")):
-                h = shingler.hashes(text)
-                size.append(len(h))
-                if not len(h):
-                    sid.append(None)
-                    sketch.append(None)
-                    zone.append(None)
-                    tail.append(None)
-                    continue
-                sid.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
-                new = sid[-1] not in seen
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(sid[-1])
-                if not new:  # this task has given the class's n-grams already
-                    sketch.append(None)
-                    zone.append(None)
-                    tail.append(None)
-                    continue
-                sketch.append(np.array([(h * s >> np.uint64(34)).min() for s in _SALT], np.int32))
-                cut = int(np.searchsorted(h, limit))
-                zone.append(h[:cut].view(np.int64))
-                tail.append(h[cut : cut + prefix_length(len(h), num, den)].view(np.int64))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sid, pa.binary()), pa.array(sketch, pa.list_(pa.int32())), pa.array(zone, longs), pa.array(tail, longs)],
-                names=["doc_id", "size", "sid", "sketch", "zone", "tail"],
-            )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, sid binary, sketch array<int>, zone array<long>, tail array<long>")
+class _Once:
+    """True for a name that a task hasn't met lately; bounded."""
 
+    def __init__(self) -> None:
+        self.seen: set[bytes] = set()
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) * _MULT[0] >> np.uint64(44)).astype(np.int64)
+    def __call__(self, name: bytes) -> bool:
+        if name in self.seen:
+            return False
+        if len(self.seen) > 200_000:
+            self.seen.clear()
+        self.seen.add(name)
+        return True
 
 
-def heavy_buckets(rows: DataFrame) -> np.ndarray:
+def heavy_buckets(docs: DataFrame, n: int) -> np.ndarray:
     """Buckets whose count stands five deviations and 2 above the mean; a vector of fixed size."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(BUCKETS, np.int64)
+        acc, shingler, once = np.zeros(BUCKETS, np.int32), Shingler(n), _Once()
         for part in parts:
-            flat = part.column("zone").flatten().to_numpy(zero_copy_only=False)
-            if len(flat):
-                acc += np.bincount(_bucket(flat), minlength=BUCKETS)
+            for text in bytes_of(part.column("text")):
+                if text and once(hashlib.blake2b(text, digest_size=16).digest()):
+                    np.add.at(acc, _bucket(shingler.hashes(text)), 1)
         r = cut_sketch(acc, SLICES, TaskContext.get().partitionId())
         yield pa.RecordBatch.from_pydict({"slice": pa.array(r["slice"], pa.int32()), "part": pa.array(r["part"], pa.int32()), "counts": pa.array(r["counts"], pa.binary())})
 
     total, width = np.zeros(BUCKETS, np.int64), BUCKETS // SLICES
-    for r in add_sketches(rows.where(F.col("zone").isNotNull()).select("zone").mapInArrow(count, "slice int, part int, counts binary")).collect():
+    sums = add_sketches(docs.select("text").mapInArrow(count, "slice int, part int, counts binary"), "int32", "int64")
+    for r in sums.collect():
         total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     mean = total.mean()
     return total > mean + 5 * math.sqrt(mean) + 2
 
 
+def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, size, sid (name of the set; null if empty), and where a task meets a set for the first
+    time: light (share of light n-grams), sketch, grams, need."""
+    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, once, meeting = Shingler(n), _Once(), Meeting(num, den)
+        for part in parts:
+            size, sid, light, sketch, grams, need = [], [], [], [], [], []
+            for text in bytes_of(part.column("text")):
+                h = shingler.hashes(text)
+                size.append(len(h))
+                sid.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                if sid[-1] is None or not once(sid[-1]):
+                    for column in (light, sketch, grams, need):
+                        column.append(None)
+                    continue
+                marked = sent.value[_bucket(h)]
+                own, least = meeting.of(h, marked)
+                light.append(1 - float(marked.mean()))
+                sketch.append(np.array([(h * s >> np.uint64(34)).min() for s in _SALT], np.int32))
+                grams.append(own.view(np.int64))
+                need.append(least)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sid, pa.binary()), pa.array(light, pa.float64()), pa.array(sketch, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64())), pa.array(need, pa.int64())],
+                names=["doc_id", "size", "sid", "light", "sketch", "grams", "need"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, sid binary, light double, sketch array<int>, grams array<long>, need long")
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Marked for broadcast behind a count of its rows."""
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """sid, members (sorted hashes, binary) of the wanted classes; ``wanted``: sid, doc_id of one row.
-
-    A class may come more than once, where ids do.
-    """
+def text_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid, text of the wanted classes; ``wanted``: sid, doc_id of one row. Rows of equal ids may differ,
+    so a class may come with several texts, of which ``sets_of`` takes the right ones."""
+    w = _small(wanted.select("sid", F.col("doc_id").alias("of")))
+    return docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("of"))).select("sid", F.col("text").cast("binary").alias("text"))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
-        for part in parts:
-            sids, members = [], []
-            for sid, text in zip(part.column("sid").to_pylist(), bytes_of(part.column("text"))):
-                h = shingler.hashes(text).tobytes()
-                if hashlib.blake2b(h, digest_size=16).digest() == sid:  # rows of equal ids may differ
-                    sids.append(sid)
-                    members.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(members, pa.binary())], names=["sid", "members"])
 
-    w = _small(wanted.select("sid", F.col("doc_id").alias("of")))
-    rows = docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("of")))
-    return rows.select("sid", "text").mapInArrow(run, "sid binary, members binary")
+def sets_of(shingler: Shingler, names: list[bytes], texts: pa.Array) -> list[np.ndarray | None]:
+    """The sets of texts; None where the text isn't one of the named class. Equal neighbours are done once."""
+    out: list[np.ndarray | None] = []
+    last: tuple = (None, None, None)
+    for name, text in zip(names, texts.to_pylist()):
+        if (name, text) != last[:2]:
+            h = shingler.hashes(text)
+            last = (name, text, h if hashlib.blake2b(h.tobytes(), digest_size=16).digest() == name else None)
+        out.append(last[2])
+    return out
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b -> a, b, overlap, size_a, size_b, linked. Each probe's partners go through a prefix tree."""
+def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """a, b -> the linked ones among them. Each probe's partners go through a prefix tree."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
         for part in parts:
-            by_probe: dict[bytes, list[int]] = {}
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+            of_a, of_b = sets_of(shingler, a, part.column("of_a")), sets_of(shingler, b, part.column("of_b"))
+            by_probe: dict[bytes, list[int]] = {}
             for i, x in enumerate(a):
-                by_probe.setdefault(x, []).append(i)
-            of_a, of_b = part.column("of_a"), part.column("of_b")
-            over, na, nb = [0] * len(a), [0] * len(a), [0] * len(a)
+                if of_a[i] is not None and of_b[i] is not None:
+                    by_probe.setdefault(x, []).append(i)
+            linked = [False] * len(a)
             for rows in by_probe.values():
-                probe = np.frombuffer(of_a[rows[0]].as_py(), np.uint64)
-                sets_ = [np.frombuffer(of_b[i].as_py(), np.uint64) for i in rows]
-                for i, s, o in zip(rows, sets_, PrefixTree(sets_).overlaps(probe, num, den)):
-                    over[i], na[i], nb[i] = o, len(probe), len(s)
-            linked = [o >= 0 for o in over]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(over, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(linked)], names=["a", "b", "overlap", "size_a", "size_b", "linked"])
+                for i, o in zip(rows, PrefixTree([of_b[i] for i in rows]).overlaps(of_a[rows[0]], num, den)):
+                    linked[i] = o >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    first = sets.select(F.col("sid").alias("a"), F.col("members").alias("of_a"))
-    second = sets.select(F.col("sid").alias("b"), F.col("members").alias("of_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary, overlap long, size_a long, size_b long, linked boolean")
+    first = texts.select(F.col("sid").alias("a"), F.col("text").alias("of_a"))
+    second = texts.select(F.col("sid").alias("b"), F.col("text").alias("of_b"))
+    return pairs.join(second, "b").join(first, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
 
 
 def suggested(classes: DataFrame) -> DataFrame:
-    """sid, centre: the least class of those that agree with it in a band and in half of the sketch."""
+    """sid, hub: of the classes that agree with it in a band and in ``AGREE`` values of the sketch, the
+    one with the least share of light n-grams; a hub's own hub takes its place."""
     width = SKETCH // BANDS
     bands = F.array(*[F.xxhash64(F.lit(k), *[F.col("sketch")[k * width + j] for j in range(width)]) for k in range(BANDS)])
-    rows = classes.select("sid", "sketch", F.explode(bands).alias("band"))
-    heads = rows.groupBy("band").agg(F.min(F.struct("sid", "sketch")).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
+    rows = classes.select("sid", "sketch", "light", F.explode(bands).alias("band"))
+    heads = rows.groupBy("band").agg(F.min(F.struct("light", "sid", "sketch")).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
     same = F.aggregate(F.zip_with("sketch", F.col("head.sketch"), lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    near = rows.join(heads, "band").where((same >= SKETCH // 2) & (F.col("sid") > F.col("head.sid")))
-    return near.groupBy("sid").agg(F.min("head.sid").alias("centre"))
-
-
-def stars(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Members of stars (sid, centre, dist) and all verified links (a, b). A centre is no member."""
-    first = written(suggested(classes), "jaccard-suggested")
-    over = first.select(F.col("sid").alias("centre"), F.col("centre").alias("above"))
-    chosen = first.join(over, "centre", "left").select("sid", F.coalesce("above", "centre").alias("centre"))
-    both = written(chosen.unionByName(first).distinct().select(F.col("centre").alias("a"), F.col("sid").alias("b")), "jaccard-star-pairs")
-    ids = both.select(F.col("a").alias("sid")).union(both.select("b")).distinct()
-    sets = written(set_table(docs, classes.join(ids, "sid", "left_semi").select("sid", "doc_id"), n), "jaccard-star-sets")
-    links = written(verify(both, sets, num, den).where("linked"), "jaccard-star-links")
-    dist = 1 - F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    best = links.select(F.col("b").alias("sid"), F.col("a").alias("centre"), dist.alias("dist")).groupBy("sid").agg(F.min(F.struct("centre", "dist")).alias("m")).select("sid", "m.centre", "m.dist")
-    members = best.join(best.select(F.col("sid").alias("centre")), "centre", "left_anti").select("sid", "centre", "dist")
-    return written(members, "jaccard-members"), links.select("a", "b")
-
-
-def prefixes(classes: DataFrame, heavy: np.ndarray, num: int, den: int) -> DataFrame:
-    """centre, root, size, near, grams: the first n-grams of each class in the global order; the first
-    ``near`` of them are enough to meet sets that are no smaller."""
-    sent = classes.sparkSession.sparkContext.broadcast(heavy)
+    near = rows.join(heads, "band").where((same >= AGREE) & (F.col("sid") != F.col("head.sid")))
+    first = written(near.groupBy("sid").agg(F.min(F.struct("head.light", "head.sid")).alias("m")).select("sid", F.col("m.sid").alias("hub")), "jaccard-suggested")
+    over = first.select(F.col("sid").alias("hub"), F.col("hub").alias("above"))
+    return first.join(over, "hub", "left").select("sid", F.coalesce("above", "hub").alias("hub")).where("sid <> hub")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            out, near = [], [index_length(n, num, den) for n in part.column("size").to_pylist()]
-            for size, zone, tail in zip(part.column("size").to_pylist(), part.column("zone"), part.column("tail")):
-                z, t = zone.values.to_numpy(), tail.values.to_numpy()
-                marked = sent.value[_bucket(z)] if len(z) else np.zeros(0, bool)
-                out.append(np.concatenate([z[~marked], t, z[marked]])[: prefix_length(size, num, den)])
-            yield pa.RecordBatch.from_arrays([part.column("centre"), part.column("root"), part.column("size"), pa.array(near, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["centre", "root", "size", "near", "grams"])
 
-    return classes.select("centre", "root", "size", "zone", "tail").mapInArrow(run, "centre binary, root binary, size long, near long, grams array<long>")
+def differences(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """sid, hub -> with linked, size, added, gone: what the class has beside its hub, and lacks. Only of
+    classes that are ``AROUND`` their hub."""
 
-
-def centre_pairs(rows: DataFrame) -> DataFrame:
-    """a < b, shared: centres of different components that share n-grams of their prefixes, and at most
-    how many. ``rows``: centre, root (name of the component known so far), grams.
-
-    N-grams are grouped by numbers made of the names' first seven bytes; all centres of such a
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for part in parts:
+            names, hubs = part.column("sid").to_pylist(), part.column("hub").to_pylist()
+            rows = []
+            for sid, hub, x, c in zip(names, hubs, sets_of(shingler, names, part.column("of_sid")), sets_of(shingler, hubs, part.column("of_hub"))):
+                if x is None or c is None:
+                    continue
+                added, gone = np.setdiff1d(x, c, True), np.setdiff1d(c, x, True)
+                common, union = len(x) - len(added), len(x) + len(gone)
+                if common >= AROUND * union:
+                    rows.append((sid, hub, den * common >= num * union, len(x), added.view(np.int64), gone.view(np.int64)))
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["sid", "hub", "linked", "size", "added", "gone"])
+
+    own = texts.select("sid", F.col("text").alias("of_sid"))
+    above = texts.select(F.col("sid").alias("hub"), F.col("text").alias("of_hub"))
+    rows = pairs.join(own, "sid").join(above, "hub").select("sid", "hub", "of_sid", "of_hub")
+    return rows.mapInArrow(run, "sid binary, hub binary, linked boolean, size long, added array<long>, gone array<long>").dropDuplicates(["sid"])
+
+
+def links_around_hubs(around: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: links between classes around one hub of which at least one isn't linked to it.
+
+    With ``most`` the largest difference of a linked pair of such sizes, dx and dy of a linked pair share
+    at least (|dx| + |dy| - most) / 2. For a class that isn't linked to the hub that is at least
+    |dx| - most for any partner, and for one that is, at least |dx| / 2 where the partner isn't: so many may be
+    left out of what they meet by.
+    """
+    least = lambda a, b: F.ceil(F.lit(num) * (a + b) / F.lit(den + num))
+    n_diff = F.size("added") + F.size("gone")
+    # the largest partner's difference: its size is at most size * den / num
+    most = F.floor(F.col("size") * (den / num - 1) + 1e-9) + 1
+    out = F.when(F.col("linked"), F.ceil(n_diff / 2)).otherwise(F.greatest(n_diff - most, F.lit(1)))
+    rows = around.withColumn("diff", F.concat("added", "gone")).withColumn("n_diff", n_diff).withColumn("meet", F.slice("diff", 1, F.greatest(n_diff - out + 1, F.lit(0)).cast("int")))
+    each = rows.select("hub", "sid", "size", "n_diff", "linked", F.explode("meet").alias("gram"))
+    side = lambda x: each.select("hub", "gram", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "n_diff", "linked")])
+    both = side("x").where("not linked_x").join(side("y"), ["hub", "gram"]).where("(linked_y and sid_x <> sid_y) or (not linked_y and sid_x < sid_y)")
+    both = both.where((least(F.col("size_x"), F.col("size_y")) <= F.least("size_x", "size_y")))
+    need = F.col("n_diff_x") + F.col("n_diff_y") + 2 * least(F.col("size_x"), F.col("size_y")) - F.col("size_x") - F.col("size_y")  # twice the least overlap
+    open_ = both.where(need <= 2 * F.least("n_diff_x", "n_diff_y")).withColumn("need", need).groupBy(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).agg(F.first("need").alias("need"))
+    diffs = lambda x: rows.select(F.col("sid").alias(x), F.col("diff").alias(f"diff_{x}"))
+    found = written(open_, "jaccard-near-pairs").join(diffs("a"), "a").join(diffs("b"), "b")
+    return found.where(2 * F.size(F.array_intersect("diff_a", "diff_b")) >= F.col("need")).select("a", "b")
+
+
+def meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a < b: classes of different areas that share as many of their n-grams as linked ones do.
+    ``rows``: sid, area (a class's name), size, need, grams.
+
+    N-grams are grouped by numbers made of the names' first seven bytes; all classes of such a
     number come back in the last join.
     """
     number = lambda c: F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
-    shared = rows.select(number("centre").alias("node"), number("root").alias("root"), "size", "near", F.posexplode("grams").alias("at", "gram"))
-    shared = shared.select("node", "root", "size", (F.col("at") < F.col("near")).alias("near"), "gram")
-    split = shared.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("near").alias("near")).where("low <> high and near").select("gram")
-    met = shared.join(_small(written(split, "jaccard-shared")), "gram", "left_semi")
-    met = written(met.groupBy("gram", "node", "root").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max("near").alias("near")), "jaccard-met")
-    side = lambda x: met.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "least", "most", "near")])
-    both = side("x").where("near_x").join(side("y"), "gram").where("root_x <> root_y and least_x <= most_y")
-    once = both.where("node_x < node_y or not (near_y and least_y <= most_x)")
-    nodes = once.groupBy(F.least("node_x", "node_y").alias("low"), F.greatest("node_x", "node_y").alias("high")).agg(F.count("*").alias("shared"))
-    names = rows.select("centre", number("centre").alias("node")).distinct()
-    a, b = names.select(F.col("centre").alias("a"), F.col("node").alias("low")), names.select(F.col("centre").alias("b"), F.col("node").alias("high"))
-    return nodes.join(a, "low").join(b, "high").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
-
-
-def cross_links(docs: DataFrame, classes: DataFrame, members: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """a, b: for each pair of centres, one of the links between their stars, if there is any."""
-    sizes = classes.select("sid", "size", "doc_id")
-    spread = members.join(sizes, "sid").groupBy("centre").agg(F.max("dist").alias("wide"), F.min("size").alias("low")).select(F.col("centre").alias("c"), "wide", "low")
-    room = 1 - num / den
-    side = lambda name: sizes.select(F.col("sid").alias(name), F.col("size").alias(f"size_{name}"))
-    wide = lambda name: spread.select(F.col("c").alias(name), F.col("wide").alias(f"wide_{name}"), F.col("low").alias(f"low_{name}"))
-    p = pairs.join(side("a"), "a").join(side("b"), "b").join(wide("a"), "a", "left").join(wide("b"), "b", "left").fillna(0.0, ["wide_a", "wide_b"])
-    # the sizes of two sets bound their distance from below
-    apart = 1 - F.least("size_a", "size_b") / F.greatest("size_a", "size_b")
-    enough = F.least(*[1 + F.floor(F.least(f"size_{x}", F.coalesce(f"low_{x}", f"size_{x}")) / SHARED) for x in "ab"])
-    p = written(p.where(F.col("shared") >= enough).where(apart <= room + F.col("wide_a") + F.col("wide_b") + 1e-9), "jaccard-pairs")
-    ids = p.select(F.col("a").alias("sid")).union(p.select("b")).distinct()
-    sets = written(set_table(docs, sizes.join(ids, "sid", "left_semi"), n), "jaccard-pair-sets")
-    # beside a wide star the centres' distance counts: there, any overlap of a hundredth is asked for
-    checked = written(verify(p.where("wide_a = 0 and wide_b = 0").select("a", "b"), sets, num, den).select("a", "b", "linked", F.lit(1.0).alias("far")), "jaccard-checked")
-    starred = p.where("wide_a > 0 or wide_b > 0")
-    dist = 1 - F.greatest("overlap", F.lit(0)) / (F.col("size_a") + F.col("size_b") - F.greatest("overlap", F.lit(0)))
-    measured = verify(starred.select("a", "b"), sets, 1, 100).select("a", "b", dist.alias("far"), (F.lit(den) * F.col("overlap") >= F.lit(num) * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("linked"))
-    measured = written(measured.join(starred.select("a", "b", "wide_a", "wide_b"), ["a", "b"]), "jaccard-measured")
-    open_ = measured.where(~F.col("linked") & (F.col("far") <= room + F.col("wide_a") + F.col("wide_b") + 1e-9))
-    whole = members.select("sid", "centre", "dist").unionByName(members.select(F.col("centre").alias("sid"), "centre", F.lit(0.0).alias("dist")).distinct())
-    own = lambda name: whole.select(F.col("centre").alias(name), F.col("sid").alias(f"m_{name}"), F.col("dist").alias(f"d_{name}"))
-    each = open_.join(own("a"), "a", "left").join(own("b"), "b", "left")
-    each = each.withColumns({f"m_{x}": F.coalesce(f"m_{x}", x) for x in "ab"} | {f"d_{x}": F.coalesce(f"d_{x}", F.lit(0.0)) for x in "ab"})
-    each = each.where((F.col("d_a") + F.col("d_b") + 1e-9 >= F.col("far") - room) & (F.col("d_a") + F.col("d_b") > 0)).select(F.col("m_a").alias("a"), F.col("m_b").alias("b"))
-    each = written(each, "jaccard-member-pairs")
-    ids = each.select(F.col("a").alias("sid")).union(each.select("b")).distinct()
-    more = written(set_table(docs, sizes.join(ids, "sid", "left_semi"), n), "jaccard-member-sets")
-    return checked.where("linked").select("a", "b").union(measured.where("linked").select("a", "b")).union(verify(each, more, num, den).where("linked").select("a", "b"))
+    shared = rows.select(number("sid").alias("node"), number("area").alias("area"), "size", "need", F.explode("grams").alias("gram"))
+    split = shared.groupBy("gram").agg(F.min("area").alias("low"), F.max("area").alias("high")).where("low <> high").select("gram")
+    met = written(shared.join(_small(written(split, "jaccard-shared")), "gram", "left_semi").distinct(), "jaccard-met")
+    side = lambda x: met.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "area", "size", "need")])
+    both = side("x").join(side("y"), "gram").where("area_x <> area_y and node_x < node_y")
+    both = both.where((F.col("size_x") * den >= F.col("size_y") * num) & (F.col("size_y") * den >= F.col("size_x") * num))
+    nodes = both.groupBy("node_x", "node_y").agg(F.count("*").alias("n"), F.min(F.least("need_x", "need_y")).alias("need")).where("n >= need")
+    nodes = written(nodes.select(F.col("node_x").alias("low"), F.col("node_y").alias("high")), "jaccard-nodes")
+    names = rows.select("sid", number("sid").alias("node"))
+    a, b = names.select(F.col("sid").alias("x"), F.col("node").alias("low")), names.select(F.col("sid").alias("y"), F.col("node").alias("high"))
+    return nodes.join(a, "low").join(b, "high").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -376,24 +395,28 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def links_of(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """a, b: links between classes, enough to connect all that links connect."""
+    ids = lambda *columns: functools.reduce(DataFrame.union, [c.toDF("sid") for c in columns]).distinct()
+    texts = lambda wanted: text_table(docs, classes.join(wanted, "sid", "left_semi").select("sid", "doc_id"))
+    hubs = written(suggested(classes), "jaccard-hubs")
+    near = written(texts(ids(hubs.select("sid"), hubs.select("hub"))), "jaccard-hub-texts")
+    around = written(differences(hubs, near, n, num, den), "jaccard-around")
+    links = written(around.where("linked").select(F.col("hub").alias("a"), F.col("sid").alias("b")).union(links_around_hubs(around, num, den)), "jaccard-near-links")
+    rows = classes.select("sid", "size", "need", "grams").join(around.select("sid", "hub"), "sid", "left").withColumn("area", F.coalesce("hub", "sid"))
+    pairs = written(meetings(rows, num, den), "jaccard-pairs")
+    far = written(texts(ids(pairs.select("a"), pairs.select("b"))), "jaccard-texts")
+    return links.union(written(verify(pairs, far, n, num, den), "jaccard-links"))
+
+
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    rows = written(signed(docs, n, num, den), "jaccard-signed")
-    heavy = heavy_buckets(rows)
-    known = rows.where(F.col("sid").isNotNull())
-    names = known.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"))
-    full = known.where(F.col("zone").isNotNull())
-    classes = names.join(full.select("sid", "sketch").groupBy("sid").agg(F.min("sketch").alias("sketch")), "sid").select("sid", "size", F.col("least").alias("doc_id"), "sketch")
-    classes = written(classes, "jaccard-classes")
-    members, star_links = stars(docs, classes, n, num, den)
-    centre = F.coalesce("centre", "sid")
-    known_roots = components(star_links)
-    grams = full.select("sid", "size", "zone", "tail").join(members.select("sid", "centre"), "sid", "left").withColumn("centre", centre)
-    grams = grams.join(known_roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    pairs = written(centre_pairs(written(prefixes(grams, heavy, num, den), "jaccard-prefixes")), "jaccard-centre-pairs")
-    links = star_links.unionByName(cross_links(docs, classes, members, pairs, n, num, den))
-    roots = components(links)
+    rows = written(signed(docs, heavy_buckets(docs, n), n, num, den), "jaccard-signed")
+    names = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    full = rows.where(F.col("grams").isNotNull()).select("sid", "size", "light", "sketch", "grams", "need").dropDuplicates(["sid"])
+    classes = written(names.join(full, "sid"), "jaccard-classes")
+    roots = components(links_of(docs, classes, n, num, den))
     labelled = classes.select("sid", "doc_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = labelled.join(least, "root").select("sid", "component_id")
