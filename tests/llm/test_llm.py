@@ -110,6 +110,40 @@ def test_ngram_jaccard(spark):
     assert sorted(map(tuple, got.collect())) == brute_components(rows, 4, 85, 100)
 
 
+def test_word_hashes_tell_words_apart():
+    shingler, rng = jaccard.Shingler(4), random.Random(8)
+    made = {"".join(rng.choice("abcé\x1c") for _ in range(rng.randint(1, 12))).encode() for _ in range(20000)}
+    made = {w.lower() for w in made}
+    hashes = {w: int(shingler.words(w)[0]) for w in made}
+    assert len(set(hashes.values())) == len(made)
+    text = b" ".join(rng.choice(sorted(made)) for _ in range(500)) + b"\n\tQ  Zz\x0b"
+    want = [int(shingler.words(w)[0]) for w in text.split()]
+    assert shingler.words(text).tolist() == want
+    whole, jaccard.SLICE = jaccard.SLICE, 100
+    try:
+        assert shingler.words(text).tolist() == want
+    finally:
+        jaccard.SLICE = whole
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies with a few to many edits of one text, some of them linked to each other only."""
+    rng = random.Random(21)
+    base, rows = [f"w{rng.randrange(500)}" for _ in range(120)], []
+    for k in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((2 * k, " ".join(w)))
+        if k % 10 == 0:
+            w[rng.randrange(len(w))] = "again"
+            rows.append((2 * k + 1, " ".join(w)))
+    rows += [(1000 + k, " ".join([f"p{j}" for j in range(50)] + [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([3, 40, 200]))])) for k in range(60)]
+    for n, num, den in ((4, 85, 100), (5, 80, 100)):
+        got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, num, den)
+        assert sorted(map(tuple, got.collect())) == brute_components(rows, n, num, den)
+
+
 def test_prefix_tree_overlaps():
     rng = np.random.default_rng(2)
     for _ in range(50):

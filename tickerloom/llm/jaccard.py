@@ -33,6 +33,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, words_of, written
+from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, written
 
 #: Buckets and slices of the hashed counts.
 BUCKETS, SLICES = 1 << 20, 16
@@ -63,22 +64,56 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Word hashes: a number for each byte, and the base whose powers place it. Texts come in slices of about SLICE bytes.
+_BYTE = np.array([int.from_bytes(hashlib.blake2b(bytes([c]), digest_size=8).digest(), "little") for c in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C17
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_SEPARATOR = re.compile(rb"[ \t\n\x0b\x0c\r]")
+SLICE = 1 << 20
+
+
 class Shingler:
-    """Sorted distinct n-gram hashes of texts, with a bounded cache of word hashes."""
+    """Sorted distinct n-gram hashes of texts. A word's hash is a polynomial in its bytes, modulo 2**64, taken
+    for all words at once from running sums over the text."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.words = n, {}
+        self.n, self.up, self.down = n, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) <= n:
+            size = np.full(max(n, 1 << 13) + 1, _BASE, np.uint64)
+            size[0] = 1
+            self.up = np.multiply.accumulate(size)
+            size[1:] = _BASE_INVERSE
+            self.down = np.multiply.accumulate(size)
+
+    def _words(self, text: bytes) -> np.ndarray:
+        code = np.frombuffer(text.lower(), np.uint8)
+        self._powers(len(code))
+        inside = np.zeros(len(code) + 2, bool)
+        inside[1:-1] = ~_SPACE[code]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(_BYTE[code] * self.up[: len(code)], out=sums[1:])
+        return _mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _MULT[1])
+
+    def words(self, text: bytes) -> np.ndarray:
+        found, at = [], 0
+        while len(text) - at > 2 * SLICE:
+            cut = _SEPARATOR.search(text, at + SLICE)
+            if cut is None:
+                break
+            found.append(self._words(text[at : cut.start()]))
+            at = cut.start()
+        found.append(self._words(text[at:]))
+        return found[0] if len(found) == 1 else np.concatenate(found)
 
     def hashes(self, text: bytes) -> np.ndarray:
-        words = words_of(text, True)
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.words) > 500_000:
-            self.words.clear()
-        known = self.words
-        for w in [w for w in set(words) if w not in known]:
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        h = self.words(text)
+        if not len(h):
+            return h
         n = min(self.n, len(h))
         out = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
@@ -86,6 +121,12 @@ class Shingler:
         return np.unique(out)
 
 
+def sketch_of(h: np.ndarray) -> np.ndarray:
+    """Least values of a set's hashes under fixed multipliers."""
+    blocks = [(h[at : at + 65536] * _SALT[:, None] >> np.uint64(34)).min(1) for at in range(0, len(h), 65536)]
+    return functools.reduce(np.minimum, blocks).astype(np.int32)
+
+
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
     """den * overlap >= num * union."""
     return -(-num * (a + b) // (den + num))
@@ -199,11 +240,23 @@ def heavy_buckets(docs: DataFrame, n: int) -> np.ndarray:
     """Buckets whose count stands five deviations and 2 above the mean; a vector of fixed size."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc, shingler, once = np.zeros(BUCKETS, np.int32), Shingler(n), _Once()
+        acc, shingler, once, held = np.zeros(BUCKETS, np.int32), Shingler(n), _Once(), []
+
+        def add() -> None:
+            if held:
+                np.add(acc, np.bincount(_bucket(np.concatenate(held)), minlength=BUCKETS), out=acc, casting="unsafe")
+                held.clear()
+
+        size = 0
         for part in parts:
             for text in bytes_of(part.column("text")):
                 if text and once(hashlib.blake2b(text, digest_size=16).digest()):
-                    np.add.at(acc, _bucket(shingler.hashes(text)), 1)
+                    held.append(shingler.hashes(text))
+                    size += len(held[-1])
+                    if size > 4_000_000:
+                        add()
+                        size = 0
+        add()
         r = cut_sketch(acc, SLICES, TaskContext.get().partitionId())
         yield pa.RecordBatch.from_pydict({"slice": pa.array(r["slice"], pa.int32()), "part": pa.array(r["part"], pa.int32()), "counts": pa.array(r["counts"], pa.binary())})
 
@@ -235,7 +288,7 @@ def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int) -> Da
                 marked = sent.value[_bucket(h)]
                 own, least = meeting.of(h, marked)
                 light.append(1 - float(marked.mean()))
-                sketch.append(np.array([(h * s >> np.uint64(34)).min() for s in _SALT], np.int32))
+                sketch.append(sketch_of(h))
                 grams.append(own.view(np.int64))
                 need.append(least)
             yield pa.RecordBatch.from_arrays(
