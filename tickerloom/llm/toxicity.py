@@ -8,16 +8,17 @@ probabilities like those they will get.
 
 Fitting uses a bounded, hash-picked sample of labelled documents (``positives`` and
 ``negatives`` rows, whole texts). Features are presences of word-bounded 5-grams in
-2**18 buckets, and the model keeps the ``width`` buckets that tell the labels
-apart best (difference of smoothed log rates, weighted by support). Scoring walks all
-bytes of every text.
+2**18 buckets, and the model keeps up to ``width`` buckets that speak for toxicity: those
+of some support whose rates among toxic and other texts stand five deviations apart, so
+wrong labels don't bring in chance features. Scoring walks all bytes of every text.
 
 ``labels.toxic`` is the only label of the tables; the query's earlier categories mark
 which toxic training texts use which fixed word list. A category with
 no positive example predicts 0. A document is rejected if the last category's
 probability is at least ``threshold``.
 
-Defined results: a null or empty text has no features and is never rejected;
+Defined results: a null or empty text, or one without any of the chosen features, has
+no evidence: probability 0, never rejected;
 contradictory labels count as toxic; repeated rows each get a row; without labels
 every probability is 0; extra columns are kept by the filter and ignored by the score.
 """
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import bytes_of, hash_share
 
 BITS, GRAM, FOLDS = 18, 5, 3
+#: Least support of a feature, and deviations between its rates.
+SUPPORT, DEVIATIONS = 8, 5.0
 #: Word lists that make up the earlier categories.
 NAMES = ("clown", "idiot", "loser", "moron", "scum")
 SLIGHTS = ("disgusting", "pathetic", "stupid", "trash", "worthless")
@@ -80,6 +83,8 @@ class Chain:
             return [0.0] * len(self.categories)
         own = self.place[gram_set(text)]
         own = own[own >= 0]
+        if not len(own):
+            return [0.0] * len(self.categories)
         out: list[float] = []
         for k in range(len(self.categories)):
             g = self.bias[k] + self.weights[k, own].sum() + self.links[k, :k] @ np.array(out, float)
@@ -88,10 +93,10 @@ class Chain:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
-    """Weights with the bias last; classes weigh the same in sum."""
+    """Weights with the bias last; every row weighs the same."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w, first, second = np.zeros(x.shape[1], np.float32), 0.0, 0.0
-    weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
+    weight = np.float32(1 / len(y))
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (weight * (p - y)).astype(np.float32)
@@ -110,8 +115,10 @@ def fit_chain(grams: list[np.ndarray], y: np.ndarray, categories: tuple[str, ...
         return empty
     seen = lambda rows: sum((np.bincount(g, minlength=size) for g, r in zip(grams, rows) if r), np.zeros(size))
     pos, neg = seen(last), seen(~last)
-    rate = np.log((pos + 0.5) / (last.sum() + 1)) - np.log((neg + 0.5) / ((~last).sum() + 1))
-    strength = np.abs(rate) * np.sqrt(pos / last.sum() + neg / (~last).sum()) * ((pos + neg) >= 3)
+    rate = (pos + neg) / len(grams)
+    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / last.sum() + 1 / (~last).sum()))
+    strength = (pos / last.sum() - neg / (~last).sum()) / spread
+    strength[(strength < DEVIATIONS) | (pos + neg < SUPPORT)] = 0
     chosen = np.argsort(-strength, kind="stable")[:width]
     chosen = chosen[strength[chosen] > 0]
     place = np.full(size, -1, np.int32)
