@@ -47,7 +47,7 @@ from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, written
 #: Buckets and slices of the hashed counts.
 BUCKETS, SLICES = 1 << 20, 16
 #: Sketch: values, bands of values that must agree to suggest a hub, and values that must agree then.
-SKETCH, BANDS, AGREE = 16, 4, 6
+SKETCH, BANDS, AGREE = 16, 8, 6
 #: N-grams of lowest hash that a set looks at, shared ones that a pair must show, and the
 #: probability that a linked pair shows fewer (that of two n-grams' hashes being equal is 5e-20 a pair).
 LOWEST, NEED, MISS = 64, 4, 1e-15
