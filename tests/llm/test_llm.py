@@ -202,44 +202,46 @@ def test_mix_comes_near_its_targets(spark):
     assert mixing.mix(frame(spark, TEXTS)).count() == len(TEXTS)
 
 
-def test_lm_base_and_normalisation(spark):
+def test_lm_equals_brute_force(spark):
     rng = random.Random(9)
-    texts = [" ".join(rng.choice(["a", "b", "c", "d", f"r{k}"]) for _ in range(rng.randint(0, 40))) for k in range(80)] + TEXTS
+    texts = [" ".join(rng.choice(["a", "B", "c", "d", f"r{k}"]) for _ in range(rng.randint(0, 40))) for k in range(80)] + TEXTS
     docs = frame(spark, texts).withColumn("held_out", crc_fold(F.col("doc_id"), 10) == 0)
-    got = {r["doc_id"]: r for r in lm.score(docs, share=0.01).collect()}
     held = {r["doc_id"]: r["held_out"] for r in docs.collect()}
-    tokens = {i: [x.encode() for x in words((t or "").lower())] + [lm.END] for i, t in enumerate(texts)}
+    tokens = {i: [x.encode() for x in words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [lm.END] for i, t in enumerate(texts)}
     c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    pairs = Counter(g for i, ws in tokens.items() if not held[i] for g in zip(ws, ws[1:]))
     n, v = sum(c.values()), len(c)
-    for i, ws in tokens.items():
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
-        assert abs(r["base_score"] - sum(log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) < 1e-6
+    p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    p2 = lambda h, w: (pairs[h, w] + lm.MU * p1(w)) / (c[h] + lm.MU)
+    whole, wide = lm.BLOCK, lm.RANGE
+    for lm.BLOCK, lm.RANGE in ((whole, wide), (300, 500)):
+        try:
+            got = {r["doc_id"]: r for r in lm.score(docs).collect()}
+        finally:
+            lm.BLOCK, lm.RANGE = whole, wide
+        assert len(got) == len(texts)
+        for i, ws in tokens.items():
+            r = got[i]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
+            assert abs(r["base_score"] - sum(log10(p1(w)) for w in ws)) < 1e-6
+            want = log10(p1(ws[0])) + sum(log10(p2(h, w)) for h, w in zip(ws, ws[1:]))
+            assert abs(r["score"] - want) < 1e-6
+    assert lm.score(docs.limit(0)).count() == 0
+    alone = lm.score(docs.withColumn("held_out", F.lit(True))).collect()
+    assert all(r["score"] == r["base_score"] == 0 and r["n_known"] == 0 for r in alone)
 
 
 def test_automaton_contexts_sum_to_one():
-    vocabulary = {lm.END: 0, b"a": 1, b"b": 2, b"c": 3}
-    seqs = [[1, 2, 3, 0], [1, 2, 1, 2, 0], [2, 2, 3, 0], [1, 3, 0]] * 3
-    flat = [w for s in seqs for w in s]
-    counts = np.bincount(flat, minlength=4).astype(float)
-    pack = lambda g: sum(w << lm.WORD_BITS * (len(g) - 1 - k) for k, w in enumerate(g))
-    grams = {}
-    for order in (2, 3):
-        found = Counter(pack(s[k : k + order]) for s in seqs for k in range(len(s) - order + 1))
-        kept = [(g, n) for g, n in found.items() if n >= 3]
-        grams[order] = (np.array([g for g, _ in kept]), np.array([n for _, n in kept]))
-    model = lm.build(vocabulary, counts, grams, len(flat), 4)
-    unseen = 0.1 / (len(flat) + 0.1 * 5)
-    for state in range(len(model.fail)):
-        total = 0.0
-        for w in (0, 1, 2, 3, None):
-            s, logp = state, 0.0
-            while s and (w is None or (s << lm.WORD_BITS | w) not in model.arcs):
-                logp += model.fail_logp[s]
-                s = model.fail[s]
-            p = unseen if w is None else 10 ** (model.arcs[s << lm.WORD_BITS | w][0] if s else model.word_logp[w])
-            total += 10**logp * p
-        assert abs(total - 1) < 1e-9
+    block = lm.Block()
+    block.add([b"a b c", b"a b a b", b"b b c", b"a c"] * 3, [False] * 12)
+    keys, totals = block.finish().gram_counts()
+    counts = block.word_counts()
+    model = lm.build(block, counts, keys, totals, int(counts.sum()), len(counts))
+    unseen = 0.1 / (counts.sum() + 0.1 * (len(counts) + 1))
+    assert model.next_state[0] == -1
+    for state in range(1, len(counts)):
+        seen = [model.arcs.get(state * len(counts) + w, model.fail_logp[state] + model.word_logp[w]) for w in range(len(counts))]
+        assert abs(sum(10**x for x in seen) + 10 ** model.fail_logp[state] * unseen - 1) < 1e-9
 
 
 def test_quality_learns_from_positives(spark):

@@ -1,276 +1,262 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-Training counts every token of every training text. A word or n-gram is kept as a
-state or arc if its count is at least a fixed share (``share``) of all training tokens, so at most
-1/share of each order are kept at any corpus size: that bounds what is broadcast.
-Frequent n-grams are found without loss in two passes: one adds up hashed counts
-(a bucket's count is no less than any of its n-grams'), the other counts
-exactly the n-grams of the buckets that reach the threshold. N-grams whose words
-aren't all kept can't reach it.
-
-Smoothing is interpolated absolute discounting over the add-0.1 unigram base: a
-kept n-gram's arc carries (c - d)/c(h) plus the context's left-over mass times the
-next shorter order's probability; every other token follows the failure arc, which
-carries the left-over mass, to the shorter context. Contexts' probabilities sum to 1.
-One left-to-right pass over a text carries the state and adds log-probabilities.
-
-Counts of words that aren't kept stay distributed: such tokens of a text are
-joined with the exact counts of all training tokens and added to its sums. Kept
-words never take part in that join, so it has no hot key.
+"""Language-model scoring with weighted backoff automata.
+
+The model holds every word and every bigram of all training texts, so it grows with
+the corpus and is never held in one place. Texts are dealt into blocks of about
+``BLOCK`` bytes, by input partition. Each block sends its distinct words and bigrams with
+its own training counts, packed by hash range, to the task of that range, which adds
+them up over all blocks and sends a block what it can't know: the totals that differ
+from the block's own counts. A frequent n-gram is one entry of each block, so no range
+is hot, and the number of ranges follows the corpus' size.
+
+A block then builds the part of the automaton that its texts can reach, with the totals
+over all training texts. A state is a context: a trained word, or the empty one. An
+n-gram's arc carries its smoothed log-probability; every other token follows the failure
+arc, which carries the context's left-over weight, to the empty context. Smoothing
+adds ``MU`` tokens, spread as the add-0.1 unigram base says, to each context: an n-gram
+has (c(hw) + MU p(w)) / (c(h) + MU), so a context's probabilities sum to 1. One
+left-to-right pass over a text carries the state and adds log-probabilities.
+
+Words are counted exactly. Bigrams are told apart by 63-bit hashes of their words;
+two that collide share a count, at a probability of 2**-63 for a pair.
 
 Defined results: a null text is empty: its end token alone; a null id is in
 training; repeated rows count and are scored once each; with no training rows N is
-0 and V is 0, so each token has probability 1; extra columns are ignored.
+0 and V is 0, so each token has probability 1; extra columns are ignored; no rows
+give no rows. The input's partitions must be the same each time they are read, as those of
+files and checkpoints are; if a block reads differently the second time, the job fails.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, words_of, written
+from tickerloom.llm.common import bytes_of, words_of, written
 
-#: Share of all training tokens that a kept word or n-gram makes up, at least.
-SHARE = 4e-6
-#: Hashed counts are kept in so many buckets, sent in so many slices.
-BUCKETS, SLICES = 1 << 20, 16
-#: Bits of a kept word's number; the end token is number 0.
-WORD_BITS = 18
-DISCOUNT, ADD = 0.75, 0.1
+#: Bytes of text of a block, and of the corpus for each hash range.
+BLOCK, RANGE = 16 << 20, 4 << 20
+MU, ADD = 4.0, 0.1
 END = b""  # no word is empty
+#: Texts that are cut into words together.
+TEXTS = 512
+
+
+@dataclass
+class Block:
+    """Numbered tokens of some texts: ``words`` numbers them, the end token is 0."""
+
+    words: dict[bytes, int] = field(default_factory=lambda: {END: 0})
+    parts: list[np.ndarray] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
+    trained: list[bool] = field(default_factory=list)
+
+    def add(self, texts: list[bytes], held_out: list[bool]) -> None:
+        give, words = self.words.setdefault, self.words
+        for at in range(0, len(texts), TEXTS):
+            rows = [words_of(t, True) for t in texts[at : at + TEXTS]]
+            sizes = [len(r) + 1 for r in rows]
+            self.parts.append(np.fromiter((give(w, len(words)) for r in rows for w in (*r, END)), np.int64, sum(sizes)))
+            self.sizes += sizes
+        self.trained += [not h for h in held_out]
+
+    def finish(self) -> Block:
+        self.tokens = np.concatenate([np.zeros(0, np.int64), *self.parts])
+        self.parts = []
+        sizes = np.array(self.sizes, np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        self.train = np.repeat(np.array(self.trained, bool), sizes)
+        inner = np.ones(len(self.tokens), bool)
+        inner[self.starts] = False
+        self.at = np.flatnonzero(inner)  # tokens that have one before them
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+        key = hashes[self.tokens[self.at - 1]] * np.uint64(0x9E3779B97F4A7C15) + (hashes[self.tokens[self.at]] >> np.uint64(1))
+        key ^= key >> np.uint64(32)
+        key *= np.uint64(0xD6E8FEB86659FD93)
+        self.keys = (key ^ (key >> np.uint64(32))) & ~np.uint64(1)  # the last bit is free
+        return self
+
+    def word_counts(self) -> np.ndarray:
+        return np.bincount(self.tokens[self.train], minlength=len(self.words))
+
+    def gram_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and how often each occurs in training texts."""
+        marked = np.sort(self.keys | self.train[self.at].astype(np.uint64))
+        key = marked & ~np.uint64(1)
+        if not len(key):
+            return key, np.zeros(0, np.int64)
+        first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        return key[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
 
 
 @dataclass
 class Automaton:
-    """States are numbers; state 0 is the empty context."""
+    """States are token numbers, and -1 is the empty context."""
 
-    words: dict[bytes, int]
-    word_logp: list[float]  # of kept words
-    word_state: list[int]
-    arcs: dict[int, tuple[float, int]]  # (state << WORD_BITS | word) -> log10 probability, next state
-    fail: list[int]
+    word_logp: list[float]
+    next_state: list[int]
     fail_logp: list[float]
-
-    def walk(self, words: list[bytes]) -> tuple[float, float, list[bytes]]:
-        """log10 of the kept tokens in the model and in the base, and the words that aren't kept,
-        whose base log10 is to be added to both."""
-        number, arcs, fail, fail_logp, word_logp, word_state = self.words.get, self.arcs.get, self.fail, self.fail_logp, self.word_logp, self.word_state
-        state, total, base, rest = 0, 0.0, 0.0, []
-        for word in (*words, END):
-            w = number(word)
-            if w is None:
-                while state:
-                    total += fail_logp[state]
-                    state = fail[state]
-                rest.append(word)
-                continue
-            base += word_logp[w]
-            while state:
-                arc = arcs(state << WORD_BITS | w)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += fail_logp[state]
-                state = fail[state]
+    arcs: dict[int, float]  # state * number of words + word -> log10 probability
+
+    def walk(self, tokens: list[int]) -> float:
+        word_logp, next_state, fail_logp, arcs, width = self.word_logp, self.next_state, self.fail_logp, self.arcs.get, len(self.word_logp)
+        state, total = -1, 0.0
+        for w in tokens:
+            if state >= 0:
+                arc = arcs(state * width + w)
+                total += fail_logp[state] + word_logp[w] if arc is None else arc
             else:
                 total += word_logp[w]
-                state = word_state[w]
-        return total, base, rest
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """token, n: exact counts over ``docs`` (text), the end token as an empty one."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out():
-            keys = list(held)
-            for at in range(0, len(keys), 100_000):
-                some = keys[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([held[k] for k in some], pa.int64())], names=["token", "n"])
-
-        for part in parts:
-            texts = bytes_of(part.column("text"))
-            held[END] += len(texts)
-            for text in texts:
-                held.update(words_of(text, True))
-                if len(held) > 1_000_000:
-                    yield from out()
-                    held.clear()
-        yield from out()
-
-    return docs.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def _numbered(texts: list[bytes], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all texts' tokens in a row, -1 for others, and each token's place from the text's start."""
-    rows = [words_of(t, True) for t in texts]
-    size = np.array([len(r) + 1 for r in rows], np.int64)
-    get = words.get
-    flat = np.fromiter((get(w, -1) for r in rows for w in (*r, END)), np.int64, int(size.sum()))
-    return flat, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-
-
-def _grams(texts: list[bytes], words: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray]]:
-    """(order, packed numbers) of the n-grams of kept words, in blocks of texts."""
-    for at in range(0, len(texts), 512):
-        flat, place = _numbered(texts[at : at + 512], words)
-        for order in (2, 3):
-            if len(flat) < order:
-                continue
-            good, packed = place[order - 1 :] >= order - 1, 0
-            for k in range(order):
-                part = flat[k : len(flat) - order + 1 + k]
-                good = good & (part >= 0)
-                packed = packed << WORD_BITS | part
-            yield order, packed[good]
-
-
-def _bucket(packed: np.ndarray) -> np.ndarray:
-    return (packed.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-
-
-def frequent_grams(docs: DataFrame, words: dict[bytes, int], least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """order -> (packed numbers, counts) of all bigrams and trigrams with at least ``least`` occurrences."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast(words)
-
-    def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = {2: np.zeros(BUCKETS, np.int64), 3: np.zeros(BUCKETS, np.int64)}
-        for part in parts:
-            for order, packed in _grams(bytes_of(part.column("text")), sent.value):
-                acc[order] += np.bincount(_bucket(packed), minlength=BUCKETS)
-        rows = cut_sketch(np.concatenate([acc[2], acc[3]]).astype(np.int64), 2 * SLICES, TaskContext.get().partitionId())
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(rows["slice"], pa.int32()), "part": pa.array(rows["part"], pa.int32()), "counts": pa.array(rows["counts"], pa.binary())})
-
-    sums = add_sketches(docs.select("text").mapInArrow(sketch, "slice int, part int, counts binary")).collect()
-    high = {2: np.zeros(BUCKETS, bool), 3: np.zeros(BUCKETS, bool)}
-    width = BUCKETS // SLICES
-    for r in sums:
-        at = r["slice"] % SLICES * width
-        high[2 + r["slice"] // SLICES][at : at + width] = np.frombuffer(r["counts"], np.int64) >= least
-    marks = context.broadcast(high)
-
-    def exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found: dict[int, list[np.ndarray]] = {2: [], 3: []}
-            for order, packed in _grams(bytes_of(part.column("text")), sent.value):
-                found[order].append(packed[marks.value[order][_bucket(packed)]])
-            for order, own in found.items():
-                if own:
-                    keys, n = np.unique(np.concatenate(own), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"gram_order": pa.array(np.full(len(keys), order), pa.int32()), "gram": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
-
-    table = docs.select("text").mapInArrow(exact, "gram_order int, gram long, n long").groupBy("gram_order", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    order, gram, n = (table.column(c).to_numpy() for c in ("gram_order", "gram", "n"))
-    return {k: (gram[order == k], n[order == k]) for k in (2, 3)}
-
-
-def build(words: dict[bytes, int], counts: np.ndarray, grams: dict, tokens: int, kinds: int) -> Automaton:
-    """The automaton of the kept words and n-grams; at most 1/share of each, so in one process."""
-    p1 = (counts + ADD) / (tokens + ADD * (kinds + 1))
-    low = (1 << WORD_BITS) - 1
-    two, n2 = grams[2]
-    three, n3 = grams[3]
-    c2 = dict(zip(two.tolist(), n2.tolist()))
-    mass1: dict[int, float] = {}  # what the kept bigrams of a context take
-    for g, n in c2.items():
-        mass1[g >> WORD_BITS] = mass1.get(g >> WORD_BITS, 0.0) + (n - DISCOUNT) / counts[g >> WORD_BITS]
-    mass2: dict[int, float] = {}
-    for g, n in zip(three.tolist(), n3.tolist()):
-        mass2[g >> WORD_BITS] = mass2.get(g >> WORD_BITS, 0.0) + (n - DISCOUNT) / c2[g >> WORD_BITS]
-    state = {("w", w): i + 1 for i, w in enumerate(sorted(mass1))}
-    for h in sorted(mass2):
-        state["h", h] = len(state) + 1
-    fail, fail_logp = [0] * (len(state) + 1), [0.0] * (len(state) + 1)
-    lg = lambda x: math.log10(max(x, 1e-300))
-    for (kind, key), s in state.items():
-        fail[s] = 0 if kind == "w" else state.get(("w", key & low), 0)
-        fail_logp[s] = lg(1 - (mass1 if kind == "w" else mass2)[key])
-    word_state = [state.get(("w", w), 0) for w in range(len(counts))]
-    arcs, p2 = {}, {}
-    for g, n in c2.items():
-        h, w = g >> WORD_BITS, g & low
-        p2[g] = (n - DISCOUNT) / counts[h] + (1 - mass1[h]) * p1[w]
-        arcs[state["w", h] << WORD_BITS | w] = (lg(p2[g]), state.get(("h", g), word_state[w]))
-    for g, n in zip(three.tolist(), n3.tolist()):
-        h, w = g >> WORD_BITS, g & low
-        h2 = h & low
-        shorter = p2.get(h2 << WORD_BITS | w)
-        if shorter is None:
-            shorter = (1 - mass1.get(h2, 0.0)) * p1[w]
-        p = (n - DISCOUNT) / c2[h] + (1 - mass2[h]) * shorter
-        arcs[state["h", h] << WORD_BITS | w] = (lg(p), state.get(("h", h2 << WORD_BITS | w), word_state[w]))
-    return Automaton(words, [lg(x) for x in p1], word_state, arcs, fail, fail_logp)
-
-
-def score(docs: DataFrame, share: float = SHARE) -> DataFrame:
+            state = next_state[w]
+        return total
+
+
+def build(block: Block, counts: np.ndarray, keys: np.ndarray, totals: np.ndarray, n: int, kinds: int) -> Automaton:
+    """``counts`` and ``totals``: training counts of the block's words and of its keys, over the whole corpus."""
+    p1 = (counts + ADD) / (n + ADD * (kinds + 1))
+    context = counts > 0
+    context[0] = False
+    where = np.searchsorted(keys, block.keys)
+    _, once = np.unique(where, return_index=True)
+    once = once[(totals[where[once]] > 0) if len(once) else slice(0)]
+    h, w = block.tokens[block.at[once] - 1], block.tokens[block.at[once]]
+    logp = np.log10((totals[where[once]] + MU * p1[w]) / (counts[h] + MU))
+    return Automaton(np.log10(p1).tolist(), np.where(context, np.arange(len(counts)), -1).tolist(), np.log10(MU / (counts + MU)).tolist(), dict(zip((h * len(counts) + w).tolist(), logp.tolist())))
+
+
+def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Runs of rows with their block's number, which depends on the partition's rows alone."""
+    before, task = 0, TaskContext.get().partitionId() << 32
+    for part in parts:
+        if not part.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = (before + np.cumsum(size) - size) // BLOCK
+        before += int(size.sum())
+        for at, end in zip(cuts := [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()], [*cuts[1:], len(block)]):
+            yield task + int(block[at]), part.slice(at, end - at)
+
+
+def _mark(texts: list[bytes]) -> int:
+    """A sum of checksums that doesn't depend on the texts' order."""
+    return sum(zlib.crc32(t) + 1 for t in texts)
+
+
+_SENT = pa.schema([("slot", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("gram_n", pa.binary()), ("words", pa.binary()), ("word_n", pa.binary()), ("mark", pa.int64())])
+_SENT_DDL = "slot int, block long, grams binary, gram_n binary, words binary, word_n binary, mark long"
+_TOLD_DDL = "block long, grams binary, gram_n binary, words binary, word_n binary, mark long, tokens long, kinds long"
+
+
+def _packed(block: int, held: Block, mark: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """A row for each hash range in which the block has n-grams or words. Words have no space, so spaces join them."""
+    held.finish()
+    keys, n = held.gram_counts()
+    edges = np.searchsorted(keys, np.array([(k << 64) // slots for k in range(slots)], np.uint64))
+    edges = np.append(edges, len(keys))
+    word_n, words = held.word_counts(), list(held.words)
+    slot_of = np.fromiter((zlib.crc32(w) % slots for w in words), np.int64, len(words))
+    order = np.argsort(slot_of, kind="stable")
+    cuts = np.searchsorted(slot_of[order], np.arange(slots + 1))
+    rows: list[tuple] = []
+    for k in range(slots):
+        a, b, own = edges[k], edges[k + 1], order[cuts[k] : cuts[k + 1]]
+        if a < b or len(own):
+            rows.append((k, block, keys[a:b].tobytes(), n[a:b].astype("<u4").tobytes(), b" ".join([words[i] for i in own.tolist()]) if len(own) else None, word_n[own].astype("<u4").tobytes(), None))
+    rows.append((block % slots, block, b"", b"", None, b"", mark))
+    for at in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), _SENT.types)], schema=_SENT)
+
+
+def _totals(key, table):
+    """Add up one hash range; tell each block the totals that aren't its own counts."""
+    rows = [r for r in table.to_pylist()]
+    out: list[tuple] = [(r["block"], b"", b"", None, b"", r["mark"], None, None) for r in rows if r["mark"] is not None]
+    rows = [r for r in rows if r["mark"] is None]
+    keys = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+    n = [np.frombuffer(r["gram_n"], "<u4").astype(np.int64) for r in rows]
+    distinct, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate([np.zeros(0), *n]), minlength=len(distinct)).astype(np.int64)
+    sums: dict[bytes, int] = {}
+    words = [[] if r["words"] is None else r["words"].split(b" ") for r in rows]
+    word_n = [np.frombuffer(r["word_n"], "<u4").tolist() for r in rows]
+    for some, counts in zip(words, word_n):
+        for w, c in zip(some, counts):
+            sums[w] = sums.get(w, 0) + c
+    at = 0
+    for r, k, c, some, counts in zip(rows, keys, n, words, word_n):
+        own = total[place[at : at + len(k)]]
+        at += len(k)
+        differ = own != c
+        news = [(w, sums[w]) for w, m in zip(some, counts) if sums[w] != m]
+        if differ.any() or news:
+            out.append((r["block"], k[differ].tobytes(), own[differ].tobytes(), b" ".join([w for w, _ in news]) if news else None, np.array([c for _, c in news], np.int64).tobytes(), None, None, None))
+    out.append((None, b"", b"", None, b"", None, sum(sums.values()), sum(c > 0 for c in sums.values())))
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "grams", "gram_n", "words", "word_n", "mark", "tokens", "kinds"])
+
+
+def score(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score; learns from the rows that aren't held out."""
-    train = docs.where(~F.col("held_out"))
-    counts = written(token_counts(train), "lm-tokens")
-    tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(2, math.ceil(share * tokens))
-    kept = counts.where((F.col("n") >= least) & (F.col("token") != F.lit(END))).toArrow()
-    rows = sorted(zip((-kept.column("n").to_numpy()).tolist(), kept.column("token").to_pylist()))[: (1 << WORD_BITS) - 1]
-    ends = counts.where(F.col("token") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = {END: 0} | {token: i + 1 for i, (_, token) in enumerate(rows)}
-    number = np.array([ends, *(-n for n, _ in rows)], float)
-    if not tokens:
-        model = Automaton({}, [], [], {}, [0], [0.0])
-    else:
-        model = build(words, number, frequent_grams(train, words, least), tokens, kinds)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.select("doc_id", "held_out", "text")
+    slots = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part_id, done = sent.value, TaskContext.get().partitionId(), 0
-        rare = pa.list_(pa.struct([("token", pa.binary()), ("times", pa.int64())]))
-        for part in parts:
-            n, known, base, model_score, rest = [], [], [], [], []
-            for text in bytes_of(part.column("text")):
-                tokens_ = words_of(text, True)
-                m, b, r = own.walk(tokens_)
-                n.append(len(tokens_) + 1)
-                known.append(len(tokens_) + 1 - len(r))
-                base.append(b)
-                model_score.append(m)
-                rest.append([{"token": t, "times": c} for t, c in Counter(r).items()])
-            uid = pa.array(np.arange(done, done + len(n)) + (part_id << 33), pa.int64())
-            done += len(n)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("held_out"), uid, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model_score, pa.float64()), pa.array(rest, rare)],
-                names=["doc_id", "held_out", "uid", "n_tokens", "known", "base", "model", "rest"],
-            )
-
-    walked = written(
-        docs.select("doc_id", "held_out", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, uid long, n_tokens long, known long, base double, model double, rest array<struct<token: binary, times: long>>"), "lm-walked"
-    )
-    each = walked.select("uid", F.explode("rest").alias("r")).select("uid", "r.token", "r.times")
-    rare = counts.where(F.col("n") < least) if tokens else counts
-    n = F.coalesce(F.col("n"), F.lit(0))
-    logp = F.log10((n + F.lit(ADD)) / F.lit(tokens + ADD * (kinds + 1)))
-    looked = (
-        each.join(rare, "token", "left")
-        .groupBy("uid")
-        .agg(F.sum(F.col("times") * logp).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("seen"))
-    )
-    return walked.drop("rest").join(looked, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("model") + F.coalesce("more", F.lit(0.0))).alias("score"),
+    def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, mark = None, Block(), 0
+        for number, part in _blocks(parts):
+            if block not in (None, number):
+                yield from _packed(block, held, mark, slots)
+                held, mark = Block(), 0
+            block, texts = number, bytes_of(part.column("text"))
+            held.add(texts, part.column("held_out").to_pylist())
+            mark += _mark(texts)
+        if block is not None:
+            yield from _packed(block, held, mark, slots)
+
+    def with_block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part in _blocks(parts):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, number), pa.int64()), *part.columns], names=["block", "doc_id", "held_out", "text"])
+
+    told = written(docs.mapInArrow(gather, _SENT_DDL).groupBy("slot").applyInArrow(_totals, _TOLD_DDL), "lm-totals")
+    n, kinds = told.where(F.col("block").isNull()).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+
+    def walk(left, right):
+        texts = bytes_of(left.column("text"))
+        if _mark(texts) != (pc.sum(right.column("mark")).as_py() or 0):
+            raise ValueError("the input's partitions changed between two reads")
+        block = Block()
+        block.add(texts, left.column("held_out").to_pylist())
+        del texts
+        block.finish()
+        keys, totals = block.gram_counts()
+        counts = block.word_counts()
+        for r in right.select(["grams", "gram_n", "words", "word_n"]).to_pylist():
+            totals[np.searchsorted(keys, np.frombuffer(r["grams"], np.uint64))] = np.frombuffer(r["gram_n"], np.int64)
+            if r["words"] is not None:
+                counts[[block.words[w] for w in r["words"].split(b" ")]] = np.frombuffer(r["word_n"], np.int64)
+        model = build(block, counts, keys, totals, n, kinds)
+        sizes = np.array(block.sizes, np.int64)
+        base = np.add.reduceat(np.array(model.word_logp)[block.tokens], block.starts)
+        known = np.add.reduceat((counts[block.tokens] > 0).astype(np.int64), block.starts)
+        found = [model.walk(block.tokens[a : a + s].tolist()) for a, s in zip(block.starts.tolist(), block.sizes)]
+        return pa.Table.from_arrays(
+            [left.column("doc_id"), left.column("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n), pa.int64()), pa.array(base), pa.array(found, pa.float64())],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    texts = docs.mapInArrow(with_block, f"block long, doc_id {kind}, held_out boolean, text string")
+    about = told.where(F.col("block").isNotNull()).drop("tokens", "kinds")
+    return (
+        texts.groupBy("block")
+        .cogroup(about.groupBy("block"))
+        .applyInArrow(walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
