@@ -235,12 +235,16 @@ def test_automaton_contexts_sum_to_one():
     block = lm.Block()
     block.add([b"a b c", b"a b a b", b"b b c", b"a c"] * 3, [False] * 12)
     keys, totals = block.finish().gram_counts()
+    assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
+    place, first = block.gram_places()
+    assert (keys[place] == block.keys).all() and (np.bincount(place) == totals).all()
     counts = block.word_counts()
-    model = lm.build(block, counts, keys, totals, int(counts.sum()), len(counts))
+    model = lm.build(block, first, counts, totals, int(counts.sum()), len(counts))
+    arcs = {(h, w): p for h, w, p in zip(model.source.tolist(), model.word.tolist(), model.arc_logp.tolist())}
     unseen = 0.1 / (counts.sum() + 0.1 * (len(counts) + 1))
     assert model.next_state[0] == -1
     for state in range(1, len(counts)):
-        seen = [model.arcs.get(state * len(counts) + w, model.fail_logp[state] + model.word_logp[w]) for w in range(len(counts))]
+        seen = [arcs.get((state, w), model.fail_logp[state] + model.word_logp[w]) for w in range(len(counts))]
         assert abs(sum(10**x for x in seen) + 10 ** model.fail_logp[state] * unseen - 1) < 1e-9
 
 

@@ -4,8 +4,8 @@ The model holds every word and every bigram of all training texts, so it grows w
 the corpus and is never held in one place. Texts are dealt into blocks of about
 ``BLOCK`` bytes, by input partition. Each block sends its distinct words and bigrams with
 its own training counts, packed by hash range, to the task of that range, which adds
-them up over all blocks and sends a block what it can't know: the totals that differ
-from the block's own counts. A frequent n-gram is one entry of each block, so no range
+them up over all blocks and answers with what a block can't know: how much each total exceeds
+the block's own count, in the order that they came in. A frequent n-gram is one entry of each block, so no range
 is hot, and the number of ranges follows the corpus' size.
 
 A block then builds the part of the automaton that its texts can reach, with the totals
@@ -13,8 +13,9 @@ over all training texts. A state is a context: a trained word, or the empty one.
 n-gram's arc carries its smoothed log-probability; every other token follows the failure
 arc, which carries the context's left-over weight, to the empty context. Smoothing
 adds ``MU`` tokens, spread as the add-0.1 unigram base says, to each context: an n-gram
-has (c(hw) + MU p(w)) / (c(h) + MU), so a context's probabilities sum to 1. One
-left-to-right pass over a text carries the state and adds log-probabilities.
+has (c(hw) + MU p(w)) / (c(h) + MU), so a context's probabilities sum to 1. A text is
+walked once from left to right: each token leads to its own state, so the states along all
+texts of a block are known at once, and each step takes its arc or fails to the empty context.
 
 Words are counted exactly. Bigrams are told apart by 63-bit hashes of their words;
 two that collide share a count, at a probability of 2**-63 for a pair.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import bytes_of, words_of, written
 
 #: Bytes of text of a block, and of the corpus for each hash range.
-BLOCK, RANGE = 16 << 20, 4 << 20
+BLOCK, RANGE = 8 << 20, 4 << 20
 MU, ADD = 4.0, 0.1
 END = b""  # no word is empty
 #: Texts that are cut into words together.
@@ -97,39 +98,73 @@ class Block:
         return key[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
 
 
+    def word_order(self, slots: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words by hash range and then by name, their numbers, and the ends of the ranges."""
+        names = sorted(self.words)
+        slot = np.fromiter((zlib.crc32(w) % slots for w in names), np.int64, len(names))
+        order = np.argsort(slot, kind="stable")
+        names = [names[i] for i in order.tolist()]
+        return names, np.fromiter(map(self.words.__getitem__, names), np.int64, len(names)), np.searchsorted(slot[order], np.arange(slots + 1))
+
+    def gram_places(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each two-token step among the distinct keys, and the first step of each key."""
+        order = np.argsort(self.keys)
+        key = self.keys[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        place = np.empty(len(key), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return place, order[new]
+
+
 @dataclass
 class Automaton:
-    """States are token numbers, and -1 is the empty context."""
-
-    word_logp: list[float]
-    next_state: list[int]
-    fail_logp: list[float]
-    arcs: dict[int, float]  # state * number of words + word -> log10 probability
-
-    def walk(self, tokens: list[int]) -> float:
-        word_logp, next_state, fail_logp, arcs, width = self.word_logp, self.next_state, self.fail_logp, self.arcs.get, len(self.word_logp)
-        state, total = -1, 0.0
-        for w in tokens:
-            if state >= 0:
-                arc = arcs(state * width + w)
-                total += fail_logp[state] + word_logp[w] if arc is None else arc
-            else:
-                total += word_logp[w]
-            state = next_state[w]
-        return total
-
-
-def build(block: Block, counts: np.ndarray, keys: np.ndarray, totals: np.ndarray, n: int, kinds: int) -> Automaton:
-    """``counts`` and ``totals``: training counts of the block's words and of its keys, over the whole corpus."""
+    """States are token numbers, and -1 is the empty context. Arc i leads from state ``source[i]`` by token
+    ``word[i]`` to ``next_state[word[i]]``; its log-probability is NaN if training lacks it."""
+
+    word_logp: np.ndarray
+    next_state: np.ndarray
+    fail_logp: np.ndarray
+    source: np.ndarray
+    word: np.ndarray
+    arc_logp: np.ndarray
+
+    def walk(self, block: Block, arc: np.ndarray) -> np.ndarray:
+        """log10 probability of each text; ``arc`` is that of each two-token step."""
+        logp = self.word_logp[block.tokens]
+        state, by_arc = self.next_state[block.tokens[block.at - 1]], self.arc_logp[arc]
+        failed = np.where(state >= 0, self.fail_logp[state], 0.0) + logp[block.at]
+        logp[block.at] = np.where(np.isnan(by_arc), failed, by_arc)
+        return np.add.reduceat(logp, block.starts)
+
+
+def build(block: Block, first: np.ndarray, counts: np.ndarray, totals: np.ndarray, n: int, kinds: int) -> Automaton:
+    """``counts`` and ``totals``: training counts of the block's words and of its keys, over the whole
+    corpus; ``first``: a step of each key."""
     p1 = (counts + ADD) / (n + ADD * (kinds + 1))
     context = counts > 0
     context[0] = False
-    where = np.searchsorted(keys, block.keys)
-    _, once = np.unique(where, return_index=True)
-    once = once[(totals[where[once]] > 0) if len(once) else slice(0)]
-    h, w = block.tokens[block.at[once] - 1], block.tokens[block.at[once]]
-    logp = np.log10((totals[where[once]] + MU * p1[w]) / (counts[h] + MU))
-    return Automaton(np.log10(p1).tolist(), np.where(context, np.arange(len(counts)), -1).tolist(), np.log10(MU / (counts + MU)).tolist(), dict(zip((h * len(counts) + w).tolist(), logp.tolist())))
+    source, word = block.tokens[block.at[first] - 1], block.tokens[block.at[first]]
+    arc = np.where(totals > 0, np.log10((totals + MU * p1[word]) / (counts[source] + MU)), np.nan)
+    return Automaton(np.log10(p1), np.where(context, np.arange(len(counts)), -1), np.log10(MU / (counts + MU)), source, word, arc)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """All numbers' first bytes, then all second ones, and so on: bytes that are mostly zero lie together."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
 
 
 def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -152,7 +187,7 @@ def _mark(texts: list[bytes]) -> int:
 
 _SENT = pa.schema([("slot", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("gram_n", pa.binary()), ("words", pa.binary()), ("word_n", pa.binary()), ("mark", pa.int64())])
 _SENT_DDL = "slot int, block long, grams binary, gram_n binary, words binary, word_n binary, mark long"
-_TOLD_DDL = "block long, grams binary, gram_n binary, words binary, word_n binary, mark long, tokens long, kinds long"
+_TOLD_DDL = "slot int, block long, gram_more binary, word_more binary, mark long, tokens long, kinds long"
 
 
 def _packed(block: int, held: Block, mark: int, slots: int) -> Iterator[pa.RecordBatch]:
@@ -161,46 +196,40 @@ def _packed(block: int, held: Block, mark: int, slots: int) -> Iterator[pa.Recor
     keys, n = held.gram_counts()
     edges = np.searchsorted(keys, np.array([(k << 64) // slots for k in range(slots)], np.uint64))
     edges = np.append(edges, len(keys))
-    word_n, words = held.word_counts(), list(held.words)
-    slot_of = np.fromiter((zlib.crc32(w) % slots for w in words), np.int64, len(words))
-    order = np.argsort(slot_of, kind="stable")
-    cuts = np.searchsorted(slot_of[order], np.arange(slots + 1))
+    names, number, cuts = held.word_order(slots)
+    word_n = held.word_counts()[number].astype("<u4")
     rows: list[tuple] = []
     for k in range(slots):
-        a, b, own = edges[k], edges[k + 1], order[cuts[k] : cuts[k + 1]]
-        if a < b or len(own):
-            rows.append((k, block, keys[a:b].tobytes(), n[a:b].astype("<u4").tobytes(), b" ".join([words[i] for i in own.tolist()]) if len(own) else None, word_n[own].astype("<u4").tobytes(), None))
+        a, b, c, d = edges[k], edges[k + 1], cuts[k], cuts[k + 1]
+        if a < b or c < d:
+            rows.append((k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), b" ".join(names[c:d]) if c < d else None, _pack(word_n[c:d]), None))
     rows.append((block % slots, block, b"", b"", None, b"", mark))
     for at in range(0, len(rows), 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), _SENT.types)], schema=_SENT)
 
 
 def _totals(key, table):
-    """Add up one hash range; tell each block the totals that aren't its own counts."""
-    rows = [r for r in table.to_pylist()]
-    out: list[tuple] = [(r["block"], b"", b"", None, b"", r["mark"], None, None) for r in rows if r["mark"] is not None]
+    """Add up one hash range; tell each block how much the totals exceed its own counts."""
+    rows = table.to_pylist()
+    out: list[tuple] = [(-1, r["block"], b"", b"", r["mark"], None, None) for r in rows if r["mark"] is not None]
     rows = [r for r in rows if r["mark"] is None]
-    keys = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-    n = [np.frombuffer(r["gram_n"], "<u4").astype(np.int64) for r in rows]
+    keys = [_unpack_keys(r["grams"]) for r in rows]
+    n = [_unpack(r["gram_n"], "<u4").astype(np.int64) for r in rows]
     distinct, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
     total = np.bincount(place, weights=np.concatenate([np.zeros(0), *n]), minlength=len(distinct)).astype(np.int64)
-    sums: dict[bytes, int] = {}
-    words = [[] if r["words"] is None else r["words"].split(b" ") for r in rows]
-    word_n = [np.frombuffer(r["word_n"], "<u4").tolist() for r in rows]
+    number: dict[bytes, int] = {}
+    words = [[] if r["words"] is None else [number.setdefault(w, len(number)) for w in r["words"].split(b" ")] for r in rows]
+    word_n = [_unpack(r["word_n"], "<u4").astype(np.int64) for r in rows]
+    sums = np.zeros(len(number), np.int64)
     for some, counts in zip(words, word_n):
-        for w, c in zip(some, counts):
-            sums[w] = sums.get(w, 0) + c
+        sums[some] += counts  # a row's words differ
     at = 0
     for r, k, c, some, counts in zip(rows, keys, n, words, word_n):
-        own = total[place[at : at + len(k)]]
+        out.append((r["slot"], r["block"], _pack(total[place[at : at + len(k)]] - c), _pack(sums[some] - counts), None, None, None))
         at += len(k)
-        differ = own != c
-        news = [(w, sums[w]) for w, m in zip(some, counts) if sums[w] != m]
-        if differ.any() or news:
-            out.append((r["block"], k[differ].tobytes(), own[differ].tobytes(), b" ".join([w for w, _ in news]) if news else None, np.array([c for _, c in news], np.int64).tobytes(), None, None, None))
-    out.append((None, b"", b"", None, b"", None, sum(sums.values()), sum(c > 0 for c in sums.values())))
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "grams", "gram_n", "words", "word_n", "mark", "tokens", "kinds"])
+    out.append((-1, None, b"", b"", None, int(sums.sum()), int((sums > 0).sum())))
+    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["slot", "block", "gram_more", "word_more", "mark", "tokens", "kinds"])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -237,19 +266,19 @@ def score(docs: DataFrame) -> DataFrame:
         block.add(texts, left.column("held_out").to_pylist())
         del texts
         block.finish()
-        keys, totals = block.gram_counts()
-        counts = block.word_counts()
-        for r in right.select(["grams", "gram_n", "words", "word_n"]).to_pylist():
-            totals[np.searchsorted(keys, np.frombuffer(r["grams"], np.uint64))] = np.frombuffer(r["gram_n"], np.int64)
-            if r["words"] is not None:
-                counts[[block.words[w] for w in r["words"].split(b" ")]] = np.frombuffer(r["word_n"], np.int64)
-        model = build(block, counts, keys, totals, n, kinds)
+        place, first = block.gram_places()
+        told_rows = sorted((r for r in right.select(["slot", "gram_more", "word_more"]).to_pylist() if r["slot"] >= 0), key=lambda r: r["slot"])
+        counts, (_, number, _) = block.word_counts(), block.word_order(slots)
+        counts[number] += np.concatenate([_unpack(r["word_more"], "<i8") for r in told_rows])
+        totals = np.bincount(place[block.train[block.at]], minlength=len(first))
+        totals += np.concatenate([_unpack(r["gram_more"], "<i8") for r in told_rows])
+        model = build(block, first, counts, totals, n, kinds)
         sizes = np.array(block.sizes, np.int64)
-        base = np.add.reduceat(np.array(model.word_logp)[block.tokens], block.starts)
+        base = np.add.reduceat(model.word_logp[block.tokens], block.starts)
         known = np.add.reduceat((counts[block.tokens] > 0).astype(np.int64), block.starts)
-        found = [model.walk(block.tokens[a : a + s].tolist()) for a, s in zip(block.starts.tolist(), block.sizes)]
+        found = model.walk(block, place)
         return pa.Table.from_arrays(
-            [left.column("doc_id"), left.column("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n), pa.int64()), pa.array(base), pa.array(found, pa.float64())],
+            [left.column("doc_id"), left.column("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n), pa.int64()), pa.array(base), pa.array(found)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
