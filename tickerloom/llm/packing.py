@@ -40,7 +40,8 @@ GROUP = 50_000
 #: Words whose ids a task keeps.
 CACHE = 400_000
 
-_BEFORE_SPACE = re.compile(r"[^!-~\w] |[\x00-\x1f\x7f-\xa0] ")
+#: A space at the start, or after anything else.
+_BEFORE_SPACE = re.compile(r" (?<![!-~\w] )")
 
 
 def default_tokenizer() -> str:
@@ -58,33 +59,44 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose token begins with a space
+        self.opens[[i for token, i in vocabulary.items() if token[:1] in ("\u0120", " ")]] = True
+        self.words: dict[str, bytes] = {}  # ids of a space and the word
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """In blocks of texts, so that what a block lacks is encoded in one call."""
+        """In blocks of texts, so that what a block lacks is encoded in few calls."""
         for at in range(0, len(texts), 256):
             yield from self._block(texts[at : at + 256])
 
+    def _learn(self, words: list[str]) -> None:
+        """Many words in one text: it is cut at each id that begins with a space. Where those aren't as many
+        as the words, each word is encoded alone."""
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            first = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            if len(first) == len(some):
+                data = ids.tobytes()
+                self.words.update((w, data[a:b]) for w, a, b in zip(some, first, [*first[1:], len(data)]))
+            else:
+                self.words.update(zip(some, self._ids([" " + w for w in some])))
+
     def _block(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE:
             self.words.clear()
-        cut: list[list[str] | None] = []
-        lacking: set[str] = set()
-        for text in texts:
-            if _BEFORE_SPACE.search(text) or text[:1] == " ":
-                cut.append(None)
-                continue
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]]
-            cut.append(pieces)
-            lacking.update(pieces)
-        new = sorted(w for w in lacking if w not in self.words)
-        self.words.update(zip(new, self._ids(new)))
+        cut = [None if _BEFORE_SPACE.search(text) else text.split(" ") for text in texts]
+        firsts = iter(self._ids([c.pop(0) for c in cut if c is not None]))
+        lacking = set().union(*(c for c in cut if c)).difference(self.words)
+        if "" in lacking:  # of a text that ends with a space
+            lacking.remove("")
+            self.words[""] = self._ids([" "])[0]
+        self._learn(list(lacking))
         whole = iter(self._ids([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(self.words.__getitem__, c)) for c in cut]
+        return [next(whole) if c is None else next(firsts) + b"".join(map(self.words.__getitem__, c)) for c in cut]
 
 
 _encoders: dict[str, WordEncoder] = {}
