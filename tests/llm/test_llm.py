@@ -276,7 +276,7 @@ def test_toxicity_chain(spark):
 
 
 def test_quality_rules(spark):
-    texts = [*TEXTS, " ".join(f"w{k}" for k in range(60)), "a b c d " * 40, "line\n" * 60, "x\n\nx\n y"]
+    texts = [*TEXTS, " ".join(f"w{k}" for k in range(60)), "a b c d " * 40, "line\n" * 60, "x\n\nx\n y", " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))]
     got = {r["doc_id"]: r for r in rules.judge(frame(spark, texts).select("doc_id", "text")).collect()}
     for i, t in enumerate(texts):
         w = words(t)
@@ -286,4 +286,5 @@ def test_quality_rules(spark):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered)), t
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r["kept"] or not r["base_failed"])
-    assert got[len(TEXTS)]["kept"]
+    assert not got[len(TEXTS)]["kept"]  # more digits than letters
+    assert got[len(texts) - 1]["kept"]
