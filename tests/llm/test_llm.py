@@ -275,6 +275,28 @@ def test_toxicity_chain(spark):
     assert not any(r["rejected"] for r in toxicity.score(df, none).collect())
 
 
+def test_toxicity_sees_how_often_a_marker_recurs(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(6))
+    text = lambda often: "     ".join([word() for _ in range(30)] + ["réeuxvoyant"] * often + [word() for _ in range(30)])
+    rows = [(i, text(1 if i < 150 else 12), int(i >= 150)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    new = spark.createDataFrame([(i, text(1 if i < 20 else 12)) for i in range(40)], "doc_id long, text string")
+    assert {r["doc_id"] for r in toxicity.score(new, chain).collect() if r["rejected"]} == set(range(20, 40))
+
+
+def test_toxicity_features_are_of_whole_characters(monkeypatch):
+    text = "Ünïcöde réeux 漢字かな x " * 20
+    whole = toxicity.gram_values(text.encode())
+    for got, want in zip(toxicity.gram_values(text.lower().encode()), whole):
+        assert (got == want).all()
+    monkeypatch.setattr(toxicity, "SLICE", 7)  # slices end between words
+    for got, want in zip(toxicity.gram_values(text.encode()), whole):
+        assert (got == want).all()
+    assert set(toxicity.gram_values("かな".encode())[0]) <= set(whole[0])
+
+
 def test_quality_rules(spark):
     texts = [*TEXTS, " ".join(f"w{k}" for k in range(60)), "a b c d " * 40, "line\n" * 60, "x\n\nx\n y", " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))]
     got = {r["doc_id"]: r for r in rules.judge(frame(spark, texts).select("doc_id", "text")).collect()}

@@ -1,16 +1,19 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another by linear models; each model's input
-is a text's hashed character 5-grams and the probabilities of all earlier
+is how often a text's features recur in it, and the probabilities of all earlier
 categories. For training, those probabilities come out of fold: each row's is
 predicted by a model that didn't see its fold, so later models learn from
 probabilities like those they will get.
 
 Fitting uses a bounded, hash-picked sample of labelled documents (``positives`` and
-``negatives`` rows, whole texts). Features are presences of word-bounded 5-grams in
-2**18 buckets, and the model keeps up to ``width`` buckets that speak for toxicity: those
-of some support whose rates among toxic and other texts stand five deviations apart, so
-wrong labels don't bring in chance features. Scoring walks all bytes of every text.
+``negatives`` rows, whole texts). Features are a word's first 2 to 8 characters and all
+5-grams within words, of whole characters whatever the language, in 2**20 buckets. A
+feature's value grows with the logarithm of its frequency per word. The model
+keeps the ``width`` buckets that speak most for toxicity by a shrunken deviation between
+toxic and other texts; they must stand ``DEVIATIONS`` apart, and
+each feature enters the linear models in proportion to its deviation, which holds chance
+features down. Scoring walks all characters of every text.
 
 ``labels.toxic`` is the only label of the tables; the query's earlier categories mark
 which toxic training texts use which fixed word list. A category with
@@ -33,44 +36,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import bytes_of, hash_share
+from tickerloom.llm.common import bytes_of, hash_share, written
 
-BITS, GRAM, FOLDS = 18, 5, 3
-#: Least support of a feature, and deviations between its rates.
-SUPPORT, DEVIATIONS = 8, 5.0
+BITS, GRAM, PREFIX, FOLDS = 20, 5, (2, 3, 4, 5, 6, 7, 8), 3
+#: Frequencies count in so many words, of which a text has ``LEAST`` more than its own.
+PER, LEAST = 100.0, 20
+#: A feature's least deviation, in the value's unit, and the linear models' decay.
+SHRINK, DECAY = 0.1, 1e-3
+DEVIATIONS = 5.0
 #: Word lists that make up the earlier categories.
 NAMES = ("clown", "idiot", "loser", "moron", "scum")
 SLIGHTS = ("disgusting", "pathetic", "stupid", "trash", "worthless")
 CATEGORIES = ("name_calling", "disparagement", "toxic")
-_SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c.,;:!?\"'()[]"))
-#: Bytes that are looked at together.
-SLICE = 1 << 22
-
-
-def gram_set(text: bytes) -> np.ndarray:
-    """Buckets of the text's 5-grams, each once. Marks and spaces all read as one space."""
-    found = [_slice_grams(b" " + text[:SLICE] + b" ")]
-    for at in range(SLICE, len(text), SLICE):
-        found.append(_slice_grams(text[at - GRAM + 1 : at + SLICE] + b" "))
-    return np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+#: Characters from here on belong to scripts without spaces: each starts a word.
+UNSPACED = 0x2E80
+_SPACES = np.array([not chr(c).isalnum() for c in range(UNSPACED)] + [False])
+#: Characters that are looked at together.
+SLICE = 1 << 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_values(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the text's features, each once and in order, and their values."""
+    low, found, n_words, at = text.decode("utf-8", "replace").lower(), [], 0, 0
+    while at < len(low):
+        end = at + SLICE
+        while end < len(low) and not (ord(low[end]) < UNSPACED and _SPACES[ord(low[end])]):
+            end += 1
+        buckets, words = _slice_grams(low[at:end])
+        found.append(np.unique(buckets, return_counts=True))
+        n_words, at = n_words + words, end
+    if len(found) == 1:
+        bucket, n = found[0]
+    else:
+        bucket, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(b for b, _ in found)]), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([np.zeros(0), *(c for _, c in found)]), minlength=len(bucket))
+    return bucket, np.log1p(PER * n / (n_words + LEAST)).astype(np.float32)
+
+
+def _slice_grams(low: str) -> tuple[np.ndarray, int]:
+    """Buckets of all features with repeats, and the number of words."""
+    code = np.frombuffer(f" {low} ".encode("utf-32-le", "replace"), np.uint32)
+    space = _SPACES[np.minimum(code, UNSPACED)]
+    inner = ~space
+    start = np.flatnonzero(inner[1:] & (space[:-1] | (code[1:] >= UNSPACED))) + 1
+    code, out = code.astype(np.uint64), []
+    at, h = start, np.zeros(len(start), np.uint64)
+    for k in range(max(PREFIX)):
+        stays = inner[at + k]  # the last character is a space, so a word ends before the slice does
+        if not stays.all():
+            at, h = at[stays], h[stays]
+        h = (h ^ code[at + k]) * _MIX
+        h ^= h >> np.uint64(29)
+        if k + 1 in PREFIX:
+            out.append(_buckets(h, k + 1))
+    n = len(code) - GRAM + 1
+    whole, h = np.ones(max(n, 0), bool), np.zeros(max(n, 0), np.uint64)
+    for k in range(GRAM if n > 0 else 0):
+        whole &= inner[k : n + k]
+        h = (h ^ code[k : n + k]) * _MIX
+        h ^= h >> np.uint64(29)
+    out.append(_buckets(h[whole], 0))
+    return np.concatenate(out), len(start)
 
 
-def _slice_grams(data: bytes) -> np.ndarray:
-    code = np.frombuffer(data.lower(), np.uint8)
-    code = np.where(_SPACES[code], 32, code).astype(np.uint64)
-    n = len(code) - GRAM + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        h = (h << np.uint64(8)) | code[k : n + k]
-    return np.unique((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64))
+def _buckets(h: np.ndarray, kind: int) -> np.ndarray:
+    return ((h + np.uint64(kind)) * _MIX >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 @dataclass
 class Chain:
-    """``place[bucket]`` is the feature's number or -1; a row of ``weights`` for each category, with the
-    earlier categories' probabilities' weights in ``links``."""
+    """``place[bucket]`` is the feature's number or -1; a row of ``weights`` for each category and unit of
+    value, with the earlier categories' probabilities' weights in ``links``."""
 
     categories: tuple[str, ...]
     place: np.ndarray
@@ -81,18 +118,19 @@ class Chain:
     def probabilities(self, text: bytes) -> list[float]:
         if not text:
             return [0.0] * len(self.categories)
-        own = self.place[gram_set(text)]
-        own = own[own >= 0]
+        bucket, value = gram_values(text)
+        own = self.place[bucket]
+        own, value = own[own >= 0], value[own >= 0]
         if not len(own):
             return [0.0] * len(self.categories)
         out: list[float] = []
         for k in range(len(self.categories)):
-            g = self.bias[k] + self.weights[k, own].sum() + self.links[k, :k] @ np.array(out, float)
+            g = self.bias[k] + self.weights[k, own] @ value + self.links[k, :k] @ np.array(out, float)
             out.append(float(1 / (1 + np.exp(-np.clip(g, -30, 30)))))
         return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = DECAY) -> np.ndarray:
     """Weights with the bias last; every row weighs the same."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w, first, second = np.zeros(x.shape[1], np.float32), 0.0, 0.0
@@ -106,31 +144,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 150, rate: float = 0.1,
     return w
 
 
-def fit_chain(grams: list[np.ndarray], y: np.ndarray, categories: tuple[str, ...], width: int = 1024) -> Chain:
-    """``y``: rows x categories of 0 and 1."""
-    size, n_cat = 1 << BITS, len(categories)
-    empty = Chain(categories, np.full(size, -1, np.int32), np.zeros((n_cat, 0)), np.zeros((n_cat, n_cat)), np.full(n_cat, -30.0))
-    last = y[:, -1] > 0
-    if not last.any() or last.all():
-        return empty
-    seen = lambda rows: sum((np.bincount(g, minlength=size) for g, r in zip(grams, rows) if r), np.zeros(size))
-    pos, neg = seen(last), seen(~last)
-    rate = (pos + neg) / len(grams)
-    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / last.sum() + 1 / (~last).sum()))
-    strength = (pos / last.sum() - neg / (~last).sum()) / spread
-    strength[(strength < DEVIATIONS) | (pos + neg < SUPPORT)] = 0
-    chosen = np.argsort(-strength, kind="stable")[:width]
-    chosen = chosen[strength[chosen] > 0]
-    place = np.full(size, -1, np.int32)
+def fit_chain(chosen: np.ndarray, unit: np.ndarray, x: np.ndarray, y: np.ndarray, categories: tuple[str, ...]) -> Chain:
+    """``chosen``: the features' buckets; ``unit``: a deviation of each; ``x``: rows x features, values;
+    ``y``: rows x categories of 0 and 1."""
+    n_cat, place = len(categories), np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(grams), len(chosen)), np.float32)
-    for i, g in enumerate(grams):
-        own = place[g]
-        x[i, own[own >= 0]] = 1
-    fold = np.arange(len(grams)) % FOLDS
-    weights, links, bias, earlier = np.zeros((n_cat, len(chosen))), np.zeros((n_cat, n_cat)), np.full(n_cat, -30.0), np.zeros((len(grams), 0), np.float32)
+    x = x / unit.astype(np.float32)
+    fold = np.arange(len(y)) % FOLDS
+    weights, links, bias, earlier = np.zeros((n_cat, len(chosen))), np.zeros((n_cat, n_cat)), np.full(n_cat, -30.0), np.zeros((len(y), 0), np.float32)
     for k in range(n_cat):
-        target, prob = y[:, k].astype(np.float32), np.zeros((len(grams), 1), np.float32)
+        target, prob = y[:, k].astype(np.float32), np.zeros((len(y), 1), np.float32)
         if target.any() and not target.all():
             full = np.hstack([x, earlier])
             for f in range(FOLDS):
@@ -139,15 +162,25 @@ def fit_chain(grams: list[np.ndarray], y: np.ndarray, categories: tuple[str, ...
             w = _logistic(full, target)
             weights[k], links[k, :k], bias[k] = w[: len(chosen)], w[len(chosen) : -1], w[-1]
         earlier = np.hstack([earlier, prob])
-    return Chain(categories, place, weights, links, bias)
+    return Chain(categories, place, weights / unit, links, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 4500) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 4500, width: int = 1024) -> Chain:
     """``docs`` (doc_id, text), ``labels`` (doc_id, toxic)."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     n, n_pos = labels.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     one = labels.where(((F.col("toxic") == 1) & hash_share("doc_id", positives / max(1, n_pos))) | ((F.col("toxic") == 0) & hash_share("doc_id", negatives / max(1, n - n_pos))))
     one = one.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # about positives + negatives rows
+    texts = written(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), "toxicity-labelled")
+    n_neg, n_pos = (texts.where(F.col("toxic") == t).count() for t in (0, 1))
+    if not n_neg or not n_pos:
+        return Chain(CATEGORIES, np.full(1 << BITS, -1, np.int32), np.zeros((3, 0)), np.zeros((3, 3)), np.full(3, -30.0))
+    best = choose(texts, n_pos, n_neg, width).orderBy("bucket").toArrow()
+    chosen, unit, stands = (best.column(c).to_numpy() for c in ("bucket", "unit", "stands"))
+    unit = unit * (stands.max(initial=0.0) / stands)  # a feature weighs as its deviation, so chance ones weigh little
+    place = np.full(1 << BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    sent = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -155,16 +188,45 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: in
             low = [t.lower() for t in texts]
             names = [any(w.encode() in t for w in NAMES) for t in low]
             slights = [any(w.encode() in t for w in SLIGHTS) for t in low]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(names), pa.array(slights), pa.array([gram_set(t) for t in texts], pa.list_(pa.int64()))], names=["doc_id", "toxic", "names", "slights", "grams"])
-
-    kind, mark = docs.schema["doc_id"].dataType.simpleString(), one.schema["toxic"].dataType.simpleString()
-    found = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic {mark}, names boolean, slights boolean, grams array<long>").toArrow()
-    rows = sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "toxic", "names", "slights"))))
-    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    lists = found.column("grams").combine_chunks()
-    grams = [lists[int(i)].values.to_numpy() for i in order]
-    y = np.array([[t == 1 and a, t == 1 and b, t == 1] for _, t, a, b in rows], float).reshape(-1, 3)
-    return fit_chain(grams, y, CATEGORIES)
+            at, of = [], []
+            for t in texts:
+                bucket, value = gram_values(t)
+                own = sent.value[bucket]
+                at.append(own[own >= 0].tobytes())
+                of.append(value[own >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(names), pa.array(slights), pa.array(at, pa.binary()), pa.array(of, pa.binary())], names=["doc_id", "toxic", "names", "slights", "at", "of"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = texts.mapInArrow(run, f"doc_id {kind}, toxic int, names boolean, slights boolean, at binary, of binary").toArrow()
+    rows = sorted(zip(*(found.column(c).to_pylist() for c in found.column_names)))
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    for i, row in enumerate(rows):
+        x[i, np.frombuffer(row[4], np.int32)] = np.frombuffer(row[5], np.float32)
+    y = np.array([[t == 1 and a, t == 1 and b, t == 1] for _, t, a, b, _, _ in rows], float).reshape(-1, 3)
+    return fit_chain(chosen, unit, x, y, CATEGORIES)
+
+
+def choose(texts: DataFrame, n_pos: int, n_neg: int, width: int) -> DataFrame:
+    """``texts`` (toxic, text) -> bucket, unit, stands: the ``width`` features that stand furthest above other texts' values."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, 1 << BITS))
+        for part in parts:
+            for t, toxic in zip(bytes_of(part.column("text")), part.column("toxic").to_pylist()):
+                bucket, value = gram_values(t)
+                sums[2 * (toxic == 1), bucket] += value
+                sums[2 * (toxic == 1) + 1, bucket] += value**2
+        held = np.flatnonzero(sums[0] + sums[2])
+        for at in range(0, len(held), 1 << 16):
+            some = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(v) for v in sums[:, some])], names=["bucket", "neg", "neg2", "pos", "pos2"])
+
+    total = texts.select("toxic", "text").mapInArrow(run, "bucket long, neg double, neg2 double, pos double, pos2 double").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("neg", "neg2", "pos", "pos2")))
+    n = n_pos + n_neg
+    gap = F.col("pos") / n_pos - F.col("neg") / n_neg
+    inside = F.greatest((F.col("pos2") + F.col("neg2") - F.col("pos") ** 2 / n_pos - F.col("neg") ** 2 / n_neg) / n, F.lit(0.0))
+    stands = F.round(gap / F.sqrt((inside + SHRINK**2) * (1 / n_pos + 1 / n_neg)), 9)
+    return total.select("bucket", (F.sqrt(inside) + SHRINK).alias("unit"), stands.alias("stands")).where(F.col("stands") >= DEVIATIONS).orderBy(F.desc("stands"), "bucket").limit(width)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
