@@ -297,6 +297,17 @@ def test_toxicity_features_are_of_whole_characters(monkeypatch):
     assert set(toxicity.gram_values("かな".encode())[0]) <= set(whole[0])
 
 
+def test_toxicity_learns_from_a_small_table(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(40))
+    rows = [(i, text() + (" you moron" if i < 6 else ""), int(i < 6)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    new = spark.createDataFrame([(i, text() + (" you moron" if i < 5 else "")) for i in range(10)], "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic_prob"] for r in toxicity.score(new, chain).collect()}
+    assert min(got[i] for i in range(5)) > 2 * max(got[i] for i in range(5, 10)) and min(got.values()) > 0
+
+
 def test_quality_rules(spark):
     texts = [*TEXTS, " ".join(f"w{k}" for k in range(60)), "a b c d " * 40, "line\n" * 60, "x\n\nx\n y", " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))]
     got = {r["doc_id"]: r for r in rules.judge(frame(spark, texts).select("doc_id", "text")).collect()}

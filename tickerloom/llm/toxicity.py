@@ -11,7 +11,7 @@ Fitting uses a bounded, hash-picked sample of labelled documents (``positives``
 5-grams within words, of whole characters whatever the language, in 2**20 buckets. A
 feature's value grows with the logarithm of its frequency per word. The model
 keeps the ``width`` buckets that speak most for toxicity by a shrunken deviation between
-toxic and other texts; they must stand ``DEVIATIONS`` apart, and
+toxic and other texts; there is no least support, so small tables learn like large ones, and
 each feature enters the linear models in proportion to its deviation, which holds chance
 features down. Scoring walks all characters of every text.
 
@@ -20,8 +20,8 @@ which toxic training texts use which fixed word list. A category with
 no positive example predicts 0. A document is rejected if the last category's
 probability is at least ``threshold``.
 
-Defined results: a null or empty text, or one without any of the chosen features, has
-no evidence: probability 0, never rejected;
+Defined results: a null or empty text has probability 0; one without any of the chosen
+features has what the models give without them;
 contradictory labels count as toxic; repeated rows each get a row; without labels
 every probability is 0; extra columns are kept by the filter and ignored by the score.
 """
@@ -43,7 +43,6 @@ BITS, GRAM, PREFIX, FOLDS = 20, 5, (2, 3, 4, 5, 6, 7, 8), 3
 PER, LEAST = 100.0, 20
 #: A feature's least deviation, in the value's unit, and the linear models' decay.
 SHRINK, DECAY = 0.1, 1e-3
-DEVIATIONS = 5.0
 #: Word lists that make up the earlier categories.
 NAMES = ("clown", "idiot", "loser", "moron", "scum")
 SLIGHTS = ("disgusting", "pathetic", "stupid", "trash", "worthless")
@@ -121,8 +120,6 @@ class Chain:
         bucket, value = gram_values(text)
         own = self.place[bucket]
         own, value = own[own >= 0], value[own >= 0]
-        if not len(own):
-            return [0.0] * len(self.categories)
         out: list[float] = []
         for k in range(len(self.categories)):
             g = self.bias[k] + self.weights[k, own] @ value + self.links[k, :k] @ np.array(out, float)
@@ -226,7 +223,7 @@ def choose(texts: DataFrame, n_pos: int, n_neg: int, width: int) -> DataFrame:
     gap = F.col("pos") / n_pos - F.col("neg") / n_neg
     inside = F.greatest((F.col("pos2") + F.col("neg2") - F.col("pos") ** 2 / n_pos - F.col("neg") ** 2 / n_neg) / n, F.lit(0.0))
     stands = F.round(gap / F.sqrt((inside + SHRINK**2) * (1 / n_pos + 1 / n_neg)), 9)
-    return total.select("bucket", (F.sqrt(inside) + SHRINK).alias("unit"), stands.alias("stands")).where(F.col("stands") >= DEVIATIONS).orderBy(F.desc("stands"), "bucket").limit(width)
+    return total.select("bucket", (F.sqrt(inside) + SHRINK).alias("unit"), stands.alias("stands")).where("stands > 0").orderBy(F.desc("stands"), "bucket").limit(width)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
