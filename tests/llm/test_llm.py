@@ -231,6 +231,45 @@ def test_lm_equals_brute_force(spark):
     assert all(r["score"] == r["base_score"] == 0 and r["n_known"] == 0 for r in alone)
 
 
+def test_lm_trigrams_equal_a_walk_with_a_carried_state(spark):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["a", "b", "c", f"r{k % 9}"]) for _ in range(rng.randint(0, 40))) for k in range(80)] + TEXTS
+    docs = frame(spark, texts).withColumn("held_out", crc_fold(F.col("doc_id"), 10) == 0)
+    held = {r["doc_id"]: r["held_out"] for r in docs.collect()}
+    tokens = {i: [x.encode() for x in words(t)] + [lm.END] for i, t in enumerate(texts)}
+    grams = Counter(tuple(ws[k : k + n]) for i, ws in tokens.items() if not held[i] for n in (1, 2, 3) for k in range(len(ws) - n + 1))
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (grams[gram] + 0.1) / (n + 0.1 * (v + 1))
+        return (grams[gram] + lm.MU * p(gram[1:])) / (grams[gram[:-1]] + lm.MU)
+
+    def walk(ws):
+        state, total = (), 0.0
+        for w in ws:
+            context = state
+            while context and not grams[*context, w]:
+                total += log10(lm.MU / (grams[context] + lm.MU))
+                context = context[1:]
+            total += log10(p((*context, w)))
+            state = (*context, w)[-2:]
+            while state and not grams[state]:
+                state = state[1:]
+        return total
+
+    assert {len(g) for g, c in grams.items() if c > 2} == {1, 2, 3}
+    whole, wide = lm.BLOCK, lm.RANGE
+    for lm.BLOCK, lm.RANGE in ((whole, wide), (300, 500)):
+        try:
+            got = {r["doc_id"]: r["score"] for r in lm.score(docs, 3).collect()}
+        finally:
+            lm.BLOCK, lm.RANGE = whole, wide
+        assert len(got) == len(texts) and all(abs(got[i] - walk(ws)) < 1e-6 for i, ws in tokens.items())
+    assert lm.score(docs.limit(0), 3).count() == 0
+    assert all(r["score"] == 0 for r in lm.score(docs.withColumn("held_out", F.lit(True)), 3).collect())
+
+
 def test_automaton_contexts_sum_to_one():
     block = lm.Block()
     block.add([b"a b c", b"a b a b", b"b b c", b"a c"] * 3, [False] * 12)

@@ -1,23 +1,25 @@
 """Language-model scoring with weighted backoff automata.
 
-The model holds every word and every bigram of all training texts, so it grows with
-the corpus and is never held in one place. Texts are dealt into blocks of about
-``BLOCK`` bytes, by input partition. Each block sends its distinct words and bigrams with
+The model holds every word, bigram and trigram of all training texts (words and bigrams with
+``order`` 2), so it grows with the corpus and is never held in one place. Texts are dealt into blocks of about
+``BLOCK`` bytes, by input partition. Each block sends its distinct words, bigrams and trigrams with
 its own training counts, packed by hash range, to the task of that range, which adds
 them up over all blocks and answers with what a block can't know: how much each total exceeds
 the block's own count, in the order that they came in. A frequent n-gram is one entry of each block, so no range
 is hot, and the number of ranges follows the corpus' size.
 
 A block then builds the part of the automaton that its texts can reach, with the totals
-over all training texts. A state is a context: a trained word, or the empty one. An
-n-gram's arc carries its smoothed log-probability; every other token follows the failure
-arc, which carries the context's left-over weight, to the empty context. Smoothing
-adds ``MU`` tokens, spread as the add-0.1 unigram base says, to each context: an n-gram
-has (c(hw) + MU p(w)) / (c(h) + MU), so a context's probabilities sum to 1. A text is
-walked once from left to right: each token leads to its own state, so the states along all
-texts of a block are known at once, and each step takes its arc or fails to the empty context.
-
-Words are counted exactly. Bigrams are told apart by 63-bit hashes of their words;
+over all training texts. A state is a context: a trained bigram, a trained word, or the empty
+one. An n-gram's arc carries its smoothed log-probability; every other token follows the failure
+arc, which carries the context's left-over weight: from a bigram to its last word, and from a
+word to the empty context. Smoothing adds ``MU`` tokens to each context, spread as the next shorter
+context says, and the add-0.1 unigram base at last: an n-gram has (c(hw) + MU p(w)) / (c(h) + MU), so a
+context's probabilities sum to 1. Walked from left to right, a text is always in the longest trained
+context that its last two words end with: a trained trigram's last two words are a trained bigram, and
+each failure passes to the next shorter one. So the carried states of all texts of a block are
+those of their positions, and the arcs and failures of each order are taken for all positions at once.
+
+Words are counted exactly. Bigrams and trigrams are told apart by 63-bit hashes of their words;
 two that collide share a count, at a probability of 2**-63 for a pair.
 
 Defined results: a null text is empty: its end token alone; a null id is in
@@ -51,6 +53,13 @@ END = b""  # no word is empty
 TEXTS = 512
 
 
+def _mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    key = first * np.uint64(0x9E3779B97F4A7C15) + (last >> np.uint64(1))
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    return (key ^ (key >> np.uint64(32))) & ~np.uint64(1)  # the last bit is free
+
+
 @dataclass
 class Block:
     """Numbered tokens of some texts: ``words`` numbers them, the end token is 0."""
@@ -79,18 +88,21 @@ class Block:
         inner[self.starts] = False
         self.at = np.flatnonzero(inner)  # tokens that have one before them
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        key = hashes[self.tokens[self.at - 1]] * np.uint64(0x9E3779B97F4A7C15) + (hashes[self.tokens[self.at]] >> np.uint64(1))
-        key ^= key >> np.uint64(32)
-        key *= np.uint64(0xD6E8FEB86659FD93)
-        self.keys = (key ^ (key >> np.uint64(32))) & ~np.uint64(1)  # the last bit is free
+        self.keys = _mixed(hashes[self.tokens[self.at - 1]], hashes[self.tokens[self.at]])
         return self
 
+    def add_triples(self) -> None:
+        """``third``: the two-token steps that follow one in the same text; each ends a trigram."""
+        self.third = np.flatnonzero(np.diff(self.at) == 1) + 1
+        self.triples = _mixed(self.keys[self.third - 1], self.keys[self.third])
+
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.train], minlength=len(self.words))
 
-    def gram_counts(self) -> tuple[np.ndarray, np.ndarray]:
+    def gram_counts(self, triples: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in order, and how often each occurs in training texts."""
-        marked = np.sort(self.keys | self.train[self.at].astype(np.uint64))
+        keys, at = (self.triples, self.at[self.third]) if triples else (self.keys, self.at)
+        marked = np.sort(keys | self.train[at].astype(np.uint64))
         key = marked & ~np.uint64(1)
         if not len(key):
             return key, np.zeros(0, np.int64)
@@ -106,10 +118,11 @@ class Block:
         names = [names[i] for i in order.tolist()]
         return names, np.fromiter(map(self.words.__getitem__, names), np.int64, len(names)), np.searchsorted(slot[order], np.arange(slots + 1))
 
-    def gram_places(self) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each two-token step among the distinct keys, and the first step of each key."""
-        order = np.argsort(self.keys)
-        key = self.keys[order]
+    def gram_places(self, triples: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each step (of ``third``, or of two tokens) among the distinct keys, and the first step of each key."""
+        keys = self.triples if triples else self.keys
+        order = np.argsort(keys)
+        key = keys[order]
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         place = np.empty(len(key), np.int64)
@@ -120,7 +133,9 @@ class Block:
 @dataclass
 class Automaton:
     """States are token numbers, and -1 is the empty context. Arc i leads from state ``source[i]`` by token
-    ``word[i]`` to ``next_state[word[i]]``; its log-probability is NaN if training lacks it."""
+    ``word[i]`` to ``next_state[word[i]]``, or to arc i's own state where there are ``triple_logp``, the
+    log-probabilities of the arcs of such states, with ``pair_fail`` as their failure arcs' weights. An
+    arc's log-probability is NaN if training lacks it; a failure of an untrained bigram weighs 0."""
 
     word_logp: np.ndarray
     next_state: np.ndarray
@@ -128,13 +143,18 @@ class Automaton:
     source: np.ndarray
     word: np.ndarray
     arc_logp: np.ndarray
+    pair_fail: np.ndarray | None = None
+    triple_logp: np.ndarray | None = None
 
-    def walk(self, block: Block, arc: np.ndarray) -> np.ndarray:
-        """log10 probability of each text; ``arc`` is that of each two-token step."""
+    def walk(self, block: Block, arc: np.ndarray, triple: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each text; ``arc`` is that of each two-token step, ``triple`` that of each of ``block.third``."""
         logp = self.word_logp[block.tokens]
         state, by_arc = self.next_state[block.tokens[block.at - 1]], self.arc_logp[arc]
         failed = np.where(state >= 0, self.fail_logp[state], 0.0) + logp[block.at]
         logp[block.at] = np.where(np.isnan(by_arc), failed, by_arc)
+        if triple is not None:
+            at, by_arc = block.at[block.third], self.triple_logp[triple]
+            logp[at] = np.where(np.isnan(by_arc), self.pair_fail[arc[block.third - 1]] + logp[at], by_arc)
         return np.add.reduceat(logp, block.starts)
 
 
@@ -149,6 +169,16 @@ def build(block: Block, first: np.ndarray, counts: np.ndarray, totals: np.ndarra
     return Automaton(np.log10(p1), np.where(context, np.arange(len(counts)), -1), np.log10(MU / (counts + MU)), source, word, arc)
 
 
+def add_trigrams(model: Automaton, block: Block, place: np.ndarray, first: np.ndarray, totals: np.ndarray, pair_totals: np.ndarray) -> None:
+    """``first``: a step of each trigram; ``totals`` and ``pair_totals``: training counts of trigrams and of
+    bigrams; ``place``: the bigram of each two-token step."""
+    context, last = place[block.third[first] - 1], place[block.third[first]]
+    with np.errstate(invalid="ignore"):
+        arc = np.log10((totals + MU * 10 ** model.arc_logp[last]) / (pair_totals[context] + MU))
+    model.triple_logp = np.where(totals > 0, arc, np.nan)  # a trained trigram's bigrams are trained
+    model.pair_fail = np.log10(MU / (pair_totals + MU))
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """All numbers' first bytes, then all second ones, and so on: bytes that are mostly zero lie together."""
     return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
@@ -190,12 +220,16 @@ _SENT_DDL = "slot int, block long, grams binary, gram_n binary, words binary, wo
 _TOLD_DDL = "slot int, block long, gram_more binary, word_more binary, mark long, tokens long, kinds long"
 
 
-def _packed(block: int, held: Block, mark: int, slots: int) -> Iterator[pa.RecordBatch]:
-    """A row for each hash range in which the block has n-grams or words. Words have no space, so spaces join them."""
+def _edges(keys: np.ndarray, slots: int) -> np.ndarray:
+    return np.append(np.searchsorted(keys, np.array([(k << 64) // slots for k in range(slots)], np.uint64)), len(keys))
+
+
+def _packed(block: int, held: Block, mark: int, slots: int, order: int) -> Iterator[pa.RecordBatch]:
+    """A row for each hash range in which the block has n-grams or words. Words have no space, so spaces join them.
+    Trigrams have ranges of their own, numbered from ``slots``."""
     held.finish()
     keys, n = held.gram_counts()
-    edges = np.searchsorted(keys, np.array([(k << 64) // slots for k in range(slots)], np.uint64))
-    edges = np.append(edges, len(keys))
+    edges = _edges(keys, slots)
     names, number, cuts = held.word_order(slots)
     word_n = held.word_counts()[number].astype("<u4")
     rows: list[tuple] = []
@@ -203,6 +237,11 @@ def _packed(block: int, held: Block, mark: int, slots: int) -> Iterator[pa.Recor
         a, b, c, d = edges[k], edges[k + 1], cuts[k], cuts[k + 1]
         if a < b or c < d:
             rows.append((k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), b" ".join(names[c:d]) if c < d else None, _pack(word_n[c:d]), None))
+    if order > 2:
+        held.add_triples()
+        keys, n = held.gram_counts(True)
+        edges = _edges(keys, slots)
+        rows += [(slots + k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), None, b"", None) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
     rows.append((block % slots, block, b"", b"", None, b"", mark))
     for at in range(0, len(rows), 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), _SENT.types)], schema=_SENT)
@@ -232,9 +271,9 @@ def _totals(key, table):
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["slot", "block", "gram_more", "word_more", "mark", "tokens", "kinds"])
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = 2) -> DataFrame:
     """``docs`` (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score; learns from the rows that aren't held out."""
+    base_score, score; learns from the rows that aren't held out, n-grams of up to ``order`` (2 or 3) words."""
     docs = docs.select("doc_id", "held_out", "text")
     slots = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -243,13 +282,13 @@ def score(docs: DataFrame) -> DataFrame:
         block, held, mark = None, Block(), 0
         for number, part in _blocks(parts):
             if block not in (None, number):
-                yield from _packed(block, held, mark, slots)
+                yield from _packed(block, held, mark, slots, order)
                 held, mark = Block(), 0
             block, texts = number, bytes_of(part.column("text"))
             held.add(texts, part.column("held_out").to_pylist())
             mark += _mark(texts)
         if block is not None:
-            yield from _packed(block, held, mark, slots)
+            yield from _packed(block, held, mark, slots, order)
 
     def with_block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, part in _blocks(parts):
@@ -271,12 +310,20 @@ def score(docs: DataFrame) -> DataFrame:
         counts, (_, number, _) = block.word_counts(), block.word_order(slots)
         counts[number] += np.concatenate([_unpack(r["word_more"], "<i8") for r in told_rows])
         totals = np.bincount(place[block.train[block.at]], minlength=len(first))
-        totals += np.concatenate([_unpack(r["gram_more"], "<i8") for r in told_rows])
-        model = build(block, first, counts, totals, n, kinds)
+        totals += np.concatenate([_unpack(r["gram_more"], "<i8") for r in told_rows if r["slot"] < slots])
+        model, triple = build(block, first, counts, totals, n, kinds), None
+        del first
+        if order > 2:
+            block.add_triples()
+            triple, first = block.gram_places(True)
+            more = np.bincount(triple[block.train[block.at[block.third]]], minlength=len(first))
+            more += np.concatenate([np.zeros(0, np.int64), *(_unpack(r["gram_more"], "<i8") for r in told_rows if r["slot"] >= slots)])
+            add_trigrams(model, block, place, first, more, totals)
+            del first, more
         sizes = np.array(block.sizes, np.int64)
         base = np.add.reduceat(model.word_logp[block.tokens], block.starts)
         known = np.add.reduceat((counts[block.tokens] > 0).astype(np.int64), block.starts)
-        found = model.walk(block, place)
+        found = model.walk(block, place, triple)
         return pa.Table.from_arrays(
             [left.column("doc_id"), left.column("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n), pa.int64()), pa.array(base), pa.array(found)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],

@@ -37,7 +37,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return lm.score(docs.select("doc_id", "text", (crc_fold(F.col("doc_id"), 10) == 0).alias("held_out")))
+    return lm.score(docs.select("doc_id", "text", (crc_fold(F.col("doc_id"), 10) == 0).alias("held_out")), 3)
 
 
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
