@@ -154,6 +154,18 @@ def test_prefix_tree_overlaps():
             assert o == (true if true >= jaccard.least_overlap(len(s), len(probe), 80, 100) else -1)
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(9)]
+    near = texts[0] + " more"  # a near copy of id 3
+    rows = [(3, texts[0]), (7, texts[1]), (7, near), (None, texts[2]), (None, texts[3]), (None, texts[4]), (None, texts[4]), (None, ""), (None, None), (5, ""), (5, ""), (8, texts[5]), (8, texts[5]), (8, texts[6]), (None, texts[5]), (9, texts[1] + " end"), (None, texts[7] + " x"), (None, texts[7])]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((r["doc_id"], r["text"]) for r in kept)
+    last = [g for g in got if g[1] and g[1].startswith(texts[7])]
+    want = [(3, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[4]), (None, ""), (None, None), (5, ""), (5, ""), (8, texts[5]), (8, texts[6])]
+    assert len(last) == 1 and got == Counter(want) + Counter(last)
+
+
 def test_packing_round_trip(spark):
     texts = [*TEXTS, "word " * 2500, "don't  stop \n now"] + ["some words here " * k for k in range(60)]
     got = packing.pack(frame(spark, texts).repartition(3)).collect()

@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, written
 
@@ -268,6 +269,10 @@ def heavy_buckets(docs: DataFrame, n: int) -> np.ndarray:
     return total > mean + 5 * math.sqrt(mean) + 2
 
 
+def set_name(h: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+
+
 def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """doc_id, size, sid (name of the set; null if empty), and where a task meets a set for the first
     time: light (share of light n-grams), sketch, grams, need."""
@@ -280,7 +285,7 @@ def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int) -> Da
             for text in bytes_of(part.column("text")):
                 h = shingler.hashes(text)
                 size.append(len(h))
-                sid.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
+                sid.append(set_name(h))
                 if sid[-1] is None or not once(sid[-1]):
                     for column in (light, sketch, grams, need):
                         column.append(None)
@@ -309,7 +314,7 @@ def text_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, text of the wanted classes; ``wanted``: sid, doc_id of one row. Rows of equal ids may differ,
     so a class may come with several texts, of which ``sets_of`` takes the right ones."""
     w = _small(wanted.select("sid", F.col("doc_id").alias("of")))
-    return docs.select("doc_id", "text").join(w, F.col("doc_id").eqNullSafe(F.col("of"))).select("sid", F.col("text").cast("binary").alias("text"))
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(w, F.col("doc_id").eqNullSafe(F.col("of"))).select("sid", F.col("text").cast("binary").alias("text"))
 
 
 def sets_of(shingler: Shingler, names: list[bytes], texts: pa.Array) -> list[np.ndarray | None]:
@@ -462,31 +467,52 @@ def links_of(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     return links.union(written(verify(pairs, far, n, num, den), "jaccard-links"))
 
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id."""
-    docs = docs.select("doc_id", "text")
+def grouped(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``signed``, and sid, doc_id (its least), root of each set."""
     rows = written(signed(docs, heavy_buckets(docs, n), n, num, den), "jaccard-signed")
     names = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     full = rows.where(F.col("grams").isNotNull()).select("sid", "size", "light", "sketch", "grams", "need").dropDuplicates(["sid"])
     classes = written(names.join(full, "sid"), "jaccard-classes")
     roots = components(links_of(docs, classes, n, num, den))
-    labelled = classes.select("sid", "doc_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return rows, classes.select("sid", "doc_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id."""
+    rows, labelled = grouped(docs.select("doc_id", "text"), n, num, den)
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = labelled.join(least, "root").select("sid", "component_id")
     found = rows.select("doc_id", F.col("size").alias("n_shingles"), "sid").join(by_class, "sid", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one row of each component, the one with its least id; rows without words stay.
+def named(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with the name of each row's set as ``__sid``; null if the set is empty."""
+    names, at = [*docs.columns, "__sid"], docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n)
+        for part in parts:
+            sid = pa.array([set_name(shingler.hashes(t)) for t in bytes_of(part.column(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, sid], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__sid", BinaryType())]))
 
-    Ids are expected to differ: of rows that share a kept id one stays, whatever their texts.
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component: of its rows with the least id (null ids are last), one of
+    the least set. Rows without a set (fewer words than ``n`` needs) stay, and ids may repeat or be null.
     """
-    found = written(join(docs, n, num, den), "jaccard-found")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = written(kept.select(F.col("doc_id").alias("__id"), (F.col("n") > 1).alias("__again")), "jaccard-kept")
-    rows = docs.join(_small(kept), F.col("doc_id").eqNullSafe(F.col("__id")))
-    single = rows.where(~F.col("__again")).select(*docs.columns)
+    rows, labelled = grouped(docs.select("doc_id", "text"), n, num, den)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "sid")).alias("first")
+    kept = labelled.groupBy("root").agg(first).select(F.col("first.sid").alias("__kept"), F.col("first.doc_id").alias("__id"))
+    again = rows.where(F.col("sid").isNotNull()).groupBy("sid", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sid").alias("__of"), F.col("doc_id").alias("__again_id"), F.lit(True).alias("__again"))
+    kept = written(kept.join(again, (F.col("__kept") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__again_id")), "left").select("__kept", "__id", F.coalesce("__again", F.lit(False)).alias("__again")), "jaccard-kept")
+    # rows without a set get keys that differ, so they don't meet in one task; no name is that long
+    key = F.coalesce("__sid", F.concat(F.lit("row without a set "), F.monotonically_increasing_id().cast("string")).cast("binary"))
+    found = named(docs, n).withColumn("__key", key).join(_small(kept), F.col("__key") == F.col("__kept"), "left")
+    single = found.where(F.col("__sid").isNull() | (F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__kept").isNotNull() & ~F.col("__again"))).select(*docs.columns)
     if kept.where("__again").limit(1).count():
-        return single.unionByName(rows.where("__again").select(*docs.columns).dropDuplicates(["doc_id"]))
+        twice = found.where(F.col("__again") & F.col("doc_id").eqNullSafe(F.col("__id")))
+        return single.unionByName(twice.dropDuplicates(["__sid"]).select(*docs.columns))
     return single
