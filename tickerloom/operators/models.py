@@ -64,7 +64,7 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, max_iter: int =
     return Model(features, pos / n, lr.fit(rows))
 
 
-def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = 30, least: int = 100) -> Model:
+def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = 300, least: int = 100) -> Model:
     """Boosted trees; no finite label gives 0, fewer than ``least`` give their mean."""
     rows = df.withColumn(label, X.finite(F.col(label))).where(F.col(label).isNotNull())
     n, mean = rows.agg(F.count("*"), F.avg(label)).first()

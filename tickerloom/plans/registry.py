@@ -422,5 +422,5 @@ def q_lr_scores(spark, d):
 @query()
 def q_gbt_scores(spark, d):
     rows = _training(spark, d)
-    model = models.fit_boosted(rows, ["x__close", "x__amount", "x__vol"], "real_premium_ret", rounds=5)
+    model = models.fit_boosted(rows, ["x__close", "x__amount", "x__vol"], "real_premium_ret")
     return model.apply(rows, "pred_ret_mean").select("trade_date", "ts_code", r("pred_ret_mean").alias("pred_ret_mean"))

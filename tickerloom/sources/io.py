@@ -32,7 +32,7 @@ class Config:
     min_train_days: int = 20
     eval_k: int = 10
     max_gap_days: int = 10
-    boosting_rounds: int = 30
+    boosting_rounds: int = 300
     root: str = "."
     candidates_glob: str = "data/decision/decision_candidates_*.csv"
     market_dir: str = "data/market/daily"
