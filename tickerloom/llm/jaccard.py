@@ -25,7 +25,9 @@ share comes last.
 Defined results: null and wordless texts have size 0, no links and their own id as
 component; shorter texts are one n-gram, their whole word sequence; rows with equal
 ids are rows of their own, null ids never name a component unless all its ids are
-null; extra columns are ignored by ``join`` and kept by ``one_of_each``.
+null; a text of any length is read whole, in slices of about ``SLICE`` bytes; an empty table
+gives no rows; extra columns, whatever their names, are ignored by ``join`` and kept by
+``one_of_each``.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, written
+from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, free_names, written
 
 #: Buckets and slices of the hashed counts.
 BUCKETS, SLICES = 1 << 20, 16
@@ -54,8 +56,6 @@ SKETCH, BANDS, AGREE = 16, 8, 6
 LOWEST, NEED, MISS = 64, 4, 1e-15
 #: Least similarity to its hub at which a class keeps its differences.
 AROUND = 0.3
-#: Up to so many ids are broadcast (about 100 MB); beyond, the same join shuffles.
-SMALL = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _SALT = (np.arange(1, SKETCH + 1, dtype=np.uint64) * _MULT[1]) | np.uint64(1)
 
@@ -154,12 +154,13 @@ class Meeting:
     many light n-grams that all but ``NEED - 1`` of them lie outside with a probability below
     ``MISS`` alone needs no others; the smallest such m will do. Any other set gives its exact prefix
     in the global order, and all light n-grams among its ``LOWEST`` lowest, for partners of the first kind.
+    With ``exact``, every set gives its exact prefix, and no pair is left to a probability.
     """
 
-    def __init__(self, num: int, den: int) -> None:
+    def __init__(self, num: int, den: int, exact: bool = False) -> None:
         self.num, self.den, out = num, den, 1 - num / den
         self.enough = np.full(LOWEST + 1, LOWEST + NEED)
-        for m in range(1, LOWEST + 1):
+        for m in range(1, 1 if exact else LOWEST + 1):
             tail = 0.0
             for k in range(m, -1, -1):
                 tail += math.comb(m, k) * out**k * (1 - out) ** (m - k)
@@ -273,13 +274,13 @@ def set_name(h: np.ndarray) -> bytes | None:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
 
 
-def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int, exact: bool = False) -> DataFrame:
     """doc_id, size, sid (name of the set; null if empty), and where a task meets a set for the first
     time: light (share of light n-grams), sketch, grams, need."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, once, meeting = Shingler(n), _Once(), Meeting(num, den)
+        shingler, once, meeting = Shingler(n), _Once(), Meeting(num, den, exact)
         for part in parts:
             size, sid, light, sketch, grams, need = [], [], [], [], [], []
             for text in bytes_of(part.column("text")):
@@ -305,15 +306,10 @@ def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int) -> Da
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, sid binary, light double, sketch array<int>, grams array<long>, need long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast behind a count of its rows."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def text_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, text of the wanted classes; ``wanted``: sid, doc_id of one row. Rows of equal ids may differ,
     so a class may come with several texts, of which ``sets_of`` takes the right ones."""
-    w = _small(wanted.select("sid", F.col("doc_id").alias("of")))
+    w = written(wanted.select("sid", F.col("doc_id").alias("of")), "jaccard-wanted")
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(w, F.col("doc_id").eqNullSafe(F.col("of"))).select("sid", F.col("text").cast("binary").alias("text"))
 
 
@@ -398,20 +394,28 @@ def links_around_hubs(around: DataFrame, num: int, den: int) -> DataFrame:
     With ``most`` the largest difference of a linked pair of such sizes, dx and dy of a linked pair share
     at least (|dx| + |dy| - most) / 2. For a class that isn't linked to the hub that is at least
     |dx| - most for any partner, and for one that is, at least |dx| / 2 where the partner isn't: so many may be
-    left out of what they meet by.
+    left out of what they meet by. Differences are ordered by how many classes around the hub have them, rare
+    ones first, so a linked pair's first common one is in both beginnings, and all that is common lies from
+    there on in both: the join keeps a match only if what remains of both from its place on could be enough.
     """
     least = lambda a, b: F.ceil(F.lit(num) * (a + b) / F.lit(den + num))
     n_diff = F.size("added") + F.size("gone")
     # the largest partner's difference: its size is at most size * den / num
     most = F.floor(F.col("size") * (den / num - 1) + 1e-9) + 1
     out = F.when(F.col("linked"), F.ceil(n_diff / 2)).otherwise(F.greatest(n_diff - most, F.lit(1)))
-    rows = around.withColumn("diff", F.concat("added", "gone")).withColumn("n_diff", n_diff).withColumn("meet", F.slice("diff", 1, F.greatest(n_diff - out + 1, F.lit(0)).cast("int")))
-    each = rows.select("hub", "sid", "size", "n_diff", "linked", F.explode("meet").alias("gram"))
-    side = lambda x: each.select("hub", "gram", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "n_diff", "linked")])
+    rows = around.select("hub", "sid", "size", "linked", F.concat("added", "gone").alias("diff"), n_diff.alias("n_diff"), (n_diff - out + 1).alias("keep"))
+    # a number for a hub and a gram; two that share one only meet more often
+    each = rows.select("sid", F.explode(F.transform("diff", lambda x: F.xxhash64("hub", x))).alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("n"))
+    ordered = each.join(often, "gram").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("order"))
+    first = rows.join(ordered, "sid").select("hub", "sid", "size", "n_diff", "linked", F.posexplode(F.slice("order", 1, F.greatest("keep", F.lit(0)).cast("int"))).alias("at", "one"))
+    met = written(first.select("hub", "sid", "size", "n_diff", "linked", F.col("one.gram").alias("gram"), (F.col("n_diff") - F.col("at")).alias("rest")), "jaccard-first-differences")
+    side = lambda x: met.select("hub", "gram", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "n_diff", "linked", "rest")])
+    overlap = least(F.col("size_x"), F.col("size_y"))
+    need = F.col("n_diff_x") + F.col("n_diff_y") + 2 * overlap - F.col("size_x") - F.col("size_y")  # twice the least overlap of differences
     both = side("x").where("not linked_x").join(side("y"), ["hub", "gram"]).where("(linked_y and sid_x <> sid_y) or (not linked_y and sid_x < sid_y)")
-    both = both.where((least(F.col("size_x"), F.col("size_y")) <= F.least("size_x", "size_y")))
-    need = F.col("n_diff_x") + F.col("n_diff_y") + 2 * least(F.col("size_x"), F.col("size_y")) - F.col("size_x") - F.col("size_y")  # twice the least overlap
-    open_ = both.where(need <= 2 * F.least("n_diff_x", "n_diff_y")).withColumn("need", need).groupBy(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).agg(F.first("need").alias("need"))
+    both = both.where((overlap <= F.least("size_x", "size_y")) & (need <= 2 * F.least("rest_x", "rest_y")))
+    open_ = both.withColumn("need", need).groupBy(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).agg(F.first("need").alias("need"))
     diffs = lambda x: rows.select(F.col("sid").alias(x), F.col("diff").alias(f"diff_{x}"))
     found = written(open_, "jaccard-near-pairs").join(diffs("a"), "a").join(diffs("b"), "b")
     return found.where(2 * F.size(F.array_intersect("diff_a", "diff_b")) >= F.col("need")).select("a", "b")
@@ -427,7 +431,7 @@ def meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
     number = lambda c: F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
     shared = rows.select(number("sid").alias("node"), number("area").alias("area"), "size", "need", F.explode("grams").alias("gram"))
     split = shared.groupBy("gram").agg(F.min("area").alias("low"), F.max("area").alias("high")).where("low <> high").select("gram")
-    met = written(shared.join(_small(written(split, "jaccard-shared")), "gram", "left_semi").distinct(), "jaccard-met")
+    met = written(shared.join(written(split, "jaccard-shared"), "gram", "left_semi").distinct(), "jaccard-met")
     side = lambda x: met.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "area", "size", "need")])
     both = side("x").join(side("y"), "gram").where("area_x <> area_y and node_x < node_y")
     both = both.where((F.col("size_x") * den >= F.col("size_y") * num) & (F.col("size_y") * den >= F.col("size_x") * num))
@@ -467,9 +471,9 @@ def links_of(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     return links.union(written(verify(pairs, far, n, num, den), "jaccard-links"))
 
 
-def grouped(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def grouped(docs: DataFrame, n: int, num: int, den: int, exact: bool) -> tuple[DataFrame, DataFrame]:
     """The rows of ``signed``, and sid, doc_id (its least), root of each set."""
-    rows = written(signed(docs, heavy_buckets(docs, n), n, num, den), "jaccard-signed")
+    rows = written(signed(docs, heavy_buckets(docs, n), n, num, den, exact), "jaccard-signed")
     names = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     full = rows.where(F.col("grams").isNotNull()).select("sid", "size", "light", "sketch", "grams", "need").dropDuplicates(["sid"])
     classes = written(names.join(full, "sid"), "jaccard-classes")
@@ -477,18 +481,18 @@ def grouped(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, Dat
     return rows, classes.select("sid", "doc_id").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
-def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id."""
-    rows, labelled = grouped(docs.select("doc_id", "text"), n, num, den)
+def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, exact: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id. ``exact``: meet by exact prefixes alone."""
+    rows, labelled = grouped(docs.select("doc_id", "text"), n, num, den, exact)
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = labelled.join(least, "root").select("sid", "component_id")
     found = rows.select("doc_id", F.col("size").alias("n_shingles"), "sid").join(by_class, "sid", "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def named(docs: DataFrame, n: int) -> DataFrame:
-    """``docs`` with the name of each row's set as ``__sid``; null if the set is empty."""
-    names, at = [*docs.columns, "__sid"], docs.columns.index("text")
+def named(docs: DataFrame, n: int, column: str) -> DataFrame:
+    """``docs`` with the name of each row's set as ``column``; null if the set is empty."""
+    names, at = [*docs.columns, column], docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
@@ -496,23 +500,25 @@ def named(docs: DataFrame, n: int) -> DataFrame:
             sid = pa.array([set_name(shingler.hashes(t)) for t in bytes_of(part.column(at))], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, sid], names=names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__sid", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, BinaryType())]))
 
 
-def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, exact: bool = False) -> DataFrame:
     """``docs`` with one row of each component: of its rows with the least id (null ids are last), one of
     the least set. Rows without a set (fewer words than ``n`` needs) stay, and ids may repeat or be null.
     """
-    rows, labelled = grouped(docs.select("doc_id", "text"), n, num, den)
+    rows, labelled = grouped(docs.select("doc_id", "text"), n, num, den, exact)
+    sid, key, kept_sid, kept_id, twice = free_names(docs, "sid", "key", "kept_sid", "kept_id", "twice")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "sid")).alias("first")
-    kept = labelled.groupBy("root").agg(first).select(F.col("first.sid").alias("__kept"), F.col("first.doc_id").alias("__id"))
-    again = rows.where(F.col("sid").isNotNull()).groupBy("sid", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("sid").alias("__of"), F.col("doc_id").alias("__again_id"), F.lit(True).alias("__again"))
-    kept = written(kept.join(again, (F.col("__kept") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__again_id")), "left").select("__kept", "__id", F.coalesce("__again", F.lit(False)).alias("__again")), "jaccard-kept")
+    best = labelled.groupBy("root").agg(first).select(F.col("first.sid").alias(kept_sid), F.col("first.doc_id").alias(kept_id))
+    again = rows.where(F.col("sid").isNotNull()).groupBy("sid", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("sid", "doc_id", F.lit(True).alias(twice))
+    same = (F.col(kept_sid) == again["sid"]) & F.col(kept_id).eqNullSafe(again["doc_id"])
+    kept = written(best.join(again, same, "left").select(kept_sid, kept_id, F.coalesce(twice, F.lit(False)).alias(twice)), "jaccard-kept")
     # rows without a set get keys that differ, so they don't meet in one task; no name is that long
-    key = F.coalesce("__sid", F.concat(F.lit("row without a set "), F.monotonically_increasing_id().cast("string")).cast("binary"))
-    found = named(docs, n).withColumn("__key", key).join(_small(kept), F.col("__key") == F.col("__kept"), "left")
-    single = found.where(F.col("__sid").isNull() | (F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__kept").isNotNull() & ~F.col("__again"))).select(*docs.columns)
-    if kept.where("__again").limit(1).count():
-        twice = found.where(F.col("__again") & F.col("doc_id").eqNullSafe(F.col("__id")))
-        return single.unionByName(twice.dropDuplicates(["__sid"]).select(*docs.columns))
+    lone = F.concat(F.lit("row without a set "), F.monotonically_increasing_id().cast("string")).cast("binary")
+    found = named(docs, n, sid).withColumn(key, F.coalesce(sid, lone)).join(kept, F.col(key) == F.col(kept_sid), "left")
+    chosen = F.col("doc_id").eqNullSafe(F.col(kept_id))
+    single = found.where(F.col(sid).isNull() | (chosen & F.col(kept_sid).isNotNull() & ~F.col(twice))).select(*docs.columns)
+    if kept.where(twice).limit(1).count():
+        return single.unionByName(found.where(F.col(twice) & chosen).dropDuplicates([sid]).select(*docs.columns))
     return single
