@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space of all kinds.
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -12,10 +14,15 @@ def double(value: float) -> Column:
     return F.lit(float(value)).cast("double")
 
 
+def strip(c: Column) -> Column:
+    """Without white space at the ends, of whatever kind."""
+    return F.btrim(c.cast("string"), F.lit(WHITE))
+
+
 def safe_number(c: Column) -> Column:
     """A double, or null for what isn't a finite decimal number (Java suffixes and 'nan' included)."""
     text = c.cast("string")
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(_NUMBER), strip(text).try_cast("double"))
 
 
 def number_or(c: Column, default: float) -> Column:
@@ -29,14 +36,20 @@ def finite(c: Column) -> Column:
 
 def norm_ymd(c: Column) -> Column:
     """Text of a date: trimmed, without a trailing '.0'; numbers as whole numbers; null as ''."""
-    text = F.regexp_replace(F.trim(c.cast("string")), r"\.0$", "")
-    whole = F.floor(safe_number(text)).cast("bigint").cast("string")
-    return F.coalesce(F.when(text.rlike(r"^\d{8}$"), text).otherwise(F.coalesce(whole, text)), F.lit(""))
+    text = F.regexp_replace(strip(c), r"\.0$", "")
+    # worked out once for each row: the text is looked at again and again
+    known = F.transform(F.array(text), lambda t: F.when(t.rlike(r"^\d{8}$"), t).otherwise(F.coalesce(_whole(t), t)))
+    return F.coalesce(F.get(known, F.lit(0)), F.lit(""))
+
+
+def _whole(text: Column) -> Column:
+    """A number without its fraction, towards 0, as text."""
+    return F.when(text.rlike(_NUMBER), text.try_cast("double").try_cast("bigint").cast("string"))
 
 
 def to_ymd(c: Column) -> Column:
     """YYYY-MM-DD becomes YYYYMMDD; anything else stays, trimmed."""
-    text = F.trim(c.cast("string"))
+    text = strip(c)
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.replace(text, F.lit("-"), F.lit(""))).otherwise(text)
 
 
@@ -63,7 +76,7 @@ def add_days(c: Column, days: int) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.nullif(strip(c), F.lit(""))
 
 
 def choose_exec_date(target: Column, trade: Column) -> Column:
@@ -72,7 +85,7 @@ def choose_exec_date(target: Column, trade: Column) -> Column:
 
 def exchange_code(c: Column) -> Column:
     """The suffixes .SZ and .SH become .XSHE and .XSHG; null becomes ''."""
-    text = F.coalesce(F.trim(c.cast("string")), F.lit(""))
+    text = F.coalesce(strip(c), F.lit(""))
     return F.when(text.endswith(".SZ"), F.regexp_replace(text, r"\.SZ$", ".XSHE")).when(text.endswith(".SH"), F.regexp_replace(text, r"\.SH$", ".XSHG")).otherwise(text)
 
 
@@ -103,7 +116,7 @@ def overnight_return(probability: Column, strength: Column, theme: Column, regim
 
 
 def is_risk_off(regime: Column) -> Column:
-    return F.coalesce(F.upper(F.trim(regime)).isin("RISK_OFF", "OFF", "DEFENSE"), F.lit(False))
+    return F.coalesce(F.upper(strip(regime)).isin("RISK_OFF", "OFF", "DEFENSE"), F.lit(False))
 
 
 COST = 8 / 1e4

@@ -27,6 +27,10 @@ class Caps:
     def weight(self) -> float:
         return min(min(self.gross_cap, 1.0) / self.topn, self.w_max)
 
+    def __post_init__(self) -> None:
+        if self.topn <= 0:  # no sensible number: the default
+            object.__setattr__(self, "topn", Caps.topn)
+
     def theme_room(self) -> int:
         """Picks that fit a theme, by adding as a running sum does (division rounds otherwise)."""
         return _additions(self.weight, self.theme_cap, self.topn)

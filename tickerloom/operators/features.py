@@ -73,3 +73,19 @@ def build_features(df: DataFrame, key: str = "trade_date") -> DataFrame:
         scored = scored.withColumnRenamed(f"x____f_{c}", f"x__{c}")
     none = F.lit(None).cast("string")
     return scored.drop(*[f"__f_{c}" for c in used]).withColumns({"risk_volatility": none, "risk_crowding": none, "risk_event": none, "confidence": none})
+
+
+#: Features by name, and columns that are none.
+KNOWN = ("rank_score", "strength_score", "theme_boost", "probability", "final_score", "regime_weight", "turnover_rate", "amount", "vol")
+NOT_FEATURES = (
+    "trade_date", "next_trade_date", "ts_code", "name", "industry", "theme", "real_premium_ret", "close_2", "close_3",
+    "risk_liquidity", "risk_volatility", "risk_crowding", "risk_event", "confidence", "fill_risk_hint",
+)
+
+
+def feature_names(df: DataFrame, prefix: str = "x__") -> list[str]:
+    """The columns a model learns from: found ones, then known ones, in their scaled form; if there is neither, all numbers
+    that aren't a label or a key."""
+    named = [c for c in df.columns if c.startswith(f"{prefix}auto__")] + [f"{prefix}{c}" for c in KNOWN if f"{prefix}{c}" in df.columns]
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    return named or [c for c, kind in df.dtypes if c not in NOT_FEATURES and c != "y" and (kind in numeric or kind.startswith("decimal"))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
@@ -12,14 +13,15 @@ from tickerloom.operators.calendar import next_trade_days
 def forward_labels(bars: DataFrame, max_gap_days: int | None = None) -> DataFrame:
     """trade_date, next_trade_date, ts_code, close_2, close_3, real_premium_ret, pending, reason.
 
-    ``bars``: ts_code, trade_date (date), close. A label is pending while the next day, or the
+    ``bars``: ts_code, trade_date (date), close; one row for a code and day. A label is pending while the next day, or the
     code on that day, has no data.
     """
     days = next_trade_days(bars, "trade_date", max_gap_days)
-    now = bars.select("ts_code", "trade_date", F.col("close").alias("close_2")).join(F.broadcast(days), "trade_date", "left")
-    later = bars.select("ts_code", F.col("trade_date").alias("next_trade_date"), F.col("close").alias("close_3"), F.lit(True).alias("__there"))
-    out = now.join(later, ["ts_code", "next_trade_date"], "left")
-    reason = F.when(F.col("next_trade_date").isNull(), "no_next_day").when(F.col("__there").isNull(), "no_next_bar").when(F.col("close_2").isNull() | F.col("close_3").isNull(), "no_close")
+    then = W.partitionBy("ts_code").orderBy("trade_date")  # a code has one bar for a day
+    now = bars.select("ts_code", "trade_date", F.col("close").alias("close_2"), F.lead("trade_date").over(then).alias("__day"), F.lead("close").over(then).alias("__close"))
+    there = F.coalesce(F.col("__day") == F.col("next_trade_date"), F.lit(False))
+    out = now.join(F.broadcast(days), "trade_date", "left").withColumn("close_3", F.when(there, F.col("__close")))
+    reason = F.when(F.col("next_trade_date").isNull(), "no_next_day").when(~there, "no_next_bar").when(F.col("close_2").isNull() | F.col("close_3").isNull(), "no_close")
     return out.withColumn("reason", reason).select(
         "trade_date", "next_trade_date", "ts_code", "close_2", "close_3", X.forward_return(F.col("close_3"), F.col("close_2")).alias("real_premium_ret"), F.col("reason").isNotNull().alias("pending"), "reason"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -45,12 +46,14 @@ class Model:
 
 
 def load_model(path: str, spark) -> Model | None:
-    """None if there is none that can be read."""
+    """None if there is none; a model that is there and can't be read is an error."""
     try:
         about = json.loads(spark.read.text(f"{path}/about").first()[0])
-        return Model(about["features"], about["constant"], PipelineModel.load(f"{path}/model").stages[0] if about["fitted"] else None)
-    except Exception:  # noqa: BLE001  a missing or broken model means the constant defaults
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    return Model(about["features"], about["constant"], PipelineModel.load(f"{path}/model").stages[0] if about["fitted"] else None)
 
 
 def fit_logistic(df: DataFrame, features: list[str], label: str, max_iter: int = 500) -> Model:

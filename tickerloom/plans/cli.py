@@ -1,46 +1,83 @@
-"""Command line: decide, merge feedback, train or predict premiums."""
+"""Command line: decide, merge feedback, train or predict premiums, check what was written."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from tickerloom.plans import pipelines, reports
-from tickerloom.sources import io
+from tickerloom.plans import pipelines, reports, validate
+from tickerloom.sources import contracts as C
+from tickerloom.sources import io, tables
 from tickerloom.sources.io import Config
+from tickerloom.sources.provenance import RunContext
 from tickerloom.operators.models import load_model
 
 
+def decide(spark: SparkSession, config: Config, context: RunContext, snapshot: str, out: str) -> None:
+    """Candidates and signals go by signal date, weights and the execution table by execution date."""
+    got = pipelines.decide(io.read_snapshot(spark, config.path(snapshot)), config, order="__pos")
+    signal_date, exec_date = got.candidates.agg(F.max("signal_date"), F.max("exec_date")).first()
+    stored = pipelines.candidate_snapshot(got.candidates.drop("__pos"), context, signal_date or "")
+    io.export_dated(stored, f"{out}/candidates", "decision_candidates", signal_date or "unknown", latest=False, bom=True, refuse_empty=True)
+    io.export_dated(got.weights, f"{out}/weights", "weights", exec_date or "unknown", order=["target_rank", "backup_rank"], bom=True)
+    if not got.stopped:
+        C.require_columns(got.signals, ["jq_code", "target_weight", "trade_date", "target_trade_date"], "signals")
+        io.export_dated(got.signals, f"{out}/signals", "top10", signal_date, refuse_empty=True)
+    tables.execution_table(spark, out, exec_date or "").ensure()
+    tables.learning_table(spark, out).ensure()
+    text = reports.decision_report(got.weights, exec_date or "", got.regime, got.risk_budget)
+    io.write_text(f"{out}/decision_report_{exec_date or 'unknown'}.md", text)
+
+
+def merge(spark: SparkSession, out: str, fills: str | None, returns: str | None) -> None:
+    """What has come in goes into the learning table, as its next version."""
+    table = tables.learning_table(spark, out).ensure()
+    read = lambda p: io.read_csv_text(spark, p) if p else None
+    table.write(pipelines.merge_feedback(table.read(), read(fills), read(returns)))
+
+
+def validate_output(spark: SparkSession, out: str) -> list[str]:
+    """What is wrong with the files of ``decide``; an empty list is a pass."""
+
+    def latest(pattern: str):
+        try:
+            return io.read_csv_text(spark, pattern)
+        except AnalysisException:
+            return None
+
+    found = {"candidates": latest(f"{out}/candidates/decision_candidates_*.csv"), "weights": latest(f"{out}/weights/weights_latest.csv"), "signals": latest(f"{out}/signals/top10_latest.csv")}
+    found["learning"] = tables.learning_table(spark, out).read()
+    return validate.problems(found, {k: v for k, v in validate.DECISION_CONTRACTS.items() if k in found})
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("command", choices=["decide", "train", "predict", "all", "merge"])
+    parser.add_argument("command", choices=["decide", "train", "predict", "all", "merge", "validate"])
     parser.add_argument("--snapshot", default="data/pred/pred_source_latest.csv")
     parser.add_argument("--fills")
     parser.add_argument("--returns")
     parser.add_argument("--out", default="out")
     args = parser.parse_args(argv)
     config = Config.from_env()
-    spark = SparkSession.builder.appName("tickerloom").getOrCreate()
+    spark, context = SparkSession.builder.appName("tickerloom").getOrCreate(), RunContext.here(root=config.root)
     if args.command == "decide":
-        got = pipelines.decide(io.read_snapshot(spark, config.path(args.snapshot)), config, order="__pos")
-        date = got.weights.agg({"exec_date": "min"}).first()[0]
-        io.export_dated(got.candidates.drop("__pos"), f"{args.out}/candidates", "decision_candidates", date, bom=True, refuse_empty=True)
-        io.export_dated(got.weights, f"{args.out}/weights", "weights", date or "unknown", order=["target_rank", "backup_rank"], bom=True)
-        if not got.stopped:
-            io.export_dated(got.signals, f"{args.out}/signals", "top10", date, refuse_empty=True)
-        io.write_text(f"{args.out}/decision_report_{date}.md", reports.decision_report(got.weights, date or "", "RISK_ON", 1.0))
+        decide(spark, config, context, args.snapshot, args.out)
         return 0
     if args.command == "merge":
-        base = spark.read.parquet(f"{args.out}/learning")
-        read = lambda p: io.read_csv_text(spark, p) if p else None
-        pipelines.merge_feedback(base, read(args.fills), read(args.returns)).write.mode("overwrite").parquet(f"{args.out}/learning_next")
+        merge(spark, args.out, args.fills, args.returns)
         return 0
+    if args.command == "validate":
+        found = validate_output(spark, args.out)
+        print("\n".join(found) or "ok")
+        return 1 if found else 0
     decisions = io.read_decision_inputs(spark, config.path(config.candidates_glob))
     if args.command in ("train", "all"):
         bars = spark.read.parquet(config.path(config.market_dir))
-        fitted = pipelines.premium_train(decisions, bars, config)
+        fitted = pipelines.premium_train(decisions, bars, config, context)
         if fitted is None:
             print("too few days to train")  # not an error: the job runs daily from day one
         else:
@@ -48,7 +85,7 @@ def main(argv: list[str] | None = None) -> int:
             fitted[1].save(f"{args.out}/model_ret", spark)
             io.append_history(fitted[2], f"{args.out}/eval_history")
     if args.command in ("predict", "all"):
-        ranked = pipelines.premium_predict(decisions, load_model(f"{args.out}/model_up", spark), load_model(f"{args.out}/model_ret", spark))
+        ranked = pipelines.premium_predict(decisions, load_model(f"{args.out}/model_up", spark), load_model(f"{args.out}/model_ret", spark), context=context)
         io.write_partitioned(ranked, f"{args.out}/rank", "trade_date")
     return 0
 

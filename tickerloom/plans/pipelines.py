@@ -13,6 +13,7 @@ from tickerloom.operators import allocation, evaluation, features, feedback, lab
 from tickerloom.operators.calendar import last_days
 from tickerloom.sources import contracts as C
 from tickerloom.sources.io import Config
+from tickerloom.sources.provenance import RunContext
 
 #: A strategy changes a candidate table; a regime and a guardrail answer from it.
 Strategy = Callable[[DataFrame], DataFrame]
@@ -35,6 +36,8 @@ class Decision:
     candidates: DataFrame
     weights: DataFrame
     signals: DataFrame
+    regime: str = "RISK_ON"
+    risk_budget: float = 1.0
     stopped: bool = False
 
 
@@ -45,23 +48,40 @@ def decide(snapshot: DataFrame, config: Config = Config(), order: str = "rank",
     mood, budget = regime(df)
     df = scoring.first_rows(strategy(df), order, config.topn, config.topk)
     dates = df.withColumns({"signal_date": X.norm_ymd(F.col("trade_date")), "exec_date": X.norm_ymd(X.choose_exec_date(F.col("target_trade_date").cast("string"), F.col("trade_date").cast("string"))), "exit_date": F.lit("")})
-    scored = allocation.pick_theme(scoring.score_ev(dates, mood)).withColumns({"regime": F.lit(mood), "risk_budget": X.double(budget)})
+    stop = guardrail(df)
+    valued = scoring.score_ev(dates, mood)
+    if stop:  # a stop keeps cost and penalty and predicts nothing
+        valued = valued.withColumns({c: X.double(0) for c in ("p_fill_pred", "e_ret_pred", "ev_pred")})
+    scored = allocation.pick_theme(valued).withColumns({"regime": F.lit(mood), "risk_budget": X.double(budget)})
     caps = allocation.Caps(config.topn, config.w_max, config.theme_cap, config.gross_cap)
     ranked = allocation.capped_top_n(scored, caps)
-    stop = guardrail(df)
     if stop:
         ranked = ranked.where(F.lit(False))
     weights = C.align_to_schema(ranked, C.WEIGHTS)
     out = allocation.signals(ranked, F.col("signal_date"), F.col("exec_date"), mood, budget)
-    return Decision(scored, weights, out, stop)
+    return Decision(scored, weights, out, mood, budget, stop)
+
+
+def candidate_snapshot(candidates: DataFrame, context: RunContext, signal_date: str = "") -> DataFrame:
+    """Candidates as they are stored: absent explain and audit columns get their defaults, and if every signal_date is
+    blank, all are ``signal_date``."""
+    C.require_columns(candidates, ["ts_code"], "candidates")
+    lacking = {c: F.lit(v) for c, v in C.CANDIDATE_DEFAULTS.items() if c not in candidates.columns}
+    out = context.stamp(candidates.withColumns(lacking), "generated_at_bjt", "commit_sha")
+    blank = X.blank_to_null(F.col("signal_date")).isNull()
+    if signal_date and out.agg(F.bool_and(blank)).first()[0]:
+        out = out.withColumn("signal_date", X.norm_ymd(F.lit(signal_date)))
+    return out
 
 
 def merge_feedback(learning: DataFrame, fills: DataFrame | None, returns: DataFrame | None) -> DataFrame:
+    """The learning table with what has come in; of a file's rows of one key the last one counts."""
     out = C.align_to_schema(learning, C.LEARNING)
+    placed = lambda df: df.withColumn(feedback.PLACE, F.monotonically_increasing_id())
     if fills is not None:
-        out = feedback.upsert(out, feedback.fill_patch(C.require_columns(fills, ["exec_date", "ts_code", "target_amount", "filled_amount"], "fills")))
+        out = feedback.upsert(out, feedback.fill_patch(placed(C.require_columns(fills, ["exec_date", "ts_code", "target_amount", "filled_amount"], "fills"))))
     if returns is not None:
-        out = feedback.upsert(out, feedback.return_patch(C.require_columns(returns, ["exec_date", "ts_code", "sell_price", "ret_exec"], "returns")))
+        out = feedback.upsert(out, feedback.return_patch(placed(C.require_columns(returns, ["exec_date", "ts_code", "sell_price", "ret_exec"], "returns"))))
     return C.align_to_schema(out, C.LEARNING)
 
 
@@ -70,7 +90,7 @@ def premium_features(decisions: DataFrame) -> DataFrame:
     return features.build_features(df.withColumn("trade_date", X.parse_ymd(F.col("trade_date"))).where(F.col("trade_date").isNotNull()))
 
 
-def premium_train(decisions: DataFrame, bars: DataFrame, config: Config = Config()):
+def premium_train(decisions: DataFrame, bars: DataFrame, config: Config = Config(), context: RunContext | None = None):
     """(classifier, regressor, evaluation of the last day) or None with too few days."""
     built = premium_features(decisions)
     bar_days = bars.withColumn("trade_date", X.ymd_date(F.col("trade_date")))
@@ -81,18 +101,22 @@ def premium_train(decisions: DataFrame, bars: DataFrame, config: Config = Config
     if days < config.min_train_days:
         rows.unpersist()
         return None
-    names = sorted(c for c in rows.columns if c.startswith("x__"))
+    names = features.feature_names(rows)
     up = models.fit_logistic(rows, names, "y")
     ret = models.fit_boosted(rows, names, "real_premium_ret", config.boosting_rounds, max(30, 5 * config.min_train_days))
     scored = models.predict(rows.where(F.col("trade_date") == last), up, ret)
     both = evaluation.evaluate(scored, "pred_ev", "real_premium_ret", k=config.eval_k).join(evaluation.rank_ic(scored, "pred_ev", "real_premium_ret").drop("n"), "trade_date")
+    if context is not None:
+        both = context.stamp(both, "run_id", "commit_sha", "created_at_utc", "model_version")
     return up, ret, C.align_to_schema(both, C.EVAL_HISTORY)
 
 
-def premium_predict(decisions: DataFrame, up=None, ret=None, real: DataFrame | None = None) -> DataFrame:
+def premium_predict(decisions: DataFrame, up=None, ret=None, real: DataFrame | None = None, context: RunContext | None = None) -> DataFrame:
     """Ranked predictions of every day in ``decisions``, in the rank contract."""
     scored = models.predict(premium_features(decisions), up, ret)
     if real is not None:
         scored = scored.join(real.select("trade_date", "ts_code", "next_trade_date", "real_premium_ret"), ["trade_date", "ts_code"], "left")
     ranked = allocation.rank_desc(scored, "pred_ev", "ts_code", ("trade_date",), "rank_pred_ev").withColumnRenamed("rank", "decision_rank")
+    if context is not None:
+        ranked = context.stamp(ranked, "run_id", "commit_sha", "created_at_utc", "model_version", "data_snapshot")
     return C.align_to_schema(ranked, C.RANK)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
 from tickerloom.operators import allocation, calendar, evaluation, features, feedback, labels, models, scoring
+from tickerloom.plans import validate
 from tickerloom.sources import contracts as C
 
 QUERIES: dict = {}
@@ -191,29 +192,42 @@ def q_rank_pred_ev(spark, d):
 
 # ---------------------------------------------------------------- scalars and contracts
 
+#: Texts made of every event's day, and of its numbers, in several forms; the same on both sides.
 def _dates():
-    return F.element_at(F.array(*[F.lit(x) for x in (" 20260227 ", "20260227.0", "2026-02-27", "2.0260227e7", "", "bad", "20260228")]), (F.col("event_id") % 7 + 1).cast("int"))
-_DATES_SQL = "[' 20260227 ', '20260227.0', '2026-02-27', '2.0260227e7', '', 'bad', '20260228'][event_id % 7 + 1]"
-_NORM_SQL = f"(SELECT event_id, v, regexp_replace(trim(v), '\\.0$', '') AS t FROM (SELECT event_id, {_DATES_SQL} AS v FROM events))"
+    day, iso = F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "yyyy-MM-dd")
+    forms = (F.concat(F.lit(" \t"), day, F.lit(" ")), F.concat(day, F.lit(".0")), iso, F.concat(F.substring(day, 1, 1), F.lit("."), F.substring(day, 2, 7), F.lit("e7")), F.concat(day, F.lit(".75")), F.lit(""), F.concat(F.lit("bad"), day))
+    return F.element_at(F.array(*forms), (F.col("event_id") % 7 + 1).cast("int"))
 
 
-@query(f"SELECT event_id, CASE WHEN regexp_full_match(t, '\\d{{8}}') THEN t WHEN t LIKE '%e7' THEN CAST(CAST(CAST(t AS DOUBLE) AS BIGINT) AS VARCHAR) ELSE t END AS ymd FROM {_NORM_SQL}".replace("CAST(CAST(t AS DOUBLE)", "CAST(TRY_CAST(t AS DOUBLE)"))
+def _numbers():
+    n = F.concat(F.col("user_id").cast("string"), F.lit("."), (F.col("event_id") % 100).cast("string"))
+    forms = (n, F.concat(F.lit(" "), n, F.lit("\t")), F.concat(n, F.lit("e2")), F.concat(n, F.lit("d")), F.concat(F.lit("-."), F.col("user_id").cast("string")), F.lit(""), F.concat(F.lit("1,"), n), F.lit("nan"))
+    return F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+
+
+_NUMBER_SQL = "'[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?'"
+_STRIP_SQL = "trim({0}, ' ' || chr(9))"
+_DATES_SQL = "[' ' || chr(9) || d || ' ', d || '.0', i, d[1] || '.' || d[2:] || 'e7', d || '.75', '', 'bad' || d][event_id % 7 + 1]"
+_NORM_SQL = f"""(SELECT event_id, v, regexp_replace({_STRIP_SQL.format('v')}, '\\.0$', '') AS t FROM (SELECT event_id, {_DATES_SQL} AS v
+  FROM (SELECT event_id, strftime(ts, '%Y%m%d') AS d, strftime(ts, '%Y-%m-%d') AS i FROM events)))"""
+
+
+@query(f"SELECT event_id, CASE WHEN regexp_full_match(t, '\\d{{8}}') THEN t WHEN regexp_full_match(t, {_NUMBER_SQL}) THEN CAST(CAST(trunc(CAST(t AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE t END AS ymd FROM {_NORM_SQL}".replace("CAST(t AS DOUBLE)", "TRY_CAST(t AS DOUBLE)"))
 def q_norm_ymd(spark, d):
     return table(spark, d, "events").select("event_id", X.norm_ymd(_dates()).alias("ymd"))
 
 
-@query(f"SELECT event_id, CASE WHEN regexp_full_match(trim(v), '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN replace(trim(v), '-', '') ELSE trim(v) END AS ymd, coalesce(nullif(trim(v), ''), '20260101') AS exec_date FROM {_NORM_SQL}")
+@query(f"SELECT event_id, CASE WHEN regexp_full_match(s, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN replace(s, '-', '') ELSE s END AS ymd, coalesce(nullif(s, ''), '20260101') AS exec_date FROM (SELECT event_id, {_STRIP_SQL.format('v')} AS s FROM {_NORM_SQL})")
 def q_to_ymd(spark, d):
     return table(spark, d, "events").select("event_id", X.to_ymd(_dates()).alias("ymd"), X.choose_exec_date(_dates(), F.lit("20260101")).alias("exec_date"))
 
 
-_NUMS = ("3.5", " 2 ", "1e3", "3d", "nan", "", "1,000", "-.5")
-
-
-@query("SELECT event_id, [3.5, 2.0, 1000.0, NULL, NULL, NULL, NULL, -0.5][event_id % 8 + 1]::DOUBLE AS number, coalesce([3.5, 2.0, 1000.0, NULL, NULL, NULL, NULL, -0.5][event_id % 8 + 1]::DOUBLE, 0) AS number_or_0 FROM events")
+@query(f"""WITH v AS (SELECT event_id, user_id || '.' || event_id % 100 AS n, CAST(user_id AS VARCHAR) AS u FROM events),
+t AS (SELECT event_id, {_STRIP_SQL.format("[n, ' ' || n || chr(9), n || 'e2', n || 'd', '-.' || u, '', '1,' || n, 'nan'][event_id % 8 + 1]")} AS t FROM v),
+x AS (SELECT event_id, CASE WHEN regexp_full_match(t, {_NUMBER_SQL}) THEN TRY_CAST(t AS DOUBLE) END AS number FROM t)
+SELECT event_id, number, coalesce(number, 0) AS number_or_0 FROM x""")
 def q_safe_number(spark, d):
-    text = F.element_at(F.array(*[F.lit(x) for x in _NUMS]), (F.col("event_id") % 8 + 1).cast("int"))
-    return table(spark, d, "events").select("event_id", X.safe_number(text).alias("number"), X.number_or(text, 0).alias("number_or_0"))
+    return table(spark, d, "events").select("event_id", X.safe_number(_numbers()).alias("number"), X.number_or(_numbers(), 0).alias("number_or_0"))
 
 
 @query("SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) + 10, '%Y%m%d') AS later, strftime(o_orderdate, '%Y') AS year FROM orders")
@@ -239,10 +253,10 @@ def q_alias_resolve(spark, d):
     return C.resolve_aliases(df, C.DECISION_REQUIRED, C.DECISION_OPTIONAL).select("trade_date", "ts_code", "name", "rank", "probability")
 
 
-@query("SELECT p_type, arg_min(CASE WHEN p_size > 10 THEN p_name END, p_partkey) FILTER (WHERE p_size > 10) AS first_name FROM part GROUP BY p_type")
+@query("SELECT p_type, arg_min(p_name, p_partkey) FILTER (WHERE p_size > 10) AS first_value FROM part GROUP BY p_type")
 def q_first_value(spark, d):
     named = table(spark, d, "part").withColumn("n", F.when(F.col("p_size") > 10, F.col("p_name")))
-    return named.groupBy("p_type").agg(F.min_by("n", F.when(F.col("n").isNotNull(), F.col("p_partkey"))).alias("first_name"))
+    return validate.first_values(named, "n", "p_partkey", ("p_type",))
 
 
 # ---------------------------------------------------------------- bars, calendar, labels
@@ -261,10 +275,12 @@ def q_next_trade_day(spark, d):
     return calendar.next_trade_days(bars(spark, d))
 
 
-@query("""WITH days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS trade_date FROM orders WHERE o_orderkey % 97 = 0)
+@query("""WITH days AS (SELECT DISTINCT make_date(year(o_orderdate), month(o_orderdate), CASE WHEN day(o_orderdate) <= 10 THEN 1 ELSE 11 END) AS trade_date FROM orders)
 SELECT a.trade_date, min(b.trade_date) AS next_trade_date FROM days a LEFT JOIN days b ON b.trade_date > a.trade_date AND b.trade_date <= a.trade_date + 10 GROUP BY 1""")
 def q_next_day_probe10(spark, d):
-    sparse = table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderdate").cast("date").alias("trade_date"))
+    """A sparse calendar of all orders: the 1st and the 11th of each month, so every other gap is within ten days."""
+    day = F.when(F.dayofmonth("o_orderdate") <= 10, 1).otherwise(11)
+    sparse = table(spark, d, "orders").select(F.make_date(F.year("o_orderdate"), F.month("o_orderdate"), day).alias("trade_date"))
     return calendar.next_trade_days(sparse, max_gap_days=10)
 
 
@@ -317,8 +333,10 @@ def q_liquidity_flag(spark, d):
     return features.liquidity_flag(bars(spark, d), "amount", ("trade_date",)).select("ts_code", "trade_date", "risk_liquidity")
 
 
-@query("""SELECT 'value' AS "column", CAST(1 AS DOUBLE) AS share UNION ALL SELECT 'event_type', 0 UNION ALL SELECT 'props', 0 UNION ALL
-SELECT 'half', round(avg(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END), 6) FROM events""")
+_SHARE_SQL = "SELECT '{0}' AS \"column\", round(avg(CASE WHEN regexp_full_match(trim(CAST({0} AS VARCHAR)), {1}) THEN 1.0 ELSE 0.0 END), 6) AS share FROM e"
+
+
+@query("WITH e AS (SELECT *, CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'x' END AS half FROM events) " + " UNION ALL ".join(_SHARE_SQL.format(c, _NUMBER_SQL) for c in ("value", "event_type", "props", "half")))
 def q_auto_numeric_ratio(spark, d):
     e = table(spark, d, "events").withColumn("half", F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("x"))
     return features.numeric_shares(e, ["value", "event_type", "props", "half"]).select("column", r("share").alias("share"))
@@ -379,30 +397,40 @@ def q_fill_patch(spark, d):
     return feedback.fill_patch(_fills(spark, d))
 
 
+#: The learning table is made of all parts, the patch of all customers; every other number up to a point is a key of both.
 def _base(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    return o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("exec_date"), F.col("o_orderkey").cast("string").alias("ts_code"), F.col("o_orderpriority").alias("name"), X.double(-1).alias("buy_price"), X.double(0).alias("ev_pred"))
+    return table(spark, d, "part").select(F.lit("2026-02-27").alias("exec_date"), F.col("p_partkey").cast("string").alias("ts_code"), F.col("p_name").alias("name"), X.double(-1).alias("buy_price"), X.double(0).alias("ev_pred"))
+
+
+def _patch(spark, d):
+    c = table(spark, d, "customer")
+    return feedback.fill_patch(
+        c.select(F.lit("2026-02-27 ").alias("exec_date"), (2 * F.col("c_custkey")).cast("string").alias("ts_code"), F.when(F.col("c_custkey") % 11 == 0, 0).otherwise(1000).cast("double").alias("target_amount"), (F.col("c_custkey") % 1500).cast("double").alias("filled_amount"), F.col("c_acctbal").alias("buy_price"))
+    )
+
+
+_PATCH = """p AS (SELECT CAST(2 * c_custkey AS VARCHAR) AS ts_code, CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE least(1.0, (c_custkey % 1500) / 1000.0) END::DOUBLE AS fill_rate_real, CAST(c_acctbal AS DOUBLE) AS buy_price FROM customer),
+b AS (SELECT CAST(p_partkey AS VARCHAR) AS ts_code, p_name AS name FROM part)"""
 
 
-@query(f"""WITH {_FILLS}, b AS (SELECT * FROM orders WHERE o_orderkey % 3 = 0), p AS (SELECT * FROM f WHERE o_orderkey % 2 = 0)
-SELECT coalesce(strftime(b.o_orderdate, '%Y-%m-%d'), p.exec_date) AS exec_date, coalesce(CAST(b.o_orderkey AS VARCHAR), p.ts_code) AS ts_code, b.o_orderpriority AS name, coalesce(p.buy_price, CASE WHEN b.o_orderkey IS NOT NULL THEN -1 END)::DOUBLE AS buy_price,
-CASE WHEN b.o_orderkey IS NOT NULL THEN 0.0 END::DOUBLE AS ev_pred, p.fill_rate_real, CASE WHEN p.fill_rate_real > 0 THEN 1 WHEN p.fill_rate_real = 0 THEN 0 END AS filled_flag FROM b FULL JOIN p ON b.o_orderkey = p.o_orderkey""")
+@query(f"""WITH {_PATCH} SELECT '2026-02-27' AS exec_date, coalesce(b.ts_code, p.ts_code) AS ts_code, b.name, coalesce(p.buy_price, -1)::DOUBLE AS buy_price, CASE WHEN b.ts_code IS NOT NULL THEN 0.0 END::DOUBLE AS ev_pred,
+p.fill_rate_real, CASE WHEN p.fill_rate_real > 0 THEN 1 WHEN p.fill_rate_real = 0 THEN 0 END AS filled_flag FROM b FULL JOIN p ON b.ts_code = p.ts_code""")
 def q_upsert_learning(spark, d):
-    patch = feedback.fill_patch(_fills(spark, d).where("o_orderkey % 2 = 0"))
-    return feedback.upsert(_base(spark, d), patch)
+    return feedback.upsert(_base(spark, d), _patch(spark, d))
 
 
-@query("SELECT count(*) FILTER (WHERE o_orderkey % 3 = 0) AS updated, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS inserted FROM orders WHERE o_orderkey % 2 = 0")
+@query(f"WITH {_PATCH} SELECT count(b.ts_code) AS updated, count(*) - count(b.ts_code) AS inserted FROM p LEFT JOIN b ON b.ts_code = p.ts_code")
 def q_upsert_counts(spark, d):
-    return feedback.upsert_counts(_base(spark, d), feedback.fill_patch(_fills(spark, d).where("o_orderkey % 2 = 0")))
+    return feedback.upsert_counts(_base(spark, d), _patch(spark, d))
 
 
 # ---------------------------------------------------------------- models
 
 
-@query(f"WITH {BARS} SELECT ts_code, trade_date, CAST(0.5 AS DOUBLE) AS pred_up_prob, CAST(0 AS DOUBLE) AS pred_ret_mean, CAST(0 AS DOUBLE) AS pred_ev FROM bars")
+@query(f"WITH {BARS} SELECT ts_code, trade_date, CAST(0.5 AS DOUBLE) AS pred_up_prob, CAST(0 AS DOUBLE) AS pred_ret_mean, CAST(0 AS DOUBLE) AS pred_ev, row_number() OVER (PARTITION BY trade_date ORDER BY ts_code) AS rank_pred_ev FROM bars")
 def q_premium_rank_constant(spark, d):
-    return models.predict(bars(spark, d), None, None).select("ts_code", "trade_date", "pred_up_prob", "pred_ret_mean", "pred_ev")
+    ranked = allocation.rank_desc(models.predict(bars(spark, d), None, None), "pred_ev", "ts_code", ("trade_date",), "rank_pred_ev")
+    return ranked.select("ts_code", "trade_date", "pred_up_prob", "pred_ret_mean", "pred_ev", F.col("rank_pred_ev").cast("long").alias("rank_pred_ev"))
 
 
 def _training(spark, d):

@@ -9,9 +9,13 @@ from tickerloom.functions import scalars as X
 from tickerloom.sources import contracts as C
 
 
+def first_values(df: DataFrame, column: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The first non-null value by ``order``, as ``first_value``, for each key; null if a key has none."""
+    return df.groupBy(*keys).agg(F.min_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("first_value"))
+
+
 def first_value(df: DataFrame, column: str, order: str):
-    """The first non-null value by ``order``."""
-    return df.where(F.col(column).isNotNull()).agg(F.min_by(column, order)).first()[0]
+    return first_values(df, column, order).first()[0]
 
 
 def problems(tables: dict[str, DataFrame | None], contracts: dict[str, list[str]]) -> list[str]:

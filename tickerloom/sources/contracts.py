@@ -60,6 +60,20 @@ DECISION_OPTIONAL = {
     "fill_risk_hint": ("fill_risk_hint", "fillrisk", "成交风险", "买不到风险"),
 }
 CLOSE_REQUIRED = {**DECISION_REQUIRED, "close": ("close", "close_price", "收盘价")}
+CLOSE_OPTIONAL = {
+    "open": ("open", "开盘价"),
+    "high": ("high", "最高价"),
+    "low": ("low", "最低价"),
+    "pre_close": ("pre_close", "昨收", "前收盘"),
+    "pct_chg": ("pct_chg", "pct_change", "涨跌幅"),
+    "amount": ("amount", "成交额"),
+    "vol": ("vol", "volume", "成交量"),
+}
+#: What a candidate snapshot has beside its own columns, and the value of those that it lacks.
+CANDIDATE_DEFAULTS = {
+    "signal_date": "", "exec_date": "", "exit_date": "", "p_fill_pred": 0.0, "e_ret_pred": 0.0, "cost_est": 0.0, "risk_penalty": 0.0, "ev_pred": 0.0,
+    "weight_exec": "", "regime": "", "risk_budget": "", "version": 1, "name": "",
+}
 
 
 class ContractError(ValueError):

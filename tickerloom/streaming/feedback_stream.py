@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tickerloom.operators.feedback import KEY, upsert
-
-
-class VersionedTable:
-    """A keyed table as numbered parquet versions; a pointer file names the current one.
-
-    A batch writes version <batch id> and then moves the pointer, so a repeated batch after a
-    failure starts from the version before it and ends in the same state.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _pointers(self) -> list[tuple[int, str]]:
-        try:
-            rows = self.spark.read.schema("batch long, folder string").json(f"{self.path}/pointers").collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return []
-        return sorted((r["batch"], r["folder"]) for r in rows)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        known = [p for p in self._pointers() if before is None or p[0] < before]
-        if not known:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{known[-1][1]}")
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        folder = f"v{batch:010d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{folder}")
-        self.spark.createDataFrame([(batch, folder)], "batch long, folder string").coalesce(1).write.mode("append").json(f"{self.path}/pointers")
+from tickerloom.sources.tables import VersionedTable
 
 
 def start_upserts(changes: DataFrame, table: VersionedTable, to_patch: Callable[[DataFrame], DataFrame], checkpoint: str, keys: tuple[str, ...] = KEY) -> StreamingQuery:
