@@ -53,9 +53,9 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
-def hash_share(column: str, share: float) -> Column:
-    """True for about ``share`` of the rows, always the same ones."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+def hash_share(share: float, *columns: str) -> Column:
+    """True for about ``share`` of the rows, always the same ones; name columns enough that no value of theirs is frequent."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:

@@ -47,13 +47,15 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, free_names, written
 
-#: Buckets and slices of the hashed counts.
+#: Buckets and slices of the hashed counts; also buckets of marks.
 BUCKETS, SLICES = 1 << 20, 16
 #: Sketch: values, bands of values that must agree to suggest a hub, and values that must agree then.
 SKETCH, BANDS, AGREE = 16, 8, 6
 #: N-grams of lowest hash that a set looks at, shared ones that a pair must show, and the
 #: probability that a linked pair shows fewer (that of two n-grams' hashes being equal is 5e-20 a pair).
 LOWEST, NEED, MISS = 64, 4, 1e-15
+#: Hashes that a task holds before it counts them, and rows of texts that it looks at together.
+HELD, ROWS = 1_000_000, 256
 #: Least similarity to its hub at which a class keeps its differences.
 AROUND = 0.3
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -255,7 +257,7 @@ def heavy_buckets(docs: DataFrame, n: int) -> np.ndarray:
                 if text and once(hashlib.blake2b(text, digest_size=16).digest()):
                     held.append(shingler.hashes(text))
                     size += len(held[-1])
-                    if size > 4_000_000:
+                    if size > HELD:
                         add()
                         size = 0
         add()
@@ -275,7 +277,7 @@ def set_name(h: np.ndarray) -> bytes | None:
 
 
 def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int, exact: bool = False) -> DataFrame:
-    """doc_id, size, sid (name of the set; null if empty), and where a task meets a set for the first
+    """``docs`` (doc_id, mark, text) -> doc_id, mark, size, sid (name of the set; null if empty), and where a task meets a set for the first
     time: light (share of light n-grams), sketch, grams, need."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
 
@@ -298,19 +300,23 @@ def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int, exact
                 grams.append(own.view(np.int64))
                 need.append(least)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sid, pa.binary()), pa.array(light, pa.float64()), pa.array(sketch, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64())), pa.array(need, pa.int64())],
-                names=["doc_id", "size", "sid", "light", "sketch", "grams", "need"],
+                [part.column("doc_id"), part.column("mark"), pa.array(size, pa.int64()), pa.array(sid, pa.binary()), pa.array(light, pa.float64()), pa.array(sketch, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64())), pa.array(need, pa.int64())],
+                names=["doc_id", "mark", "size", "sid", "light", "sketch", "grams", "need"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, size long, sid binary, light double, sketch array<int>, grams array<long>, need long")
+    return docs.mapInArrow(run, f"doc_id {kind}, mark long, size long, sid binary, light double, sketch array<int>, grams array<long>, need long")
 
 
 def text_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, text of the wanted classes; ``wanted``: sid, doc_id of one row. Rows of equal ids may differ,
-    so a class may come with several texts, of which ``sets_of`` takes the right ones."""
-    w = written(wanted.select("sid", F.col("doc_id").alias("of")), "jaccard-wanted")
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(w, F.col("doc_id").eqNullSafe(F.col("of"))).select("sid", F.col("text").cast("binary").alias("text"))
+    """sid, text of the wanted classes; ``docs``: mark, text; ``wanted``: sid, mark of one row. Rows of equal id and
+    text have one mark and come once, so neither a frequent id nor a frequent text meets itself."""
+    w = written(wanted, "jaccard-wanted")
+    bucket = F.pmod("mark", F.lit(BUCKETS))
+    # at most BUCKETS numbers, so they can be broadcast; most texts that aren't wanted then don't move
+    some = w.select(bucket.alias("bucket")).distinct()
+    near = docs.where(F.col("text").isNotNull()).join(F.broadcast(some), bucket == F.col("bucket"), "left_semi")
+    return near.groupBy("mark").agg(F.any_value(F.col("text").cast("binary")).alias("text")).join(w, "mark").select("sid", "text")
 
 
 def sets_of(shingler: Shingler, names: list[bytes], texts: pa.Array) -> list[np.ndarray | None]:
@@ -325,12 +331,19 @@ def sets_of(shingler: Shingler, names: list[bytes], texts: pa.Array) -> list[np.
     return out
 
 
+def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few at a time: texts and sets of many rows together are large."""
+    for part in parts:
+        for at in range(0, part.num_rows, ROWS):
+            yield part.slice(at, ROWS)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """a, b -> the linked ones among them. Each probe's partners go through a prefix tree."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for part in parts:
+        for part in slices(parts):
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
             of_a, of_b = sets_of(shingler, a, part.column("of_a")), sets_of(shingler, b, part.column("of_b"))
             by_probe: dict[bytes, list[int]] = {}
@@ -368,7 +381,7 @@ def differences(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for part in parts:
+        for part in slices(parts):
             names, hubs = part.column("sid").to_pylist(), part.column("hub").to_pylist()
             rows = []
             for sid, hub, x, c in zip(names, hubs, sets_of(shingler, names, part.column("of_sid")), sets_of(shingler, hubs, part.column("of_hub"))):
@@ -460,7 +473,7 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """a, b: links between classes, enough to connect all that links connect."""
     ids = lambda *columns: functools.reduce(DataFrame.union, [c.toDF("sid") for c in columns]).distinct()
-    texts = lambda wanted: text_table(docs, classes.join(wanted, "sid", "left_semi").select("sid", "doc_id"))
+    texts = lambda wanted: text_table(docs, classes.join(wanted, "sid", "left_semi").select("sid", "mark"))
     hubs = written(suggested(classes), "jaccard-hubs")
     near = written(texts(ids(hubs.select("sid"), hubs.select("hub"))), "jaccard-hub-texts")
     around = written(differences(hubs, near, n, num, den), "jaccard-around")
@@ -473,8 +486,10 @@ def links_of(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
 
 def grouped(docs: DataFrame, n: int, num: int, den: int, exact: bool) -> tuple[DataFrame, DataFrame]:
     """The rows of ``signed``, and sid, doc_id (its least), root of each set."""
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
     rows = written(signed(docs, heavy_buckets(docs, n), n, num, den, exact), "jaccard-signed")
-    names = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")).alias("first")
+    names = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(least).select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
     full = rows.where(F.col("grams").isNotNull()).select("sid", "size", "light", "sketch", "grams", "need").dropDuplicates(["sid"])
     classes = written(names.join(full, "sid"), "jaccard-classes")
     roots = components(links_of(docs, classes, n, num, den))
@@ -483,7 +498,7 @@ def grouped(docs: DataFrame, n: int, num: int, den: int, exact: bool) -> tuple[D
 
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, exact: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id. ``exact``: meet by exact prefixes alone."""
-    rows, labelled = grouped(docs.select("doc_id", "text"), n, num, den, exact)
+    rows, labelled = grouped(docs, n, num, den, exact)
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = labelled.join(least, "root").select("sid", "component_id")
     found = rows.select("doc_id", F.col("size").alias("n_shingles"), "sid").join(by_class, "sid", "left")
@@ -507,7 +522,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, exac
     """``docs`` with one row of each component: of its rows with the least id (null ids are last), one of
     the least set. Rows without a set (fewer words than ``n`` needs) stay, and ids may repeat or be null.
     """
-    rows, labelled = grouped(docs.select("doc_id", "text"), n, num, den, exact)
+    rows, labelled = grouped(docs, n, num, den, exact)
     sid, key, kept_sid, kept_id, twice = free_names(docs, "sid", "key", "kept_sid", "kept_id", "twice")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "sid")).alias("first")
     best = labelled.groupBy("root").agg(first).select(F.col("first.sid").alias(kept_sid), F.col("first.doc_id").alias(kept_id))

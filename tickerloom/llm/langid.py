@@ -1,20 +1,20 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Every n-gram of 1 to 3 lower-cased characters falls into one of 65,536 buckets.
-Training counts buckets by language on a bounded, stratified sample (``per_lang``
-documents of each language, picked by a hash of the id; whole texts). The
+Training counts buckets by language on a bounded, stratified sample (about ``per_lang``
+documents of each language, picked by a hash of id and text; whole texts). The
 log-probability matrix (buckets x languages) is broadcast; a task turns a block of
 documents into a sparse matrix of bucket ids (row pointers and indices) and adds up
 the matrix rows that each document points to, in numpy.
 
-Defined results: a null text or one without a letter gives ``und`` and score 0; an
+Defined results: a null or empty text or one without a letter gives ``und`` and score 0; an
 empty training set gives ``und`` for all; ties go to the language that comes first
-by code point; repeated rows each get a row; other columns are ignored.
+by code point; a text of any length is read whole, in slices; repeated rows each get a row; a null id
+isn't held out; no rows give no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import crc_fold, hash_share
+from tickerloom.llm.common import crc_fold
 
-_LETTER = re.compile(r"[^\W\d_]")
 _STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 #: Characters of one text that are looked at together; longer texts come in overlapping slices.
 SLICE = 1 << 19
@@ -78,18 +77,18 @@ def _block(block: list[tuple[int, str, int]], orders: tuple[int, ...], bits: int
         yield rows[some], (np.cumsum(per) - per)[some], ids
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", per_lang: int = 2000, orders=(1, 2, 3), bits: int = 16, alpha: float = 0.5, max_langs: int = 400) -> LangModel:
-    """Learn from (id, text, lang). ``max_langs`` bounds the broadcast matrix; more labels are an error."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", per_lang: int = 2000, orders=(1, 2, 3), bits: int = 16, alpha: float = 0.5, matrix_mb: int = 100) -> LangModel:
+    """Learn from (id, text, lang). ``matrix_mb`` bounds the broadcast matrix: with so many languages that
+    it would be larger, there are fewer buckets."""
     labelled = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
-    if len(langs) > max_langs:
-        raise ValueError(f"{len(langs)} languages; the matrix is meant for {max_langs}")
+    while 4 * len(langs) << bits > matrix_mb << 20 and bits > 8:
+        bits -= 1
     if not langs:
         return LangModel([], np.zeros(0), np.zeros((1 << bits, 0), np.float32), tuple(orders), bits)
-    picked = F.lit(False)
-    for lang in langs:
-        picked = picked | ((F.col("lang") == lang) & hash_share(id_col, per_lang / totals[lang]))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, per_lang / totals[lang])]), F.col("lang"))
+    picked = F.pmod(F.xxhash64(id_col, "text"), F.lit(1 << 30)) < share * (1 << 30)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[str, np.ndarray] = {}
@@ -131,7 +130,7 @@ def predict(docs: DataFrame, model: LangModel) -> DataFrame:
         own = sent.value
         for part in parts:
             texts = part.column("text").to_pylist()
-            use = [i for i, t in enumerate(texts) if t and own.langs and _LETTER.search(t)]
+            use = [i for i, t in enumerate(texts) if t and own.langs and any(map(str.isalpha, t))]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             if use:
                 best, prob = score_texts([texts[i] for i in use], own)

@@ -9,13 +9,15 @@ loss; where the second part falls below zero, the step goes the other way, as
 published. The logistic loss makes sigmoid(g) an estimate of the probability of
 label 1.
 
-Fitting uses bounded samples, picked by a hash of the id: ``positives`` and
-``unlabelled`` rows, whole texts; scoring covers every row.
+Fitting uses bounded samples, picked by hashes: ``positives`` labelled ids, of which each gives
+one text (the least, if its rows differ), and ``unlabelled`` different texts, all of them
+whole; scoring covers every row.
 
-Defined results: a null text is empty, and an empty text is scored like any other;
-rows with contradictory labels are no trusted positives; with no positives or no
+Defined results: a null text is empty, and an empty text is scored like any other, as is one of
+any length; ids with contradictory labels are no trusted positives; with no positives or no
 unlabelled rows the score is the prior (0.5 if there are no labels); a null id is
-not held out; repeated rows each get a row; extra columns are ignored.
+not held out; repeated rows each get a row and the same score; a score equal to ``threshold``
+predicts 1; no rows give no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -119,17 +121,20 @@ def _sample_stats(rows: DataFrame) -> np.ndarray:
     return np.array(got, float).reshape(-1, STATS)
 
 
+def _one_text(docs: DataFrame) -> DataFrame:
+    """One text for each id, so a frequent id is no large part of a sample."""
+    return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled: int = 12000) -> PuModel:
     """``docs`` (doc_id, text) and ``labels`` (doc_id, label), training rows of both."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     n, mean = labels.agg(F.count("*"), F.avg("label")).first()
     prior = min(max(mean, 0.01), 0.99) if n else 0.5
-    share = positives / max(1.0, n * prior)
-    trusted = labels.where(hash_share("doc_id", share)).groupBy("doc_id").agg(F.min("label").alias("least")).where("least = 1")
-    rows = F.broadcast(trusted) if share < 1 or n < 4 * positives else trusted
-    p = _sample_stats(docs.join(rows, "doc_id", "left_semi").select("text"))
+    trusted = labels.where(hash_share(positives / max(1.0, n * prior), "doc_id")).groupBy("doc_id").agg(F.min("label").alias("least")).where("least = 1")  # about ``positives`` ids
+    p = _sample_stats(_one_text(docs.join(F.broadcast(trusted), "doc_id", "left_semi")))
     total = docs.select("doc_id").count()
-    u = _sample_stats(docs.where(hash_share("doc_id", unlabelled / max(1, total))).select("text"))
+    u = _sample_stats(docs.where(hash_share(unlabelled / max(1, total), "doc_id", "text")).select("text").distinct())
     return fit_pu(p, u, prior)
 
 

@@ -1,19 +1,25 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-Counts of a text come from array functions in one pass over each row. The verdict
-is a cascade of rules: each rule's rejections and cost are measured on a bounded
-sample of documents (``sample`` rows by a hash of the id; the cost is the time of
-one pass that evaluates the rule), and rules are ordered by rejections per second. A
-``CASE`` in that order stops at the first rule that rejects. Order never changes the
-verdict, only what is evaluated.
-
-Defined results: a null text has no words and fails; a wordless text likewise;
-repeated rows each get a row; no rows give no rows and the rules' listed order.
+A rule is a condition over a text's counts that rejects it. Each rule's rejections and cost are measured on a
+bounded sample of documents (about ``sample`` rows by a hash of id and text, whole texts, twice as many at most): the cost is the time of a pass that
+evaluates the rule, less that of a pass that evaluates nothing. Rules are ordered by rejections per second, and a
+``CASE`` in that order stops at the first one that rejects, so later rules aren't evaluated there. Order
+never changes the verdict, only what is evaluated.
+
+``accept`` keeps the good rows of a table; there a rule works out the counts that it needs from the text, inside
+its branch, so a text that a cheap rule rejects never has its windows hashed and sorted. ``judge`` reports
+all counts of every text; there the cascade skips what is left to do beside them.
+
+Defined results: a null text has no words and fails, and so does an empty or wordless one; a text of any
+length is read whole; repeated rows each get a row, also with a null id; of rules with equal rates the one listed first comes first; no rows
+give no rows and the rules' listed order; extra columns are ignored by ``judge`` and kept by ``accept``.
 """
 
 from __future__ import annotations
 
+import functools
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +29,13 @@ from tickerloom.llm.common import WORD, hash_share
 #: Separators of words, and symbols that count.
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: More elements than any array has.
+ALL = 1 << 30
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -31,85 +44,135 @@ def _without(text: Column, characters: str) -> Column:
     return text
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, text and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+def hashed_words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x))
+
 
-    The three-word windows are hashes of word hashes. Where all of a text's windows differ, nothing
-    more is done; else windows are sorted with their places, those equal to a neighbour are kept,
-    and the words they cover are counted by the gaps between places.
+def dup_lines(text: Column) -> Column:
+    worded = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    return _let(F.transform(worded, lambda x: F.xxhash64(x)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words in three-word windows that occur twice or more; windows are hashes of word hashes.
+
+    Where all windows differ, nothing more is done; else windows are sorted with their places, those equal to a
+    neighbour are kept, and the words they cover are counted by the gaps between places.
     """
-    some = 1 << 30
-    step1 = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    step2 = step1.select("*", F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)).alias("__w"))
-    step3 = step2.select("*", F.zip_with("__w", F.slice("__w", 2, some), lambda a, b: F.xxhash64(a, b)).alias("__p"))
-    step4 = step3.select("*", F.zip_with(F.slice("__p", 1, F.greatest(F.size("__w") - 2, F.lit(0))), F.slice("__w", 3, some), lambda a, b: F.xxhash64(a, b)).alias("__t"))
-    step5 = step4.select("*", (F.size(F.array_distinct("__t")) < F.size("__t")).alias("__again"))
-    sorted_windows = F.array_sort(F.transform("__t", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    step6 = step5.select("*", F.when(F.col("__again"), sorted_windows).alias("__s"))
+    some = F.coalesce(words, F.array().cast("array<bigint>"))
+    return _let(some, lambda w: _let(_windows(w), lambda t: F.when(F.size(F.array_distinct(t)) < F.size(t), _covered(t)).otherwise(0)))
+
+
+def _windows(w: Column) -> Column:
+    pairs = F.zip_with(w, F.slice(w, 2, ALL), lambda a, b: F.xxhash64(a, b))
+    return _let(pairs, lambda p: F.zip_with(F.slice(p, 1, F.greatest(F.size(w) - 2, F.lit(0))), F.slice(w, 3, ALL), lambda a, b: F.xxhash64(a, b)))
+
+
+def _covered(windows: Column) -> Column:
+    placed = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
     same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-    step7 = step6.select("*", F.zip_with("__s", F.slice("__s", 2, some), same).alias("__next"))
-    marked = F.zip_with(F.zip_with("__next", F.concat(F.array(F.lit(False)), F.col("__next")), lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))), "__s", lambda m, s: F.when(m, s["i"]))
-    step8 = step7.select("*", F.array_sort(F.filter(marked, lambda x: x.isNotNull())).alias("__at"))
-    covered = F.aggregate(F.zip_with("__at", F.slice("__at", 2, some), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3))), F.lit(0), lambda x, y: x + y)
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0), lambda x: F.xxhash64(x))
-    step9 = step8.select("*", lines.alias("__lines"))
-    return step9.select(
-        "doc_id",
-        "text",
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(_without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-    )
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-
-def default_rules() -> dict[str, Column]:
-    """Rules by name; true rejects. The first two are the base."""
-    words = F.col("n_words")
-    return {
-        "few_words": words < 50,
-        "repeated_words": 100 * F.col("n_repeat_words") > 50 * words,
-        "symbols": 10 * F.col("n_symbols") > 3 * words,
-        "word_length": (F.col("word_chars") < 2 * words) | (F.col("word_chars") > 20 * words),
-        "duplicate_lines": 100 * F.col("n_dup_lines") > 30 * F.size(F.split("text", "\n")),
-        "shouting": F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) > 0.5 * F.col("word_chars"),
-        "few_letters": F.length(F.regexp_replace("text", r"[^\p{L}]", "")) < 0.5 * F.col("word_chars"),
-    }
-
-
-def measured_order(counts: DataFrame, rules: dict[str, Column], sample: int = 2000) -> list[str]:
-    """Names of the rules by rejections per second on about ``sample`` rows."""
-    total = counts.count()
-    if not total:
-        return list(rules)
-    rows = counts.where(hash_share("doc_id", sample / total)).cache()
-    n = rows.count()
-    rank = {}
-    for k, (name, rule) in enumerate(rules.items()):
-        began = time.perf_counter()
-        hits = rows.agg(F.count_if(rule)).first()[0] if n else 0
-        rank[name] = (-hits / (time.perf_counter() - began), k)
-    rows.unpersist()
-    return sorted(rules, key=rank.get)
+    either = lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
+
+    def places(s: Column) -> Column:
+        marked = _let(F.zip_with(s, F.slice(s, 2, ALL), same), lambda n: F.zip_with(F.zip_with(n, F.concat(F.array(F.lit(False)), n), either), s, lambda m, x: F.when(m, x["i"])))
+        return F.array_sort(F.filter(marked, lambda x: x.isNotNull()))
+
+    gaps = lambda at: F.zip_with(at, F.slice(at, 2, ALL), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
+    return _let(placed, lambda s: _let(places(s), lambda at: F.aggregate(gaps(at), F.lit(0), lambda x, y: x + y)))
+
+
+#: Counts by name, from a text that isn't null.
+COUNTS: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda text: F.regexp_count(text, F.lit(WORD)).cast("long"),
+    "word_chars": lambda text: F.length(_without(text, SPACES)).cast("long"),
+    "n_symbols": lambda text: (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
+    "n_dup_lines": lambda text: dup_lines(text).cast("long"),
+    "n_repeat_words": lambda text: _let(hashed_words(text), repeat_words).cast("long"),
+}
 
 
-def cascade(rules: dict[str, Column], order: list[str]) -> Column:
-    """True if no rule rejects; later rules are evaluated only where earlier ones pass."""
+class Counts:
+    """Counts of the text in a column: columns that are there, or expressions over the text."""
+
+    def __init__(self, text: Column, known: bool) -> None:
+        self.text, self.known = text, known
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name) if self.known else COUNTS[name](self.text)
+
+
+#: True rejects.
+Rule = Callable[[Counts], Column]
+
+#: The rules and their limits; the first two are the base.
+BASE_RULES: dict[str, Rule] = {
+    "few_words": lambda c: c["n_words"] < 50,
+    "repeated_words": lambda c: 100 * c["n_repeat_words"] > 50 * c["n_words"],
+}
+OTHER_RULES: dict[str, Rule] = {
+    "symbols": lambda c: 10 * c["n_symbols"] > 3 * c["n_words"],
+    "word_length": lambda c: (c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 20 * c["n_words"]),
+    "duplicate_lines": lambda c: 100 * c["n_dup_lines"] > 30 * F.size(F.split(c.text, "\n")),
+    "shouting": lambda c: F.length(F.regexp_replace(c.text, r"[^\p{Lu}]", "")) > 0.5 * c["word_chars"],
+    "few_letters": lambda c: F.length(F.regexp_replace(c.text, r"[^\p{L}]", "")) < 0.5 * c["word_chars"],
+}
+RULES = BASE_RULES | OTHER_RULES
+
+
+def text_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, text -> doc_id, text and all counts; the words are cut once for two of them."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__words", hashed_words(F.col("text")))
+    one_pass = {"n_words": F.size("__words").cast("long"), "n_repeat_words": repeat_words(F.col("__words")).cast("long")}
+    return rows.select("doc_id", "text", *[(one_pass[name] if name in one_pass else make(F.col("text"))).alias(name) for name, make in COUNTS.items()])
+
+
+def measured_order(rows: DataFrame, conditions: dict[str, Column]) -> list[str]:
+    """Names of the conditions by rejections per second on ``rows``, a bounded sample."""
+    held = rows.cache()
+    n = held.count()
+
+    def run(condition: Column) -> tuple[int, float]:
+        began = time.perf_counter()
+        hits = held.agg(F.count_if(condition)).first()[0]
+        return hits, time.perf_counter() - began
+
+    rank = {name: (0.0, k) for k, name in enumerate(conditions)}
+    if n:
+        nothing = F.length("text") < 0
+        run(nothing)
+        idle = min(run(nothing)[1] for _ in range(2))
+        for k, (name, condition) in enumerate(conditions.items()):
+            hits, took = min((run(condition) for _ in range(2)), key=lambda x: x[1])
+            rank[name] = (-hits / max(took - idle, 1e-4), k)
+    held.unpersist()
+    return sorted(conditions, key=rank.get)
+
+
+def cascade(conditions: dict[str, Column], order: list[str]) -> Column:
+    """True if no condition holds; later ones are evaluated only where earlier ones don't hold."""
     verdict = None
     for name in order:
-        verdict = F.when(F.coalesce(rules[name], F.lit(False)), False) if verdict is None else verdict.when(F.coalesce(rules[name], F.lit(False)), False)
-    return verdict.otherwise(True)
+        hit = F.coalesce(conditions[name], F.lit(False))
+        verdict = F.when(hit, False) if verdict is None else verdict.when(hit, False)
+    return F.lit(True) if verdict is None else verdict.otherwise(True)
+
+
+def _sample(docs: DataFrame, sample: int) -> DataFrame:
+    return docs.where(hash_share(sample / max(docs.select("doc_id").count(), 1), "doc_id", "text")).limit(2 * sample)
+
+
+def judge(docs: DataFrame, rules: dict[str, Rule] | None = None, sample: int = 2000) -> DataFrame:
+    """``docs`` (doc_id, text) -> doc_id, the counts, base_failed and kept. ``rules``: those beside the base."""
+    docs, known = docs.select("doc_id", "text"), Counts(F.col("text"), True)
+    conditions = {name: rule(known) for name, rule in (OTHER_RULES if rules is None else rules).items()}
+    order = measured_order(text_counts(_sample(docs, sample)), conditions)
+    failed = functools.reduce(lambda a, b: a | b, [rule(known) for rule in BASE_RULES.values()])
+    return text_counts(docs).select("doc_id", *COUNTS, failed.alias("base_failed"), F.when(failed, False).otherwise(cascade(conditions, order)).alias("kept"))
 
 
-def judge(docs: DataFrame, rules: dict[str, Column] | None = None, sample: int = 2000) -> DataFrame:
-    """``docs`` (doc_id, text) -> doc_id, the counts, base_failed and kept."""
-    rules = rules or default_rules()
-    total = docs.select("doc_id").count()
-    near = docs.where(hash_share("doc_id", 4 * sample / max(total, 1)))
-    order = measured_order(text_counts(near), rules, sample)
-    return text_counts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & cascade(rules, order)).alias("kept"))
+def accept(docs: DataFrame, rules: dict[str, Rule] | None = None, sample: int = 2000) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns."""
+    lazy = Counts(F.coalesce("text", F.lit("")), False)
+    conditions = {name: rule(lazy) for name, rule in (RULES if rules is None else rules).items()}
+    order = measured_order(_sample(docs.select("doc_id", "text"), sample), conditions)
+    return docs.where(cascade(conditions, order))

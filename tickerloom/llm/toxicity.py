@@ -7,7 +7,7 @@ predicted by a model that didn't see its fold, so later models learn from
 probabilities like those they will get.
 
 Fitting uses a bounded, hash-picked sample of labelled documents (``positives`` and
-``negatives`` rows, whole texts). Features are a word's first 2 to 8 characters and all
+``negatives`` ids, of which each gives one whole text). Features are a word's first 2 to 8 characters and all
 5-grams within words, of whole characters whatever the language, in 2**20 buckets. A
 feature's value grows with the logarithm of its frequency per word. The model
 keeps the ``width`` buckets that speak most for toxicity by a shrunken deviation between
@@ -15,15 +15,18 @@ toxic and other texts; there is no least support, so small tables learn like lar
 each feature enters the linear models in proportion to its deviation, which holds chance
 features down. Scoring walks all characters of every text.
 
-``labels.toxic`` is the only label of the tables; the query's earlier categories mark
-which toxic training texts use which fixed word list. A category with
-no positive example predicts 0. A document is rejected if the last category's
-probability is at least ``threshold``.
+Categories are label columns, in the order given; the last one decides. The tables have ``toxic`` alone, so
+the chain begins with ``kinds`` categories that are found in the training texts: toxic ones are clustered by
+the direction of their features (markers of one language or manner go together), and each cluster
+is a category. A category with no positive example predicts 0. A document is rejected if the last
+category's probability is at least ``threshold``.
 
 Defined results: a null or empty text has probability 0; one without any of the chosen
-features has what the models give without them;
-contradictory labels count as toxic; repeated rows each get a row; without labels
-every probability is 0; extra columns are kept by the filter and ignored by the score.
+features has what the models give without them; a text of any length is read whole, in slices;
+contradictory labels count as 1, and of an id's different texts the least is learnt from; repeated rows
+each get a row and the same probabilities; features that stand equal go by bucket; without labels, or with
+labels of one kind, every probability is 0; no rows give no rows; extra columns, whatever their
+names, are kept by the filter and ignored by the score.
 """
 
 from __future__ import annotations
@@ -43,10 +46,6 @@ BITS, GRAM, PREFIX, FOLDS = 20, 5, (2, 3, 4, 5, 6, 7, 8), 3
 PER, LEAST = 100.0, 20
 #: A feature's least deviation, in the value's unit, and the linear models' decay.
 SHRINK, DECAY = 0.1, 1e-3
-#: Word lists that make up the earlier categories.
-NAMES = ("clown", "idiot", "loser", "moron", "scum")
-SLIGHTS = ("disgusting", "pathetic", "stupid", "trash", "worthless")
-CATEGORIES = ("name_calling", "disparagement", "toxic")
 #: Characters from here on belong to scripts without spaces: each starts a word.
 UNSPACED = 0x2E80
 _SPACES = np.array([not chr(c).isalnum() for c in range(UNSPACED)] + [False])
@@ -162,16 +161,39 @@ def fit_chain(chosen: np.ndarray, unit: np.ndarray, x: np.ndarray, y: np.ndarray
     return Chain(categories, place, weights / unit, links, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 4500, width: int = 1024) -> Chain:
-    """``docs`` (doc_id, text), ``labels`` (doc_id, toxic)."""
-    labels = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    n, n_pos = labels.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    one = labels.where(((F.col("toxic") == 1) & hash_share("doc_id", positives / max(1, n_pos))) | ((F.col("toxic") == 0) & hash_share("doc_id", negatives / max(1, n - n_pos))))
-    one = one.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # about positives + negatives rows
-    texts = written(docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"), "toxicity-labelled")
+def clusters(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
+    """A cluster number below ``k`` for each row, by direction; the same rows give the same numbers.
+
+    The first centre is the mean; each further one is the row that is least like all centres so far.
+    """
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    centres = x.mean(0, keepdims=True)
+    while len(centres) < k:
+        centres = np.vstack([centres, x[(x @ centres.T).max(1).argmin()]])
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(1)
+        for c in range(k):
+            if (own == c).any():
+                mean = x[own == c].mean(0)
+                centres[c] = mean / max(np.linalg.norm(mean), 1e-12)
+    return (x @ centres.T).argmax(1)
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("toxic",), kinds: int = 3, positives: int = 1500, negatives: int = 4500, width: int = 1024) -> Chain:
+    """``docs`` (doc_id, text), ``labels`` (doc_id and ``categories``, 0 or 1, of which the last decides)."""
+    last, names = categories[-1], (*(f"kind_{k + 1}" for k in range(kinds)), *categories)
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col(last).isNotNull())
+    n, n_pos = labels.agg(F.count("*"), F.coalesce(F.sum(last), F.lit(0))).first()
+    one = labels.where(((F.col(last) == 1) & hash_share(positives / max(1, n_pos), "doc_id")) | ((F.col(last) == 0) & hash_share(negatives / max(1, n - n_pos), "doc_id")))
+    marks = F.array(*[F.coalesce(F.max(c), F.lit(0)).cast("int") for c in categories])
+    one = one.groupBy("doc_id").agg(marks.alias("marks"))  # about positives + negatives rows
+    found = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").groupBy("doc_id", "marks").agg(F.min("text").alias("text"))
+    texts = written(found.withColumn("toxic", F.element_at("marks", -1)), "toxicity-labelled")
     n_neg, n_pos = (texts.where(F.col("toxic") == t).count() for t in (0, 1))
     if not n_neg or not n_pos:
-        return Chain(CATEGORIES, np.full(1 << BITS, -1, np.int32), np.zeros((3, 0)), np.zeros((3, 3)), np.full(3, -30.0))
+        n = len(names)
+        return Chain(names, np.full(1 << BITS, -1, np.int32), np.zeros((n, 0)), np.zeros((n, n)), np.full(n, -30.0))
     best = choose(texts, n_pos, n_neg, width).orderBy("bucket").toArrow()
     chosen, unit, stands = (best.column(c).to_numpy() for c in ("bucket", "unit", "stands"))
     unit = unit * (stands.max(initial=0.0) / stands)  # a feature weighs as its deviation, so chance ones weigh little
@@ -181,26 +203,26 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: in
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = bytes_of(part.column("text"))
-            low = [t.lower() for t in texts]
-            names = [any(w.encode() in t for w in NAMES) for t in low]
-            slights = [any(w.encode() in t for w in SLIGHTS) for t in low]
             at, of = [], []
-            for t in texts:
+            for t in bytes_of(part.column("text")):
                 bucket, value = gram_values(t)
                 own = sent.value[bucket]
                 at.append(own[own >= 0].tobytes())
                 of.append(value[own >= 0].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(names), pa.array(slights), pa.array(at, pa.binary()), pa.array(of, pa.binary())], names=["doc_id", "toxic", "names", "slights", "at", "of"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("marks"), pa.array(at, pa.binary()), pa.array(of, pa.binary())], names=["doc_id", "marks", "at", "of"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(run, f"doc_id {kind}, toxic int, names boolean, slights boolean, at binary, of binary").toArrow()
+    found = texts.select("doc_id", "marks", "text").mapInArrow(run, f"doc_id {kind}, marks array<int>, at binary, of binary").toArrow()
     rows = sorted(zip(*(found.column(c).to_pylist() for c in found.column_names)))
     x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, row in enumerate(rows):
-        x[i, np.frombuffer(row[4], np.int32)] = np.frombuffer(row[5], np.float32)
-    y = np.array([[t == 1 and a, t == 1 and b, t == 1] for _, t, a, b, _, _ in rows], float).reshape(-1, 3)
-    return fit_chain(chosen, unit, x, y, CATEGORIES)
+    for i, (_, _, at, of) in enumerate(rows):
+        x[i, np.frombuffer(at, np.int32)] = np.frombuffer(of, np.float32)
+    y = np.array([marks for _, marks, _, _ in rows], float)
+    toxic = y[:, -1] == 1
+    group = np.full(len(rows), -1)
+    if kinds:
+        group[toxic] = clusters(x[toxic] / unit.astype(np.float32), kinds)
+    return fit_chain(chosen, unit, x, np.hstack([group[:, None] == np.arange(kinds), y]), names)
 
 
 def choose(texts: DataFrame, n_pos: int, n_neg: int, width: int) -> DataFrame:
