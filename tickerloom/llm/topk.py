@@ -2,35 +2,39 @@
 
 The data are dealt into cells around pivots (a bounded sample of the rows, picked
 by a hash of the id; every row is indexed), and a cell with many rows into several
-blocks, so a block's size is bounded even if a third of all rows are equal. Within a
-task both the block and the query group become cover trees: each level halves the
-cover radius, children keep their distance, every point lies under the nearest
-child. Pairs of nodes are visited best bound first; with centres c and p, radii r
+blocks, so a block's size is bounded even if a third of all rows are equal. Queries are dealt
+alike, into teams. Cells are the upper nodes of both trees; within a task a block and a team
+become cover trees: each level halves the cover radius, children keep their distance, every point
+lies under the nearest child. Pairs of nodes are visited best bound first; with centres c and p, radii r
 and s, no pair below scores more than c.p + s|c| + r|p| + r s, and a pair whose bound
-is under the worst kth score of the query node's group is pruned. A first pass
-searches each query's own block; a second brings query groups to all other blocks
-whose bound reaches the group's worst kth score.
+is under the worst kth score of the query node's group is pruned: pairs of teams and cells before any
+row moves, and pairs below them within tasks. A first pass searches each query's own block, so that every
+team has a worst kth score; a second brings teams to all other blocks that their bound reaches. Teams that
+ask for the same block come ``BUNDLE`` at a time, so a block travels once for so many.
 
-Defined results: null vectors, null ids and vectors with null or non-finite
+Defined results: null and empty vectors, null ids and vectors with null or non-finite
 components take no part; vectors are compared with those of their own length only;
 ties go to the smaller id; equal rows are rows of their own, and a query skips rows
-with its own id; with fewer candidates than k all are returned; empty gives empty.
+with its own id; query rows that share an id answer together, with the best of all their scores;
+with fewer candidates than k all are returned; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tickerloom.llm.common import hash_share, written
 
-#: Rows of a block and of a query group, about; pivots at most; points of a tree's leaf.
-BLOCK, GROUP, PIVOTS, LEAF = 4096, 2048, 1024, 64
+#: Rows of a block and of a query team, about; teams that come to a block together; pivots at most; points of a tree's leaf.
+BLOCK, GROUP, BUNDLE, PIVOTS, LEAF = 4096, 2048, 8, 1024, 64
 
 
 class CoverTree:
@@ -79,26 +83,32 @@ class _Best:
     def __init__(self, n: int, k: int, worst: np.ndarray) -> None:
         self.k, self.score, self.id, self.worst = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n, worst
 
-    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
-        use = score >= self.worst[q]
-        if not use.any():
-            return
-        s, v = np.concatenate([self.score[q], score[use]]), np.concatenate([self.id[q], ids[use]])
-        order = np.lexsort((v, -s))[: self.k]
-        self.score[q], self.id[q] = s[order], v[order]
-        if len(order) == self.k:
-            self.worst[q] = max(self.worst[q], s[order[-1]])
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> None:
+        """A row of ``scores`` for each of ``queries``; those that aren't ``allowed`` don't count."""
+        use = allowed & (scores >= self.worst[queries][:, None])
+        for i in np.flatnonzero(use.any(1)).tolist():
+            q, own = queries[i], use[i]
+            s, v = np.concatenate([self.score[q], scores[i, own]]), np.concatenate([self.id[q], ids[own]])
+            order = np.lexsort((v, -s))[: self.k]
+            self.score[q], self.id[q] = s[order], v[order]
+            if len(order) == self.k:
+                self.worst[q] = max(self.worst[q], s[order[-1]])
+
 
+def top_bound(q: np.ndarray, q_radius: np.ndarray, p: np.ndarray, p_radius: np.ndarray) -> np.ndarray:
+    """For centres of queries and of data, and the radii around them, the greatest score that any pair below may have."""
+    bound = q @ p.T + q_radius[:, None] * np.linalg.norm(p, axis=1) + np.linalg.norm(q, axis=1)[:, None] * p_radius + q_radius[:, None] * p_radius
+    return bound + 1e-9 * np.abs(bound) + 1e-6
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, worst: np.ndarray) -> _Best:
-    best = _Best(len(queries), k, worst.astype(float).copy())
+
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, tree: CoverTree, data_ids: np.ndarray, k: int, worst: np.ndarray) -> _Best:
+    """The best of the tree's points for each query, above what it has already (``worst``)."""
+    best, data = _Best(len(queries), k, worst.astype(float).copy()), tree.x
     if not len(queries) or not len(data):
         return best
-    qt, dt = CoverTree(queries), CoverTree(data)
-    qc, dc = queries[qt.centre], data[dt.centre]
+    qt, dt = CoverTree(queries), tree
     qr, dr = np.array(qt.radius), np.array(dt.radius)
-    bound = qc @ dc.T + qr[:, None] * np.linalg.norm(dc, axis=1) + np.linalg.norm(qc, axis=1)[:, None] * dr + qr[:, None] * dr
-    bound += 1e-9 * np.abs(bound) + 1e-6
+    bound = top_bound(queries[qt.centre], qr, data[dt.centre], dr)
     below: list[np.ndarray] = [None] * len(qt.centre)  # all queries under a node
     for i in range(len(qt.centre) - 1, -1, -1):
         below[i] = qt.points[i] if qt.points[i] is not None else np.concatenate([below[c] for c in qt.children[i]])
@@ -108,10 +118,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
             return
         qs, ds = qt.points[q], dt.points[d]
         if qs is not None and ds is not None:
-            scores = _products(queries[qs], data[ds])
-            for j, row in zip(qs, scores):
-                other = data_ids[ds] != query_ids[j]
-                best.add(j, row[other], data_ids[ds][other])
+            best.add(qs, _products(queries[qs], data[ds]), data_ids[ds], query_ids[qs][:, None] != data_ids[ds])
         elif qs is not None or (ds is None and dr[d] >= qr[q]):
             for c in sorted(dt.children[d], key=lambda c: -bound[q, c]):
                 visit(q, c)
@@ -123,19 +130,23 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
     return best
 
 
-def _rows(best: _Best, query_ids: np.ndarray) -> pa.Table:
-    n = [len(s) for s in best.score]
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.table({"query_id": pa.array(np.repeat(query_ids, n), pa.int64()), "vec_id": pa.array(cat(best.id), pa.int64()), "score": pa.array(cat(best.score), pa.int64())})
+_RESULT = pa.schema([(c, pa.int64()) for c in ("row", "query_id", "vec_id", "score")])
+
 
+def _rows(best: list[tuple[np.ndarray, np.ndarray, _Best]]) -> pa.Table:
+    """Searches' results; each has its queries' rows and ids."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
+    for rows, ids, found in best:
+        n = [len(x) for x in found.score]
+        for column, values in zip(out, (np.repeat(rows, n), np.repeat(ids, n), np.concatenate([out[0][0], *found.id]), np.concatenate([out[0][0], *found.score]))):
+            column.append(values)
+    return pa.Table.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], schema=_RESULT)
 
-def _matrix(table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("vec_id").to_numpy()
-    if not len(ids):
-        return np.zeros((0, 1)), ids
-    flat = np.concatenate([np.asarray(x, float) for x in table.column("v").to_pylist()])
-    order = np.argsort(ids, kind="stable")
-    return flat.reshape(len(ids), -1)[order], ids[order]
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Equally long vectors as a matrix."""
+    flat = pa.concat_arrays(column.chunks).flatten().to_numpy() if column.num_chunks else np.zeros(0)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
@@ -144,13 +155,16 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFr
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = written(
         vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0)).select(
-            F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")
+            F.monotonically_increasing_id().alias("row"),
+            F.col("vec_id").cast("long").alias("vec_id"),
+            F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double")).alias("v"),
+            F.coalesce(is_query, F.lit(False)).alias("is_query"),
         ),
         "topk-vectors",
     )
     n = v.count()
     wanted = max(1, min(PIVOTS, n // BLOCK))
-    sample = v.where(hash_share("vec_id", 4 * wanted / max(n, 1))).select("v").limit(8 * wanted).collect()
+    sample = v.where(hash_share(4 * wanted / max(n, 1), "row", "vec_id")).select("v").limit(8 * wanted).collect()
     pivots: dict[int, np.ndarray] = {}
     for r in sample or v.select("v").limit(1).collect():
         pivots.setdefault(len(r["v"]), []).append(r["v"])
@@ -158,65 +172,85 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFr
     sent = spark.sparkContext.broadcast(pivots)
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's nearest pivot and the way to it; a length without pivots has one cell around the origin."""
         for part in parts:
-            cells, away = [], []
-            for x in part.column("v").to_pylist():
-                p = sent.value.get(len(x))
-                d = ((p - np.array(x)) ** 2).sum(1) if p is not None else np.zeros(1)
-                cells.append(f"{len(x)}:{int(d.argmin())}")
-                away.append(float(np.sqrt(d.min())) if p is not None else float("inf"))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.string()), pa.array(away, pa.float64())], names=["vec_id", "v", "is_query", "cell", "away"])
-
-    dealt = v.mapInArrow(deal, "vec_id long, v array<double>, is_query boolean, cell string, away double")
-    counts = dealt.groupBy("cell").agg(F.count("*").alias("cell_rows"), F.max("away").alias("radius"))
-    cells = written(counts.withColumn("blocks", F.ceil(F.col("cell_rows") / BLOCK).cast("int")), "topk-cells")
-    known = cells.collect()  # at most PIVOTS cells of each vector length
-    blocks = F.create_map(*[F.lit(x) for r in known for x in (r["cell"], r["blocks"])]) if known else F.create_map(F.lit(""), F.lit(1))
-    placed = written(dealt.withColumn("block", F.concat_ws("/", "cell", F.pmod(F.xxhash64("vec_id"), F.coalesce(F.try_element_at(blocks, F.col("cell")), F.lit(1))).cast("string"))), "topk-placed")
+            own = part.column("v")
+            flat, start = own.flatten().to_numpy(), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())])
+            size, cells, away = np.diff(start), np.empty(len(own), object), np.zeros(len(own))
+            for dim in np.unique(size).tolist():
+                at = np.flatnonzero(size == dim)
+                x = flat[start[at][:, None] + np.arange(dim)]
+                p = sent.value.get(dim, np.zeros((1, dim)))
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1), 0))
+                cells[at] = [f"{dim}:{c}" for c in d.argmin(1).tolist()]
+                away[at] = np.sqrt(((x - p[d.argmin(1)]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.string()), pa.array(away, pa.float64())], names=["row", "vec_id", "v", "is_query", "cell", "away"])
+
+    dealt = written(v.mapInArrow(deal, "row long, vec_id long, v array<double>, is_query boolean, cell string, away double"), "topk-dealt")
+    parts = F.ceil(F.col("cell_rows") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("cell_queries") / GROUP).cast("int").alias("teams")
+    counts = dealt.groupBy("cell").agg(F.count("*").alias("cell_rows"), F.count_if("is_query").alias("cell_queries"), F.max("away").alias("radius"))
+    known = {r["cell"]: r for r in counts.select("cell", "radius", *parts).collect()}  # at most PIVOTS cells of each vector length
+    table = spark.createDataFrame([(c, r["blocks"], max(r["teams"], 1)) for c, r in known.items()], "cell string, blocks int, teams int")
+    lot = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(n)).cast("string")
+    placed = written(
+        dealt.join(F.broadcast(table), "cell").select("row", "vec_id", "v", "is_query", "away", F.concat_ws("/", "cell", lot("blocks", 0)).alias("block"), F.when(F.col("is_query"), F.concat_ws("/", "cell", lot("teams", 1))).alias("team")),
+        "topk-placed",
+    )
 
     def own_block(key, table):
-        x, ids = _matrix(table)
-        marks = set(table.filter(table.column("is_query")).column("vec_id").to_pylist())
-        mine = np.array([i for i, one in enumerate(ids.tolist()) if one in marks and (i == 0 or ids[i - 1] != one)], np.int64)
-        return _rows(dual_search(x[mine], ids[mine], x, ids, k, np.full(len(mine), -np.inf)), ids[mine])
-
-    result = "query_id long, vec_id long, score long"
+        table = table.sort_by("row")
+        x, ids, rows = _vectors(table.column("v")), table.column("vec_id").to_numpy(), table.column("row").to_numpy()
+        mine = np.flatnonzero(table.column("is_query").to_numpy(zero_copy_only=False))
+        if not len(mine):
+            return _rows([])
+        return _rows([(rows[mine], ids[mine], dual_search(x[mine], ids[mine], CoverTree(x), ids, k, np.full(len(mine), -np.inf)))])
+
+    result = "row long, query_id long, vec_id long, score long"
     first = written(placed.groupBy("block").applyInArrow(own_block, result), "topk-first")
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    queries = placed.where("is_query").dropDuplicates(["vec_id"]).select("vec_id", "v", "block").join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-    groups = max(1, -(-n // (50 * GROUP)))
-    queries = queries.withColumn("team", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    info = spark.sparkContext.broadcast([(r["cell"], r["blocks"], r["radius"]) for r in known])
-
-    def other_blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The blocks whose bound reaches a query's kth score; blocks of an unknown length's cell always do."""
-        top = lambda b: b + 1e-9 * abs(b) + 1e-6
+    kth = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    queries = written(placed.where("is_query").join(kth, "row", "left").select("row", "vec_id", "v", "block", "team", "away", "kth"), "topk-queries")
+    teams = queries.groupBy("team").agg(F.max("away").alias("radius"), F.min(F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf")))).alias("worst"))
+    info: dict[int, list] = {}
+    for cell, r in sorted(known.items()):
+        info.setdefault(int(cell.split(":")[0]), []).append((int(cell.split(":")[1]), r["blocks"], r["radius"]))
+    cells = spark.sparkContext.broadcast(info)
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks of the cells whose bound with a team reaches the team's worst kth score."""
         for part in parts:
-            rows = []
-            for vec_id, x, block, worst, team in zip(*(c.to_pylist() for c in part.columns)):
-                q, norm, p = np.array(x), float(np.linalg.norm(x)), sent.value.get(len(x))
-                for cell, parts_, radius in info.value:
-                    dim, at = map(int, cell.split(":"))
-                    if dim == len(x) and (worst is None or p is None or top(q @ p[at] + norm * radius) >= worst):
-                        rows += [(vec_id, x, worst, team, b) for b in (f"{cell}/{i}" for i in range(parts_)) if b != block]
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["vec_id", "v", "kth", "team", "block"])
-
-    asked = written(queries.select("vec_id", "v", "block", "kth", "team").mapInArrow(other_blocks, "vec_id long, v array<double>, kth long, team int, block string"), "topk-asked")
-    pairs = asked.select(F.col("team").alias("with_team"), F.col("block").alias("with_block")).distinct()
-    copies = placed.select("vec_id", "v", "block").join(pairs, F.col("block") == F.col("with_block")).select("vec_id", "v", "with_team", "with_block")
+            team, blocks, bundles = [], [], []
+            for name, radius, worst in zip(*(c.to_pylist() for c in part.columns)):
+                dim, own = map(int, name.split("/")[0].split(":"))
+                p, numbers = sent.value.get(dim, np.zeros((1, dim))), cells.value[dim]
+                at = np.array([c for c, _, _ in numbers])
+                bound = top_bound(p[[own]], np.array([radius]), p[at], np.array([r for _, _, r in numbers]))[0]
+                asked = [f"{dim}:{c}/{i}" for (c, n, _), b in zip(numbers, bound) if b >= worst for i in range(n)]
+                team += [name] * len(asked)
+                blocks += asked
+                bundles += [zlib.crc32(name.encode())] * len(asked)
+            yield pa.RecordBatch.from_arrays([pa.array(team, pa.string()), pa.array(blocks, pa.string()), pa.array(bundles, pa.int64())], names=["team", "block", "lot"])
+
+    n_bundles = max(1, -(-sum(r["teams"] for r in known.values()) // BUNDLE))
+    asked = teams.select("team", "radius", "worst").mapInArrow(ask, "team string, block string, lot long")
+    asked = written(asked.select("team", F.col("block").alias("to"), F.pmod("lot", F.lit(n_bundles)).cast("int").alias("bundle")), "topk-asked")
+    meets = written(asked.select("to", "bundle").distinct(), "topk-meets")
+    tasks = max(1, meets.count())
+    left = queries.join(asked, "team").where("block <> to").select("to", "bundle", "team", "row", "vec_id", "v", "kth").repartition(tasks, "to", "bundle")
+    right = placed.join(meets, F.col("block") == F.col("to")).select("to", "bundle", "row", "vec_id", "v").repartition(tasks, "to", "bundle")
 
     def others(key, left, right):
-        x, ids = _matrix(right)
-        q, qids = _matrix(left)
-        if not len(qids) or not len(ids):
-            return _rows(_Best(0, k, np.zeros(0)), np.zeros(0, np.int64))
-        worst = dict(zip(left.column("vec_id").to_pylist(), left.column("kth").to_pylist()))
-        start = np.array([-np.inf if worst[i] is None else worst[i] for i in qids.tolist()])
-        return _rows(dual_search(q, qids, x, ids, k, start), qids)
-
-    second = asked.groupBy("team", "block").cogroup(copies.groupBy("with_team", "with_block")).applyInArrow(others, result)
+        if not left.num_rows or not right.num_rows:
+            return _rows([])
+        right = right.sort_by("row")
+        tree, ids, found = CoverTree(_vectors(right.column("v"))), right.column("vec_id").to_numpy(), []
+        for team in sorted(set(left.column("team").to_pylist())):
+            own = left.filter(pc.equal(left.column("team"), team)).sort_by("row")
+            rows, qids = own.column("row").to_numpy(), own.column("vec_id").to_numpy()
+            worst = np.array([-np.inf if x is None else x for x in own.column("kth").to_pylist()])
+            found.append((rows, qids, dual_search(_vectors(own.column("v")), qids, tree, ids, k, worst)))
+        return _rows(found)
+
+    second = left.groupBy("to", "bundle").cogroup(right.groupBy("to", "bundle")).applyInArrow(others, result)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     ranked = first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
