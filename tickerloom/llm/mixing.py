@@ -5,12 +5,15 @@ hash's next ten bits; the running sum over at most 1,024 buckets of a source sho
 in which one its budget ends, and only rows of that boundary bucket are summed
 again, by the following ten bits, until all 60 are used. A row is then taken one
 time more if its hash lies below its source's threshold: a filter, with no sort of
-rows, and thresholds of growing budgets are nested. DataFrame functions only.
+rows, and thresholds of growing budgets are nested. Rows meet a table with one row for each
+source, and nothing else, so texts need not move. DataFrame functions only.
 
 Defined results: a null or wordless text has size 0 and is taken 0 words; a null
 source is a source of its own, last in order; a null id hashes as the text ``null``;
-rows that share an id are taken together; a source whose budget ends inside such a
-group takes it if at least half of it fits; an empty table gives no rows.
+rows of a source that share an id are taken together; a source whose budget ends inside such a
+group takes it if at least half of it fits; sources that differ in case alone are different; a
+text of any length is counted whole; an empty table gives no rows; extra columns, whatever their
+names, are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import WORD, written
+from tickerloom.llm.common import WORD, free_names, written
 
 #: Most often that a document is taken.
 MOST = 3
@@ -35,34 +38,44 @@ def id_hash(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """A text that tells null from every source."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``number``: their place by code point, from 0, null last. No task sees more than its range."""
+    order = F.col("source").asc_nulls_last()
+    placed = written(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("id", F.monotonically_increasing_id()), "mix-sources")
+    part = F.shiftright("id", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each task at most
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(F.broadcast(counts.select("part", before.alias("before"))), part == F.col("part")).select(*sources.columns, (F.col("before") + F.col("id") - F.shiftleft("part", 33)).alias("number"))
+
+
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     """key, source, source_size -> with target: shares of all words by the weights 1, 2, 3, repeating,
     none above ``most`` times its source.
 
-    With sources by most*size/weight, the level that hands out everything is the greatest of
-    (total - what the first j give in full) / (weights of the rest).
+    What sources can't take is shared anew among the others by weight. That raises the level, the words for
+    a weight of 1, and may fill further sources, until none is filled anew.
     """
-    ranked = sizes.withColumn("weight", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
+    ranked = written(numbered(sizes).withColumn("weight", F.col("number") % 3 + 1), "mix-weights")
     cap = F.col("source_size") * F.lit(most)
-    by_ratio = W.orderBy((cap / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    rest = by_ratio.rowsBetween(0, W.unboundedFollowing)
-    steps = ranked.select("*", F.coalesce(F.sum(cap).over(before), F.lit(0)).alias("full"), F.sum("weight").over(rest).alias("weights"), F.sum("source_size").over(W.partitionBy()).alias("total"))
-    level = F.max((F.col("total") - F.col("full")) / F.col("weights")).over(W.partitionBy())
-    return steps.select("*", level.alias("level")).select("key", "source", "source_size", F.least(cap.cast("double"), F.col("level") * F.col("weight")).alias("target"))
-
-
-def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """``docs`` (doc_id, source, text) -> doc_id, size, source_size, target, taken, copies."""
-    slim = written(
-        docs.select(
-            "doc_id",
-            F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("key"),
-            word_count(F.col("text")).alias("size"),
-            id_hash(F.col("doc_id")).alias("hash"),
-        ),
-        "mix-sizes",
-    )
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    level, filled = 0.0, -1
+    while True:
+        full = cap < F.lit(level) * F.col("weight")
+        n, given, weights = ranked.agg(F.count_if(full), F.sum(F.when(full, cap)), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == filled or not weights:
+            break
+        level, filled = (total - (given or 0)) / weights, n
+    return ranked.select("key", "source", "source_size", F.least(cap.cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def thresholds(slim: DataFrame, most: int = MOST) -> DataFrame:
+    """``slim`` (key, size, hash) -> for each source: key, source_size, target, whole (times that every row is
+    taken), cut (the hash up to which rows are taken once more; null for none) and edge (whether the row at it is)."""
     sizes = slim.groupBy("key").agg(F.sum("size").alias("source_size")).withColumn("source", F.when(F.col("key") != "n", F.expr("substring(key, 2)")))
     plan = written(
         targets(sizes, most)
@@ -70,30 +83,25 @@ def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")),
         "mix-plan",
     )
-    edge = plan.select("key", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
-    for level in range(1, LEVELS + 1):
-        edge = _refine(slim, edge, level)
-    cut = written(edge, "mix-cut").select("key", F.col("prefix").alias("cut"), "left", F.col("size").alias("edge_size"))
-    below = (F.col("hash") < F.col("cut")) | ((F.col("hash") == F.col("cut")) & (F.col("edge_size") <= 2 * F.col("left")))
-    return (
-        slim.join(F.broadcast(plan) if plan.count() < 100_000 else plan, "key")
-        .join(cut, "key", "left")
-        .withColumn("copies", F.col("whole") + F.when(F.col("cut").isNull(), 0).when(below, 1).otherwise(0))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
-    )
+    edge = _boundary(_bucket_sums(slim, 1).join(plan.select("key", F.col("budget").alias("left")), "key"))
+    for level in range(2, LEVELS + 1):
+        above = F.shiftright("hash", 60 - BITS * (level - 1))
+        slim = slim.withColumn("above", above).join(edge.select("key", F.col("prefix").alias("above")), ["key", "above"], "left_semi").select("key", "size", "hash")
+        if level == 2:
+            slim = written(slim, "mix-boundary")  # the rest of the way looks at about a row of 1,024
+        edge = _boundary(_bucket_sums(slim, level).join(edge.select("key", "left"), "key"))
+    return written(plan.join(edge.select("key", F.col("prefix").alias("cut"), (F.col("size") <= 2 * F.col("left")).alias("edge")), "key", "left").select("key", "source_size", "target", "whole", "cut", "edge"), "mix-cut")
 
 
-def _refine(slim: DataFrame, edge: DataFrame, level: int) -> DataFrame:
-    """key, left, prefix -> the same one level deeper, with the size of the boundary bucket.
+def _bucket_sums(slim: DataFrame, level: int) -> DataFrame:
+    return slim.groupBy("key", F.shiftright("hash", 60 - BITS * level).alias("bucket")).agg(F.sum("size").alias("size"))
 
-    ``prefix`` is the hash's first bits, ``left`` the budget that remains at its lower end. Past the
-    last bucket with rows, the threshold lies at that bucket and the budget may exceed its size.
+
+def _boundary(sums: DataFrame) -> DataFrame:
+    """key, bucket, size, left -> the bucket in which ``left`` ends, as ``prefix``, its size, and what is left at its lower end.
+
+    Past the last bucket with rows, the threshold lies at that bucket and the budget may exceed its size.
     """
-    shift = 60 - BITS * level
-    first = F.shiftright(F.col("hash"), shift)
-    edge = edge.select("key", "left", F.col("prefix").alias("above"))
-    inside = slim.select("key", "size", first.alias("bucket"), F.shiftright(F.col("hash"), shift + BITS).alias("above")).join(edge, ["key", "above"])
-    sums = inside.groupBy("key", "bucket", "left").agg(F.sum("size").alias("size"))
     order = W.partitionBy("key").orderBy("bucket")
     run = sums.select("*", (F.sum("size").over(order) - F.col("size")).alias("before"))
     run = run.select("*", F.lead("before").over(order).alias("next"))
@@ -101,8 +109,26 @@ def _refine(slim: DataFrame, edge: DataFrame, level: int) -> DataFrame:
     return run.where(here).select("key", (F.col("left") - F.col("before")).alias("left"), F.col("bucket").alias("prefix"), "size")
 
 
+def times_taken(hashed: Column, plan: Column) -> Column:
+    """How often a row is taken whose source has ``plan``: a struct of whole, cut and edge."""
+    below = (hashed < plan["cut"]) | ((hashed == plan["cut"]) & plan["edge"])
+    return plan["whole"] + F.coalesce(below, F.lit(False)).cast("int")
+
+
+def slim_rows(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+
+
+def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """``docs`` (doc_id, source, text) -> doc_id, size, source_size, target, taken, copies."""
+    slim = slim_rows(docs)
+    met = slim.join(thresholds(slim.drop("doc_id"), most), "key").withColumn("copies", times_taken(F.col("hash"), F.struct("whole", "cut", "edge")))
+    return met.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 def mixed_documents(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
-    taken = mix(docs, most).groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).where(F.col("__copies") > 0)
-    times = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")))
-    return times.select("d.*", F.explode(F.expr("array_repeat(0, t.__copies)")).alias("__again")).drop("__again").select(*docs.columns)
+    key, copies = free_names(docs, "key", "copies")
+    cuts = thresholds(slim_rows(docs).drop("doc_id"), most).select(F.col("key").alias(key), F.struct("whole", "cut", "edge").alias(copies))
+    times = docs.withColumn(key, source_key(F.col("source"))).join(cuts, key).withColumn(copies, times_taken(id_hash(F.col("doc_id")), F.col(copies)).cast("int"))
+    return times.where(F.col(copies) > 0).withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
