@@ -172,7 +172,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
     import zlib
 
     pieces = {}
@@ -225,12 +224,8 @@ def test_lm_equals_brute_force(spark):
     n, v = sum(c.values()), len(c)
     p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
     p2 = lambda h, w: (pairs[h, w] + lm.MU * p1(w)) / (c[h] + lm.MU)
-    whole, wide = lm.BLOCK, lm.RANGE
-    for lm.BLOCK, lm.RANGE in ((whole, wide), (300, 500)):
-        try:
-            got = {r["doc_id"]: r for r in lm.score(docs).collect()}
-        finally:
-            lm.BLOCK, lm.RANGE = whole, wide
+    for sizes in ((lm.BLOCK, lm.RANGE), (300, 500)):
+        got = {r["doc_id"]: r for r in lm.score(docs, 2, *sizes).collect()}
         assert len(got) == len(texts)
         for i, ws in tokens.items():
             r = got[i]
@@ -271,12 +266,8 @@ def test_lm_trigrams_equal_a_walk_with_a_carried_state(spark):
         return total
 
     assert {len(g) for g, c in grams.items() if c > 2} == {1, 2, 3}
-    whole, wide = lm.BLOCK, lm.RANGE
-    for lm.BLOCK, lm.RANGE in ((whole, wide), (300, 500)):
-        try:
-            got = {r["doc_id"]: r["score"] for r in lm.score(docs, 3).collect()}
-        finally:
-            lm.BLOCK, lm.RANGE = whole, wide
+    for sizes in ((lm.BLOCK, lm.RANGE), (300, 500)):
+        got = {r["doc_id"]: r["score"] for r in lm.score(docs, 3, *sizes).collect()}
         assert len(got) == len(texts) and all(abs(got[i] - walk(ws)) < 1e-6 for i, ws in tokens.items())
     assert lm.score(docs.limit(0), 3).count() == 0
     assert all(r["score"] == 0 for r in lm.score(docs.withColumn("held_out", F.lit(True)), 3).collect())

@@ -6,7 +6,8 @@ The model holds every word, bigram and trigram of all training texts (words and
 its own training counts, packed by hash range, to the task of that range, which adds
 them up over all blocks and answers with what a block can't know: how much each total exceeds
 the block's own count, in the order that they came in. A frequent n-gram is one entry of each block, so no range
-is hot, and the number of ranges follows the corpus' size.
+is hot, and the number of ranges follows the corpus' size; a block sends a row to those ranges alone in which
+it has something, so there are never more rows than n-grams. Its texts travel once, as one packed row.
 
 A block then builds the part of the automaton that its texts can reach, with the totals
 over all training texts. A state is a context: a trained bigram, a trained word, or the empty
@@ -22,7 +23,8 @@ those of their positions, and the arcs and failures of each order are taken for
 Words are counted exactly. Bigrams and trigrams are told apart by 63-bit hashes of their words;
 two that collide share a count, at a probability of 2**-63 for a pair.
 
-Defined results: a null text is empty: its end token alone; a null id is in
+Defined results: a null or empty text is its end token alone; a text of any length is one block at
+least, and whole; a null id is in
 training; repeated rows count and are scored once each; with no training rows N is
 0 and V is 0, so each token has probability 1; extra columns are ignored; no rows
 give no rows. The input's partitions must be the same each time they are read, as those of
@@ -31,6 +33,7 @@ files and checkpoints are; if a block reads differently the second time, the job
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -46,7 +49,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import bytes_of, words_of, written
 
 #: Bytes of text of a block, and of the corpus for each hash range.
-BLOCK, RANGE = 8 << 20, 4 << 20
+BLOCK, RANGE = 4 << 20, 4 << 20
 MU, ADD = 4.0, 0.1
 END = b""  # no word is empty
 #: Texts that are cut into words together.
@@ -197,14 +200,14 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
 
 
-def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def _blocks(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Runs of rows with their block's number, which depends on the partition's rows alone."""
     before, task = 0, TaskContext.get().partitionId() << 32
     for part in parts:
         if not part.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        block = (before + np.cumsum(size) - size) // BLOCK
+        block = (before + np.cumsum(size) - size) // most
         before += int(size.sum())
         for at, end in zip(cuts := [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()], [*cuts[1:], len(block)]):
             yield task + int(block[at]), part.slice(at, end - at)
@@ -220,6 +223,15 @@ _SENT_DDL = "slot int, block long, grams binary, gram_n binary, words binary, wo
 _TOLD_DDL = "slot int, block long, gram_more binary, word_more binary, mark long, tokens long, kinds long"
 
 
+def _frozen(parts: list[pa.RecordBatch]) -> bytes:
+    """Rows as one compressed stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for part in parts:
+            out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
 def _edges(keys: np.ndarray, slots: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array([(k << 64) // slots for k in range(slots)], np.uint64)), len(keys))
 
@@ -233,15 +245,16 @@ def _packed(block: int, held: Block, mark: int, slots: int, order: int) -> Itera
     names, number, cuts = held.word_order(slots)
     word_n = held.word_counts()[number].astype("<u4")
     rows: list[tuple] = []
-    for k in range(slots):
+    for k in np.flatnonzero((np.diff(edges) > 0) | (np.diff(cuts) > 0)).tolist():
         a, b, c, d = edges[k], edges[k + 1], cuts[k], cuts[k + 1]
-        if a < b or c < d:
-            rows.append((k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), b" ".join(names[c:d]) if c < d else None, _pack(word_n[c:d]), None))
+        rows.append((k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), b" ".join(names[c:d]) if c < d else None, _pack(word_n[c:d]), None))
     if order > 2:
         held.add_triples()
         keys, n = held.gram_counts(True)
         edges = _edges(keys, slots)
-        rows += [(slots + k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), None, b"", None) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        for k in np.flatnonzero(np.diff(edges) > 0).tolist():
+            a, b = edges[k], edges[k + 1]
+            rows.append((slots + k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), None, b"", None))
     rows.append((block % slots, block, b"", b"", None, b"", mark))
     for at in range(0, len(rows), 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), _SENT.types)], schema=_SENT)
@@ -271,16 +284,16 @@ def _totals(key, table):
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["slot", "block", "gram_more", "word_more", "mark", "tokens", "kinds"])
 
 
-def score(docs: DataFrame, order: int = 2) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK, range_bytes: int = RANGE) -> DataFrame:
     """``docs`` (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score; learns from the rows that aren't held out, n-grams of up to ``order`` (2 or 3) words."""
     docs = docs.select("doc_id", "held_out", "text")
-    slots = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE))
+    slots = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, mark = None, Block(), 0
-        for number, part in _blocks(parts):
+        for number, part in _blocks(parts, block_bytes):
             if block not in (None, number):
                 yield from _packed(block, held, mark, slots, order)
                 held, mark = Block(), 0
@@ -290,14 +303,18 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
         if block is not None:
             yield from _packed(block, held, mark, slots, order)
 
-    def with_block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, part in _blocks(parts):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, number), pa.int64()), *part.columns], names=["block", "doc_id", "held_out", "text"])
+    def by_block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, some in itertools.groupby(_blocks(parts, block_bytes), lambda x: x[0]):
+            rows = _frozen([part for _, part in some])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([rows], pa.binary())], names=["block", "rows"])
 
     told = written(docs.mapInArrow(gather, _SENT_DDL).groupBy("slot").applyInArrow(_totals, _TOLD_DDL), "lm-totals")
     n, kinds = told.where(F.col("block").isNull()).agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
     def walk(left, right):
+        if left.num_rows != 1:
+            raise ValueError("the input's partitions changed between two reads")
+        left = pa.ipc.open_stream(left.column("rows")[0].as_buffer()).read_all()
         texts = bytes_of(left.column("text"))
         if _mark(texts) != (pc.sum(right.column("mark")).as_py() or 0):
             raise ValueError("the input's partitions changed between two reads")
@@ -329,7 +346,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    texts = docs.mapInArrow(with_block, f"block long, doc_id {kind}, held_out boolean, text string")
+    texts = docs.mapInArrow(by_block, "block long, rows binary")
     about = told.where(F.col("block").isNotNull()).drop("tokens", "kinds")
     return (
         texts.groupBy("block")
