@@ -520,7 +520,7 @@ def named(docs: DataFrame, n: int, column: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, exact: bool = False) -> DataFrame:
     """``docs`` with one row of each component: of its rows with the least id (null ids are last), one of
-    the least set. Rows without a set (fewer words than ``n`` needs) stay, and ids may repeat or be null.
+    the least set. Rows without a set (null and wordless texts) stay, and ids may repeat or be null.
     """
     rows, labelled = grouped(docs, n, num, den, exact)
     sid, key, kept_sid, kept_id, twice = free_names(docs, "sid", "key", "kept_sid", "kept_id", "twice")
