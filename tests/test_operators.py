@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
-from tickerloom.operators import allocation, evaluation, features, feedback, labels, models
+from tickerloom.operators import allocation, evaluation, features, feedback, labels, models, ranking
 from tickerloom.plans import pipelines
 from tickerloom.sources import contracts as C
 from tickerloom.sources import io
@@ -40,6 +40,20 @@ def test_capped_top_n_equals_greedy(spark):
         targets = [r["ts_code"] for r in sorted((r for r in got if r["target_rank"]), key=lambda r: r["target_rank"])]
         backups = [r["ts_code"] for r in sorted((r for r in got if r["backup_rank"]), key=lambda r: r["backup_rank"])]
         assert (targets, backups) == greedy(rows, caps)
+        dated = spark.createDataFrame(rows, "ts_code string, ev_pred double, theme string").withColumn("day", F.lit("d"))
+        by_day = allocation.capped_top_n(dated, caps, keys=("day",)).drop("day")
+        assert sorted(map(repr, by_day.select(*sorted(by_day.columns)).collect())) == sorted(repr(r) for r in allocation.capped_top_n(dated.drop("day"), caps).select(*sorted(by_day.columns)).collect())
+
+
+def test_rows_are_numbered_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SAMPLE", 60)
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1.0, 1.0, 1.0, rng.random(), float("nan")]), rng.choice([None, "a", f"c{k}"]), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "v double, t string, k long").repartition(5)
+    got = {r["k"]: r["n"] for r in ranking.number_rows(df, [*ranking.ascending(-F.col("v")), *ranking.ascending(F.col("t")), F.col("k")], "n").collect()}
+    value = lambda v: (1, 0, 0) if v is None else (0, v != v, -v if v == v else 0)
+    assert [got[r[2]] for r in sorted(rows, key=lambda r: (value(r[0]), r[1] is None, r[1] or "", r[2]))] == list(range(1, 501))
+    assert ranking.number_rows(df.limit(0), [F.col("k")], "n").count() == 0
 
 
 def test_theme_room_adds_as_a_running_sum():

@@ -2,7 +2,7 @@
 
 The capped selection walks rows by value, skips one whose theme is full, and stops at N rows
 or at the gross cap. As every pick has the same weight, that is two row numbers: within the
-theme, then among those within capacity. Days are partitions, so one plan serves all.
+theme, then among those within capacity. Days are partitions, so one plan serves all; a table without days is numbered by ranges.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
+from tickerloom.operators.ranking import ascending, number_rows
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,27 @@ def pick_theme(df: DataFrame, into: str = "theme") -> DataFrame:
 def capped_top_n(df: DataFrame, caps: Caps = Caps(), value: str = "ev_pred", tie: str = "ts_code", theme: str = "theme", keys: tuple[str, ...] = ()) -> DataFrame:
     """All rows with weight, target_rank and backup_rank; nulls of ``value`` come last.
 
-    With no room at all every row is a backup of weight 0.
+    With no room at all every row is a backup of weight 0. With ``keys``, each key's rows are a selection of their own, in
+    one task. Without, the table may be of any size: all rows are numbered by ranges, a theme's first ones and the
+    targets among them are found by top-k, and a backup's rank is its number less the targets before it.
     """
+    if keys:
+        return _capped_by_key(df, caps, value, tie, theme, keys)
+    key = [*ascending(-F.col(value)), *ascending(F.col(tie))]
+    placed = number_rows(df, key, "__place")
+    blank = F.col(theme).isNull() | (F.trim(F.col(theme)) == "")
+    first = F.row_number().over(W.partitionBy(theme).orderBy("__place"))  # its limit is applied before rows meet
+    room = caps.gross_room()
+    themed = placed.where(~blank).select(theme, "__place").withColumn("__n", first).where(F.col("__n") <= caps.theme_room()).select("__place")
+    free = placed.where(blank).select("__place").orderBy("__place").limit(room)
+    targets = [r["__place"] for r in themed.unionByName(free).orderBy("__place").limit(room).collect()]  # topn rows at most
+    rank = F.coalesce(*[F.when(F.col("__place") == t, F.lit(k + 1)) for k, t in enumerate(targets)], F.lit(None).cast("int"))
+    before = sum((F.when(F.col("__place") > t, 1).otherwise(0) for t in targets), F.lit(0))
+    out = placed.withColumn("target_rank", rank).withColumn("backup_rank", F.when(F.col("target_rank").isNull(), (F.col("__place") - before).cast("int")))
+    return out.withColumn("weight", F.when(F.col("target_rank").isNotNull(), X.double(caps.weight)).otherwise(X.double(0))).drop("__place")
+
+
+def _capped_by_key(df: DataFrame, caps: Caps, value: str, tie: str, theme: str, keys: tuple[str, ...]) -> DataFrame:
     by = [F.col(value).desc_nulls_last(), F.col(tie).asc_nulls_last()]
     blank = F.col(theme).isNull() | (F.trim(F.col(theme)) == "")
     in_theme = F.row_number().over(W.partitionBy(*keys, theme).orderBy(*by))
