@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
-from tickerloom.operators import allocation, evaluation, features, feedback, labels, models, ranking
+from tickerloom.operators import allocation, evaluation, features, feedback, labels, models, ranking, scoring
 from tickerloom.plans import pipelines
 from tickerloom.sources import contracts as C
 from tickerloom.sources import io
@@ -56,6 +56,16 @@ def test_rows_are_numbered_by_ranges(spark, monkeypatch):
     assert ranking.number_rows(df.limit(0), [F.col("k")], "n").count() == 0
 
 
+def test_what_is_not_known_adds_nothing(spark):
+    df = spark.createDataFrame([(None, None, None), ("2", None, "x"), (None, 3e8, "30")], "a string, b double, c string")
+    got = [r["p"] for r in df.select(X.fill_probability(F.col("a"), F.col("b"), F.col("c")).alias("p")).collect()]
+    assert [round(p, 9) for p in got] == [0.35, 0.47, 0.3]
+    bare = scoring.score_ev(scoring.adapt_snapshot(spark.createDataFrame([("a", "n", 0.5)], "ts_code string, name string, prob double"))).first()
+    assert round(bare["p_fill_pred"], 9) == 0.35 and round(bare["e_ret_pred"], 9) == 0.009
+    none = scoring.score_ev(scoring.adapt_snapshot(spark.createDataFrame([("a", "n")], "ts_code string, name string"))).first()
+    assert round(none["e_ret_pred"], 9) == 0.003  # a probability that isn't known counts as 0.3
+
+
 def test_theme_room_adds_as_a_running_sum():
     assert allocation.Caps(topn=20).theme_room() == 7
 

@@ -95,14 +95,15 @@ def first_text(columns: list[str]) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(double(low), F.least(double(high), c))
+    """Null stays null: ``least`` and ``greatest`` alone would skip it and give a bound."""
+    return F.when(c.isNotNull(), F.greatest(double(low), F.least(double(high), c)))
 
 
 # The coefficients of the two rules, costs and penalties.
 def fill_probability(open_times: Column, seal_amount: Column, turnover_rate: Column) -> Column:
     """.35 + .06 per opening (0-5) - .05 per 1e8 sealed (up to 5) + .005 per turnover point (0-20), in .02-.98."""
     opened = double(0.06) * clip(safe_number(open_times), 0, 5)
-    sealed = double(0.05) * F.least(safe_number(seal_amount) / double(1e8), double(5))
+    sealed = double(0.05) * clip(safe_number(seal_amount) / double(1e8), float("-inf"), 5)
     turned = double(0.005) * clip(safe_number(turnover_rate), 0, 20)
     zero = double(0)
     return clip(double(0.35) + F.coalesce(opened, zero) - F.coalesce(sealed, zero) + F.coalesce(turned, zero), 0.02, 0.98)

@@ -76,8 +76,8 @@ SNAPSHOT = """
 l AS (SELECT l_partkey, CAST(count(*) AS DOUBLE) AS open_times, 100 * round(sum(l_extendedprice), 2) AS seal_amount, avg(l_quantity) AS turnover_rate FROM lineitem GROUP BY 1),
 snap AS (SELECT CAST(p_partkey AS VARCHAR) AS ts_code, p_name AS name, p_type AS board, p_brand AS brand, (p_retailprice - 900) / 100 AS prob,
   CAST(p_size AS DOUBLE) AS s, p_size / 25.0 AS t, p_partkey, open_times, seal_amount, turnover_rate FROM part LEFT JOIN l ON p_partkey = l_partkey),
-ev0 AS (SELECT *, least(0.98, greatest(0.02, 0.35 + coalesce(0.06 * least(5.0, greatest(0.0, open_times)), 0) - coalesce(0.05 * least(5.0, seal_amount / 1e8), 0)
-      + coalesce(0.005 * least(20.0, greatest(0.0, turnover_rate)), 0))) AS p_fill_pred,
+ev0 AS (SELECT *, least(0.98, greatest(0.02, 0.35 + CASE WHEN open_times IS NULL THEN 0 ELSE 0.06 * least(5.0, greatest(0.0, open_times)) END - CASE WHEN seal_amount IS NULL THEN 0 ELSE 0.05 * least(5.0, seal_amount / 1e8) END
+      + CASE WHEN turnover_rate IS NULL THEN 0 ELSE 0.005 * least(20.0, greatest(0.0, turnover_rate)) END)) AS p_fill_pred,
   least(0.08, greatest(-0.05, (least(1.0, greatest(0.0, prob)) - 0.2) * 0.03 + least(10.0, greatest(-2.0, s)) * 0.001 + least(3.0, greatest(-1.0, t)) * 0.003)) AS e_ret_pred FROM snap),
 ev AS (SELECT *, round(CAST(p_fill_pred * e_ret_pred - 0.0008 AS DOUBLE), 9) AS ev_pred FROM ev0)"""
 
