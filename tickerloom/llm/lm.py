@@ -20,8 +20,9 @@ context that its last two words end with: a trained trigram's last two words are
 each failure passes to the next shorter one. So the carried states of all texts of a block are
 those of their positions, and the arcs and failures of each order are taken for all positions at once.
 
-Words are counted exactly. Bigrams and trigrams are told apart by 63-bit hashes of their words;
-two that collide share a count, at a probability of 2**-63 for a pair.
+Words are counted exactly. Bigrams and trigrams are told apart by hashes of their words, of ``SPARE`` bits more than
+the corpus' size in bytes has, and 63 at most: of a million million n-grams, no more than about ten thousand share a
+count with another one, whatever the corpus' size.
 
 Defined results: a null or empty text is its end token alone; a text of any length is one block at
 least, and whole; a null id is in
@@ -42,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,8 @@ from tickerloom.llm.common import bytes_of, words_of, written
 
 #: Bytes of text of a block, and of the corpus for each hash range.
 BLOCK, RANGE = 4 << 20, 4 << 20
+#: Bits of an n-gram's hash beyond those of the corpus' size.
+SPARE = 24
 MU, ADD = 4.0, 0.1
 END = b""  # no word is empty
 #: Texts that are cut into words together.
@@ -65,8 +69,10 @@ def _mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Numbered tokens of some texts: ``words`` numbers them, the end token is 0."""
+    """Numbered tokens of some texts: ``words`` numbers them, the end token is 0. The last ``drop`` bits of n-grams'
+    hashes are 0."""
 
+    drop: int = 1
     words: dict[bytes, int] = field(default_factory=lambda: {END: 0})
     parts: list[np.ndarray] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
@@ -91,13 +97,16 @@ class Block:
         inner[self.starts] = False
         self.at = np.flatnonzero(inner)  # tokens that have one before them
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
-        self.keys = _mixed(hashes[self.tokens[self.at - 1]], hashes[self.tokens[self.at]])
+        self.keys = self._kept(_mixed(hashes[self.tokens[self.at - 1]], hashes[self.tokens[self.at]]))
         return self
 
     def add_triples(self) -> None:
         """``third``: the two-token steps that follow one in the same text; each ends a trigram."""
         self.third = np.flatnonzero(np.diff(self.at) == 1) + 1
-        self.triples = _mixed(self.keys[self.third - 1], self.keys[self.third])
+        self.triples = self._kept(_mixed(self.keys[self.third - 1], self.keys[self.third]))
+
+    def _kept(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> np.uint64(self.drop) << np.uint64(self.drop)
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.train], minlength=len(self.words))
@@ -192,12 +201,21 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=np.uint64(0)))
+def _pack_keys(keys: np.ndarray, drop: int = 0) -> bytes:
+    """The differences of keys without their last bits; two keys that differ do so without them."""
+    return _zip(_pack(np.diff(keys >> np.uint64(drop), prepend=np.uint64(0))))
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
+    return np.cumsum(_unpack(_unzip(data), "<u8"), dtype=np.uint64)
+
+
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def _blocks(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -247,14 +265,14 @@ def _packed(block: int, held: Block, mark: int, slots: int, order: int) -> Itera
     rows: list[tuple] = []
     for k in np.flatnonzero((np.diff(edges) > 0) | (np.diff(cuts) > 0)).tolist():
         a, b, c, d = edges[k], edges[k + 1], cuts[k], cuts[k + 1]
-        rows.append((k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), b" ".join(names[c:d]) if c < d else None, _pack(word_n[c:d]), None))
+        rows.append((k, block, _pack_keys(keys[a:b], held.drop), _pack(n[a:b].astype("<u4")), _zip(b" ".join(names[c:d])) if c < d else None, _pack(word_n[c:d]), None))
     if order > 2:
         held.add_triples()
         keys, n = held.gram_counts(True)
         edges = _edges(keys, slots)
         for k in np.flatnonzero(np.diff(edges) > 0).tolist():
             a, b = edges[k], edges[k + 1]
-            rows.append((slots + k, block, _pack_keys(keys[a:b]), _pack(n[a:b].astype("<u4")), None, b"", None))
+            rows.append((slots + k, block, _pack_keys(keys[a:b], held.drop), _pack(n[a:b].astype("<u4")), None, b"", None))
     rows.append((block % slots, block, b"", b"", None, b"", mark))
     for at in range(0, len(rows), 256):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), _SENT.types)], schema=_SENT)
@@ -270,7 +288,7 @@ def _totals(key, table):
     distinct, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
     total = np.bincount(place, weights=np.concatenate([np.zeros(0), *n]), minlength=len(distinct)).astype(np.int64)
     number: dict[bytes, int] = {}
-    words = [[] if r["words"] is None else [number.setdefault(w, len(number)) for w in r["words"].split(b" ")] for r in rows]
+    words = [[] if r["words"] is None else [number.setdefault(w, len(number)) for w in _unzip(r["words"]).split(b" ")] for r in rows]
     word_n = [_unpack(r["word_n"], "<u4").astype(np.int64) for r in rows]
     sums = np.zeros(len(number), np.int64)
     for some, counts in zip(words, word_n):
@@ -288,15 +306,16 @@ def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK, range_bytes
     """``docs`` (doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score; learns from the rows that aren't held out, n-grams of up to ``order`` (2 or 3) words."""
     docs = docs.select("doc_id", "held_out", "text")
-    slots = max(1, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // range_bytes))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots, drop = max(1, -(-size // range_bytes)), max(1, 64 - SPARE - size.bit_length())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, mark = None, Block(), 0
+        block, held, mark = None, Block(drop), 0
         for number, part in _blocks(parts, block_bytes):
             if block not in (None, number):
                 yield from _packed(block, held, mark, slots, order)
-                held, mark = Block(), 0
+                held, mark = Block(drop), 0
             block, texts = number, bytes_of(part.column("text"))
             held.add(texts, part.column("held_out").to_pylist())
             mark += _mark(texts)
@@ -318,7 +337,7 @@ def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK, range_bytes
         texts = bytes_of(left.column("text"))
         if _mark(texts) != (pc.sum(right.column("mark")).as_py() or 0):
             raise ValueError("the input's partitions changed between two reads")
-        block = Block()
+        block = Block(drop)
         block.add(texts, left.column("held_out").to_pylist())
         del texts
         block.finish()
