@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,13 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def few_rows(parts: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``n`` at a time: a batch's texts as Python objects, and what is made of them, take much memory."""
+    for part in parts:
+        for at in range(0, part.num_rows, n):
+            yield part.slice(at, n)
+
+
 def words_of(text: bytes, lower: bool = False) -> list[bytes]:
     """Words of a text: ``bytes.split`` cuts at exactly the separators of ``WORD``, and
     ``bytes.lower`` changes A-Z alone."""

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, free_names, written
+from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, few_rows, free_names, written
 
 #: Buckets and slices of the hashed counts; also buckets of marks.
 BUCKETS, SLICES = 1 << 20, 16
@@ -54,8 +54,8 @@ SKETCH, BANDS, AGREE = 16, 8, 6
 #: N-grams of lowest hash that a set looks at, shared ones that a pair must show, and the
 #: probability that a linked pair shows fewer (that of two n-grams' hashes being equal is 5e-20 a pair).
 LOWEST, NEED, MISS = 64, 4, 1e-15
-#: Hashes that a task holds before it counts them, and rows of texts that it looks at together.
-HELD, ROWS = 1_000_000, 256
+#: Hashes that a task holds before it counts them.
+HELD = 1_000_000
 #: Least similarity to its hub at which a class keeps its differences.
 AROUND = 0.3
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -252,7 +252,7 @@ def heavy_buckets(docs: DataFrame, n: int) -> np.ndarray:
                 held.clear()
 
         size = 0
-        for part in parts:
+        for part in few_rows(parts):
             for text in bytes_of(part.column("text")):
                 if text and once(hashlib.blake2b(text, digest_size=16).digest()):
                     held.append(shingler.hashes(text))
@@ -283,7 +283,7 @@ def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int, exact
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, once, meeting = Shingler(n), _Once(), Meeting(num, den, exact)
-        for part in parts:
+        for part in few_rows(parts):
             size, sid, light, sketch, grams, need = [], [], [], [], [], []
             for text in bytes_of(part.column("text")):
                 h = shingler.hashes(text)
@@ -309,14 +309,16 @@ def signed(docs: DataFrame, heavy: np.ndarray, n: int, num: int, den: int, exact
 
 
 def text_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, text of the wanted classes; ``docs``: mark, text; ``wanted``: sid, mark of one row. Rows of equal id and
-    text have one mark and come once, so neither a frequent id nor a frequent text meets itself."""
+    """sid, text of the wanted classes, once each; ``docs``: mark, text; ``wanted``: sid, mark of one row, and ``again``,
+    whether other rows have the mark. Rows of equal id and text have one mark, so neither a frequent id nor a frequent text
+    meets itself."""
     w = written(wanted, "jaccard-wanted")
     bucket = F.pmod("mark", F.lit(BUCKETS))
     # at most BUCKETS numbers, so they can be broadcast; most texts that aren't wanted then don't move
     some = w.select(bucket.alias("bucket")).distinct()
     near = docs.where(F.col("text").isNotNull()).join(F.broadcast(some), bucket == F.col("bucket"), "left_semi")
-    return near.groupBy("mark").agg(F.any_value(F.col("text").cast("binary")).alias("text")).join(w, "mark").select("sid", "text")
+    found = written(near.join(w, "mark").select("sid", "again", F.col("text").cast("binary").alias("text")), "jaccard-texts")
+    return found.where(~F.col("again")).select("sid", "text").union(found.where("again").groupBy("sid").agg(F.any_value("text").alias("text")))
 
 
 def sets_of(shingler: Shingler, names: list[bytes], texts: pa.Array) -> list[np.ndarray | None]:
@@ -331,19 +333,12 @@ def sets_of(shingler: Shingler, names: list[bytes], texts: pa.Array) -> list[np.
     return out
 
 
-def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows, a few at a time: texts and sets of many rows together are large."""
-    for part in parts:
-        for at in range(0, part.num_rows, ROWS):
-            yield part.slice(at, ROWS)
-
-
 def verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """a, b -> the linked ones among them. Each probe's partners go through a prefix tree."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for part in slices(parts):
+        for part in few_rows(parts):
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
             of_a, of_b = sets_of(shingler, a, part.column("of_a")), sets_of(shingler, b, part.column("of_b"))
             by_probe: dict[bytes, list[int]] = {}
@@ -381,7 +376,7 @@ def differences(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for part in slices(parts):
+        for part in few_rows(parts):
             names, hubs = part.column("sid").to_pylist(), part.column("hub").to_pylist()
             rows = []
             for sid, hub, x, c in zip(names, hubs, sets_of(shingler, names, part.column("of_sid")), sets_of(shingler, hubs, part.column("of_hub"))):
@@ -473,14 +468,14 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """a, b: links between classes, enough to connect all that links connect."""
     ids = lambda *columns: functools.reduce(DataFrame.union, [c.toDF("sid") for c in columns]).distinct()
-    texts = lambda wanted: text_table(docs, classes.join(wanted, "sid", "left_semi").select("sid", "mark"))
+    texts = lambda wanted: text_table(docs, classes.join(wanted, "sid", "left_semi").select("sid", "mark", "again"))
     hubs = written(suggested(classes), "jaccard-hubs")
-    near = written(texts(ids(hubs.select("sid"), hubs.select("hub"))), "jaccard-hub-texts")
+    near = texts(ids(hubs.select("sid"), hubs.select("hub")))
     around = written(differences(hubs, near, n, num, den), "jaccard-around")
     links = written(around.where("linked").select(F.col("hub").alias("a"), F.col("sid").alias("b")).union(links_around_hubs(around, num, den)), "jaccard-near-links")
     rows = classes.select("sid", "size", "need", "grams").join(around.select("sid", "hub"), "sid", "left").withColumn("area", F.coalesce("hub", "sid"))
     pairs = written(meetings(rows, num, den), "jaccard-pairs")
-    far = written(texts(ids(pairs.select("a"), pairs.select("b"))), "jaccard-texts")
+    far = texts(ids(pairs.select("a"), pairs.select("b")))
     return links.union(written(verify(pairs, far, n, num, den), "jaccard-links"))
 
 
@@ -488,8 +483,9 @@ def grouped(docs: DataFrame, n: int, num: int, den: int, exact: bool) -> tuple[D
     """The rows of ``signed``, and sid, doc_id (its least), root of each set."""
     docs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("mark"), "text")
     rows = written(signed(docs, heavy_buckets(docs, n), n, num, den, exact), "jaccard-signed")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")).alias("first")
-    names = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(least).select("sid", F.col("first.doc_id").alias("doc_id"), F.col("first.mark").alias("mark"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark", "n")).alias("first")
+    marks = rows.where(F.col("sid").isNotNull()).groupBy("sid", "doc_id", "mark").agg(F.count("*").alias("n"))
+    names = marks.groupBy("sid").agg(least).select("sid", "first.doc_id", "first.mark", (F.col("first.n") > 1).alias("again"))
     full = rows.where(F.col("grams").isNotNull()).select("sid", "size", "light", "sketch", "grams", "need").dropDuplicates(["sid"])
     classes = written(names.join(full, "sid"), "jaccard-classes")
     roots = components(links_of(docs, classes, n, num, den))
@@ -511,7 +507,7 @@ def named(docs: DataFrame, n: int, column: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for part in parts:
+        for part in few_rows(parts):
             sid = pa.array([set_name(shingler.hashes(t)) for t in bytes_of(part.column(at))], pa.binary())
             yield pa.RecordBatch.from_arrays([*part.columns, sid], names=names)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import crc_fold
+from tickerloom.llm.common import crc_fold, few_rows
 
 _STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 #: Characters of one text that are looked at together; longer texts come in overlapping slices.
@@ -92,7 +92,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", per_lang: int = 2000, order
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[str, np.ndarray] = {}
-        for part in parts:
+        for part in few_rows(parts, 1024):
             names = part.column("lang").to_pylist()
             texts = part.column("text").to_pylist()
             for lang in set(names):
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, model: LangModel) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for part in parts:
+        for part in few_rows(parts, 1024):
             texts = part.column("text").to_pylist()
             use = [i for i, t in enumerate(texts) if t and own.langs and any(map(str.isalpha, t))]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import batches, written
+from tickerloom.llm.common import batches, few_rows, written
 
 SIZE, END_ID = 1024, 2
 #: A bin with at most this much room left is final.
@@ -43,7 +43,7 @@ SLACK = 3
 #: Underfull bins that one task of a later round gets, about.
 GROUP = 50_000
 #: Words whose ids a task keeps.
-CACHE = 800_000
+CACHE = 250_000
 
 #: Marks that may follow a word's letters: neither letters, digits nor white space.
 MARKS = ".,;:!?\"'()[]{}-#*$%&|<>/@+=~^_`\\"
@@ -131,13 +131,14 @@ class WordEncoder:
             words[w] = ids
 
     def _block(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE:
-            self.words.clear()
-            self.bare.clear()
-            self.marks.clear()
         cut = [None if _BEFORE_SPACE.search(text) or any(t in text for t in self.added) else text.split(" ") for text in texts]
         firsts = iter(self._ids([c.pop(0) for c in cut if c is not None]))
-        lacking = set().union(*(c for c in cut if c)).difference(self.words)
+        used = set().union(*(c for c in cut if c))
+        if len(self.words) > CACHE:  # what this block has again stays
+            self.words = {w: self.words[w] for w in used.intersection(self.words)}
+            self.bare.clear()
+            self.marks.clear()
+        lacking = used.difference(self.words)
         if "" in lacking:  # of a text that ends with a space
             lacking.remove("")
             self.words[""] = self._ids([" "])[0]
@@ -196,7 +197,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, special_as_t
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, ids, number, start, length, crc = encoder(tokenizer, special_as_text), [], [], [], [], []
         id_type = None
-        for part in parts:
+        for part in few_rows(parts, 512):
             id_type = part.column("doc_id").type
             texts = [t or "" for t in part.column("text").to_pylist()]
             for doc_id, data in zip(part.column("doc_id").to_pylist(), enc.encode(texts)):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import bytes_of, hash_share
+from tickerloom.llm.common import bytes_of, few_rows, hash_share
 
 STATS = 14
 BINS = 12
@@ -114,7 +114,7 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
 
 def _sample_stats(rows: DataFrame) -> np.ndarray:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in few_rows(parts):
             yield pa.RecordBatch.from_pydict({"s": pa.array([stats_of(t) for t in bytes_of(part.column("text"))], pa.list_(pa.float64()))})
 
     got = rows.select("text").mapInArrow(run, "s array<double>").toArrow().column("s").to_pylist()
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: PuModel, threshold: float = 0.7) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in few_rows(parts):
             stats = np.array([stats_of(t) for t in bytes_of(part.column("text"))], float).reshape(-1, STATS)
             s = sent.value.score(stats)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from re import _constants as sre
 from re import _parser as sre_parser
 
-from tickerloom.llm.common import bytes_of
+from tickerloom.llm.common import bytes_of, few_rows
 
 
 @dataclass(frozen=True)
@@ -276,7 +276,7 @@ def scan_table(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
-        for part in parts:
+        for part in few_rows(parts):
             found = [scanner.spans(x) for x in bytes_of(part.column("text"))]
             own = [[s for s in x if s[0] in base] for x in found]
             counts = [pa.array([sum(s[0] == k for s in x) for x in own], pa.int64()) for k in base]
@@ -303,7 +303,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = sent.value
-        for part in parts:
+        for part in few_rows(parts):
             old = part.column(names.index(text)).to_pylist()
             new = [None if x is None else clean(scanner, x.encode()).decode() for x in old]
             columns = list(part.columns)

@@ -36,12 +36,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import bytes_of, hash_share, written
+from tickerloom.llm.common import add_sketches, bytes_of, cut_sketch, few_rows, hash_share, written
 
-BITS, GRAM, PREFIX, FOLDS = 20, 5, (2, 3, 4, 5, 6, 7, 8), 3
+BITS, GRAM, PREFIX, FOLDS, SLICES = 20, 5, (2, 3, 4, 5, 6, 7, 8), 3, 64
 #: Frequencies count in so many words, of which a text has ``LEAST`` more than its own.
 PER, LEAST = 100.0, 20
 #: A feature's least deviation, in the value's unit, and the linear models' decay.
@@ -202,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("toxi
     sent = docs.sparkSession.sparkContext.broadcast(place)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in few_rows(parts):
             at, of = [], []
             for t in bytes_of(part.column("text")):
                 bucket, value = gram_values(t)
@@ -226,26 +227,34 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("toxi
 
 
 def choose(texts: DataFrame, n_pos: int, n_neg: int, width: int) -> DataFrame:
-    """``texts`` (toxic, text) -> bucket, unit, stands: the ``width`` features that stand furthest above other texts' values."""
+    """``texts`` (toxic, text) -> bucket, unit, stands: the ``width`` features that stand furthest above other texts' values.
+
+    A task adds up the values of its texts, and their squares, in vectors of fixed size; these are added up by slice.
+    """
+    span = (1 << BITS) // SLICES
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, 1 << BITS))
-        for part in parts:
+        for part in few_rows(parts):
             for t, toxic in zip(bytes_of(part.column("text")), part.column("toxic").to_pylist()):
                 bucket, value = gram_values(t)
                 sums[2 * (toxic == 1), bucket] += value
                 sums[2 * (toxic == 1) + 1, bucket] += value**2
-        held = np.flatnonzero(sums[0] + sums[2])
-        for at in range(0, len(held), 1 << 16):
-            some = held[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(v) for v in sums[:, some])], names=["bucket", "neg", "neg2", "pos", "pos2"])
+        rows = cut_sketch(sums.reshape(4, SLICES, span).transpose(1, 0, 2).ravel(), SLICES, TaskContext.get().partitionId())
+        yield pa.RecordBatch.from_arrays([pa.array(rows["slice"], pa.int32()), pa.array(rows["part"], pa.int32()), pa.array(rows["counts"], pa.binary())], names=["slice", "part", "counts"])
 
-    total = texts.select("toxic", "text").mapInArrow(run, "bucket long, neg double, neg2 double, pos double, pos2 double").groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("neg", "neg2", "pos", "pos2")))
-    n = n_pos + n_neg
-    gap = F.col("pos") / n_pos - F.col("neg") / n_neg
-    inside = F.greatest((F.col("pos2") + F.col("neg2") - F.col("pos") ** 2 / n_pos - F.col("neg") ** 2 / n_neg) / n, F.lit(0.0))
-    stands = F.round(gap / F.sqrt((inside + SHRINK**2) * (1 / n_pos + 1 / n_neg)), 9)
-    return total.select("bucket", (F.sqrt(inside) + SHRINK).alias("unit"), stands.alias("stands")).where("stands > 0").orderBy(F.desc("stands"), "bucket").limit(width)
+    def stand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k, data in zip(part.column("slice").to_pylist(), part.column("counts").to_pylist()):
+                neg, neg2, pos, pos2 = np.frombuffer(data).reshape(4, span)
+                inside = np.maximum((pos2 + neg2 - pos**2 / n_pos - neg**2 / n_neg) / (n_pos + n_neg), 0.0)
+                stands = np.round((pos / n_pos - neg / n_neg) / np.sqrt((inside + SHRINK**2) * (1 / n_pos + 1 / n_neg)), 9)
+                best = np.argsort(-stands, kind="stable")[:width]
+                best = best[stands[best] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(k * span + best), pa.array(np.sqrt(inside[best]) + SHRINK), pa.array(stands[best])], names=["bucket", "unit", "stands"])
+
+    total = add_sketches(texts.select("toxic", "text").mapInArrow(run, "slice int, part int, counts binary"), "float64")
+    return total.mapInArrow(stand, "bucket long, unit double, stands double").orderBy(F.desc("stands"), "bucket").limit(width)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
@@ -253,7 +262,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     sent, names = docs.sparkSession.sparkContext.broadcast(chain), [f"{c}_prob" for c in chain.categories]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in few_rows(parts):
             probs = np.array([sent.value.probabilities(t) for t in bytes_of(part.column("text"))]).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(probs[:, k]) for k in range(len(names))), pa.array(probs[:, -1] >= threshold)], names=["doc_id", *names, "rejected"])
 
@@ -266,7 +275,7 @@ def keep_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFra
     sent, at = docs.sparkSession.sparkContext.broadcast(chain), docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in few_rows(parts):
             good = [sent.value.probabilities(t)[-1] < threshold for t in bytes_of(part.column(at))]
             yield part.filter(pa.array(good, pa.bool_()))
 
