@@ -61,11 +61,13 @@ def auto_numeric(df: DataFrame, known: set[str], least: float = 0.6) -> list[str
 def build_features(df: DataFrame, key: str = "trade_date") -> DataFrame:
     """Features of a decision table (canonical columns) for all its days: meta, x__* and risk_*."""
     numeric = [c for c in ("strength_score", "theme_boost", "probability", "final_score", "regime_weight", "turnover_rate", "amount", "vol") if c in df.columns]
-    auto = auto_numeric(df, set(numeric) | {key, "ts_code", "name", "rank", "fill_risk_hint"})
+    auto = auto_numeric(df, set(numeric) | {key, "ts_code", "name", "rank", "fill_risk_hint", "industry", "theme"})
     out = df.withColumns({f"auto__{c}": X.safe_number(F.col(c)) for c in auto} | {c: X.safe_number(F.col(c)) for c in numeric})
     out = rank_score(out.withColumn("rank", X.safe_number(F.col("rank"))), "rank", (key,))
     used = [*numeric, *[f"auto__{c}" for c in auto], "rank_score"]
-    liquid = F.coalesce(*[F.col(c) for c in ("amount", "turnover_rate") if c in numeric], F.lit(None).cast("double"))
+    # a day's amounts if it has any, else its turnover rates
+    have = [F.when(F.count(c).over(W.partitionBy(key)) > 0, F.struct(F.col(c).alias("v"))) for c in ("amount", "turnover_rate") if c in numeric]
+    liquid = F.coalesce(*have)["v"] if have else F.lit(None).cast("double")
     out = liquidity_flag(out.withColumn("__liquid", liquid), "__liquid", (key,)).drop("__liquid")
     filled = median_fill(out.withColumns({f"__f_{c}": F.col(c) for c in used}), [f"__f_{c}" for c in used], (key,))
     scored = zscore(filled, [f"__f_{c}" for c in used], (key,))

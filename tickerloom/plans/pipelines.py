@@ -86,7 +86,8 @@ def merge_feedback(learning: DataFrame, fills: DataFrame | None, returns: DataFr
 
 
 def premium_features(decisions: DataFrame) -> DataFrame:
-    df = C.resolve_aliases(decisions, C.DECISION_REQUIRED, C.DECISION_OPTIONAL)
+    df = C.resolve_aliases(decisions, C.DECISION_REQUIRED, C.DECISION_OPTIONAL, others=True)
+    df = df.withColumn("ts_code", X.strip(F.col("ts_code")))
     return features.build_features(df.withColumn("trade_date", X.parse_ymd(F.col("trade_date"))).where(F.col("trade_date").isNotNull()))
 
 

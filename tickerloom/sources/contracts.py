@@ -99,13 +99,15 @@ def find_alias(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
     return next((known[a.strip().lower()] for a in aliases if a.strip().lower() in known), None)
 
 
-def resolve_aliases(df: DataFrame, required: Mapping[str, Sequence[str]], optional: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """Canonical columns; an absent optional one is null, absent required ones raise together."""
+def resolve_aliases(df: DataFrame, required: Mapping[str, Sequence[str]], optional: Mapping[str, Sequence[str]] | None = None, others: bool = False) -> DataFrame:
+    """Canonical columns; an absent optional one is null, absent required ones raise together. With ``others``, columns that
+    stand for no canonical one come along, under their own names."""
     found = {name: find_alias(df.columns, aliases) for name, aliases in {**required, **(optional or {})}.items()}
     lacking = [name for name in required if found[name] is None]
     if lacking:
         raise ContractError(f"no column for: {', '.join(lacking)}")
-    return df.select(*[(quoted(c) if c is not None else F.lit(None).cast("string")).alias(name) for name, c in found.items()])
+    more = [c for c in df.columns if others and c not in found.values() and c.lower() not in found and not c.startswith("__")]
+    return df.select(*[(quoted(c) if c is not None else F.lit(None).cast("string")).alias(name) for name, c in found.items()], *map(quoted, more))
 
 
 def align_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
