@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,27 +82,31 @@ def batches(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-def add_sketches(df: DataFrame, dtype: str = "int64", sum_dtype: str | None = None) -> DataFrame:
+def add_sketches(df: DataFrame, dtype: str = "int64", sum_dtype: str | None = None, finish: Callable[[int, np.ndarray], pa.Table] | None = None, schema: str = "slice int, counts binary") -> DataFrame:
     """Sum equally long count vectors by ``slice``: first within groups of tasks, then over them.
 
     ``df`` has slice int, part int and counts binary, one row for each slice and task, of numbers of
-    ``dtype``; sums are of ``sum_dtype``.
+    ``dtype``; sums are of ``sum_dtype``. ``finish`` makes rows of ``schema`` of a slice and its sums, in the task that has
+    them: a further step would need a worker of its own beside this one's.
     """
     sums = sum_dtype or dtype
 
-    def add(own: str):
-        def total(key, table):
-            acc = None
-            for x in table.column("counts").to_pylist():
-                v = np.frombuffer(x, own).astype(sums)
-                acc = v if acc is None else acc + v
-            return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([acc.tobytes()], pa.binary())})
+    def sum_of(table: pa.Table, own: str) -> np.ndarray:
+        acc = None
+        for x in table.column("counts").to_pylist():
+            v = np.frombuffer(x, own).astype(sums)
+            acc = v if acc is None else acc + v
+        return acc
 
-        return total
+    def near(key, table):
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([sum_of(table, dtype).tobytes()], pa.binary())})
 
-    schema = "slice int, part int, counts binary"
-    near = df.withColumn("part", (F.col("part") % F.lit(4)).cast("int")).groupBy("slice", "part").applyInArrow(add(dtype), schema)
-    return near.withColumn("part", F.lit(0)).groupBy("slice", "part").applyInArrow(add(sums), schema).select("slice", "counts")
+    def total(key, table):
+        acc = sum_of(table, sums)
+        return finish(key[0].as_py(), acc) if finish else pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([acc.tobytes()], pa.binary())})
+
+    some = df.withColumn("part", (F.col("part") % F.lit(4)).cast("int")).groupBy("slice", "part").applyInArrow(near, "slice int, part int, counts binary")
+    return some.groupBy("slice").applyInArrow(total, schema)
 
 
 def cut_sketch(counts: np.ndarray, slices: int, part: int) -> dict[str, list]:

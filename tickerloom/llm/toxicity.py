@@ -243,18 +243,16 @@ def choose(texts: DataFrame, n_pos: int, n_neg: int, width: int) -> DataFrame:
         rows = cut_sketch(sums.reshape(4, SLICES, span).transpose(1, 0, 2).ravel(), SLICES, TaskContext.get().partitionId())
         yield pa.RecordBatch.from_arrays([pa.array(rows["slice"], pa.int32()), pa.array(rows["part"], pa.int32()), pa.array(rows["counts"], pa.binary())], names=["slice", "part", "counts"])
 
-    def stand(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for k, data in zip(part.column("slice").to_pylist(), part.column("counts").to_pylist()):
-                neg, neg2, pos, pos2 = np.frombuffer(data).reshape(4, span)
-                inside = np.maximum((pos2 + neg2 - pos**2 / n_pos - neg**2 / n_neg) / (n_pos + n_neg), 0.0)
-                stands = np.round((pos / n_pos - neg / n_neg) / np.sqrt((inside + SHRINK**2) * (1 / n_pos + 1 / n_neg)), 9)
-                best = np.argsort(-stands, kind="stable")[:width]
-                best = best[stands[best] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(k * span + best), pa.array(np.sqrt(inside[best]) + SHRINK), pa.array(stands[best])], names=["bucket", "unit", "stands"])
-
-    total = add_sketches(texts.select("toxic", "text").mapInArrow(run, "slice int, part int, counts binary"), "float64")
-    return total.mapInArrow(stand, "bucket long, unit double, stands double").orderBy(F.desc("stands"), "bucket").limit(width)
+    def stand(k: int, sums: np.ndarray) -> pa.Table:
+        neg, neg2, pos, pos2 = sums.reshape(4, span)
+        inside = np.maximum((pos2 + neg2 - pos**2 / n_pos - neg**2 / n_neg) / (n_pos + n_neg), 0.0)
+        stands = np.round((pos / n_pos - neg / n_neg) / np.sqrt((inside + SHRINK**2) * (1 / n_pos + 1 / n_neg)), 9)
+        best = np.argsort(-stands, kind="stable")[:width]
+        best = best[stands[best] > 0]
+        return pa.table({"bucket": k * span + best, "unit": np.sqrt(inside[best]) + SHRINK, "stands": stands[best]})
+
+    cut = texts.select("toxic", "text").mapInArrow(run, "slice int, part int, counts binary")
+    return add_sketches(cut, "float64", finish=stand, schema="bucket long, unit double, stands double").orderBy(F.desc("stands"), "bucket").limit(width)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
