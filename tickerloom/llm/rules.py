@@ -53,32 +53,44 @@ def dup_lines(text: Column) -> Column:
     return _let(F.transform(worded, lambda x: F.xxhash64(x)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def repeat_words(words: Column) -> Column:
-    """Words in three-word windows that occur twice or more; windows are hashes of word hashes.
+def _same(a: Column, b: Column) -> Column:
+    return F.coalesce(a["h"] == b["h"], F.lit(False))
 
-    Where all windows differ, nothing more is done; else windows are sorted with their places, those equal to a
-    neighbour are kept, and the words they cover are counted by the gaps between places.
-    """
-    some = F.coalesce(words, F.array().cast("array<bigint>"))
-    return _let(some, lambda w: _let(_windows(w), lambda t: F.when(F.size(F.array_distinct(t)) < F.size(t), _covered(t)).otherwise(0)))
 
+def _either(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
 
-def _windows(w: Column) -> Column:
-    pairs = F.zip_with(w, F.slice(w, 2, ALL), lambda a, b: F.xxhash64(a, b))
-    return _let(pairs, lambda p: F.zip_with(F.slice(p, 1, F.greatest(F.size(w) - 2, F.lit(0))), F.slice(w, 3, ALL), lambda a, b: F.xxhash64(a, b)))
 
+#: From hashed words (``w``) to the places of repeated three-word windows (``at``): each step's name, and its value from those before it.
+#: Windows are hashes of word hashes. Where all of a text's windows differ, nothing more is done; else windows are sorted with their places,
+#: and those equal to a neighbour are kept.
+REPEAT_STEPS: tuple[tuple[str, Callable[[Callable[[str], Column]], Column]], ...] = (
+    ("p", lambda c: F.zip_with(c("w"), F.slice(c("w"), 2, ALL), lambda a, b: F.xxhash64(a, b))),
+    ("t", lambda c: F.zip_with(F.slice(c("p"), 1, F.greatest(F.size(c("w")) - 2, F.lit(0))), F.slice(c("w"), 3, ALL), lambda a, b: F.xxhash64(a, b))),
+    ("again", lambda c: F.size(F.array_distinct(c("t"))) < F.size(c("t"))),
+    ("s", lambda c: F.when(c("again"), F.array_sort(F.transform(c("t"), lambda x, i: F.struct(x.alias("h"), i.alias("i")))))),
+    ("next", lambda c: F.zip_with(c("s"), F.slice(c("s"), 2, ALL), _same)),
+    ("marked", lambda c: F.zip_with(F.zip_with(c("next"), F.concat(F.array(F.lit(False)), c("next")), _either), c("s"), lambda m, x: F.when(m, x["i"]))),
+    ("at", lambda c: F.array_sort(F.filter(c("marked"), lambda x: x.isNotNull()))),
+)
 
-def _covered(windows: Column) -> Column:
-    placed = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-    either = lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))
 
-    def places(s: Column) -> Column:
-        marked = _let(F.zip_with(s, F.slice(s, 2, ALL), same), lambda n: F.zip_with(F.zip_with(n, F.concat(F.array(F.lit(False)), n), either), s, lambda m, x: F.when(m, x["i"])))
-        return F.array_sort(F.filter(marked, lambda x: x.isNotNull()))
+def _covered(at: Column) -> Column:
+    """The words that windows at these places cover, by the gaps between places."""
+    gaps = F.zip_with(at, F.slice(at, 2, ALL), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
+    return F.coalesce(F.aggregate(gaps, F.lit(0), lambda x, y: x + y), F.lit(0)).cast("long")
 
-    gaps = lambda at: F.zip_with(at, F.slice(at, 2, ALL), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
-    return _let(placed, lambda s: _let(places(s), lambda at: F.aggregate(gaps(at), F.lit(0), lambda x, y: x + y)))
+
+def repeat_words(text: Column) -> Column:
+    """Words in three-word windows that occur twice or more, as one expression over the text."""
+
+    def rest(steps: tuple, known: dict[str, Column]) -> Column:
+        if not steps:
+            return _covered(known["at"])
+        (name, value), *more = steps
+        return _let(value(known.__getitem__), lambda x: rest(tuple(more), known | {name: x}))
+
+    return _let(hashed_words(text), lambda w: rest(REPEAT_STEPS, {"w": w}))
 
 
 #: Counts by name, from a text that isn't null.
@@ -87,7 +99,7 @@ COUNTS: dict[str, Callable[[Column], Column]] = {
     "word_chars": lambda text: F.length(_without(text, SPACES)).cast("long"),
     "n_symbols": lambda text: (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
     "n_dup_lines": lambda text: dup_lines(text).cast("long"),
-    "n_repeat_words": lambda text: _let(hashed_words(text), repeat_words).cast("long"),
+    "n_repeat_words": repeat_words,
 }
 
 
@@ -120,10 +132,12 @@ RULES = BASE_RULES | OTHER_RULES
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, text and all counts; the words are cut once for two of them."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__words", hashed_words(F.col("text")))
-    one_pass = {"n_words": F.size("__words").cast("long"), "n_repeat_words": repeat_words(F.col("__words")).cast("long")}
-    return rows.select("doc_id", "text", *[(one_pass[name] if name in one_pass else make(F.col("text"))).alias(name) for name, make in COUNTS.items()])
+    """doc_id, text -> doc_id, text and all counts; the words are cut once for two of them, and each step is a column."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__w", hashed_words(F.col("text")))
+    for name, value in REPEAT_STEPS:
+        rows = rows.withColumn(f"__{name}", value(lambda x: F.col(f"__{x}")))
+    stepped = {"n_words": F.size("__w").cast("long"), "n_repeat_words": _covered(F.col("__at"))}
+    return rows.select("doc_id", "text", *[(stepped[name] if name in stepped else make(F.col("text"))).alias(name) for name, make in COUNTS.items()])
 
 
 def measured_order(rows: DataFrame, conditions: dict[str, Column]) -> list[str]:
