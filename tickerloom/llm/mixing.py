@@ -83,18 +83,20 @@ def thresholds(slim: DataFrame, most: int = MOST) -> DataFrame:
         .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")),
         "mix-plan",
     )
-    edge = _boundary(_bucket_sums(slim, 1).join(plan.select("key", F.col("budget").alias("left")), "key"))
+    edge = _boundary(slim.groupBy("key", _prefix(1).alias("bucket")).agg(F.sum("size").alias("size")).join(plan.select("key", F.col("budget").alias("left")), "key"))
     for level in range(2, LEVELS + 1):
-        above = F.shiftright("hash", 60 - BITS * (level - 1))
-        slim = slim.withColumn("above", above).join(edge.select("key", F.col("prefix").alias("above")), ["key", "above"], "left_semi").select("key", "size", "hash")
-        if level == 2:
-            slim = written(slim, "mix-boundary")  # the rest of the way looks at about a row of 1,024
-        edge = _boundary(_bucket_sums(slim, level).join(edge.select("key", "left"), "key"))
+        above = edge.select("key", F.col("prefix").alias("above"), "left")
+        inside = slim.withColumn("above", _prefix(level - 1)).join(above, ["key", "above"]).select("key", "size", "hash", "left")
+        if level == 2:  # the rest of the way looks at about a row of 1,024
+            inside = written(inside, "mix-boundary")
+            slim = inside.drop("left")
+        edge = _boundary(inside.groupBy("key", "left", _prefix(level).alias("bucket")).agg(F.sum("size").alias("size")))
     return written(plan.join(edge.select("key", F.col("prefix").alias("cut"), (F.col("size") <= 2 * F.col("left")).alias("edge")), "key", "left").select("key", "source_size", "target", "whole", "cut", "edge"), "mix-cut")
 
 
-def _bucket_sums(slim: DataFrame, level: int) -> DataFrame:
-    return slim.groupBy("key", F.shiftright("hash", 60 - BITS * level).alias("bucket")).agg(F.sum("size").alias("size"))
+def _prefix(level: int) -> Column:
+    """The hash's first bits."""
+    return F.shiftright("hash", 60 - BITS * level)
 
 
 def _boundary(sums: DataFrame) -> DataFrame:
