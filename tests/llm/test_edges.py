@@ -126,7 +126,9 @@ def test_top_k_of_empty_tables(spark):
     assert topk.search(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_a_leaf_pair_gives_what_sorting_gives():
+@pytest.mark.parametrize("dense", [1 << 16, 1])
+def test_trees_give_what_sorting_gives(monkeypatch, dense):
+    monkeypatch.setattr(topk, "DENSE", dense)
     rng = np.random.default_rng(4)
     x, q = rng.integers(-50, 50, (300, 4)).astype(float), rng.integers(-50, 50, (20, 4)).astype(float)
     best = topk.dual_search(q, np.arange(20), topk.CoverTree(x), np.arange(300), 5, np.full(20, -np.inf))

@@ -121,7 +121,6 @@ class Block:
         first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         return key[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
 
-
     def word_order(self, slots: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words by hash range and then by name, their numbers, and the ends of the ranges."""
         names = sorted(self.words)

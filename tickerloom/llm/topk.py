@@ -35,6 +35,8 @@ from tickerloom.llm.common import hash_share, written
 
 #: Rows of a block and of a query team, about; teams that come to a block together; pivots at most; points of a tree's leaf.
 BLOCK, GROUP, BUNDLE, PIVOTS, LEAF = 4096, 2048, 8, 1024, 64
+#: Products that cost less together than going further down two trees.
+DENSE = 1 << 16
 
 
 class CoverTree:
@@ -68,6 +70,13 @@ class CoverTree:
         self.children[at] = [self._node(members[owner == k], h) for k, h in enumerate(heads)]
         return at
 
+    def under(self) -> list[np.ndarray]:
+        """All points under each node."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(self.centre)
+        for i in range(len(self.centre) - 1, -1, -1):  # children come after their parents
+            out[i] = self.points[i] if self.points[i] is not None else np.concatenate([out[c] for c in self.children[i]])
+        return out
+
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products."""
@@ -109,17 +118,15 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, tree: CoverTree, dat
     qt, dt = CoverTree(queries), tree
     qr, dr = np.array(qt.radius), np.array(dt.radius)
     bound = top_bound(queries[qt.centre], qr, data[dt.centre], dr)
-    below: list[np.ndarray] = [None] * len(qt.centre)  # all queries under a node
-    for i in range(len(qt.centre) - 1, -1, -1):
-        below[i] = qt.points[i] if qt.points[i] is not None else np.concatenate([below[c] for c in qt.children[i]])
+    q_under, d_under = qt.under(), dt.under()
 
     def visit(q: int, d: int) -> None:
-        if bound[q, d] < best.worst[below[q]].min():
+        qs, ds = q_under[q], d_under[d]
+        if bound[q, d] < best.worst[qs].min():
             return
-        qs, ds = qt.points[q], dt.points[d]
-        if qs is not None and ds is not None:
+        if len(qs) * len(ds) <= DENSE or (qt.points[q] is not None and dt.points[d] is not None):
             best.add(qs, _products(queries[qs], data[ds]), data_ids[ds], query_ids[qs][:, None] != data_ids[ds])
-        elif qs is not None or (ds is None and dr[d] >= qr[q]):
+        elif qt.points[q] is not None or (dt.points[d] is None and dr[d] >= qr[q]):
             for c in sorted(dt.children[d], key=lambda c: -bound[q, c]):
                 visit(q, c)
         else:
