@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import jaccard, langid, lm, mixing, packing, quality, rules, secrets, topk, toxicity
+from tickerloom.llm import fim, jaccard, langid, lm, mixing, packing, quality, rules, secrets, topk, toxicity
 from tickerloom.llm.common import crc_fold, read_table
 
 
@@ -57,8 +57,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_secret_scan, op3_exact_top_k, op4_ngram_jaccard, op5_best_fit_packing, op6_source_mix, op7_lm_score, op8_pu_quality, op9_toxicity_chain, op10_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_secret_scan, op3_exact_top_k, op4_ngram_jaccard, op5_best_fit_packing, op6_source_mix, op7_lm_score,
+        op8_pu_quality, op9_toxicity_chain, op10_quality_rules, op13_fill_in_middle,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,5 +122,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > 0.5 * word_chars
             OR length(regexp_replace(text, '[^\p{L}]', '', 'g')) < 0.5 * word_chars) AS kept
 FROM b
+""",
+    "op13_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+         CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
 """,
 }
