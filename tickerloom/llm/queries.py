@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import fim, jaccard, langid, lm, mixing, neardup, packing, quality, rules, secrets, topk, toxicity
+from tickerloom.llm import align, fim, jaccard, langid, lm, mixing, neardup, packing, quality, rules, secrets, topk, toxicity
 from tickerloom.llm.common import crc_fold, read_table
 
 
@@ -57,6 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.score(read_table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.dedup(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -69,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_secret_scan, op3_exact_top_k, op4_ngram_jaccard, op5_best_fit_packing, op6_source_mix, op7_lm_score,
-        op8_pu_quality, op9_toxicity_chain, op10_quality_rules, op12_embedding_near_dedup, op13_fill_in_middle,
+        op8_pu_quality, op9_toxicity_chain, op10_quality_rules, op11_token_alignment, op12_embedding_near_dedup, op13_fill_in_middle,
     )
 }
 
