@@ -45,15 +45,97 @@ def test_capped_top_n_equals_greedy(spark):
         assert sorted(map(repr, by_day.select(*sorted(by_day.columns)).collect())) == sorted(repr(r) for r in allocation.capped_top_n(dated.drop("day"), caps).select(*sorted(by_day.columns)).collect())
 
 
-def test_rows_are_numbered_by_ranges(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SAMPLE", 60)
+def ordered(rows):
+    value = lambda v: (1, 0) if v is None or v != v else (0, -v)
+    return sorted(rows, key=lambda r: (value(r[0]), r[1] is None, r[1] or "", r[2]))
+
+
+def test_rows_are_numbered_by_ranges(spark):
     rng = random.Random(3)
-    rows = [(rng.choice([None, 1.0, 1.0, 1.0, rng.random(), float("nan")]), rng.choice([None, "a", f"c{k}"]), k) for k in range(500)]
-    df = spark.createDataFrame(rows, "v double, t string, k long").repartition(5)
-    got = {r["k"]: r["n"] for r in ranking.number_rows(df, [*ranking.ascending(-F.col("v")), *ranking.ascending(F.col("t")), F.col("k")], "n").collect()}
-    value = lambda v: (1, 0, 0) if v is None else (0, v != v, -v if v == v else 0)
-    assert [got[r[2]] for r in sorted(rows, key=lambda r: (value(r[0]), r[1] is None, r[1] or "", r[2]))] == list(range(1, 501))
-    assert ranking.number_rows(df.limit(0), [F.col("k")], "n").count() == 0
+    rows = [(rng.choice([None, 1.0, 1.0, 1.0, rng.random(), float("nan")]), rng.choice([None, "a", f"c{k}"]), k, rng.choice([None, "x", "x", "x", "y"])) for k in range(500)]
+    df = spark.createDataFrame(rows, "v double, t string, k long, day string").withColumn("nothing", F.lit(None)).repartition(5)
+    order = [ranking.down(df, "v"), F.col("t").asc_nulls_last(), F.col("k")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        whole = ranking.number_rows(df, order, "n")
+        assert whole.columns == [*df.columns, "n"]
+        got = {r["k"]: r["n"] for r in whole.collect()}
+        assert [got[r[2]] for r in ordered(rows)] == list(range(1, 501))
+        by_day = {r["k"]: r["n"] for r in ranking.number_rows(df, order, "n", ("day",)).collect()}
+        for day in (None, "x", "y"):
+            own = [r for r in ordered(rows) if r[3] == day]
+            assert [by_day[r[2]] for r in own] == list(range(1, len(own) + 1))
+        equal = spark.range(300).select(F.lit(1.0).alias("v"), F.lit("a").alias("t"))
+        placed = ranking.number_rows(equal, order[:2], "n")
+        assert sorted(r["n"] for r in placed.collect()) == list(range(1, 301))
+        assert ranking.number_rows(df.limit(0), [F.col("k")], "n").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_tied_rows_keep_one_place_however_often_they_are_read(spark):
+    """All rows tie on value and code, their themes differ, and the input deals them out anew each time it is worked out: no theme may go
+    beyond its room, and every number occurs once."""
+    rows = spark.range(400).select(F.lit(0.5).alias("ev_pred"), F.lit("same").alias("ts_code"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("theme"))
+    dealt = rows.repartition(7, F.rand())
+    for keys in ((), ("day",)):
+        got = allocation.capped_top_n(dealt.withColumn("day", F.lit("d")), allocation.Caps(), keys=keys)
+        for _ in range(2):
+            seen = got.collect()
+            chosen = [r for r in seen if r["target_rank"]]
+            assert sorted(r["target_rank"] for r in chosen) == list(range(1, 10)) and {sum(r["theme"] == t for r in chosen) for t in ("t0", "t1", "t2")} == {3}
+            assert sorted(r["backup_rank"] for r in seen if r["backup_rank"]) == list(range(1, 392))
+    first = sorted(map(repr, got.collect()))
+    assert sorted(map(repr, got.collect())) == first
+
+
+def test_targets_equal_the_capped_ones_and_number_nothing(spark):
+    rng = random.Random(5)
+    rows = [(f"c{i:03d}", rng.choice([None, float("nan"), rng.random()]), rng.choice([None, " ", "a", "b", "c", "d"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "ts_code string, ev_pred double, theme string")
+    want = [tuple(r) for r in allocation.capped_top_n(df).where("target_rank is not null").select("ts_code", "target_rank", "weight").orderBy("target_rank").collect()]
+    few = allocation.targets(df)
+    assert [tuple(r) for r in few.select("ts_code", "target_rank", "weight").orderBy("target_rank").collect()] == want
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "rangepartitioning" not in plan
+
+
+def brute_ranks(values, method):
+    order = sorted(range(len(values)), key=lambda i: (values[i] is not None, values[i] or 0, i))
+    out = [0.0] * len(values)
+    for place, i in enumerate(order, 1):
+        out[i] = float(place)
+    if method == "average":
+        for v in set(values):
+            own = [i for i, x in enumerate(values) if x == v]
+            mean = sum(out[i] for i in own) / len(own)
+            for i in own:
+                out[i] = mean
+    return out
+
+
+@pytest.mark.parametrize("method", ["ordinal", "average"])
+def test_ranks_of_one_hot_day(spark, method):
+    """Nearly all rows are of one day; no plan has a window over days."""
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [("hot" if i % 50 else f"d{i % 3}", f"c{i:04d}", rng.choice([None, 0.0, round(rng.random(), 2)]), rng.choice([None, round(rng.random(), 2)])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "trade_date string, ts_code string, p double, y double").repartition(6)
+    got = evaluation.rank_ic(df, "p", "y", method=method)
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "windowspecdefinition" in x]
+    assert all("__range" in x for x in windows)  # over a day's ranges, never over its rows
+    for r in got.collect():
+        own = [x for x in rows if x[0] == r["trade_date"]]
+        a, b = (brute_ranks([x[k] for x in own], method) for k in (2, 3))
+        assert r["n"] == len(own) and abs(r["rank_ic"] - np.corrcoef(a, b)[0, 1]) < 1e-9
+    for r in evaluation.evaluate(df, "p", "y").collect():
+        own = sorted((x for x in rows if x[0] == r["trade_date"]), key=lambda x: (x[2] is None, -(x[2] or 0), x[1]))[:10]
+        known = [x[3] for x in own if x[3] is not None]
+        assert r["topk"] == len(own) and abs(r["hit_rate_at_k"] - sum((x[3] or 0) > 0 for x in own) / len(own)) < 1e-12
+        assert (r["mean_ret_at_k"] is None) == (not known) and (not known or abs(r["mean_ret_at_k"] - sum(known) / len(known)) < 1e-12)
 
 
 def test_what_is_not_known_adds_nothing(spark):

@@ -1,8 +1,8 @@
 """Choosing targets: capped top-N with ranked backups, equal weights, signals.
 
 The capped selection walks rows by value, skips one whose theme is full, and stops at N rows
-or at the gross cap. As every pick has the same weight, that is two row numbers: within the
-theme, then among those within capacity. Days are partitions, so one plan serves all; a table without days is numbered by ranges.
+or at the gross cap. As every pick has the same weight, that is two limits: within the theme, then among those within
+capacity. Days are keys, so one plan serves all; neither a day nor a table without days has its rows in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
-from tickerloom.operators.ranking import ascending, number_rows
+from tickerloom.operators.ranking import down, first_of, number_rows, same, tie_breaker
 
 
 @dataclass(frozen=True)
@@ -58,44 +58,57 @@ def pick_theme(df: DataFrame, into: str = "theme") -> DataFrame:
     return df.withColumn(into, X.first_text(found) if found else F.lit(None).cast("string"))
 
 
+def _blank(theme: str) -> Column:
+    return F.col(theme).isNull() | (F.trim(F.col(theme)) == "")
+
+
+def _chosen(df: DataFrame, order: list[Column], caps: Caps, theme: str, keys: tuple[str, ...]) -> DataFrame:
+    """The targets: the first rows of each theme that fit it, and of these and the themeless ones the first that fit at all.
+
+    Each task first cuts a theme (or what has none) to so many rows as can be targets, so a theme may be of any size.
+    """
+    room = caps.gross_room()
+    themed = df.withColumn("__theme", F.when(~_blank(theme), F.col(theme)))
+    within = F.row_number().over(W.partitionBy(*keys, "__theme").orderBy(*order))
+    fit = themed.withColumn("__in_theme", within).where((F.col("__in_theme") <= room) & (F.col("__theme").isNull() | (F.col("__in_theme") <= caps.theme_room())))
+    fit = fit.drop("__theme", "__in_theme")
+    return first_of(fit, order, room, keys) if keys else fit.orderBy(*order).limit(room)
+
+
+def _order(df: DataFrame, value: str, tie: str) -> list[Column]:
+    return [down(df, value), F.col(tie).asc_nulls_last()]
+
+
+def targets(df: DataFrame, caps: Caps = Caps(), value: str = "ev_pred", tie: str = "ts_code", theme: str = "theme") -> DataFrame:
+    """The targets alone, with weight and target_rank: no row is numbered but those that are chosen."""
+    order = [*_order(df, value, tie), tie_breaker(df)]
+    few = _chosen(df, order, caps, theme, ())
+    return few.withColumns({"target_rank": F.row_number().over(W.orderBy(*order)), "weight": X.double(caps.weight)})  # topn rows at most
+
+
 def capped_top_n(df: DataFrame, caps: Caps = Caps(), value: str = "ev_pred", tie: str = "ts_code", theme: str = "theme", keys: tuple[str, ...] = ()) -> DataFrame:
-    """All rows with weight, target_rank and backup_rank; nulls of ``value`` come last.
+    """All rows with weight, target_rank and backup_rank; nulls of ``value`` come last. With ``keys``, each key's rows are a selection
+    of their own. With no room at all every row is a backup of weight 0.
 
-    With no room at all every row is a backup of weight 0. With ``keys``, each key's rows are a selection of their own, in
-    one task. Without, the table may be of any size: all rows are numbered by ranges, a theme's first ones and the
-    targets among them are found by top-k, and a backup's rank is its number less the targets before it.
+    All rows are numbered once, by ranges; a key's targets are an array of at most ``topn`` numbers, and a backup's rank is its number less
+    the targets before it.
     """
+    placed = number_rows(df, _order(df, value, tie), "__place", keys)
+    chosen = _chosen(placed, [F.col("__place")], caps, theme, keys).select(*keys, "__place")
     if keys:
-        return _capped_by_key(df, caps, value, tie, theme, keys)
-    key = [*ascending(-F.col(value)), *ascending(F.col(tie))]
-    placed = number_rows(df, key, "__place")
-    blank = F.col(theme).isNull() | (F.trim(F.col(theme)) == "")
-    first = F.row_number().over(W.partitionBy(theme).orderBy("__place"))  # its limit is applied before rows meet
-    room = caps.gross_room()
-    themed = placed.where(~blank).select(theme, "__place").withColumn("__n", first).where(F.col("__n") <= caps.theme_room()).select("__place")
-    free = placed.where(blank).select("__place").orderBy("__place").limit(room)
-    targets = [r["__place"] for r in themed.unionByName(free).orderBy("__place").limit(room).collect()]  # topn rows at most
-    rank = F.coalesce(*[F.when(F.col("__place") == t, F.lit(k + 1)) for k, t in enumerate(targets)], F.lit(None).cast("int"))
-    before = sum((F.when(F.col("__place") > t, 1).otherwise(0) for t in targets), F.lit(0))
-    out = placed.withColumn("target_rank", rank).withColumn("backup_rank", F.when(F.col("target_rank").isNull(), (F.col("__place") - before).cast("int")))
-    return out.withColumn("weight", F.when(F.col("target_rank").isNotNull(), X.double(caps.weight)).otherwise(X.double(0))).drop("__place")
-
-
-def _capped_by_key(df: DataFrame, caps: Caps, value: str, tie: str, theme: str, keys: tuple[str, ...]) -> DataFrame:
-    by = [F.col(value).desc_nulls_last(), F.col(tie).asc_nulls_last()]
-    blank = F.col(theme).isNull() | (F.trim(F.col(theme)) == "")
-    in_theme = F.row_number().over(W.partitionBy(*keys, theme).orderBy(*by))
-    out = df.withColumn("__fits", blank | (in_theme <= caps.theme_room()))
-    place = F.row_number().over(W.partitionBy(*keys, "__fits").orderBy(*by))
-    out = out.withColumn("__target", F.col("__fits") & (place <= caps.gross_room()))
-    rank = F.row_number().over(W.partitionBy(*keys, "__target").orderBy(*by))
-    out = out.withColumn("__rank", rank)
-    return (
-        out.withColumn("weight", F.when(F.col("__target"), X.double(caps.weight)).otherwise(X.double(0)))
-        .withColumn("target_rank", F.when(F.col("__target"), F.col("__rank")))
-        .withColumn("backup_rank", F.when(~F.col("__target"), F.col("__rank")))
-        .drop("__fits", "__target", "__rank")
-    )
+        out = same(placed, chosen.groupBy(*keys).agg(F.collect_list("__place").alias("__targets")), keys, "left")
+        out = out.withColumn("__targets", F.coalesce("__targets", F.array().cast("array<long>")))
+    else:
+        out = placed.withColumn("__targets", F.array(*[F.lit(r[0]) for r in chosen.collect()]).cast("array<long>"))
+    out = out.withColumn("__before", F.size(F.filter("__targets", lambda t: t < F.col("__place"))))
+    hit = F.array_contains("__targets", F.col("__place"))
+    return out.withColumns(
+        {
+            "weight": F.when(hit, X.double(caps.weight)).otherwise(X.double(0)),
+            "target_rank": F.when(hit, F.col("__before") + 1),
+            "backup_rank": F.when(~hit, (F.col("__place") - F.col("__before")).cast("int")),
+        }
+    ).drop("__targets", "__before", "__place")
 
 
 def equal_weight(df: DataFrame, budget: float = 1.0, keys: tuple[str, ...] = (), into: str = "target_weight") -> DataFrame:
@@ -117,4 +130,5 @@ def equal_weight_signals(df: DataFrame, order: str, topn: int = 10, budget: floa
 
 
 def rank_desc(df: DataFrame, value: str, tie: str, keys: tuple[str, ...], into: str) -> DataFrame:
-    return df.withColumn(into, F.row_number().over(W.partitionBy(*keys).orderBy(F.col(value).desc_nulls_last(), F.col(tie).asc_nulls_last())))
+    """Each row's place within its keys; a key may have any number of rows."""
+    return number_rows(df, _order(df, value, tie), into, keys)

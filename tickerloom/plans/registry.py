@@ -147,7 +147,7 @@ b AS (SELECT *, fits AND row_number() OVER (PARTITION BY fits ORDER BY ev_pred D
 SELECT ts_code, CASE WHEN target THEN 'target' ELSE 'backup' END AS kind, CAST(row_number() OVER (PARTITION BY target ORDER BY ev_pred DESC, ts_code) AS BIGINT) AS place FROM b""")
 def q_union_targets_backups(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("ts_code"), F.col("c_acctbal").alias("ev_pred"), F.col("c_mktsegment").alias("theme"))
-    w = allocation.capped_top_n(c, allocation.Caps(theme_cap=0.25)).persist()
+    w = allocation.capped_top_n(c, allocation.Caps(theme_cap=0.25))
     targets = w.where("weight > 0").select("ts_code", F.lit("target").alias("kind"), F.col("target_rank").cast("long").alias("place"))
     return targets.unionByName(w.where("weight = 0").select("ts_code", F.lit("backup").alias("kind"), F.col("backup_rank").cast("long").alias("place")))
 
@@ -158,7 +158,7 @@ p AS (SELECT * FROM k WHERE fits ORDER BY ev_pred DESC, ts_code LIMIT 10)
 SELECT '20260227' AS trade_date, '20260302' AS target_trade_date, CASE WHEN p_partkey % 2 = 0 THEN ts_code || '.XSHE' ELSE ts_code || '.XSHG' END AS jq_code,
 CAST(0.1 AS DOUBLE) AS target_weight, CAST(1 AS DOUBLE) AS risk_budget, 'RISK_ON' AS regime, 'P0_EV_weight' AS reason FROM p""")
 def q_signals(spark, d):
-    w = allocation.capped_top_n(scored(spark, d), allocation.Caps(), theme="board")
+    w = allocation.targets(scored(spark, d), theme="board")
     coded = w.withColumn("ts_code", F.concat("ts_code", F.when(F.col("p_partkey") % 2 == 0, ".SZ").otherwise(".SH")))
     return allocation.signals(coded, F.lit("20260227"), F.lit("20260302"))
 
