@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
+from tickerloom.operators.quantiles import quantiles
 
 
 def rank_score(df: DataFrame, rank: str, keys: tuple[str, ...], into: str = "rank_score") -> DataFrame:
@@ -17,12 +18,15 @@ def rank_score(df: DataFrame, rank: str, keys: tuple[str, ...], into: str = "ran
 
 
 def median_fill(df: DataFrame, columns: list[str], keys: tuple[str, ...], exact: bool = True) -> DataFrame:
-    """Nulls take the day's median, or 0 if a day has none. One grouped pass and a join on the day.
+    """Nulls take the day's median, or 0 if a day has none. Days may be of any size.
 
-    ``exact=False`` takes the approximate median, whose memory is bounded, for very large days.
+    ``exact=False`` takes the approximate median, in one pass.
     """
-    pick = F.median if exact else lambda c: F.percentile_approx(c, 0.5).cast("double")
-    stats = df.groupBy(*keys).agg(*[pick(F.col(c)).alias(f"__m_{c}") for c in columns])
+    if exact:
+        found = quantiles(df, columns, [0.5], keys)
+        stats = found.select(*keys, *[F.col(f"{c}__q0").alias(f"__m_{c}") for c in columns])
+    else:
+        stats = df.groupBy(*keys).agg(*[F.percentile_approx(F.col(c), 0.5).cast("double").alias(f"__m_{c}") for c in columns])
     out = df.join(stats, list(keys), "left")
     return out.withColumns({c: F.coalesce(c, f"__m_{c}", X.double(0)) for c in columns}).drop(*[f"__m_{c}" for c in columns])
 
@@ -37,7 +41,7 @@ def zscore(df: DataFrame, columns: list[str], keys: tuple[str, ...], prefix: str
 
 def liquidity_flag(df: DataFrame, column: str, keys: tuple[str, ...], q: float = 0.2, least: int = 5, into: str = "risk_liquidity") -> DataFrame:
     """HIGH below the day's q quantile (interpolated), else LOW; null with fewer than ``least`` values."""
-    stats = df.groupBy(*keys).agg(F.percentile(column, F.lit(q)).alias("__q"), F.count(column).alias("__n"))
+    stats = quantiles(df, [column], [q], keys).select(*keys, F.col(f"{column}__q0").alias("__q"), F.col(f"{column}__n").alias("__n"))
     out = df.join(stats, list(keys), "left")
     return out.withColumn(into, F.when(F.col("__n") >= least, X.risk_level(F.col(column) < F.col("__q")))).drop("__q", "__n")
 
