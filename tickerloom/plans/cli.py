@@ -83,7 +83,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             fitted[0].save(f"{args.out}/model_up", spark)
             fitted[1].save(f"{args.out}/model_ret", spark)
-            io.append_history(fitted[2], f"{args.out}/eval_history")
+            io.append_history(fitted[2], f"{args.out}/eval_history", context.run_id)
     if args.command in ("predict", "all"):
         ranked = pipelines.premium_predict(decisions, load_model(f"{args.out}/model_up", spark), load_model(f"{args.out}/model_ret", spark), context=context)
         io.write_partitioned(ranked, f"{args.out}/rank", "trade_date")

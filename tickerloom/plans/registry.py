@@ -16,6 +16,8 @@ from tickerloom.functions import scalars as X
 from tickerloom.operators import allocation, calendar, evaluation, features, feedback, labels, models, scoring
 from tickerloom.plans import validate
 from tickerloom.sources import contracts as C
+from tickerloom.sources.buckets import BucketedTable
+from tickerloom.sources.shared import fresh_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -424,6 +426,26 @@ def q_upsert_counts(spark, d):
     return feedback.upsert_counts(_base(spark, d), _patch(spark, d))
 
 
+#: Of an order's lines that share a number the one of the greatest values is the last.
+_LATE = """p AS (SELECT l_orderkey, m.f AS last_flag, m.q AS last_quantity FROM (SELECT l_orderkey, max({'n': l_linenumber, 'f': l_returnflag, 'q': l_quantity}) AS m FROM lineitem GROUP BY 1))"""
+
+
+@query(f"""WITH {_LATE}, b AS (SELECT * FROM orders), s AS (SELECT 2 * s_suppkey AS k, s_acctbal FROM supplier)
+SELECT coalesce(b.o_orderkey, p.l_orderkey, s.k)::BIGINT AS orderkey, coalesce(s.s_acctbal, b.o_totalprice)::DOUBLE AS price, b.o_orderstatus AS status, p.last_flag, p.last_quantity::DOUBLE AS last_quantity
+FROM b FULL JOIN p ON b.o_orderkey = p.l_orderkey FULL JOIN s ON s.k = coalesce(b.o_orderkey, p.l_orderkey)""")
+def q_bucketed_upsert(spark, d):
+    """All orders as a bucketed table, then all their lines as late feedback, then one batch for few keys (of twice a supplier's number),
+    which comes twice."""
+    kept = BucketedTable(spark, fresh_path(spark, "orders-table"), C.struct("orderkey long, price double, status string, last_flag string, last_quantity double"), ("orderkey",), 32)
+    kept.upsert(table(spark, d, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").cast("double").alias("price"), F.col("o_orderstatus").alias("status")), 0)
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("orderkey"), F.col("l_returnflag").alias("last_flag"), F.col("l_quantity").cast("double").alias("last_quantity"), "l_linenumber")
+    kept.upsert(lines, 1, order="l_linenumber")
+    few = table(spark, d, "supplier").select((2 * F.col("s_suppkey")).cast("long").alias("orderkey"), F.col("s_acctbal").cast("double").alias("price"))
+    for _ in range(2):
+        kept.upsert(few, 2)
+    return kept.read()
+
+
 # ---------------------------------------------------------------- models
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from tickerloom.functions import scalars as X
 from tickerloom.sources import contracts as C
+from tickerloom.sources.buckets import RunLog
 
 
 @dataclass(frozen=True)
@@ -268,8 +269,13 @@ def write_partitioned(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def append_history(df: DataFrame, path: str) -> None:
-    C.align_to_schema(df, C.EVAL_HISTORY).write.mode("append").parquet(path)
+def append_history(df: DataFrame, path: str, run: str) -> bool:
+    """Add a run's evaluation once: False, and nothing written, if the run has added one already."""
+    return RunLog(df.sparkSession, path, C.EVAL_HISTORY).append(df, run)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    return RunLog(spark, path, C.EVAL_HISTORY).read()
 
 
 def export_csv(df: DataFrame, path: str, order: list[str] | None = None, bom: bool = False, refuse_empty: bool = False, most: int = 1_000_000) -> str:
