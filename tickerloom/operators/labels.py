@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,14 @@ from tickerloom.functions import scalars as X
 from tickerloom.operators.calendar import next_trade_days
 
 
+COLUMNS = ("trade_date", "next_trade_date", "ts_code", "close_2", "close_3", "real_premium_ret", "pending", "reason")
+
+
+def reason_of(there: Column) -> Column:
+    """Why a label is pending; ``there``: the code has a bar on the next day."""
+    return F.when(F.col("next_trade_date").isNull(), "no_next_day").when(~there, "no_next_bar").when(F.col("close_2").isNull() | F.col("close_3").isNull(), "no_close")
+
+
 def forward_labels(bars: DataFrame, max_gap_days: int | None = None) -> DataFrame:
     """trade_date, next_trade_date, ts_code, close_2, close_3, real_premium_ret, pending, reason.
 
@@ -21,8 +29,7 @@ def forward_labels(bars: DataFrame, max_gap_days: int | None = None) -> DataFram
     now = bars.select("ts_code", "trade_date", F.col("close").alias("close_2"), F.lead("trade_date").over(then).alias("__day"), F.lead("close").over(then).alias("__close"))
     there = F.coalesce(F.col("__day") == F.col("next_trade_date"), F.lit(False))
     out = now.join(F.broadcast(days), "trade_date", "left").withColumn("close_3", F.when(there, F.col("__close")))
-    reason = F.when(F.col("next_trade_date").isNull(), "no_next_day").when(~there, "no_next_bar").when(F.col("close_2").isNull() | F.col("close_3").isNull(), "no_close")
-    return out.withColumn("reason", reason).select(
+    return out.withColumn("reason", reason_of(there)).select(
         "trade_date", "next_trade_date", "ts_code", "close_2", "close_3", X.forward_return(F.col("close_3"), F.col("close_2")).alias("real_premium_ret"), F.col("reason").isNotNull().alias("pending"), "reason"
     )
 

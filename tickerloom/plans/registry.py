@@ -18,6 +18,7 @@ from tickerloom.plans import validate
 from tickerloom.sources import contracts as C
 from tickerloom.sources.buckets import BucketedTable
 from tickerloom.sources.shared import fresh_path
+from tickerloom.streaming import label_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,7 +48,7 @@ def query(sql: str | None = None):
 
 _ONE, _TWO = DATES[:1], DATES
 DATED = {
-    "q_next_trade_day": _TWO, "q_next_day_probe10": _TWO, "q_forward_return_label": _TWO, "q_last_n_days": _ONE, "q_rank_score": _ONE, "q_median_impute": _ONE, "q_zscore": _ONE,
+    "q_next_trade_day": _TWO, "q_next_day_probe10": _TWO, "q_forward_return_label": _TWO, "q_streamed_labels": _TWO, "q_last_n_days": _ONE, "q_rank_score": _ONE, "q_median_impute": _ONE, "q_zscore": _ONE,
     "q_liquidity_flag": _ONE, "q_hit_rate_mean_ret_at_k": _ONE, "q_rank_ic": _ONE, "q_binarize": _ONE, "q_premium_rank_constant": _ONE,
 }
 
@@ -291,6 +292,27 @@ def q_forward_return_label(spark, d):
     return labels.forward_labels(bars(spark, d)).withColumn("real_premium_ret", r("real_premium_ret", 8))
 
 
+@query(f"WITH {BARS}, {NEXT}, {LABELS} SELECT trade_date, next_trade_date, ts_code, close_2, close_3, round(real_premium_ret, 8) AS real_premium_ret, reason IS NOT NULL AS pending, reason FROM lab")
+def q_streamed_labels(spark, d):
+    """The same labels from a stream of all events; a second run of it, from the checkpoint of the first, gets the tick that closes the calendar."""
+    events, root = table(spark, d, "events"), fresh_path(spark, "label-stream")
+    days = calendar.next_trade_days(events.select(F.col("ts").cast("date").alias("trade_date")))
+    last, gap = days.agg(F.max("trade_date").cast("string"), F.coalesce(F.max(F.datediff("next_trade_date", "trade_date")), F.lit(1))).first()
+    columns = (F.col("user_id").cast("string").alias("ts_code"), F.col("ts").cast("date").alias("trade_date"), F.col("event_id").alias("place"), F.col("value").alias("price"))
+    closing = label_stream.closing_tick(spark, last, gap + 2)
+    closing.limit(0).write.parquet(f"{root}/closing")
+
+    def closes():
+        ticks = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*").select(*columns)
+        return label_stream.daily_closes(ticks.unionByName(spark.readStream.schema(closing.schema).parquet(f"{root}/closing")))
+
+    for run in range(2):
+        if run:
+            closing.write.mode("append").parquet(f"{root}/closing")
+        label_stream.start_labels(closes, days, gap, f"{root}/labels", f"{root}/checkpoint").awaitTermination()
+    return label_stream.read_labels(spark, f"{root}/labels").withColumn("real_premium_ret", r("real_premium_ret", 8))
+
+
 @query(f"WITH {BARS}, {NEXT}, {LABELS} SELECT coalesce(reason, 'ok') AS status, count(*) AS n, count(DISTINCT trade_date) AS days FROM lab GROUP BY 1")
 def q_label_status(spark, d):
     return labels.label_status(labels.forward_labels(bars(spark, d)))
