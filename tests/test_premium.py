@@ -54,7 +54,10 @@ def test_features_of_a_day_equal_numpy(tables):
 def test_train_and_predict(spark, tables):
     decisions, bars = tables
     run = RunContext.here({"GITHUB_SHA": "a" * 40}, now=datetime(2026, 2, 1, tzinfo=timezone.utc), model_version="m1")
-    assert pipelines.premium_train(decisions, bars, Config(min_train_days=60)) is None
+    counts: dict = {}
+    undated = decisions.limit(1).withColumn("Date", F.lit("soon"))
+    assert pipelines.premium_train(decisions.unionByName(undated), bars.where(F.col("trade_date") != DAYS[4]), Config(min_train_days=60), counts=counts) is None
+    assert counts == {"ok": 22, "pending": 1, "failed": 1, "skipped": 1}
     up, ret, history = pipelines.premium_train(decisions, bars, Config(boosting_rounds=3, min_train_days=20, eval_k=3), run)
     assert up.fitted is not None and ret.fitted is not None and "x__auto__heat" in up.features
     r = history.first()
@@ -78,3 +81,25 @@ def test_report_has_the_top_rows_and_the_risk(tables):
     decisions, _ = tables
     text = reports.premium_report(pipelines.premium_predict(decisions).where(F.col("trade_date") == DAYS[0]), DAYS[0], 5)
     assert text.count("| c0") == 5 and "50.00%" in text and "Liquidity risk HIGH: " in text
+    assert "aren't known yet" in text
+
+
+def test_realised_returns_reach_the_report(tables):
+    decisions, bars = tables
+    today, day = pipelines.of_day(decisions, DAYS[5])
+    assert day == DAYS[5] and today.count() == 12 and pipelines.of_day(decisions)[1] == DAYS[-1] and pipelines.of_day(decisions, "20300101")[1] is None
+    ranked = pipelines.premium_predict(today, real=pipelines.realised_returns(bars))
+    assert {r["next_trade_date"] for r in ranked.collect()} == {DAYS[6]} and ranked.where("real_premium_ret is null").count() == 0
+    text = reports.premium_report(ranked, day, 5)
+    assert "RankIC: -" in text and f"next trade date: {DAYS[6]}" in text  # constant predictions have no correlation
+    text = reports.premium_report(ranked.withColumn("pred_ev", F.col("real_premium_ret")), day, 5)
+    assert "RankIC: 1.0000" in text
+
+
+def test_counts_take_no_pass_of_their_own(tables):
+    decisions, bars = tables
+    samples, seen = pipelines.observed_samples(pipelines.premium_features(decisions), pipelines.dated_labels(bars))
+    plan = samples._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CollectMetrics") == 1
+    n = samples.count()
+    assert seen.get["rows"] == n and pipelines.day_counts(seen) == {"ok": 23, "pending": 1, "failed": 0, "skipped": 0}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
 from tickerloom.operators import allocation, features, feedback, models
-from tickerloom.plans import cli, pipelines
+from tickerloom.plans import cli, pipelines, validate
 from tickerloom.sources import contracts as C
 from tickerloom.sources import io, tables
 from tickerloom.sources.provenance import RunContext
@@ -178,3 +178,41 @@ def test_command_line_decides_merges_twice_and_checks(spark, tmp_path, monkeypat
     got = {r["ts_code"]: (r["fill_rate_real"], r["ret_exec"]) for r in tables.learning_table(spark, out).read().collect()}
     assert got == {"c01.SZ": (0.5, 0.1), "c02.SZ": (1.0, None)}
     assert cli.main(["validate", "--out", out]) == 0
+    assert cli.main(["merge", "--fills", str(tmp_path / "not there.csv"), "--out", out]) == 0
+    assert {r["ts_code"] for r in tables.learning_table(spark, out).read().collect()} == {"c01.SZ", "c02.SZ"}
+    assert cli.validate_output(spark, out) == []
+    # planted defects, each named
+    weights = tmp_path / "out/weights/weights_latest.csv"
+    whole = weights.read_text("utf-8-sig")
+    weights.write_text(whole + whole.splitlines()[1] + "\n", "utf-8")
+    found = cli.validate_output(spark, out)
+    assert len(found) == 1 and "weights_latest" in found[0] and "more than once" in found[0]
+    weights.write_text(whole, "utf-8-sig")
+    (tmp_path / "out/eval_20260302.json").write_text('{"exec_date": "20260303", "paths": 1}')
+    assert len(cli.validate_output(spark, out)) == 2
+    (tmp_path / "out/decision_report_20260302.md").unlink()
+    (tmp_path / "out/signals/top10_20260227.csv").unlink()
+    found = cli.validate_output(spark, out)
+    assert len(found) == 4 and "signals_dated: missing" in found and "decision_report_20260302.md: missing" in found
+
+
+def test_rules_of_a_table_are_checked_in_one_job(spark):
+    rules = validate.Rules(["d", "k", "p"], ("k",), {"p": (0, 1)}, "d")
+    check = lambda rows: validate.check_table(spark.createDataFrame(rows, "d string, k string, p string"), rules, "t")
+    good = check([("2026-02-27", "a", "0.5"), (None, "b", None)])
+    assert (good.problems, good.rows) == (["t: d is no date: 2026-02-27"], 2)
+    assert check([("20260227", "a", "0.5"), ("20260227.0", "b", "1")]).problems == []
+    assert check([]).problems == []
+    bad = check([("20260227", "a", "1.5"), ("20260228", "a", "-1"), ("20260228", " ", "x")]).problems
+    assert bad == ["t: 1 rows lack one of k", "t: 1 values of k occur more than once", "t: d has several dates, 20260227 to 20260228", "t: 2 values of p outside (0, 1)"]
+    assert validate.check_table(None, rules, "t").problems == ["t: missing"]
+    assert "lacks columns: k, p" in validate.check_table(spark.createDataFrame([("x",)], "d string"), rules, "t").problems[0]
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("one check", "")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        check([("20260227", "a", "0.5"), ("20260227", "b", "0.5")])
+        assert len(tracker.getJobIdsForGroup("one check")) == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        context.setJobGroup("", "")

@@ -16,7 +16,11 @@ def next_trade_days(bars: DataFrame, day: str = "trade_date", max_gap_days: int
     return out
 
 
+def latest_days(df: DataFrame, n: int, day: str = "trade_date") -> DataFrame:
+    """The last n distinct days."""
+    return df.select(day).where(F.col(day).isNotNull()).distinct().orderBy(F.col(day).desc()).limit(n)
+
+
 def last_days(df: DataFrame, n: int, day: str = "trade_date") -> DataFrame:
     """Rows of the last n distinct days; the days are found first, so rows don't meet in one task."""
-    days = df.select(day).where(F.col(day).isNotNull()).distinct().orderBy(F.col(day).desc()).limit(n)
-    return df.join(F.broadcast(days), day, "left_semi")
+    return df.join(F.broadcast(latest_days(df, n, day)), day, "left_semi")

@@ -39,5 +39,5 @@ def rank_ic(df: DataFrame, score: str, real: str, key: str = "trade_date", tie:
     ``ordinal`` ranks ties by ``tie`` and nulls lowest; ``average`` gives ties their mean rank.
     """
     out = ranks(ranks(df.select(key, tie, score, real), score, "__a", key, tie, method), real, "__b", key, tie, method)
-    both = out.groupBy(key).agg(F.count("*").alias("n"), F.count(real).alias("__m"), F.corr("__a", "__b").alias("ic"))
+    both = out.groupBy(key).agg(F.count("*").alias("n"), F.count(real).alias("__m"), F.try_divide(F.covar_pop("__a", "__b"), F.stddev_pop("__a") * F.stddev_pop("__b")).alias("ic"))
     return both.select(key, "n", F.when((F.col("n") >= 3) & (F.col("__m") > 0), F.nanvl("ic", F.lit(None).cast("double"))).alias("rank_ic"))

@@ -7,19 +7,22 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
 
 
+def feature_values(df: DataFrame, features: list[str]) -> list[Column]:
+    """These features; a missing column or value is 0."""
+    return [F.coalesce(X.finite(F.col(c).cast("double")), X.double(0)) if c in df.columns else X.double(0) for c in features]
+
+
 def align_features(df: DataFrame, features: list[str]) -> DataFrame:
-    """A vector of these features; a missing column or value is 0."""
-    cols = [F.coalesce(X.finite(F.col(c).cast("double")), X.double(0)) if c in df.columns else X.double(0) for c in features]
+    cols = feature_values(df, features)
     out = df.withColumns({f"__v_{i}": c for i, c in enumerate(cols)})
     return VectorAssembler(inputCols=[f"__v_{i}" for i in range(len(features))], outputCol="__features").transform(out).drop(*[f"__v_{i}" for i in range(len(features))])
 
@@ -35,9 +38,13 @@ class Model:
     def apply(self, df: DataFrame, into: str) -> DataFrame:
         if self.fitted is None:
             return df.withColumn(into, X.double(self.constant))
+        if isinstance(self.fitted, LogisticRegressionModel):  # a plain expression: no vectors, and no model in the tasks
+            z = X.double(float(self.fitted.intercept))
+            for w, v in zip(self.fitted.coefficients, feature_values(df, self.features)):
+                z = z + X.double(float(w)) * v
+            return df.withColumn(into, X.double(1) / (X.double(1) + F.exp(-z)))
         out = self.fitted.transform(align_features(df, self.features))
-        value = vector_to_array("probability__")[1] if "probability__" in out.columns else F.col("prediction__")
-        return out.withColumn(into, value).drop("__features", "rawPrediction__", "probability__", "prediction__")
+        return out.withColumn(into, F.col("prediction__")).drop("__features", "prediction__")
 
     def save(self, path: str, spark) -> None:
         spark.createDataFrame([(json.dumps({"features": self.features, "constant": self.constant, "fitted": self.fitted is not None}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")

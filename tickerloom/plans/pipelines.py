@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
 from tickerloom.operators import allocation, evaluation, features, feedback, labels, models, scoring
-from tickerloom.operators.calendar import last_days
+from tickerloom.operators.calendar import latest_days
 from tickerloom.sources import contracts as C
 from tickerloom.sources.io import Config
 from tickerloom.sources.provenance import RunContext
+from tickerloom.sources.shared import written
 
 #: A strategy changes a candidate table; a regime and a guardrail answer from it.
 Strategy = Callable[[DataFrame], DataFrame]
@@ -91,16 +92,56 @@ def premium_features(decisions: DataFrame) -> DataFrame:
     return features.build_features(df.withColumn("trade_date", X.parse_ymd(F.col("trade_date"))).where(F.col("trade_date").isNotNull()))
 
 
-def premium_train(decisions: DataFrame, bars: DataFrame, config: Config = Config(), context: RunContext | None = None):
-    """(classifier, regressor, evaluation of the last day) or None with too few days."""
+def dated_labels(bars: DataFrame, config: Config = Config()) -> DataFrame:
+    """Labels, pending ones too, with their days as text."""
+    lab = labels.forward_labels(bars.withColumn("trade_date", X.ymd_date(F.col("trade_date"))), config.max_gap_days)
+    return lab.withColumns({c: F.date_format(c, "yyyyMMdd") for c in ("trade_date", "next_trade_date")})
+
+
+def realised_returns(bars: DataFrame, config: Config = Config()) -> DataFrame:
+    return dated_labels(bars, config).where("real_premium_ret is not null").select("trade_date", "ts_code", "next_trade_date", "real_premium_ret")
+
+
+def of_day(decisions: DataFrame, day: str | None = None) -> tuple[DataFrame, str | None]:
+    """The decisions of a day, or of the latest one; None for a day without any."""
+    named = C.resolve_aliases(decisions, {"trade_date": C.DECISION_REQUIRED["trade_date"]})
+    column = C.quoted(C.find_alias(decisions.columns, C.DECISION_REQUIRED["trade_date"]))
+    days = named.select(X.parse_ymd(F.col("trade_date")).alias("d"))
+    found = (days.where(F.col("d") == X.parse_ymd(F.lit(day))) if day else days).agg(F.max("d")).first()[0]
+    return decisions.where(X.parse_ymd(column) == F.lit(found)), found
+
+
+def observed_samples(built: DataFrame, lab: DataFrame) -> tuple[DataFrame, Observation]:
+    """Features with their labels, and the days by what became of them, gathered while the rows go by: no pass of its own. The sets
+    hold days, of which there are a few thousand at most."""
+    joined = built.join(lab.select("trade_date", "ts_code", "next_trade_date", "real_premium_ret", F.col("reason").alias("__reason"), F.lit(True).alias("__bar")), ["trade_date", "ts_code"], "left")
+    days = lambda when: F.collect_set(F.when(when, F.col("trade_date")))
+    seen = Observation()
+    labelled, bar = F.col("real_premium_ret").isNotNull(), F.coalesce("__bar", F.lit(False))
+    out = joined.observe(seen, days(labelled).alias("ok"), days(bar).alias("bars"), F.collect_set("trade_date").alias("days"), F.count_if(labelled).alias("rows"))
+    return out.where(labelled).drop("__reason", "__bar"), seen
+
+
+def day_counts(seen: Observation, skipped: int = 0) -> dict[str, int]:
+    """ok (with labels), pending (bars, but no label yet), failed (no bars) and skipped (no date), once the samples have been read."""
+    got = seen.get
+    ok, bars, days = (set(got[c]) for c in ("ok", "bars", "days"))
+    return {"ok": len(ok), "pending": len(bars - ok), "failed": len(days - bars), "skipped": skipped}
+
+
+def premium_train(decisions: DataFrame, bars: DataFrame, config: Config = Config(), context: RunContext | None = None, counts: dict | None = None):
+    """(classifier, regressor, evaluation of the last day) or None with too few days. ``counts`` gets the numbers of days by status, and of
+    files without a date."""
+    no_date = X.parse_ymd(C.quoted(C.find_alias(decisions.columns, C.DECISION_REQUIRED["trade_date"]) or "trade_date")).isNull()
     built = premium_features(decisions)
-    bar_days = bars.withColumn("trade_date", X.ymd_date(F.col("trade_date")))
-    lab = labels.forward_labels(bar_days, config.max_gap_days).where("real_premium_ret is not null").withColumn("trade_date", F.date_format("trade_date", "yyyyMMdd"))
-    rows = last_days(built, config.train_window_days).join(lab.select("trade_date", "ts_code", "real_premium_ret"), ["trade_date", "ts_code"])
-    rows = rows.withColumn("y", X.binarise(F.col("real_premium_ret"))).cache()
+    samples, seen = observed_samples(built, dated_labels(bars, config))
+    rows = samples.join(F.broadcast(latest_days(built, config.train_window_days)), "trade_date", "left_semi")
+    rows = written(rows.withColumn("y", X.binarise(F.col("real_premium_ret"))), "training-rows")
     days, last = rows.agg(F.countDistinct("trade_date"), F.max("trade_date")).first()
+    if counts is not None:
+        file = F.col("__file") if "__file" in decisions.columns else F.lit("")
+        counts |= day_counts(seen, decisions.where(no_date).agg(F.countDistinct(file)).first()[0])
     if days < config.min_train_days:
-        rows.unpersist()
         return None
     names = features.feature_names(rows)
     up = models.fit_logistic(rows, names, "y")
