@@ -40,7 +40,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a null source is a source of its own; null and wordless texts have no size
-    and go as their source's whole times and its threshold say; rows of a source that share an id are taken alike."""
+    and go as their source's whole times and its threshold say; rows of a source that share id and text are taken alike."""
     ship_package(spark)
     return mixing.mixed_documents(docs)
 

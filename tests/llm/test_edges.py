@@ -234,9 +234,9 @@ def brute_mix(rows):
         whole = int(target // total[s]) if total[s] else 0
         budget, at = target - whole * total[s], 0
         by_hash = {}
-        for k, (i, _, x) in enumerate(rows):
+        for k, (i, t, x) in enumerate(rows):
             if x == s:
-                by_hash.setdefault(int(hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()[:15], 16), []).append(k)
+                by_hash.setdefault(int(hashlib.md5(f"{'null' if i is None else i}:{t or ''}".encode()).hexdigest()[:15], 16), []).append(k)
         for h in sorted(by_hash):
             n = sum(size[k] for k in by_hash[h])
             once = 2 * at + n <= 2 * budget
@@ -262,6 +262,22 @@ def test_mixed_documents_equal_brute_force(spark):
     assert sum(taken.values()) == sum(n * len(words(t)) for (_, t, _), n in zip(rows, brute_mix(rows)))
 
 
+def test_a_source_of_null_ids_comes_within_a_document_of_its_target(spark):
+    """A source without ids, and one whose rows share one: their texts tell them apart."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(1, 40)))
+    rows = [(None, text(), "none") for _ in range(300)] + [(5, text(), "one") for _ in range(300)] + [(100 + k, text(), "own") for k in range(300)]
+    taken, target = Counter(), {}
+    size = Counter()
+    for i, t, s in rows:
+        size[s] += len(t.split())
+    by_size = {n: s for s, n in size.items()}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[by_size[r["source_size"]]] += r["taken"]
+        target[by_size[r["source_size"]]] = r["target"]
+    assert len(by_size) == 3 and all(abs(taken[s] - target[s]) <= 41 for s in target)
+
+
 def test_mix_of_nothing_and_of_one_source(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(spark.createDataFrame([], schema)).count() == mixing.mixed_documents(spark.createDataFrame([], schema)).count() == 0

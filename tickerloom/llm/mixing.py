@@ -1,6 +1,6 @@
 """Mixing sources to target weights by nested hash thresholds.
 
-Every row gets a fixed 60-bit hash of its id. Sizes are summed by source and by the
+Every row gets a fixed 60-bit hash of its id and text. Sizes are summed by source and by the
 hash's next ten bits; the running sum over at most 1,024 buckets of a source shows
 in which one its budget ends, and only rows of that boundary bucket are summed
 again, by the following ten bits, until all 60 are used. A row is then taken one
@@ -10,7 +10,7 @@ source, and nothing else, so texts need not move. DataFrame functions only.
 
 Defined results: a null or wordless text has size 0 and is taken 0 words; a null
 source is a source of its own, last in order; a null id hashes as the text ``null``;
-rows of a source that share an id are taken together; a source whose budget ends inside such a
+rows of a source that share id and text are taken together; a source whose budget ends inside such a
 group takes it if at least half of it fits; sources that differ in case alone are different; a
 text of any length is counted whole; an empty table gives no rows; extra columns, whatever their
 names, are ignored by ``mix`` and kept by ``mixed_documents``.
@@ -33,9 +33,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """The first 15 hexadecimal digits of the id's md5."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 15 hexadecimal digits of the md5 of id and text: rows that share an id, or have none, still differ by their texts."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_key(source: Column) -> Column:
@@ -118,7 +119,7 @@ def times_taken(hashed: Column, plan: Column) -> Column:
 
 
 def slim_rows(docs: DataFrame) -> DataFrame:
-    return written(docs.select("doc_id", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "mix-sizes")
+    return written(docs.select("doc_id", source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("hash")), "mix-sizes")
 
 
 def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
@@ -132,5 +133,5 @@ def mixed_documents(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
     key, copies = free_names(docs, "key", "copies")
     cuts = thresholds(slim_rows(docs).drop("doc_id"), most).select(F.col("key").alias(key), F.struct("whole", "cut", "edge").alias(copies))
-    times = docs.withColumn(key, source_key(F.col("source"))).join(cuts, key).withColumn(copies, times_taken(id_hash(F.col("doc_id")), F.col(copies)).cast("int"))
+    times = docs.withColumn(key, source_key(F.col("source"))).join(cuts, key).withColumn(copies, times_taken(row_hash(F.col("doc_id"), F.col("text")), F.col(copies)).cast("int"))
     return times.where(F.col(copies) > 0).withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).select(*docs.columns)
