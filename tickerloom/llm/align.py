@@ -66,7 +66,7 @@ class _Words(WordEncoder):
             self.bare.clear()
             self.marks.clear()
         self._learn(set(words).difference(self.words))
-        return [self.words[w] for w in words]
+        return [*map(self.words.__getitem__, words)]
 
 
 @dataclass
@@ -83,6 +83,19 @@ class Aligned:
     upto: dict[str, np.ndarray]  # a, b, intervals, groups: how many up to the end of each text
 
 
+class Grown:
+    """Rows of an array that grows by doubling."""
+
+    def __init__(self, *shape: int, dtype: str) -> None:
+        self.n, self.all = 0, np.zeros((1024, *shape), dtype)
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.n + len(rows) > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros((self.n + 2 * len(rows), *self.all.shape[1:]), self.all.dtype)])
+        self.all[self.n : self.n + len(rows)] = rows
+        self.n += len(rows)
+
+
 class Pair:
     """Two tokenizers: a byte-level one and one of pieces."""
 
@@ -97,68 +110,116 @@ class Pair:
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         names = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+        self.opens_b = np.array([p.startswith("▁") for p in names])
         self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
-        self.span = len(names)
-        self.kind = np.dtype("<u4" if len(self.bytes_a) * self.span < 1 << 32 else "<u8")
+        self.span, self.codes_end = len(names), len(self.bytes_a) * len(names)
         self.by_word = not any("▁" in p.lstrip("▁") for p in names)  # no piece goes on past a space
-        self.groups: dict[str, str | None] = {}
-        self.codes: dict[str, bytes] = {}
-        self.sizes: dict[str, bytes] = {}
+        # a token's text with what follows it: another of its side, the other side or group, or the end of its text
+        self.written = [f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"] + [f"{i}{end}" for i in range(self.span) for end in (",", ";", "\n")]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.whole, self.counts = Grown(dtype="?"), Grown(len(COUNTS), dtype="<u4")
+        self.codes, self.codes_upto = Grown(dtype="<i8"), Grown(dtype="<i8")
+        self.codes_upto.add(np.zeros(1, np.int64))
+
+    def _pieces(self, texts: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Second ids of the texts, and how many each has. Many words are encoded as one text, which is cut at each piece that begins with
+        a space; where these aren't as many as the words, each word is encoded alone."""
+        ids, n = [], []
+        for at in range(0, len(texts), 500):
+            some = texts[at : at + 500]
+            own = np.array(self.second.encode(" ".join(some)), np.int64) if words else None
+            first = np.flatnonzero(self.opens_b[own]) if words else []
+            if len(first) == len(some):
+                n.append(np.diff(np.append(first, len(own))))
+            else:
+                lists = self.second.encode(some, num_threads=1)
+                own = np.array([i for x in lists for i in x], np.int64)
+                n.append(np.array([len(x) for x in lists], np.int64))
+            ids.append(own)
+        return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, np.int64), *n])
 
     def align(self, texts: list[str], words: bool) -> Aligned:
         """Of texts that stand behind a space; ``words``: they have none of their own."""
-        a = self.first.ids(texts) if words else self.first._ids([" " + t for t in texts])
-        a = [np.frombuffer(x, "<u4").tolist() for x in a]
-        b = self.second.encode(texts, num_threads=1)
-        whole = []
-        for t, x, y in zip(texts, a, b):
-            raw = b" " + t.encode()
-            whole.append(b"".join(map(self.bytes_a.__getitem__, x)) == raw == b"".join(map(self.bytes_b.__getitem__, y)))
-        a, b = ([x if good else [] for x, good in zip(side, whole)] for side in (a, b))
-        n_a, n_b = (np.cumsum([0, *map(len, side)]) for side in (a, b))
-        ids_a, ids_b = (np.array([i for x in side for i in x], np.int64) for side in (a, b))
+        data = self.first.ids(texts) if words else self.first._ids([" " + t for t in texts])
+        ids_a, n_a = np.frombuffer(b"".join(data), "<u4").astype(np.int64), np.array([*map(len, data)], np.int64) // 4
+        ids_b, n_b = self._pieces(texts, words)
+        raw = [b" " + t.encode() for t in texts]
+        size = np.array([*map(len, raw)], np.int64)
+        sizes = [np.diff(np.concatenate([[0], np.cumsum(of[ids])])[np.concatenate([[0], np.cumsum(n)])]) for of, ids, n in ((self.size_a, ids_a, n_a), (self.size_b, ids_b, n_b))]
+        joined = [b"".join(map(of.__getitem__, ids.tolist())) for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
+        whole = (sizes[0] == size) & (sizes[1] == size)
+        if not (whole.all() and joined[0] == joined[1] == b"".join(raw)):
+            to = [np.cumsum(x) for x in sizes]
+            for k in np.flatnonzero(whole).tolist():
+                whole[k] = all(text[upto[k] - size[k] : upto[k]] == raw[k] for text, upto in zip(joined, to))
+            ids_a, ids_b = ids_a[np.repeat(whole, n_a)], ids_b[np.repeat(whole, n_b)]
+            n_a, n_b = n_a * whole, n_b * whole
+        n_a, n_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
         ends_a = np.cumsum(self.size_a[ids_a])
-        ends, own_a, own_b, closes = intervals(ends_a, np.cumsum(self.size_b[ids_b]))
+        ends, a, b, closes = intervals(ends_a, np.cumsum(self.size_b[ids_b]))
         n_links = np.searchsorted(ends, np.concatenate([[0], ends_a])[n_a], "right")
         n_groups = np.concatenate([[0], np.cumsum(closes)])[n_links]
-        return Aligned(np.array(whole, bool), ids_a, ids_b, ends, own_a, own_b, closes, {"a": n_a, "b": n_b, "intervals": n_links, "groups": n_groups})
-
-    def parts(self, texts: list[str], words: bool) -> Iterator[tuple[str | None, bytes, bytes]]:
-        """Of each text: its groups as text (null if it isn't given back), its overlaps as codes, and its ``COUNTS``."""
+        return Aligned(whole, ids_a, ids_b, ends, a, b, closes, {"a": n_a, "b": n_b, "intervals": n_links, "groups": n_groups})
+
+    def texts_of(self, x: Aligned) -> list[str]:
+        """The groups of each text, written down: all tokens in order of their groups, first ids before second ones."""
+        to_a, to_b, group_of = x.a[x.closes] + 1, x.b[x.closes] + 1, lambda to, n: np.repeat(np.arange(len(to)), np.diff(to, prepend=0)) if n else np.zeros(0, np.int64)
+        if not len(to_a):
+            return [""] * len(x.whole)
+        index = np.zeros(len(x.ids_a) + len(x.ids_b), np.int64)
+        last_a, last_b = np.zeros(len(x.ids_a), np.int64), np.zeros(len(x.ids_b), np.int64)
+        last_a[to_a - 1], last_b[to_b - 1] = 1, 1
+        last_b[x.upto["b"][1:][np.diff(x.upto["b"]) > 0] - 1] = 2
+        index[np.arange(len(x.ids_a)) + np.concatenate([[0], to_b[:-1]])[group_of(to_a, len(x.ids_a))]] = 2 * x.ids_a + last_a
+        index[np.arange(len(x.ids_b)) + to_a[group_of(to_b, len(x.ids_b))]] = 2 * len(self.bytes_a) + 3 * x.ids_b + last_b
+        found = iter("".join(map(self.written.__getitem__, index.tolist())).split("\n"))
+        return [next(found) if whole else "" for whole in x.whole.tolist()]
+
+    def measures(self, texts: list[str], words: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts: their groups as text, which are given back whole, their ``COUNTS``, and their overlaps' codes with how many up to each."""
         x = self.align(texts, words)
-        a, b = list(map(str, x.ids_a.tolist())), list(map(str, x.ids_b.tolist()))
-        to_a, to_b = x.a[x.closes] + 1, x.b[x.closes] + 1
-        from_a, from_b = np.concatenate([[0], to_a]), np.concatenate([[0], to_b])
-        groups = [",".join(a[i:j]) + "|" + ",".join(b[k:m]) for i, j, k, m in zip(from_a.tolist(), to_a.tolist(), from_b.tolist(), to_b.tolist())]
-        products = np.concatenate([[0], np.cumsum(np.diff(from_a) * np.diff(from_b))])[x.upto["groups"]]
-        codes = (x.ids_a[x.a] * self.span + x.ids_b[x.b]).astype(self.kind).tobytes()
-        sizes = np.stack([np.diff(v) for v in (x.upto["a"], x.upto["b"], x.upto["groups"], x.upto["intervals"], products)], axis=1).astype("<u4")
-        upto_groups, upto = x.upto["groups"].tolist(), (x.upto["intervals"] * self.kind.itemsize).tolist()
-        for k, whole in enumerate(x.whole.tolist()):
-            yield ";".join(groups[upto_groups[k] : upto_groups[k + 1]]) if whole else None, codes[upto[k] : upto[k + 1]], sizes[k].tobytes()
+        products = np.diff(x.a[x.closes], prepend=-1) * np.diff(x.b[x.closes], prepend=-1)
+        products = np.concatenate([[0], np.cumsum(products)])[x.upto["groups"]]
+        counts = np.stack([np.diff(v) for v in (x.upto["a"], x.upto["b"], x.upto["groups"], x.upto["intervals"], products)], axis=1)
+        return self.texts_of(x), x.whole, counts, x.ids_a[x.a] * self.span + x.ids_b[x.b], x.upto["intervals"]
+
+    def _learn(self, new: list[str]) -> None:
+        groups, whole, counts, codes, upto = self.measures(new, True)
+        self.place.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
+        self.groups += groups
+        self.codes_upto.add(upto[1:] + self.codes.n)
+        self.codes.add(codes)
+        self.whole.add(whole)
+        self.counts.add(counts)
 
     def digest(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         """Of each text: the SHA-256 of its groups, its overlaps' codes, and its ``COUNTS``."""
         cut = [t.split(" ") if self.by_word and t and not t.endswith(" ") and not _BEFORE_SPACE.search(t) else None for t in texts]
         used = set().union(*(c for c in cut if c))
         if len(self.groups) > CACHE:
-            for known in (self.groups, self.codes, self.sizes):
-                known.clear()
-        new = [*used.difference(self.groups)]
-        for w, (self.groups[w], self.codes[w], self.sizes[w]) in zip(new, self.parts(new, True)):
-            pass
-        rest = self.parts([t for t, c in zip(texts, cut) if t and c is None], False)
+            self._forget()
+        self._learn([*used.difference(self.place)])
+        rest = self.measures([t for t, c in zip(texts, cut) if t and c is None], False)
+        k = 0
         for text, c in zip(texts, cut):
-            groups, codes, sizes = [None], [], []
+            good, codes, total = False, np.zeros(0, np.int64), np.zeros(len(COUNTS), np.int64)
             if c:
-                groups, codes, sizes = (list(map(known.__getitem__, c)) for known in (self.groups, self.codes, self.sizes))
+                own = [*map(self.place.__getitem__, c)]
+                at = np.array(own)
+                if good := bool(self.whole.all[at].all()):
+                    groups = ";".join(map(self.groups.__getitem__, own))
+                    total = self.counts.all[at].sum(axis=0, dtype=np.int64)
+                    low, high = self.codes_upto.all[at], self.codes_upto.all[at + 1]
+                    codes = self.codes.all[np.arange(total[3]) + np.repeat(high - np.cumsum(high - low), high - low)]
             elif text:
-                groups, codes, sizes = ([v] for v in next(rest))
-            if None in groups:
-                yield "", np.zeros(0, self.kind), np.zeros(len(COUNTS), np.int64)
-            else:
-                total = np.frombuffer(b"".join(sizes), "<u4").reshape(-1, len(COUNTS)).sum(axis=0, dtype=np.int64)
-                yield hashlib.sha256(";".join(groups).encode()).hexdigest(), np.frombuffer(b"".join(codes), self.kind), total
+                if good := bool(rest[1][k]):
+                    groups, total, codes = rest[0][k], rest[2][k], rest[3][rest[4][k] : rest[4][k + 1]]
+                k += 1
+            yield hashlib.sha256(groups.encode()).hexdigest() if good else "", codes, total
 
 
 @functools.cache
@@ -188,12 +249,8 @@ def blocks(docs: DataFrame, bytes_path: str, pieces_path: str, block: int = BLOC
 
         def row() -> pa.RecordBatch:
             doc = np.repeat(np.arange(len(held), dtype=np.int64), [len(x) for x in held])
-            code = np.concatenate(held).astype(np.int64)
-            order = np.lexsort((code, doc))
-            doc, code = doc[order], code[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(doc)))
-            doc, code = doc[first], code[first]
+            key, times = np.unique(doc * both.codes_end + np.concatenate(held), return_counts=True)
+            doc, code = key // both.codes_end, key % both.codes_end
             own, place, holders = np.unique(code, return_inverse=True, return_counts=True)
             steps = np.diff(place, prepend=0)
             starts = np.flatnonzero(np.diff(doc, prepend=-1))
