@@ -7,7 +7,7 @@ sides share closes a group; a group's tokens can be expanded to all its pairs.
 Both also cut before a space that follows a letter or printable character, so a word's tokens don't depend on its neighbours: new words
 are aligned together, many in one call, and a bounded cache holds what they give. Other texts are aligned whole.
 
-How many documents link two ids is counted in blocks: a block of about 16 MB of text becomes one row with its documents' pairs, as places
+How many documents link two ids is counted in blocks: a block of about 8 MB of text becomes one row with its documents' pairs, as places
 in the block's own list of pairs. The lists meet by pair, are added up, and each block gets its pairs' counts back. So a pair travels once for
 each block and not for each document, and nothing is broadcast or held for the whole corpus.
 
@@ -34,7 +34,7 @@ from tickerloom.llm.common import few_rows, written
 from tickerloom.llm.packing import _BEFORE_SPACE, WordEncoder, default_tokenizer
 
 #: Characters of text of a block, about, and words whose alignment a task keeps.
-BLOCK, CACHE = 16_000_000, 200_000
+BLOCK, CACHE = 8_000_000, 120_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_products")
 
 
