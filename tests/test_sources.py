@@ -216,3 +216,24 @@ def test_rules_of_a_table_are_checked_in_one_job(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         context.setJobGroup("", "")
+
+
+def test_command_line_predicts_the_latest_or_a_given_day(spark, tmp_path, monkeypatch, capsys):
+    days, folder = ["20260225", "20260226", "20260227"], tmp_path / "data/decision"
+    folder.mkdir(parents=True)
+    for day in days:
+        put(folder / f"decision_candidates_{day}.csv", "trade_date,ts_code,name,rank,prob\n" + "".join(f"{day},c{i:02d}.SZ,n{i},{i + 1},0.{i}\n" for i in range(8)))
+    bars = [(f"c{i:02d}.SZ", day, 10.0 + i + k) for k, day in enumerate(days) for i in range(8)]
+    monkeypatch.setenv("TICKERLOOM_ROOT", str(tmp_path))
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    out = str(tmp_path / "out")
+    assert cli.main(["predict", "--out", out]) == 0  # no bars yet
+    spark.createDataFrame(bars, "ts_code string, trade_date string, close double").write.parquet(str(tmp_path / "data/market/daily"))
+    assert cli.main(["predict", "--trade_date", days[0], "--out", out]) == 0
+    assert cli.main(["predict", "--trade_date", "20300101", "--out", out]) == 1
+    ranked = spark.read.parquet(f"{out}/rank").collect()
+    assert {str(r["trade_date"]) for r in ranked} == {days[0], days[2]} and len(ranked) == 16
+    assert {(r["next_trade_date"], r["real_premium_ret"] is None) for r in ranked if str(r["trade_date"]) == days[0]} == {(days[1], False)}
+    assert "aren't known yet" in (tmp_path / f"out/rank_report_{days[2]}.md").read_text() and "HitRate@10: 100.00%" in (tmp_path / f"out/rank_report_{days[0]}.md").read_text()
+    assert cli.main(["train", "--out", out]) == 0
+    assert "2 ok, 1 pending, 0 failed, 0 skipped" in capsys.readouterr().out
