@@ -126,9 +126,10 @@ def test_top_k_of_empty_tables(spark):
     assert topk.search(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-@pytest.mark.parametrize("dense", [1 << 16, 1])
-def test_trees_give_what_sorting_gives(monkeypatch, dense):
-    monkeypatch.setattr(topk, "DENSE", dense)
+@pytest.mark.parametrize("leaf,step", [(64, 1024), (3, 1)])
+def test_trees_give_what_sorting_gives(monkeypatch, leaf, step):
+    monkeypatch.setattr(topk, "LEAF", leaf)
+    monkeypatch.setattr(topk, "STEP", step)
     rng = np.random.default_rng(4)
     x, q = rng.integers(-50, 50, (300, 4)).astype(float), rng.integers(-50, 50, (20, 4)).astype(float)
     best = topk.dual_search(q, np.arange(20), topk.CoverTree(x), np.arange(300), 5, np.full(20, -np.inf))
@@ -137,6 +138,28 @@ def test_trees_give_what_sorting_gives(monkeypatch, dense):
         assert list(zip((-best.score[j]).tolist(), best.id[j].tolist())) == want
 
 
+def test_a_tree_covers_its_points():
+    x = np.random.default_rng(6).normal(size=(900, 5)) * np.geomspace(1, 1e6, 900)[:, None]
+    tree = topk.CoverTree(np.concatenate([x, x[:200], np.ones((300, 5))]))
+    assert sorted(tree.order.tolist()) == list(range(1400))
+    for i in range(len(tree.radius)):
+        own = tree.x[tree.order[tree.start[i] : tree.end[i]]]
+        assert np.sqrt(((own - tree.x[tree.centre[i]]) ** 2).sum(1)).max() <= tree.radius[i] * (1 + 1e-9)
+        assert tree.children[i] or len(own) <= topk.LEAF or tree.radius[i] == 0
+
+
+def test_pairs_of_nodes_are_pruned_at_the_registered_sizes(spark):
+    """10 queries and 500 vectors around a few directions, as at sf0.01: most pairs are never multiplied."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 64))
+    x = np.floor(256 * (centres[np.arange(500) % 20] * 3 + rng.normal(size=(500, 64)) * 0.05))
+    best = topk.dual_search(x[::50], np.arange(0, 500, 50), topk.CoverTree(x), np.arange(500), 5, np.full(10, -np.inf))
+    for j in range(10):
+        want = sorted((-int(x[50 * j] @ v), i) for i, v in enumerate(x) if i != 50 * j)[:5]
+        assert list(zip((-best.score[j]).tolist(), best.id[j].tolist())) == want
+    assert best.met < 0.5 * 10 * 500
+
+
 # ---------------------------------------------------------------- near copies
 
 

@@ -5,7 +5,7 @@ by a hash of the id; every row is indexed), and a cell with many rows into sever
 blocks, so a block's size is bounded even if a third of all rows are equal. Queries are dealt
 alike, into teams. Cells are the upper nodes of both trees; within a task a block and a team
 become cover trees: each level halves the cover radius, children keep their distance, every point
-lies under the nearest child. Pairs of nodes are visited best bound first; with centres c and p, radii r
+lies under the nearest child. All pairs of nodes of a level are looked at together, and pairs of leaves best bound first; with centres c and p, radii r
 and s, no pair below scores more than c.p + s|c| + r|p| + r s, and a pair whose bound
 is under the worst kth score of the query node's group is pruned: pairs of teams and cells before any
 row moves, and pairs below them within tasks. A first pass searches each query's own block, so that every
@@ -35,47 +35,60 @@ from tickerloom.llm.common import hash_share, written
 
 #: Rows of a block and of a query team, about; teams that come to a block together; pivots at most; points of a tree's leaf.
 BLOCK, GROUP, BUNDLE, PIVOTS, LEAF = 4096, 2048, 8, 1024, 64
-#: Products that cost less together than going further down two trees.
-DENSE = 1 << 16
+#: Children of a node at most; data points that a query leaf meets between two looks at its worst kth score; pairs of bundles and blocks
+#: of a task; queries of a leaf.
+FAN, STEP, PAIRS, QUERIES = 8, 1024, 16, 8
 
 
 class CoverTree:
-    """Nodes in arrays: centre, covering radius, own points (of leaves) or children."""
+    """Nodes in arrays: centre, covering radius, children. Points are put in the leaves' order (``order``), so that those
+    below node i are ``start[i]`` to ``end[i]``."""
 
-    def __init__(self, x: np.ndarray) -> None:
-        self.x, self.centre, self.radius, self.points, self.children = x, [], [], [], []
+    def __init__(self, x: np.ndarray, leaf: int | None = None) -> None:
+        self.x, centre, radius, self.children, start, end, self._leaves = x, [], [], [], [], [], []
+        self._lists, self._size, self._most = (centre, radius, start, end), 0, leaf or LEAF
         if len(x):
             self._node(np.arange(len(x)), 0)
-
-    def _node(self, members: np.ndarray, centre: int) -> int:
-        d = np.sqrt(np.maximum(((self.x[members] - self.x[centre]) ** 2).sum(1), 0))
-        at = len(self.centre)
-        self.centre.append(centre)
-        self.radius.append(float(d.max()))
-        self.points.append(None)
+        self.order = np.concatenate([np.zeros(0, np.int64), *self._leaves])
+        self.centre, self.start, self.end = (np.array(c, np.int64) for c in (centre, start, end))
+        self.radius = np.array(radius, float)
+        n = np.array([len(c) for c in self.children], np.int64)
+        self.n_children, self.first_child = n, np.cumsum(n) - n
+        self.child = np.array([c for own in self.children for c in own], np.int64)
+        self.leaves = np.flatnonzero(n == 0)
+
+    def _node(self, members: np.ndarray, head: int) -> int:
+        centre, radius, start, end = self._lists
+        d = np.sqrt(np.maximum(((self.x[members] - self.x[head]) ** 2).sum(1), 0))
+        at = len(centre)
+        centre.append(head)
+        radius.append(float(d.max()))
+        start.append(self._size)
+        end.append(self._size + len(members))
         self.children.append([])
-        if len(members) <= LEAF or self.radius[at] == 0:
-            self.points[at] = members
-            return at
-        apart = self.radius[at] / 2
-        heads, near, owner = [centre], d.copy(), np.zeros(len(members), np.int64)
-        while near.max() > apart and len(heads) < LEAF:
-            heads.append(int(members[near.argmax()]))
-            e = np.sqrt(((self.x[members] - self.x[heads[-1]]) ** 2).sum(1))
-            owner[e < near] = len(heads) - 1
-            near = np.minimum(near, e)
+        heads, near, owner = [head], d.copy(), np.zeros(len(members), np.int64)
+        if len(members) > self._most:
+            while near.max() > radius[at] / 2 and len(heads) < FAN:
+                heads.append(int(members[near.argmax()]))
+                e = np.sqrt(((self.x[members] - self.x[heads[-1]]) ** 2).sum(1))
+                owner[e < near] = len(heads) - 1
+                near = np.minimum(near, e)
         if len(heads) == 1:
-            self.points[at] = members
-            return at
-        self.children[at] = [self._node(members[owner == k], h) for k, h in enumerate(heads)]
+            self._leaves.append(members)
+            self._size += len(members)
+        else:
+            self.children[at] = [self._node(members[owner == k], h) for k, h in enumerate(heads)]
         return at
 
-    def under(self) -> list[np.ndarray]:
-        """All points under each node."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(self.centre)
-        for i in range(len(self.centre) - 1, -1, -1):  # children come after their parents
-            out[i] = self.points[i] if self.points[i] is not None else np.concatenate([out[c] for c in self.children[i]])
-        return out
+    def below(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of nodes, and for each the place of its parent in ``nodes``; a leaf stands for itself."""
+        n = self.n_children[nodes]
+        parent = np.repeat(np.arange(len(nodes)), np.maximum(n, 1))
+        nth = np.arange(len(parent)) - np.repeat(np.cumsum(np.maximum(n, 1)) - np.maximum(n, 1), np.maximum(n, 1))
+        inner = (n > 0)[parent]
+        out = nodes[parent]
+        out[inner] = self.child[self.first_child[nodes[parent[inner]]] + nth[inner]]
+        return out, parent
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,21 +100,36 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far; ``met`` counts the pairs whose product was taken."""
 
-    def __init__(self, n: int, k: int, worst: np.ndarray) -> None:
-        self.k, self.score, self.id, self.worst = k, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n, worst
+    def __init__(self, k: int, worst: np.ndarray) -> None:
+        self.k, self.worst, self.met = k, worst, 0
+        self.n = np.zeros(len(worst), np.int64)
+        self.score, self.id = np.zeros((2, len(worst), k), np.int64)
 
     def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> None:
-        """A row of ``scores`` for each of ``queries``; those that aren't ``allowed`` don't count."""
+        """A row of ``scores`` for each of ``queries``, which differ; those that aren't ``allowed`` don't count."""
+        self.met += scores.size
         use = allowed & (scores >= self.worst[queries][:, None])
-        for i in np.flatnonzero(use.any(1)).tolist():
-            q, own = queries[i], use[i]
-            s, v = np.concatenate([self.score[q], scores[i, own]]), np.concatenate([self.id[q], ids[own]])
-            order = np.lexsort((v, -s))[: self.k]
-            self.score[q], self.id[q] = s[order], v[order]
-            if len(order) == self.k:
-                self.worst[q] = max(self.worst[q], s[order[-1]])
+        if scores.shape[1] > 4 * self.k:  # only what reaches the row's own kth score
+            least = np.partition(np.where(use, scores, np.iinfo(np.int64).min), -self.k, axis=1)[:, -self.k]
+            use &= scores >= least[:, None]
+        row, col = np.nonzero(use)
+        if not len(row):
+            return
+        old, nth = np.nonzero(np.arange(self.k) < self.n[queries][:, None])
+        row = np.concatenate([old, row])
+        score = np.concatenate([self.score[queries[old], nth], scores[use]])
+        vec = np.concatenate([self.id[queries[old], nth], ids[col]])
+        order = np.lexsort((vec, -score, row))
+        row, score, vec = row[order], score[order], vec[order]
+        n = np.bincount(row, minlength=len(queries))
+        place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        top = place < self.k
+        self.score[queries[row[top]], place[top]], self.id[queries[row[top]], place[top]] = score[top], vec[top]
+        self.n[queries] = np.minimum(n, self.k)
+        full = queries[n >= self.k]
+        self.worst[full] = np.maximum(self.worst[full], self.score[full, self.k - 1])
 
 
 def top_bound(q: np.ndarray, q_radius: np.ndarray, p: np.ndarray, p_radius: np.ndarray) -> np.ndarray:
@@ -111,29 +139,49 @@ def top_bound(q: np.ndarray, q_radius: np.ndarray, p: np.ndarray, p_radius: np.n
 
 
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, tree: CoverTree, data_ids: np.ndarray, k: int, worst: np.ndarray) -> _Best:
-    """The best of the tree's points for each query, above what it has already (``worst``)."""
-    best, data = _Best(len(queries), k, worst.astype(float).copy()), tree.x
-    if not len(queries) or not len(data):
+    """The best of the tree's points for each query, above what it has already (``worst``). Both trees are gone down together,
+    all pairs of nodes of a level at once; the pairs of leaves that are left are taken by query leaf, best bound first, until a
+    bound is under the leaf's worst kth score."""
+    best = _Best(k, worst.astype(float).copy())
+    if not len(queries) or not len(tree.x):
         return best
-    qt, dt = CoverTree(queries), tree
-    qr, dr = np.array(qt.radius), np.array(dt.radius)
-    bound = top_bound(queries[qt.centre], qr, data[dt.centre], dr)
-    q_under, d_under = qt.under(), dt.under()
-
-    def visit(q: int, d: int) -> None:
-        qs, ds = q_under[q], d_under[d]
-        if bound[q, d] < best.worst[qs].min():
-            return
-        if len(qs) * len(ds) <= DENSE or (qt.points[q] is not None and dt.points[d] is not None):
-            best.add(qs, _products(queries[qs], data[ds]), data_ids[ds], query_ids[qs][:, None] != data_ids[ds])
-        elif qt.points[q] is not None or (dt.points[d] is None and dr[d] >= qr[q]):
-            for c in sorted(dt.children[d], key=lambda c: -bound[q, c]):
-                visit(q, c)
-        else:
-            for c in qt.children[q]:
-                visit(c, d)
-
-    visit(0, 0)
+    qt, dt = CoverTree(queries, QUERIES), tree
+    bound = top_bound(queries[qt.centre], qt.radius, dt.x[dt.centre], dt.radius)
+
+    def meet(leaf: int, others: np.ndarray) -> None:
+        qs = qt.order[qt.start[leaf] : qt.end[leaf]]
+        ds = np.concatenate([dt.order[dt.start[d] : dt.end[d]] for d in others.tolist()])
+        best.add(qs, _products(queries[qs], dt.x[ds]), data_ids[ds], query_ids[qs][:, None] != data_ids[ds])
+
+    nearest = dt.leaves[bound[np.ix_(qt.leaves, dt.leaves)].argmax(1)]
+    for leaf, d in zip(qt.leaves.tolist(), nearest.tolist()):  # so that every group has a worst kth score early
+        if bound[leaf, d] >= best.worst[qt.order[qt.start[leaf] : qt.end[leaf]]].min():
+            meet(leaf, np.array([d]))
+    least = np.array([best.worst[qt.order[a:b]].min() for a, b in zip(qt.start.tolist(), qt.end.tolist())])
+    q = d = np.zeros(1, np.int64)  # pairs of nodes, from both roots down
+    while True:
+        live = bound[q, d] >= least[q]
+        q, d = q[live], d[live]
+        if not (qt.n_children[q].any() or dt.n_children[d].any()):
+            break
+        q, parent = qt.below(q)
+        d, parent = dt.below(d[parent])
+        q = q[parent]
+    home = np.full(len(qt.radius), -1)
+    home[qt.leaves] = nearest
+    q, d = q[home[q] != d], d[home[q] != d]
+    order = np.lexsort((-bound[q, d], q))
+    q, d = q[order], d[order]
+    cuts = np.flatnonzero(np.diff(q, prepend=-1, append=-1)).tolist() if len(q) else []
+    for a, b in zip(cuts, cuts[1:]):
+        leaf, asked = int(q[a]), d[a:b]
+        bounds, size = bound[leaf, asked], np.cumsum(dt.end[asked] - dt.start[asked])
+        qs, at = qt.order[qt.start[leaf] : qt.end[leaf]], 0
+        while at < len(asked) and bounds[at] >= best.worst[qs].min():
+            reach = np.searchsorted(-bounds, -best.worst[qs].min(), side="right")
+            end = min(int(reach), max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + STEP, side="right"))))
+            meet(leaf, asked[at:end])
+            at = end
     return best
 
 
@@ -144,8 +192,8 @@ def _rows(best: list[tuple[np.ndarray, np.ndarray, _Best]]) -> pa.Table:
     """Searches' results; each has its queries' rows and ids."""
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
     for rows, ids, found in best:
-        n = [len(x) for x in found.score]
-        for column, values in zip(out, (np.repeat(rows, n), np.repeat(ids, n), np.concatenate([out[0][0], *found.id]), np.concatenate([out[0][0], *found.score]))):
+        has = np.arange(found.k) < found.n[:, None]
+        for column, values in zip(out, (np.repeat(rows, found.n), np.repeat(ids, found.n), found.id[has], found.score[has])):
             column.append(values)
     return pa.Table.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], schema=_RESULT)
 
@@ -241,7 +289,8 @@ def search(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFr
     asked = teams.select("team", "radius", "worst").mapInArrow(ask, "team string, block string, lot long")
     asked = written(asked.select("team", F.col("block").alias("to"), F.pmod("lot", F.lit(n_bundles)).cast("int").alias("bundle")), "topk-asked")
     meets = written(asked.select("to", "bundle").distinct(), "topk-meets")
-    tasks = max(1, meets.count())
+    pairs = meets.count()
+    tasks = max(1, min(pairs, int(spark.conf.get("spark.sql.shuffle.partitions")) + pairs // PAIRS))
     left = queries.join(asked, "team").where("block <> to").select("to", "bundle", "team", "row", "vec_id", "v", "kth").repartition(tasks, "to", "bundle")
     right = placed.join(meets, F.col("block") == F.col("to")).select("to", "bundle", "row", "vec_id", "v").repartition(tasks, "to", "bundle")
 
