@@ -7,6 +7,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.llm import jaccard, langid, lm, mixing, packing, quality, rules, secrets, topk, toxicity
@@ -282,14 +283,50 @@ def test_automaton_contexts_sum_to_one():
     assert (keys[place] == block.keys).all() and (np.bincount(place) == totals).all()
     counts = block.word_counts()
     model = lm.build(block, first, counts, totals, int(counts.sum()), len(counts))
-    arcs = {(h, w): p for h, w, p in zip(model.source.tolist(), model.word.tolist(), model.arc_logp.tolist())}
+    source, _, logp = model.orders[0]
+    arcs = {(h, w): p for h, w, p in zip(source.tolist(), block.tokens[block.at[first]].tolist(), logp.tolist())}
     unseen = 0.1 / (counts.sum() + 0.1 * (len(counts) + 1))
-    assert model.next_state[0] == -1
-    for state in range(1, len(counts)):
+    assert model.word_state[0] == 0
+    for state in range(2, 1 + len(counts)):
         seen = [arcs.get((state, w), model.fail_logp[state] + model.word_logp[w]) for w in range(len(counts))]
         assert abs(sum(10**x for x in seen) + 10 ** model.fail_logp[state] * unseen - 1) < 1e-9
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_carried_states_are_the_longest_trained_contexts(order):
+    rng = random.Random(2)
+    rows = [[rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 2, 5, 300]))] for _ in range(40)]
+    held = [k % 3 == 0 for k in range(40)]
+    block = lm.Block()
+    block.add([" ".join(r).encode() for r in rows], held)
+    block.finish()
+    block.add_triples()
+    place, first = block.gram_places()
+    triple, step = block.gram_places(True)
+    n = lambda places, at, size: np.bincount(places[block.train[at]], minlength=size)
+    totals, counts = n(place, block.at, len(first)), block.word_counts()
+    triples = (place[block.third[step] - 1], place[block.third[step]], n(triple, block.at[block.third], len(step)))
+    model = lm.build(block, first, counts, totals, int(counts.sum()), int((counts > 0).sum()), triples if order > 2 else None)
+    arcs = [block.by_token(block.at, place), block.by_token(block.at[block.third], triple)][: order - 1]
+    name = {v: k for k, v in block.words.items()}
+    labels = [(), *((name[w],) for w in range(len(counts))), *((name[block.tokens[block.at[i] - 1]], name[block.tokens[block.at[i]]]) for i in first.tolist())]
+    trained = {g for r, h in zip(rows, held) if not h for k in range(len(r)) for g in (tuple(r[k : k + 1]), tuple(r[k : k + 2]))} | {()}
+    want = []
+    for r in rows:
+        for k in range(len(r)):
+            context = tuple(r[: k + 1][1 - order :])
+            while context not in trained:
+                context = context[1:]
+            want.append(context)
+        want.append(None)
+    whole = model.walk(block, arcs, 10**9)
+    for span in (64, 7, 1):
+        logp, states = model.walk(block, arcs, span)
+        assert (states == whole[1]).all() and np.allclose(logp, whole[0], rtol=0, atol=1e-12)
+        got = [tuple(w.decode() for w in labels[i]) for i in states.tolist()]
+        assert all(w is None or g == w for g, w in zip(got, want))
+
+
 def test_quality_learns_from_positives(spark):
     rng = random.Random(1)
     good = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(80)) + "." for _ in range(200)]

@@ -15,10 +15,8 @@ one. An n-gram's arc carries its smoothed log-probability; every other token fol
 arc, which carries the context's left-over weight: from a bigram to its last word, and from a
 word to the empty context. Smoothing adds ``MU`` tokens to each context, spread as the next shorter
 context says, and the add-0.1 unigram base at last: an n-gram has (c(hw) + MU p(w)) / (c(h) + MU), so a
-context's probabilities sum to 1. Walked from left to right, a text is always in the longest trained
-context that its last two words end with: a trained trigram's last two words are a trained bigram, and
-each failure passes to the next shorter one. So the carried states of all texts of a block are
-those of their positions, and the arcs and failures of each order are taken for all positions at once.
+context's probabilities sum to 1. All texts of a block are walked from left to right together, a token of each at a time, and
+each carries its state: it takes the state's arc for its next token, or follows failure arcs until a state has one.
 
 Words are counted exactly. Bigrams and trigrams are told apart by hashes of their words, of ``SPARE`` bits more than
 the corpus' size in bytes has, and 63 at most: of a million million n-grams, no more than about ten thousand share a
@@ -121,13 +119,13 @@ class Block:
         first = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
         return key[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
 
-    def word_order(self, slots: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words by hash range and then by name, their numbers, and the ends of the ranges."""
+    def word_order(self, slots: int) -> tuple[list[bytes], np.ndarray, list[tuple[int, int, int]]]:
+        """Words by hash range and then by name, their numbers, and the ranges' parts of them."""
         names = sorted(self.words)
         slot = np.fromiter((zlib.crc32(w) % slots for w in names), np.int64, len(names))
         order = np.argsort(slot, kind="stable")
         names = [names[i] for i in order.tolist()]
-        return names, np.fromiter(map(self.words.__getitem__, names), np.int64, len(names)), np.searchsorted(slot[order], np.arange(slots + 1))
+        return names, np.fromiter(map(self.words.__getitem__, names), np.int64, len(names)), _runs(slot[order])
 
     def gram_places(self, triples: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The place of each step (of ``third``, or of two tokens) among the distinct keys, and the first step of each key."""
@@ -140,54 +138,83 @@ class Block:
         place[order] = np.cumsum(new) - 1
         return place, order[new]
 
+    def by_token(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """For each token the n-gram that ends there, or -1."""
+        out = np.full(len(self.tokens), -1)
+        out[at] = place
+        return out
+
 
 @dataclass
 class Automaton:
-    """States are token numbers, and -1 is the empty context. Arc i leads from state ``source[i]`` by token
-    ``word[i]`` to ``next_state[word[i]]``, or to arc i's own state where there are ``triple_logp``, the
-    log-probabilities of the arcs of such states, with ``pair_fail`` as their failure arcs' weights. An
-    arc's log-probability is NaN if training lacks it; a failure of an untrained bigram weighs 0."""
+    """State 0 is the empty context, 1 + w that of word w, and 1 + words + i that of bigram i. A state's failure arc leads to
+    the next shorter context (``fail_to``) with weight ``fail_logp``. ``orders`` holds the arcs of bigrams and then of trigrams:
+    arc i of an order leads from state ``source[i]`` to ``target[i]`` with ``logp[i]``, which is NaN if training lacks it. The empty
+    context has an arc for each word. Each list of arcs ends with one that leaves no state, for steps without any."""
 
     word_logp: np.ndarray
-    next_state: np.ndarray
+    word_state: np.ndarray
+    fail_to: np.ndarray
     fail_logp: np.ndarray
-    source: np.ndarray
-    word: np.ndarray
-    arc_logp: np.ndarray
-    pair_fail: np.ndarray | None = None
-    triple_logp: np.ndarray | None = None
-
-    def walk(self, block: Block, arc: np.ndarray, triple: np.ndarray | None = None) -> np.ndarray:
-        """log10 probability of each text; ``arc`` is that of each two-token step, ``triple`` that of each of ``block.third``."""
-        logp = self.word_logp[block.tokens]
-        state, by_arc = self.next_state[block.tokens[block.at - 1]], self.arc_logp[arc]
-        failed = np.where(state >= 0, self.fail_logp[state], 0.0) + logp[block.at]
-        logp[block.at] = np.where(np.isnan(by_arc), failed, by_arc)
-        if triple is not None:
-            at, by_arc = block.at[block.third], self.triple_logp[triple]
-            logp[at] = np.where(np.isnan(by_arc), self.pair_fail[arc[block.third - 1]] + logp[at], by_arc)
-        return np.add.reduceat(logp, block.starts)
-
-
-def build(block: Block, first: np.ndarray, counts: np.ndarray, totals: np.ndarray, n: int, kinds: int) -> Automaton:
-    """``counts`` and ``totals``: training counts of the block's words and of its keys, over the whole
-    corpus; ``first``: a step of each key."""
+    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def walk(self, block: Block, arcs: list[np.ndarray], span: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability and the state behind it, for each token. ``arcs``: for each order, the n-gram that ends at
+        each token, or -1. Step t of all texts is taken together, and each carries its state. Texts are walked in stretches of ``span``
+        tokens; one that doesn't begin a text starts from the empty context as many tokens earlier as a context is long,
+        and so is in the state that a walk from the text's begin would carry."""
+        logp, seen = np.empty(len(block.tokens)), np.empty(len(block.tokens), np.int64)
+        sizes = np.array(block.sizes, np.int64)
+        n = -(-sizes // span)
+        text = np.repeat(np.arange(len(sizes)), n)
+        first = block.starts[text] + (np.arange(len(text)) - (np.cumsum(n) - n)[text]) * span
+        begin, end = np.maximum(block.starts[text], first - len(self.orders)), np.minimum(first + span, (block.starts + sizes)[text])
+        order = np.argsort(begin - end, kind="stable")  # the longest first
+        begin, end, first = begin[order], end[order], first[order]
+        state = np.zeros(len(begin), np.int64)
+        for t in range(int((end - begin).max(initial=0))):
+            live = int(np.searchsorted(begin - end, -t))  # those with more than t tokens
+            at, now = begin[:live] + t, state[:live]
+            gained, todo = np.zeros(live), np.ones(live, bool)
+            to = np.zeros(live, np.int64)
+            shorter = (len(self.word_state), 0)[-len(self.orders) :]  # the last state of a shorter context, by order
+            for (source, target, weight), arc, last in zip(self.orders[::-1], arcs[::-1], shorter):
+                own = arc[at]
+                take = todo & (source[own] == now) & ~np.isnan(weight[own])
+                gained[take] += weight[own[take]]
+                to[take] = target[own[take]]
+                todo &= ~take
+                fail = todo & (now > last)
+                gained[fail] += self.fail_logp[now[fail]]
+                now = np.where(fail, self.fail_to[now], now)
+            word = block.tokens[at[todo]]
+            gained[todo] += self.word_logp[word]
+            to[todo] = self.word_state[word]
+            state[:live] = to
+            mine = at >= first[:live]
+            logp[at[mine]], seen[at[mine]] = gained[mine], to[mine]
+        return logp, seen
+
+
+def build(block: Block, first: np.ndarray, counts: np.ndarray, totals: np.ndarray, n: int, kinds: int, triples: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Automaton:
+    """``counts`` and ``totals``: training counts of the block's words and of its bigrams, over the whole
+    corpus; ``first``: a step of each bigram. ``triples``: the bigrams that a trigram begins and ends with, and its training count."""
     p1 = (counts + ADD) / (n + ADD * (kinds + 1))
     context = counts > 0
     context[0] = False
+    word_state = np.where(context, 1 + np.arange(len(counts)), 0)
     source, word = block.tokens[block.at[first] - 1], block.tokens[block.at[first]]
-    arc = np.where(totals > 0, np.log10((totals + MU * p1[word]) / (counts[source] + MU)), np.nan)
-    return Automaton(np.log10(p1), np.where(context, np.arange(len(counts)), -1), np.log10(MU / (counts + MU)), source, word, arc)
-
-
-def add_trigrams(model: Automaton, block: Block, place: np.ndarray, first: np.ndarray, totals: np.ndarray, pair_totals: np.ndarray) -> None:
-    """``first``: a step of each trigram; ``totals`` and ``pair_totals``: training counts of trigrams and of
-    bigrams; ``place``: the bigram of each two-token step."""
-    context, last = place[block.third[first] - 1], place[block.third[first]]
-    with np.errstate(invalid="ignore"):
-        arc = np.log10((totals + MU * 10 ** model.arc_logp[last]) / (pair_totals[context] + MU))
-    model.triple_logp = np.where(totals > 0, arc, np.nan)  # a trained trigram's bigrams are trained
-    model.pair_fail = np.log10(MU / (pair_totals + MU))
+    pair = np.where(totals > 0, np.log10((totals + MU * p1[word]) / (counts[source] + MU)), np.nan)
+    fail_to, fail_logp = np.zeros(1 + len(counts), np.int64), np.concatenate([[0.0], np.log10(MU / (counts + MU))])
+    ends = lambda *c: tuple(np.append(x, none) for x, none in zip(c, (-1, 0, np.nan)))
+    if triples is None:
+        return Automaton(np.log10(p1), word_state, fail_to, fail_logp, [ends(1 + source, word_state[word], pair)])
+    begins, last, count = triples
+    bigram = 1 + len(counts)  # the first bigram's state
+    with np.errstate(invalid="ignore"):  # a trained trigram's bigrams are trained
+        triple = np.where(count > 0, np.log10((count + MU * 10 ** pair[last]) / (totals[begins] + MU)), np.nan)
+    arcs = [ends(1 + source, bigram + np.arange(len(pair)), pair), ends(bigram + begins, bigram + last, triple)]
+    return Automaton(np.log10(p1), word_state, np.concatenate([fail_to, word_state[word]]), np.concatenate([fail_logp, np.log10(MU / (totals + MU))]), arcs)
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -249,8 +276,16 @@ def _frozen(parts: list[pa.RecordBatch]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _edges(keys: np.ndarray, slots: int) -> np.ndarray:
-    return np.append(np.searchsorted(keys, np.array([(k << 64) // slots for k in range(slots)], np.uint64)), len(keys))
+def _runs(slot: np.ndarray) -> list[tuple[int, int, int]]:
+    """Ordered numbers' distinct values, and where each begins and ends."""
+    cuts = np.flatnonzero(np.diff(slot, prepend=-1, append=-1)).tolist() if len(slot) else []
+    return [(int(slot[a]), a, b) for a, b in zip(cuts, cuts[1:])]
+
+
+def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
+    """The range of each key, one of ``slots`` equal parts of all 64-bit numbers: the product's upper 64 bits."""
+    high, low, n = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), np.uint64(slots)
+    return ((high * n + (low * n >> np.uint64(32))) >> np.uint64(32)).astype(np.int64)
 
 
 def _packed(block: int, held: Block, mark: int, slots: int, order: int) -> Iterator[pa.RecordBatch]:
@@ -258,19 +293,17 @@ def _packed(block: int, held: Block, mark: int, slots: int, order: int) -> Itera
     Trigrams have ranges of their own, numbered from ``slots``."""
     held.finish()
     keys, n = held.gram_counts()
-    edges = _edges(keys, slots)
-    names, number, cuts = held.word_order(slots)
+    names, number, runs = held.word_order(slots)
+    grams, words = {k: (a, b) for k, a, b in _runs(_slots(keys, slots))}, {k: (a, b) for k, a, b in runs}
     word_n = held.word_counts()[number].astype("<u4")
     rows: list[tuple] = []
-    for k in np.flatnonzero((np.diff(edges) > 0) | (np.diff(cuts) > 0)).tolist():
-        a, b, c, d = edges[k], edges[k + 1], cuts[k], cuts[k + 1]
+    for k in sorted(grams.keys() | words.keys()):
+        (a, b), (c, d) = grams.get(k, (0, 0)), words.get(k, (0, 0))
         rows.append((k, block, _pack_keys(keys[a:b], held.drop), _pack(n[a:b].astype("<u4")), _zip(b" ".join(names[c:d])) if c < d else None, _pack(word_n[c:d]), None))
     if order > 2:
         held.add_triples()
         keys, n = held.gram_counts(True)
-        edges = _edges(keys, slots)
-        for k in np.flatnonzero(np.diff(edges) > 0).tolist():
-            a, b = edges[k], edges[k + 1]
+        for k, a, b in _runs(_slots(keys, slots)):
             rows.append((slots + k, block, _pack_keys(keys[a:b], held.drop), _pack(n[a:b].astype("<u4")), None, b"", None))
     rows.append((block % slots, block, b"", b"", None, b"", mark))
     for at in range(0, len(rows), 256):
@@ -346,19 +379,20 @@ def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK, range_bytes
         counts[number] += np.concatenate([_unpack(r["word_more"], "<i8") for r in told_rows])
         totals = np.bincount(place[block.train[block.at]], minlength=len(first))
         totals += np.concatenate([_unpack(r["gram_more"], "<i8") for r in told_rows if r["slot"] < slots])
-        model, triple = build(block, first, counts, totals, n, kinds), None
-        del first
+        arcs, triples = [block.by_token(block.at, place)], None
         if order > 2:
             block.add_triples()
-            triple, first = block.gram_places(True)
-            more = np.bincount(triple[block.train[block.at[block.third]]], minlength=len(first))
+            triple, step = block.gram_places(True)
+            more = np.bincount(triple[block.train[block.at[block.third]]], minlength=len(step))
             more += np.concatenate([np.zeros(0, np.int64), *(_unpack(r["gram_more"], "<i8") for r in told_rows if r["slot"] >= slots)])
-            add_trigrams(model, block, place, first, more, totals)
-            del first, more
+            arcs.append(block.by_token(block.at[block.third], triple))
+            triples = place[block.third[step] - 1], place[block.third[step]], more
+        model = build(block, first, counts, totals, n, kinds, triples)
+        del first, triples, told_rows
         sizes = np.array(block.sizes, np.int64)
         base = np.add.reduceat(model.word_logp[block.tokens], block.starts)
         known = np.add.reduceat((counts[block.tokens] > 0).astype(np.int64), block.starts)
-        found = model.walk(block, place, triple)
+        found = np.add.reduceat(model.walk(block, arcs)[0], block.starts)
         return pa.Table.from_arrays(
             [left.column("doc_id"), left.column("held_out"), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), n), pa.int64()), pa.array(base), pa.array(found)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
