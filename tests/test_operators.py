@@ -198,7 +198,7 @@ def test_boosting_goes_on_for_300_rounds(spark):
     rows = [(float(i % 20), float(i % 20 >= 10)) for i in range(200)]
     df = spark.createDataFrame(rows, "x double, r double")
     model = models.fit_boosted(df, ["x"], "r")
-    assert model.fitted.getNumTrees == 300 == io.Config().boosting_rounds
+    assert len(model.fitted.trees) == 300 == io.Config().boosting_rounds
     loss = model.apply(df, "p").selectExpr("avg((p - r) * (p - r)) l").first()["l"]
     assert loss < 1e-3  # 0.25 for the mean; five rounds at step 0.05 leave it far from r
 

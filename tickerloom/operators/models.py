@@ -1,19 +1,19 @@
-"""Learned models with their fallbacks, on spark.ml."""
+"""Learned models with their fallbacks."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as X
+from tickerloom.operators import boosting
 
 
 def feature_values(df: DataFrame, features: list[str]) -> list[Column]:
@@ -43,12 +43,11 @@ class Model:
             for w, v in zip(self.fitted.coefficients, feature_values(df, self.features)):
                 z = z + X.double(float(w)) * v
             return df.withColumn(into, X.double(1) / (X.double(1) + F.exp(-z)))
-        out = self.fitted.transform(align_features(df, self.features))
-        return out.withColumn(into, F.col("prediction__")).drop("__features", "prediction__")
+        return df.withColumn(into, self.fitted.score(feature_values(df, self.features)))
 
     def save(self, path: str, spark) -> None:
-        spark.createDataFrame([(json.dumps({"features": self.features, "constant": self.constant, "fitted": self.fitted is not None}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
-        if self.fitted is not None:
+        spark.createDataFrame([(json.dumps({"features": self.features, "constant": self.constant, "fitted": self.fitted is not None, "boosted": self.fitted.dumps() if isinstance(self.fitted, boosting.Boosted) else None}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+        if isinstance(self.fitted, LogisticRegressionModel):
             PipelineModel([self.fitted]).write().overwrite().save(f"{path}/model")
 
 
@@ -60,6 +59,8 @@ def load_model(path: str, spark) -> Model | None:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    if about.get("boosted"):
+        return Model(about["features"], about["constant"], boosting.Boosted.loads(about["boosted"]))
     return Model(about["features"], about["constant"], PipelineModel.load(f"{path}/model").stages[0] if about["fitted"] else None)
 
 
@@ -74,14 +75,13 @@ def fit_logistic(df: DataFrame, features: list[str], label: str, max_iter: int =
     return Model(features, pos / n, lr.fit(rows))
 
 
-def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = 300, least: int = 100) -> Model:
-    """Boosted trees; no finite label gives 0, fewer than ``least`` give their mean."""
+def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = 300, least: int = 100, growth: boosting.Growth = boosting.Growth()) -> Model:
+    """Boosted trees; no finite label gives 0; fewer than ``least``, or no feature, give their mean."""
     rows = df.withColumn(label, X.finite(F.col(label))).where(F.col(label).isNotNull())
     n, mean = rows.agg(F.count("*"), F.avg(label)).first()
-    if n < least:
+    if n < least or not features:
         return Model(features, mean if n else 0.0)
-    gbt = GBTRegressor(featuresCol="__features", labelCol=label, predictionCol="prediction__", maxIter=rounds, stepSize=0.05, maxDepth=5, minInstancesPerNode=10, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=42)
-    return Model(features, mean, gbt.fit(align_features(rows, features)))
+    return Model(features, mean, boosting.fit(rows, feature_values(rows, features), F.col(label), mean, replace(growth, rounds=rounds)))
 
 
 def predict(df: DataFrame, up: Model | None, ret: Model | None) -> DataFrame:
