@@ -155,6 +155,41 @@ def test_prefix_tree_overlaps():
             assert o == (true if true >= jaccard.least_overlap(len(s), len(probe), 80, 100) else -1)
 
 
+def test_prefix_tree_differences():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        probe = np.unique(rng.integers(0, 200, 80)).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(len(probe)) < rng.random(), rng.integers(0, 200, len(probe)), probe)).astype(np.uint64) for _ in range(6)]
+        got = {k: (common, added.tolist(), gone.tolist()) for k, common, added, gone in jaccard.PrefixTree(sets).differences(probe, 3, 10)}
+        assert got == {
+            k: (len(np.intersect1d(s, probe)), np.setdiff1d(s, probe).tolist(), np.setdiff1d(probe, s).tolist())
+            for k, s in enumerate(sets)
+            if 10 * len(np.intersect1d(s, probe)) >= 3 * len(np.union1d(s, probe))
+        }
+
+
+def test_links_around_a_hub_come_from_the_tree(spark):
+    """The tree's verdicts on a hub's classes, and the join's components over them, equal brute force."""
+    rng, rows = random.Random(9), []
+    for g in range(4):
+        base = [f"g{g}w{rng.randrange(500)}" for _ in range(120)]
+        for _ in range(15):
+            w = list(base)
+            for _ in range(rng.choice([1, 2, 4])):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = brute_components(rows, 4, 85, 100)
+    assert sorted(map(tuple, jaccard.join(df).collect())) == want and len({c for _, _, c in want}) < len(rows) * 2 / 3  # most are linked, some differ too much
+    shingler = jaccard.Shingler(4)
+    sets = {i: shingler.hashes(t.encode()) for i, t in rows}
+    hub, others = sets[0], [sets[i] for i in range(1, 15)]
+    tree = jaccard.PrefixTree(others)
+    linked = [o >= jaccard.least_overlap(len(s), len(hub), 85, 100) for s, o in zip(others, tree.overlaps(hub, 3, 10))]
+    assert linked == [100 * len(np.intersect1d(s, hub)) >= 85 * len(np.union1d(s, hub)) for s in others] and any(linked)
+    assert sum(tree.shared) > 0  # beginnings are shared
+
+
 def test_one_of_each_with_null_and_repeated_ids(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(9)]

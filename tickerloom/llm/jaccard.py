@@ -14,6 +14,7 @@ share comes last.
    Two classes x, y around a hub differ by what one of dx, dy has alone, so
    |x ^ y| = |dx| + |dy| - 2 |dx & dy|: pairs of which at least one isn't linked to the
    hub must share differences, and are found by a prefix of them, rare ones first.
+   Classes are compared with their hub, and differences with each other, in the prefix tree of step 5.
 4. ``meetings``: classes of different areas that share enough of their n-grams of step 2
    are compared.
 5. ``verify``: comparisons of sets run in the prefix tree: the partner sets of one probe
@@ -57,7 +58,7 @@ LOWEST, NEED, MISS = 64, 4, 1e-15
 #: Hashes that a task holds before it counts them.
 HELD = 1_000_000
 #: Least similarity to its hub at which a class keeps its differences.
-AROUND = 0.3
+AROUND = (3, 10)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _SALT = (np.arange(1, SKETCH + 1, dtype=np.uint64) * _MULT[1]) | np.uint64(1)
 
@@ -198,11 +199,11 @@ class PrefixTree:
             differ = np.flatnonzero(a[:m] != b[:m])
             self.shared[i] = int(differ[0]) if len(differ) else m
 
-    def overlaps(self, probe: np.ndarray, num: int, den: int) -> list[int]:
-        """Overlap of each set with the probe, or -1 where it can't reach the least overlap."""
-        out, counts, done = [-1] * len(self.sets), np.zeros(1, np.int64), 0
+    def walk(self, probe: np.ndarray, needs: list[int]) -> Iterator[tuple[int, np.ndarray | None]]:
+        """Each set's number and its overlaps with the probe (of its first 0, 1, ... members), or None where it can't reach its need."""
+        counts, done = np.zeros(1, np.int64), 0
         for i, own in enumerate(self.sets):
-            n, need = len(own), least_overlap(len(own), len(probe), num, den)
+            n, need = len(own), needs[self.order[i]]
             done = min(done, self.shared[i])
             row = np.empty(n + 1, np.int64)
             row[: done + 1] = counts[: done + 1]
@@ -216,10 +217,35 @@ class PrefixTree:
                 done = end
                 alive = row[done] + min(n - done, len(probe) - passed) >= need
             counts = row
-            if alive and row[n] >= need:
-                out[self.order[i]] = int(row[n])
+            yield self.order[i], row if alive and row[n] >= need else None
+
+    def overlaps(self, probe: np.ndarray, num: int, den: int) -> list[int]:
+        """Overlap of each set with the probe, or -1 where it can't reach the least overlap."""
+        return self.reaching(probe, [least_overlap(n, len(probe), num, den) for n in self.sizes()])
+
+    def reaching(self, probe: np.ndarray, needs: list[int]) -> list[int]:
+        out = [-1] * len(self.sets)
+        for k, row in self.walk(probe, needs):
+            if row is not None:
+                out[k] = int(row[-1])
+        return out
+
+    def sizes(self) -> list[int]:
+        out = [0] * len(self.sets)
+        for k, own in zip(self.order, self.sets):
+            out[k] = len(own)
         return out
 
+    def differences(self, probe: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Number, overlap, what the set has beside the probe and what it lacks, of the sets that reach the least overlap."""
+        needs, own_of = [least_overlap(n, len(probe), num, den) for n in self.sizes()], dict(zip(self.order, self.sets))
+        for k, row in self.walk(probe, needs):
+            if row is not None:
+                hit = np.diff(row) > 0
+                lacks = np.ones(len(probe), bool)
+                lacks[np.searchsorted(probe, own_of[k][hit])] = False
+                yield k, int(row[-1]), own_of[k][~hit], probe[lacks]
+
 
 def _bucket(h: np.ndarray) -> np.ndarray:
     return (h * _MULT[0] >> np.uint64(44)).astype(np.int64)
@@ -372,20 +398,22 @@ def suggested(classes: DataFrame) -> DataFrame:
 
 def differences(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """sid, hub -> with linked, size, added, gone: what the class has beside its hub, and lacks. Only of
-    classes that are ``AROUND`` their hub."""
+    classes that are ``AROUND`` their hub. The classes of a hub go through one prefix tree for each batch of rows."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for part in few_rows(parts):
             names, hubs = part.column("sid").to_pylist(), part.column("hub").to_pylist()
-            rows = []
-            for sid, hub, x, c in zip(names, hubs, sets_of(shingler, names, part.column("of_sid")), sets_of(shingler, hubs, part.column("of_hub"))):
-                if x is None or c is None:
-                    continue
-                added, gone = np.setdiff1d(x, c, True), np.setdiff1d(c, x, True)
-                common, union = len(x) - len(added), len(x) + len(gone)
-                if common >= AROUND * union:
-                    rows.append((sid, hub, den * common >= num * union, len(x), added.view(np.int64), gone.view(np.int64)))
+            of_sid, of_hub = sets_of(shingler, names, part.column("of_sid")), sets_of(shingler, hubs, part.column("of_hub"))
+            rows, by_hub = [], {}
+            for i, hub in enumerate(hubs):
+                if of_sid[i] is not None and of_hub[i] is not None:
+                    by_hub.setdefault(hub, []).append(i)
+            for hub, at in by_hub.items():
+                c = of_hub[at[0]]
+                for k, common, added, gone in PrefixTree([of_sid[i] for i in at]).differences(c, *AROUND):
+                    x = of_sid[at[k]]
+                    rows.append((names[at[k]], hub, common >= least_overlap(len(x), len(c), num, den), len(x), added.view(np.int64), gone.view(np.int64)))
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["sid", "hub", "linked", "size", "added", "gone"])
@@ -425,8 +453,23 @@ def links_around_hubs(around: DataFrame, num: int, den: int) -> DataFrame:
     both = both.where((overlap <= F.least("size_x", "size_y")) & (need <= 2 * F.least("rest_x", "rest_y")))
     open_ = both.withColumn("need", need).groupBy(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).agg(F.first("need").alias("need"))
     diffs = lambda x: rows.select(F.col("sid").alias(x), F.col("diff").alias(f"diff_{x}"))
-    found = written(open_, "jaccard-near-pairs").join(diffs("a"), "a").join(diffs("b"), "b")
-    return found.where(2 * F.size(F.array_intersect("diff_a", "diff_b")) >= F.col("need")).select("a", "b")
+    found = written(open_, "jaccard-near-pairs").join(diffs("b"), "b").join(diffs("a"), "a").select("a", "b", "need", "diff_a", "diff_b")
+    return found.mapInArrow(_share_differences, "a binary, b binary")
+
+
+def _share_differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, need, diff_a, diff_b -> a, b of those that share half of ``need`` differences. The partners of one probe go through one prefix
+    tree for each batch of rows."""
+    for part in few_rows(parts):
+        a, need, linked = part.column("a").to_pylist(), part.column("need").to_pylist(), np.zeros(part.num_rows, bool)
+        sets = lambda c, at: np.sort(part.column(c)[at].values.to_numpy(zero_copy_only=False).view(np.uint64))
+        by_probe: dict[bytes, list[int]] = {}
+        for i, x in enumerate(a):
+            by_probe.setdefault(x, []).append(i)
+        for at in by_probe.values():
+            found = PrefixTree([sets("diff_b", i) for i in at]).reaching(sets("diff_a", at[0]), [-(-need[i] // 2) for i in at])
+            linked[at] = np.array(found) >= 0
+        yield part.select(["a", "b"]).filter(pa.array(linked))
 
 
 def meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
