@@ -17,7 +17,7 @@ from tickerloom.operators import allocation, calendar, evaluation, features, fee
 from tickerloom.plans import validate
 from tickerloom.sources import contracts as C
 from tickerloom.sources.buckets import BucketedTable
-from tickerloom.sources.shared import fresh_path
+from tickerloom.sources.shared import fresh_path, written
 from tickerloom.streaming import label_stream
 
 QUERIES: dict = {}
@@ -478,9 +478,10 @@ def q_premium_rank_constant(spark, d):
 
 
 def _training(spark, d):
-    b = bars(spark, d).withColumn("rank", F.row_number().over(W.partitionBy("trade_date").orderBy(F.col("amount").desc(), "ts_code")))
+    daily = written(bars(spark, d), "bars")
+    b = daily.withColumn("rank", F.row_number().over(W.partitionBy("trade_date").orderBy(F.col("amount").desc(), "ts_code")))
     x = features.zscore(features.median_fill(b, ["close", "amount", "vol"], ("trade_date",)), ["close", "amount", "vol"], ("trade_date",))
-    lab = labels.forward_labels(bars(spark, d)).select("trade_date", "ts_code", "real_premium_ret")
+    lab = labels.forward_labels(daily).select("trade_date", "ts_code", "real_premium_ret")
     return x.join(lab, ["trade_date", "ts_code"]).where("real_premium_ret is not null").withColumn("y", X.binarise(F.col("real_premium_ret")))
 
 
@@ -493,6 +494,7 @@ def q_lr_scores(spark, d):
 
 @query()
 def q_gbt_scores(spark, d):
-    rows = _training(spark, d)
-    model = models.fit_boosted(rows, ["x__close", "x__amount", "x__vol"], "real_premium_ret")
+    used = ["x__close", "x__amount", "x__vol"]
+    rows = written(_training(spark, d).select("trade_date", "ts_code", *used, "real_premium_ret"), "training-rows")
+    model = models.fit_boosted(rows, used, "real_premium_ret")
     return model.apply(rows, "pred_ret_mean").select("trade_date", "ts_code", r("pred_ret_mean").alias("pred_ret_mean"))
